@@ -61,3 +61,24 @@ def safe_ratio(numerator: Column, denominator: Column, places: int = 4) -> Colum
     """``ROUND(n / NULLIF(d, 0), places)`` as ``decimal(18, places)``."""
     ratio = numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))
     return F.round(ratio, places).cast(f"decimal(18,{places})")
+
+
+def count_pct(k: Column, n: Column, places: int = 2) -> Column:
+    """``ROUND(100.0 * k / NULLIF(n, 0), places)`` for non-negative counts,
+    exactly: integer half-up rounding ``(2*10^(p+2)*k + n) div 2n``, so no
+    binary fraction or intermediate decimal scale can tip a tie.  Returns
+    ``decimal(18, places)``."""
+    from decimal import Decimal
+
+    scaled = k.cast("bigint") * F.lit(2 * 10 ** (places + 2)) + n.cast("bigint")
+    q = F.call_function("div", scaled, F.nullif(n.cast("bigint") * F.lit(2), F.lit(0)))
+    return (q.cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-places))).cast(f"decimal(18,{places})")
+
+
+def avg_round(x: Column | str, places: int) -> Column:
+    """``ROUND(AVG(x)::numeric, places)``: exact decimal average rounded half
+    away from zero, as ``decimal(18, places)``.  Spark divides a decimal sum
+    by the count at 26+ digits of scale, so the single rounding to
+    ``places`` is exact."""
+    x = _c(x)
+    return F.round(F.sum(x) / F.nullif(F.count(x), F.lit(0)), places).cast(f"decimal(18,{places})")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermart.plans import marts
+from ledgermart.plans import governance, marts
 from ledgermart.sources.testviews import bank_frames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,5 @@ QUERIES: dict[str, Query] = {
     "aml_compliance": _on_frames(marts.aml_compliance),
     "payments_analytics": _on_frames(marts.payments_analytics),
 }
+
+QUERIES.update({name: _on_frames(fn) for name, fn in governance.GOVERNANCE.items()})

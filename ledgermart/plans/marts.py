@@ -27,7 +27,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermart.functions.metrics import cond_count, cond_sum, dec_sum, exact_avg, safe_pct
+from ledgermart.functions.metrics import cond_count, cond_sum, count_pct, dec_sum, exact_avg, safe_pct
 from ledgermart.operators.joins import current, currency_rates, hinted, join_dim, latest_only
 
 Frames = Mapping[str, DataFrame]
@@ -186,7 +186,7 @@ def aml_compliance(frames: Frames, severity: str | None = None) -> DataFrame:
         dec_sum("alert_amount_rcy").alias("total_alert_amount_usd"),
         fp.alias("false_positive_count"),
         cond_count(F.col("is_sar_filed")).alias("sar_filed_count"),
-        safe_pct(fp, F.count(F.lit(1))).alias("false_positive_rate_pct"),
+        count_pct(fp, F.count(F.lit(1))).alias("false_positive_rate_pct"),
         exact_avg("days_to_close").alias("avg_days_to_close"),
         exact_avg("days_to_assign").alias("avg_days_to_assign"),
     )
@@ -214,8 +214,8 @@ def payments_analytics(frames: Frames) -> DataFrame:
         exact_avg("payment_amount_rcy").alias("avg_payment_usd"),
         dec_sum("charge_amount").alias("total_charges_usd"),
         exact_avg("processing_time_seconds").alias("avg_processing_secs"),
-        safe_pct(cond_count(F.col("is_stp")), n).alias("stp_rate_pct"),
-        safe_pct(cond_count(F.col("is_rejected")), n).alias("rejection_rate_pct"),
+        count_pct(cond_count(F.col("is_stp")), n).alias("stp_rate_pct"),
+        count_pct(cond_count(F.col("is_rejected")), n).alias("rejection_rate_pct"),
         cond_sum(F.col("is_cross_border"), "payment_amount_rcy").alias("cross_border_volume_usd"),
         cond_count(F.col("sanctions_screening_status") == "HIT").alias("sanctions_hits"),
     )
