@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgermart.operators import quality
 from ledgermart.plans import governance, marts
 from ledgermart.sources.testviews import bank_frames
 
@@ -33,3 +34,13 @@ QUERIES: dict[str, Query] = {
 }
 
 QUERIES.update({name: _on_frames(fn) for name, fn in governance.GOVERNANCE.items()})
+
+QUERIES.update({
+    "row_count_check": _on_frames(quality.row_count_check),
+    "quality_profile": _on_frames(quality.quality_profile),
+    "soft_key_suite": _on_frames(quality.soft_key_suite),
+    "quality_suite": _on_frames(quality.run_suite),
+    "split_valid_counts": _on_frames(quality.validation_summary),
+    "unique_currency_code": _on_frames(lambda f: quality.unique_key_check(f["dim_currency"], "currency_code")),
+    "rate_fanout_check": _on_frames(lambda f: quality.rate_fanout_check(f["exchange_rate"])),
+})

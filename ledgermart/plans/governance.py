@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermart.functions.metrics import avg_round, cond_count, cond_sum, count_pct, dec_sum
-from ledgermart.operators.joins import anti_join, join_dim
+from ledgermart.operators.joins import join_dim
+from ledgermart.operators.quality import orphan_check
 from ledgermart.plans import marts
 
 Frames = Mapping[str, DataFrame]
@@ -21,9 +22,8 @@ Frames = Mapping[str, DataFrame]
 def orphan_transactions(frames: Frames) -> DataFrame:
     """V1: transactions whose account has no dimension row (expected 0).
     One row, also on empty input; a NULL account key counts as an orphan."""
-    orphans = anti_join(frames["fact_transaction"].select("account_sk"), frames["dim_account"],
-                        "account_sk", "account_sk")
-    return orphans.agg(F.count(F.lit(1)).alias("orphan_transactions"))
+    return orphan_check(frames["fact_transaction"], frames["dim_account"], "account_sk", "account_sk") \
+        .withColumnRenamed("orphan_rows", "orphan_transactions")
 
 
 def duplicate_current_customers(frames: Frames) -> DataFrame:

@@ -352,6 +352,28 @@ BUILDERS = {
 }
 
 
+# Columns of each bank-shaped frame (checked against the builders in tests);
+# the SQL oracle uses it to generate rule queries without a session.
+VIEW_COLUMNS = {
+    'dim_date': ['date_sk', 'full_date', 'calendar_year', 'month_num', 'month_name', 'fiscal_year', 'fiscal_quarter'],
+    'dim_geography': ['geography_sk', 'country_name', 'region', 'aml_risk_rating', 'is_current_record'],
+    'dim_currency': ['currency_sk', 'currency_code'],
+    'exchange_rate': ['from_currency_code', 'to_currency_code', 'rate_type', 'rate_value', 'valid_to_datetime'],
+    'dim_customer': ['customer_sk', 'customer_nk', 'customer_number', 'full_name', 'customer_type', 'customer_segment', 'age_band', 'risk_rating', 'kyc_status', 'pep_flag', 'acquisition_channel', 'acquisition_date', 'relationship_tenure_yrs', 'nationality_country_sk', 'residency_country_sk', 'is_current_record'],
+    'dim_branch': ['branch_sk', 'branch_name', 'region_name', 'is_current_record'],
+    'dim_product': ['product_sk', 'product_sub_category'],
+    'dim_gl_account': ['gl_account_sk', 'level1_name', 'level2_name', 'account_class', 'account_type', 'is_interest_income', 'is_interest_expense'],
+    'dim_aml_rule': ['aml_rule_sk', 'rule_name', 'rule_category'],
+    'dim_account': ['account_sk', 'customer_sk', 'currency_sk', 'account_type', 'is_current_record'],
+    'fact_account_balance_daily': ['account_sk', 'snapshot_date_sk', 'current_balance'],
+    'fact_transaction': ['account_sk', 'customer_sk', 'product_sk', 'branch_sk', 'booking_date_sk', 'transaction_datetime', 'amount_txn_ccy', 'is_reversal', 'is_credit'],
+    'fact_loan_daily_snapshot': ['snapshot_date_sk', 'account_sk', 'customer_sk', 'product_sk', 'total_outstanding_rcy', 'ecl_provision_amount', 'ecl_pd', 'ecl_lgd', 'loan_to_value_ratio', 'credit_grade', 'ifrs9_stage', 'dpd_bucket', 'is_npl_flag'],
+    'fact_gl_balance': ['period_end_date_sk', 'gl_account_sk', 'branch_sk', 'period_type', 'closing_balance_rcy', 'ytd_balance', 'budget_amount', 'prior_year_balance'],
+    'fact_payment_order': ['payment_nk', 'instruction_date_sk', 'debtor_customer_sk', 'debtor_branch_sk', 'currency_sk', 'creditor_country_sk', 'payment_type', 'payment_status', 'sanctions_screening_status', 'payment_amount_rcy', 'charge_amount', 'processing_time_seconds', 'is_cross_border', 'is_stp', 'is_rejected'],
+    'fact_aml_alert': ['aml_alert_sk', 'generated_date_sk', 'subject_customer_sk', 'branch_sk', 'aml_rule_sk', 'alert_type', 'alert_severity', 'alert_status', 'generated_by', 'ml_risk_score', 'alert_amount_rcy', 'days_to_assign', 'days_to_close', 'is_false_positive', 'is_sar_filed'],
+}
+
+
 class BankFrames(Mapping):
     """Lazily built, memoised mapping name -> DataFrame over one test dir."""
 
