@@ -44,3 +44,192 @@ QUERIES.update({
     "unique_currency_code": _on_frames(lambda f: quality.unique_key_check(f["dim_currency"], "currency_code")),
     "rate_fanout_check": _on_frames(lambda f: quality.rate_fanout_check(f["exchange_rate"])),
 })
+
+
+# --------------------------------------------------------------------------
+# Load, key generation, statistics (L5-L9), derivations (D1-D11, G19),
+# history (H1-H6) and the declared joins (J10-J12), each over the test
+# tables through the bank-shaped frames.
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ledgermart.operators import derive, history  # noqa: E402
+from ledgermart.sources import load  # noqa: E402
+from ledgermart.sources import testviews as TV  # noqa: E402
+
+# L5/L6 on the test data: its years are 1995-2001, so the yearly ranges are
+# 1996-1999 and everything else goes to the default partition.
+TEST_RANGES = load.year_ranges(1996, 1999)
+PRUNE_FROM, PRUNE_TO = 19970601, 19980315
+
+
+def partition_layout(f):
+    t = load.with_partition_label(f["fact_transaction"], "booking_date_sk", TEST_RANGES)
+    return t.groupBy("booking_year").agg(F.count(F.lit(1)).alias("rows"),
+                                         F.min("booking_date_sk").alias("min_key"),
+                                         F.max("booking_date_sk").alias("max_key"))
+
+
+def pruned_transactions(f):
+    t = load.with_partition_label(f["fact_transaction"], "booking_date_sk", TEST_RANGES)
+    p = load.prune_by_date_key(t, "booking_date_sk", PRUNE_FROM, PRUNE_TO, TEST_RANGES)
+    return p.groupBy("booking_year").agg(F.count(F.lit(1)).alias("rows"),
+                                         F.sum("amount_txn_ccy").cast("decimal(38,2)").alias("amount"))
+
+
+def append_new_accounts(f):
+    """Orders without an account row become accounts with keys after
+    the highest existing account key, in order-key order."""
+    o = f["orders"].select("o_orderkey", "o_custkey")
+    acct = f["dim_account"]
+    missing = o.join(acct.select("account_sk"), o["o_orderkey"] == acct["account_sk"], "left_anti")
+    keyed = load.append_with_keys(missing, acct, "new_account_sk", ["o_orderkey"], existing_key="account_sk")
+    return keyed.select("o_orderkey", "o_custkey", "new_account_sk")
+
+
+def payment_statistics(f):
+    return load.collect_statistics(f["fact_payment_order"], "fact_payment_order", exact_distinct=True)
+
+
+def dim_date_generated(f):
+    """D1 over the span of the order and ship dates, fiscal year from April,
+    New Year's Day and Christmas as holidays."""
+    o = f["orders"].select(F.to_date("o_orderdate").alias("d"))
+    li = f["lineitem"].select(F.to_date("l_shipdate").alias("d"))
+    start = o.select(F.min("d")).scalar()
+    end = li.select(F.max("d")).scalar()
+    spark = f["orders"].sparkSession
+    hol = derive.holidays_by_rule(spark, F.year(start), F.year(end))
+    return derive.build_dim_date(spark, start, end, fiscal_start_month=4, holidays=hol)
+
+
+def reporting_currency_amounts(f):
+    t = f["transactions_with_currency"]
+    return derive.to_reporting_ccy(t, f["dated_exchange_rate"], "amount_txn_ccy", "currency_code", "booking_date")
+
+
+def balance_snapshots(f):
+    return derive.balance_snapshot(f["fact_transaction"])
+
+
+def past_due_buckets(f):
+    days = TV.dpd_days_from_part(F.col("l_partkey"))
+    return (f["lineitem"].select(derive.past_due_bucket(days).alias("dpd_bucket"), derive.is_npl(days).alias("npl"))
+            .groupBy("dpd_bucket").agg(F.count(F.lit(1)).alias("loans"),
+                                       F.sum(F.when(F.col("npl"), 1).otherwise(0)).cast("bigint").alias("npl_loans")))
+
+
+def expected_loss_check(f):
+    loans = f["fact_loan_daily_snapshot"].withColumn(
+        "el", derive.expected_loss("ecl_pd", "ecl_lgd", "total_outstanding_rcy"))
+    return loans.groupBy("ifrs9_stage", "credit_grade").agg(
+        F.count(F.lit(1)).alias("loans"),
+        F.sum("el").cast("decimal(38,2)").alias("expected_loss"),
+        F.sum("ecl_provision_amount").cast("decimal(38,2)").alias("stored_provision"),
+        F.sum(F.when(F.abs(F.col("el") - F.col("ecl_provision_amount")) > F.lit(0.01).cast("decimal(3,2)"), 1)
+              .otherwise(0)).cast("bigint").alias("mismatches"))
+
+
+def loan_to_value_ratios(f):
+    return derive.loan_to_value(f["fact_loan_daily_snapshot"], f["bridge_loan_collateral"], f["dim_collateral"])
+
+
+def collateral_allocation(f):
+    return derive.collateral_per_loan(f["bridge_loan_collateral"], f["dim_collateral"])
+
+
+def over_allocated(f):
+    return derive.over_allocated_collateral(f["bridge_loan_collateral"])
+
+
+def weighted_balances(f):
+    from ledgermart.operators.joins import latest_only
+    bal = latest_only(f["fact_account_balance_daily"], "snapshot_date_sk").select("account_sk", "current_balance")
+    return derive.weighted_customer_balance(bal, f["bridge_account_customer"])
+
+
+def weight_check(f):
+    return derive.ownership_weight_check(f["bridge_account_customer"])
+
+
+def roll_forward(f):
+    return derive.gl_roll_forward(f["fact_gl_balance"])
+
+
+MASK_SALT = "ledgermart-test-salt"
+
+
+def masked_customers(f):
+    c = f["dim_customer"].filter(F.col("is_current_record")).select(
+        "customer_sk", "full_name", "customer_number", "acquisition_date")
+    return derive.mask_pii(c, MASK_SALT, hash_cols=["full_name"], year_only_cols=["acquisition_date"],
+                           last4_cols=["customer_number"])
+
+
+def account_dormancy(f):
+    t = f["fact_transaction"]
+    as_of = t.select(F.max(F.to_date("transaction_datetime"))).scalar()
+    return derive.dormancy(f["dim_account"], t, as_of, limit_days=365)
+
+
+def ledger_rollup(f):
+    return derive.ledger_rollup(f["fact_gl_balance"], f["dim_gl_account"],
+                                ["account_class", "level1_name", "level2_name"])
+
+
+def scd1_customers(f):
+    return history.scd1_upsert(f["customer_type1"], f["customer_changes"], "customer_nk", "customer_sk",
+                               ["full_name", "customer_segment", "nationality_country_sk"], "change_ts")
+
+
+def scd2_customers(f):
+    return history.scd2_apply(f["customer_versions"], f["customer_changes"], "customer_nk", "customer_sk",
+                              ["customer_segment", "nationality_country_sk"], TV.SCD_AS_OF, "change_ts")
+
+
+def scd2_customer_check(f):
+    return history.scd2_check(f["customer_versions"], "customer_nk")
+
+
+def customers_as_of(f):
+    return history.as_of_view(f["customer_versions"], "1997-06-30").select(
+        "customer_sk", "customer_nk", "customer_segment")
+
+
+def alert_milestones(f):
+    return history.accumulate_alerts(None, f["alert_milestone_events"])
+
+
+def orders_customer_version(f):
+    o = f["orders"].select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("order_date"))
+    return history.late_facts(o, f["customer_versions"], "o_custkey", "customer_nk", "order_date",
+                              "customer_sk", "customer_version_sk")
+
+
+QUERIES.update({name: _on_frames(fn) for name, fn in {
+    "key_high_water": load.key_high_water,
+    "partition_layout": partition_layout,
+    "pruned_transactions": pruned_transactions,
+    "append_new_accounts": append_new_accounts,
+    "payment_statistics": payment_statistics,
+    "dim_date_generated": dim_date_generated,
+    "reporting_currency_amounts": reporting_currency_amounts,
+    "balance_snapshots": balance_snapshots,
+    "past_due_buckets": past_due_buckets,
+    "expected_loss_check": expected_loss_check,
+    "loan_to_value": loan_to_value_ratios,
+    "collateral_allocation": collateral_allocation,
+    "over_allocated_collateral": over_allocated,
+    "weighted_customer_balance": weighted_balances,
+    "ownership_weight_check": weight_check,
+    "gl_roll_forward": roll_forward,
+    "masked_customers": masked_customers,
+    "account_dormancy": account_dormancy,
+    "ledger_rollup": ledger_rollup,
+    "scd1_customer_upsert": scd1_customers,
+    "scd2_customer_apply": scd2_customers,
+    "scd2_history_check": scd2_customer_check,
+    "customers_as_of": customers_as_of,
+    "alert_milestones": alert_milestones,
+    "orders_customer_version": orders_customer_version,
+}.items()})

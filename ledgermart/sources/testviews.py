@@ -15,6 +15,7 @@ pruned; nothing here triggers an action.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -352,6 +353,169 @@ BUILDERS = {
 }
 
 
+# ---------------------------------------------------------------------------
+# Inputs for the history, derivation and bridge operators (FIXTURES.md,
+# "Inputs for operators that need more than these views").  Same rule: key
+# arithmetic over the test tables, so the planted cases scale with them.
+
+VERSION_SPLIT = "1998-01-01"      # every tenth customer changes segment here
+LATE_START = "1997-01-01"         # customers with key % 20 = 5 start late
+OVERLAP_START = "1999-01-01"      # keys % 50 = 3 get an overlapping version
+NEW_KEY_OFFSET = 10_000_000       # natural keys of customers new in a batch
+SCD_AS_OF = "2002-01-01"
+
+
+def customer_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type 2 customer history: one open version per customer from
+    1990-01-01 (1997-01-01 for key % 20 = 5); key % 10 = 0 changes
+    segment on 1998-01-01 (closed version under key + 10^9); key % 50 = 3
+    has a second, overlapping open version from 1999-01-01 (a planted
+    fault for the history check)."""
+    c = read_test_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    k = F.col("c_custkey")
+    split = F.lit(VERSION_SPLIT).cast("date")
+    versions = F.array_compact(F.array(F.lit(0), F.when(k % 10 == 0, F.lit(1)), F.when(k % 50 == 3, F.lit(2))))
+    v = F.col("_v")
+    start = F.when(k % 20 == 5, F.lit(LATE_START).cast("date")).otherwise(F.lit("1990-01-01").cast("date"))
+    return c.withColumn("_v", F.explode(versions)).select(
+        F.when(v == 0, k).otherwise(k + v.cast("bigint") * CLOSED_KEY_OFFSET).alias("customer_sk"),
+        k.alias("customer_nk"),
+        F.col("c_name").alias("full_name"),
+        F.when(v == 1, F.lit("OLD_SEGMENT")).otherwise(F.col("c_mktsegment")).alias("customer_segment"),
+        F.col("c_nationkey").alias("nationality_country_sk"),
+        F.when(v == 1, start).when(v == 2, F.lit(OVERLAP_START).cast("date"))
+         .when(k % 10 == 0, split).otherwise(start).alias("effective_from_date"),
+        F.when(v == 1, split).otherwise(F.lit(None).cast("date")).alias("effective_to_date"),
+        (v != 1).alias("is_current_record"),
+    )
+
+
+def customer_type1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type 1 customer dimension: surrogate key = natural key = customer key."""
+    c = read_test_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    return c.select(F.col("c_custkey").alias("customer_sk"), F.col("c_custkey").alias("customer_nk"),
+                    F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("customer_segment"),
+                    F.col("c_nationkey").alias("nationality_country_sk"))
+
+
+def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change batch: key % 7 = 0 moves to segment PRIVATE; key % 11 = 0
+    (and not % 7) arrives unchanged; key % 13 = 0 also yields a brand-new
+    customer with natural key + 10^7."""
+    c = read_test_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    k = F.col("c_custkey")
+    kinds = F.array_compact(F.array(F.when(k % 7 == 0, F.lit(1)), F.when((k % 11 == 0) & (k % 7 != 0), F.lit(2)),
+                                    F.when(k % 13 == 0, F.lit(3))))
+    kind = F.col("_kind")
+    return c.withColumn("_kind", F.explode(kinds)).select(
+        F.when(kind == 3, k + NEW_KEY_OFFSET).otherwise(k).alias("customer_nk"),
+        F.when(kind == 3, F.concat(F.col("c_name"), F.lit("/new"))).otherwise(F.col("c_name")).alias("full_name"),
+        F.when(kind == 1, F.lit("PRIVATE")).otherwise(F.col("c_mktsegment")).alias("customer_segment"),
+        F.col("c_nationkey").alias("nationality_country_sk"),
+        F.lit("2001-12-31 00:00:00").cast("timestamp_ntz").alias("change_ts"),
+    )
+
+
+def dated_exchange_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One MID_RATE to USD per currency and month start of the order dates:
+    ``1 + sk/10 + month/1000 + (year - 1990)/10000`` to 8 places.  Each
+    month row is expanded over the fixture's five currencies (no join)."""
+    months = read_test_table(spark, sf_dir, "orders").select(
+        F.trunc(F.to_date("o_orderdate"), "month").alias("rate_date")).distinct()
+    currencies = F.array(*[F.struct(F.lit(i).alias("sk"), F.lit(code).alias("code"))
+                           for i, code in enumerate(CURRENCY_CODES)])
+    r = months.select("rate_date", F.explode(currencies).alias("c"))
+    units = (F.lit(100_000_000) + F.col("c.sk").cast("bigint") * 10_000_000
+             + F.month("rate_date") * 100_000 + (F.year("rate_date") - 1990) * 10_000)
+    return r.select(
+        F.col("c.code").alias("from_currency_code"), F.lit("USD").alias("to_currency_code"),
+        F.lit("MID_RATE").alias("rate_type"), "rate_date",
+        (units.cast("decimal(18,0)") * F.lit(Decimal("0.00000001"))).cast("decimal(15,8)").alias("rate_value"))
+
+
+def transactions_with_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions in their account's currency (NULL when the account or
+    the currency row is missing)."""
+    t = fact_transaction(spark, sf_dir).select("account_sk", "booking_date_sk", "transaction_datetime",
+                                               "amount_txn_ccy")
+    a = dim_account(spark, sf_dir).select(F.col("account_sk").alias("a_sk"), "currency_sk")
+    cur = F.broadcast(dim_currency(spark, sf_dir))
+    return (t.join(a, t["account_sk"] == a["a_sk"], "left").join(cur, "currency_sk", "left")
+            .select("account_sk", "booking_date_sk", F.to_date("transaction_datetime").alias("booking_date"),
+                    "amount_txn_ccy", "currency_code"))
+
+
+def dim_collateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collateral per part: market value = retail price x 100, haircut =
+    size % 40 percent."""
+    p = read_test_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    return p.select(F.col("p_partkey").alias("collateral_sk"),
+                    (_dec("p_retailprice", 20, 2) * 100).cast("decimal(20,2)").alias("market_value"),
+                    (F.col("p_size") % 40).cast("decimal(5,2)").alias("haircut_percentage"))
+
+
+def bridge_loan_collateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (loan = order, collateral = part) pairs; each collateral is
+    allocated evenly over its loans (100 / loans, rounded down to the cent
+    so the shares never exceed 100), with 10 points too much for parts
+    with key % 50 = 0."""
+    li = read_test_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    pairs = li.select(F.col("l_orderkey").alias("account_sk"), F.col("l_partkey").alias("collateral_sk")).distinct()
+    n = pairs.groupBy("collateral_sk").agg(F.count(F.lit(1)).alias("_n"))
+    bp = F.call_function("div", F.lit(10000), F.col("_n"))   # basis points, rounded down
+    pct = bp.cast("decimal(18,0)") * F.lit(Decimal("0.01")) + F.when(
+        F.col("collateral_sk") % 50 == 0, F.lit(10)).otherwise(F.lit(0))
+    return pairs.join(n, "collateral_sk").select("account_sk", "collateral_sk",
+                                                 pct.cast("decimal(5,2)").alias("allocation_percentage"))
+
+
+def bridge_account_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner of each account = order's customer (weight 100); orders with
+    key % 5 = 0 are joint (60 / 40 with customer key + 1), key % 35 = 0
+    planted as 70 / 40; key % 9 = 0 also has a closed former co-owner."""
+    o = read_test_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    k = F.col("o_orderkey")
+    roles = F.array_compact(F.array(F.lit(0), F.when(k % 5 == 0, F.lit(1)), F.when(k % 9 == 0, F.lit(2))))
+    r = F.col("_r")
+    joint = k % 5 == 0
+    weight = (F.when(r == 0, F.when(k % 35 == 0, 70).when(joint, 60).otherwise(100))
+              .when(r == 1, 40).otherwise(50))
+    return o.withColumn("_r", F.explode(roles)).select(
+        k.alias("account_sk"),
+        F.when(r == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + r.cast("bigint")).alias("customer_sk"),
+        F.when(r == 0, F.lit("PRIMARY")).when(r == 1, F.lit("JOINT")).otherwise(F.lit("FORMER")).alias("role_type"),
+        weight.cast("decimal(5,2)").alias("ownership_weight"),
+        (r != 2).alias("is_current"),
+    )
+
+
+# Event types of the test stream mapped onto alert milestones.
+MILESTONE_OF_EVENT = {"signup": "generated", "view": "assigned", "click": "reviewed",
+                      "error": "escalated", "purchase": "closed"}
+
+
+def alert_milestone_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Milestone events: alert = user, milestone from the event type."""
+    e = read_test_table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    m = None
+    for ev, ms in MILESTONE_OF_EVENT.items():
+        m = F.when(F.col("event_type") == ev, F.lit(ms)) if m is None else m.when(F.col("event_type") == ev, F.lit(ms))
+    return e.select(F.col("user_id").alias("alert_id"), m.alias("milestone"), F.col("ts").alias("milestone_ts"))
+
+
+BUILDERS.update({
+    "customer_versions": customer_versions,
+    "customer_type1": customer_type1,
+    "customer_changes": customer_changes,
+    "dated_exchange_rate": dated_exchange_rate,
+    "transactions_with_currency": transactions_with_currency,
+    "dim_collateral": dim_collateral,
+    "bridge_loan_collateral": bridge_loan_collateral,
+    "bridge_account_customer": bridge_account_customer,
+    "alert_milestone_events": alert_milestone_events,
+})
+
+
 # Columns of each bank-shaped frame (checked against the builders in tests);
 # the SQL oracle uses it to generate rule queries without a session.
 VIEW_COLUMNS = {
@@ -371,6 +535,15 @@ VIEW_COLUMNS = {
     'fact_gl_balance': ['period_end_date_sk', 'gl_account_sk', 'branch_sk', 'period_type', 'closing_balance_rcy', 'ytd_balance', 'budget_amount', 'prior_year_balance'],
     'fact_payment_order': ['payment_nk', 'instruction_date_sk', 'debtor_customer_sk', 'debtor_branch_sk', 'currency_sk', 'creditor_country_sk', 'payment_type', 'payment_status', 'sanctions_screening_status', 'payment_amount_rcy', 'charge_amount', 'processing_time_seconds', 'is_cross_border', 'is_stp', 'is_rejected'],
     'fact_aml_alert': ['aml_alert_sk', 'generated_date_sk', 'subject_customer_sk', 'branch_sk', 'aml_rule_sk', 'alert_type', 'alert_severity', 'alert_status', 'generated_by', 'ml_risk_score', 'alert_amount_rcy', 'days_to_assign', 'days_to_close', 'is_false_positive', 'is_sar_filed'],
+    'customer_versions': ['customer_sk', 'customer_nk', 'full_name', 'customer_segment', 'nationality_country_sk', 'effective_from_date', 'effective_to_date', 'is_current_record'],
+    'customer_type1': ['customer_sk', 'customer_nk', 'full_name', 'customer_segment', 'nationality_country_sk'],
+    'customer_changes': ['customer_nk', 'full_name', 'customer_segment', 'nationality_country_sk', 'change_ts'],
+    'dated_exchange_rate': ['from_currency_code', 'to_currency_code', 'rate_type', 'rate_date', 'rate_value'],
+    'transactions_with_currency': ['account_sk', 'booking_date_sk', 'booking_date', 'amount_txn_ccy', 'currency_code'],
+    'dim_collateral': ['collateral_sk', 'market_value', 'haircut_percentage'],
+    'bridge_loan_collateral': ['account_sk', 'collateral_sk', 'allocation_percentage'],
+    'bridge_account_customer': ['account_sk', 'customer_sk', 'role_type', 'ownership_weight', 'is_current'],
+    'alert_milestone_events': ['alert_id', 'milestone', 'milestone_ts'],
 }
 
 
