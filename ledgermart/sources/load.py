@@ -55,14 +55,17 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
     """L2: read ``name`` from ``path`` and conform it to the declared schema.
 
     Parquet is read with its own footer schema, then cast (so column
-    pruning and filter pushdown still reach the scan); CSV and JSON are
-    read as text with the declared column names, then cast."""
+    pruning and filter pushdown still reach the scan); CSV is read as text
+    by header name (no inference pass over the data); JSON is read with
+    the declared names as text fields.  Both are then cast."""
     reader = spark.read.options(**(options or {}))
     if fmt == "parquet":
         raw = reader.parquet(path)
-    elif fmt in ("csv", "json"):
+    elif fmt == "csv":
+        raw = reader.option("header", "true").option("inferSchema", "false").csv(path)
+    elif fmt == "json":
         text_schema = ", ".join(f"`{c.name}` string" for c in S.columns(name))
-        raw = reader.schema(text_schema).format(fmt).load(path)
+        raw = reader.schema(text_schema).json(path)
     else:
         raw = reader.format(fmt).load(path)
     return conform(raw, name)
