@@ -126,10 +126,13 @@ def write_range_partitioned(df: DataFrame, path: str, key: str, ranges, part_col
     Rows are range-partitioned on the key before the write, so every task
     writes a contiguous key slice into a few partition folders and each
     file's row groups carry tight min/max statistics for later skipping;
-    a year is never funnelled into a single task."""
+    a year is never funnelled into a single task.  A seeded random
+    tiebreaker in the range key splits a hot day (one date holding a
+    third of all rows) over several tasks instead of one."""
     out = with_partition_label(df, key, ranges, part_col)
     n = files_per_range * (len(ranges) + 1) if files_per_range else None
-    out = out.repartitionByRange(n, F.col(key)) if n else out.repartitionByRange(F.col(key))
+    order = [F.col(key), F.rand(seed=17)]
+    out = out.repartitionByRange(n, *order) if n else out.repartitionByRange(*order)
     (out.sortWithinPartitions(key).write.mode(mode).partitionBy(part_col).parquet(path))
 
 
@@ -175,10 +178,15 @@ def append_with_keys(new_rows: DataFrame, existing: DataFrame | None, key: str,
     base = (existing.select(F.coalesce(F.max(existing_key or key), F.lit(0)).cast("bigint")).scalar()
             if existing is not None else F.lit(0).cast("bigint"))
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = (new_rows.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by)
+    # the seeded random tiebreaker spreads a hot order value (or duplicate
+    # rows) over several range partitions; the checkpoint below fixes the
+    # resulting order, so recomputation cannot reshuffle the keys
+    tiebreak = F.rand(seed=29)
+    laid = (new_rows.withColumn("__tb", tiebreak)
+            .repartitionByRange(parts, *order_by, "__tb").sortWithinPartitions(*order_by, "__tb")
             .withColumn("__pid", F.spark_partition_id())
             .withColumn("__pos", F.monotonically_increasing_id() - (F.spark_partition_id().cast("bigint") * (1 << 33))))
-    laid = laid.checkpoint(eager=True)
+    laid = laid.drop("__tb").checkpoint(eager=True)
     counts = laid.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     # this window sees one row per partition only (bounded by ``parts``)

@@ -141,7 +141,7 @@ with g as (
 h as (select *, cast(year(pd) as int) as fiscal_year,
              cast(year(last_day(pd - interval 12 month)) * 10000 + month(last_day(pd - interval 12 month)) * 100
                   + day(last_day(pd - interval 12 month)) as int) as prior_key from g)
-select h.gl_account_sk, h.branch_sk, h.period_end_date_sk, h.fiscal_year, h.closing_balance_rcy,
+select h.gl_account_sk, h.branch_sk, cast(h.period_end_date_sk as int) as period_end_date_sk, h.fiscal_year, h.closing_balance_rcy,
        cast(sum(h.closing_balance_rcy) over (partition by h.gl_account_sk, h.branch_sk, h.fiscal_year
             order by h.period_end_date_sk rows between unbounded preceding and current row) as decimal(22,2)) as ytd_balance,
        p.closing_balance_rcy as prior_year_closing,
@@ -154,8 +154,8 @@ from h left join (select gl_account_sk, branch_sk, period_end_date_sk, closing_b
 OPERATORS = {
     "key_high_water": _key_high_water(),
     "partition_layout": f"""
-select {_label('booking_date_sk')} as booking_year, count(*) as rows, min(booking_date_sk) as min_key,
-       max(booking_date_sk) as max_key
+select {_label('booking_date_sk')} as booking_year, count(*) as rows, cast(min(booking_date_sk) as int) as min_key,
+       cast(max(booking_date_sk) as int) as max_key
 from fact_transaction group by 1
 """,
     "pruned_transactions": f"""
