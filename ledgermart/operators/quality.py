@@ -166,32 +166,59 @@ def _key_counts(fact: DataFrame, fk: str) -> DataFrame:
     return fact.groupBy(F.col(fk).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
 
 
-def soft_key_suite(frames: Frames, keys: Iterable[tuple[str, str, str, str]] | None = None) -> DataFrame:
-    """Q8: (table_name, fk_column, dim_table, orphan_rows, null_fk_rows) for
-    every soft foreign key whose table, column and dimension are present."""
-    keys = list(S.soft_foreign_keys() if keys is None else keys)
-    out = None
+def _present_keys(frames: Frames, keys) -> list[tuple[str, str, str, str]]:
+    out = []
     for t, fk, dim, pk in keys:
         try:
             fact, d = frames[t], frames[dim]
         except KeyError:
             continue
-        if fk not in fact.columns or pk not in d.columns:
-            continue
-        counts = _key_counts(fact.select(fk), fk)
-        dk = d.select(F.col(pk).alias("__pk"))
-        missing = counts.join(dk, counts["__k"] == dk["__pk"], "left_anti")
-        row = missing.agg(
-            F.coalesce(F.sum(F.when(F.col("__k").isNotNull(), F.col("__n"))), F.lit(0)).cast("bigint")
-            .alias("orphan_rows"),
-            F.coalesce(F.sum(F.when(F.col("__k").isNull(), F.col("__n"))), F.lit(0)).cast("bigint")
-            .alias("null_fk_rows"),
-        ).select(F.lit(t).alias("table_name"), F.lit(fk).alias("fk_column"), F.lit(dim).alias("dim_table"),
-                 "orphan_rows", "null_fk_rows")
-        out = row if out is None else out.unionByName(row)
+        if fk in fact.columns and pk in d.columns:
+            out.append((t, fk, dim, pk))
     return out
 
 
+def soft_key_suite(frames: Frames, keys: Iterable[tuple[str, str, str, str]] | None = None) -> DataFrame:
+    """Q8: (table_name, fk_column, dim_table, orphan_rows, null_fk_rows) for
+    every soft foreign key whose table, column and dimension are present.
+
+    Each table is scanned once for all its foreign keys: its key columns
+    are unpivoted to (fk, key) pairs and counted per distinct pair
+    (partial aggregation, so a hot key value costs one row per task).  The
+    distinct pairs are anti-joined once with the dimension keys, tagged
+    with the foreign key they serve (an anti join, so a dimension key
+    listed twice does no harm); one shuffle for the whole suite."""
+    keys = _present_keys(frames, list(S.soft_foreign_keys() if keys is None else keys))
+    if not keys:
+        return None
+    by_table: dict[str, list[tuple[int, str]]] = {}
+    for tag, (t, fk, _dim, _pk) in enumerate(keys):
+        by_table.setdefault(t, []).append((tag, fk))
+    pairs = None
+    for t, fks in by_table.items():
+        tagged = F.array(*[F.struct(F.lit(tag).alias("tag"), F.col(fk).cast("bigint").alias("k")) for tag, fk in fks])
+        p = frames[t].select(F.explode(tagged).alias("p")).select("p.tag", "p.k")
+        pairs = p if pairs is None else pairs.unionByName(p)
+    # one row per (key, value) before any join: a hot value is combined map-side
+    counts = pairs.groupBy("tag", "k").agg(F.count(F.lit(1)).alias("n"))
+    dims = None
+    for tag, (_t, _fk, dim, pk) in enumerate(keys):
+        d = frames[dim].select(F.lit(tag).alias("d_tag"), F.col(pk).cast("bigint").alias("d_k"))
+        dims = d if dims is None else dims.unionByName(d)
+    missing = counts.join(dims, (counts["tag"] == dims["d_tag"]) & (counts["k"] == dims["d_k"]), "left_anti")
+    per_fk = missing.groupBy("tag").agg(
+        F.sum(F.when(F.col("k").isNotNull(), F.col("n")).otherwise(0)).cast("bigint").alias("orphan_rows"),
+        F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(0)).cast("bigint").alias("null_fk_rows"))
+    # every checked key gets a row, also when nothing is missing
+    listed = pairs.sparkSession.createDataFrame(
+        [(tag, t, fk, dim) for tag, (t, fk, dim, _pk) in enumerate(keys)],
+        "l_tag int, table_name string, fk_column string, dim_table string")
+    out = listed.join(per_fk, listed["l_tag"] == per_fk["tag"], "left")
+    return out.select("table_name", "fk_column", "dim_table",
+                      F.coalesce("orphan_rows", F.lit(0)).cast("bigint").alias("orphan_rows"),
+                      F.coalesce("null_fk_rows", F.lit(0)).cast("bigint").alias("null_fk_rows"))
+
+
 def quality_profile(frames: Frames, names: Iterable[str] | None = None) -> DataFrame:
     """Column rules of every table present: the union of :func:`column_profile`."""
     out = None
@@ -207,28 +234,57 @@ def quality_profile(frames: Frames, names: Iterable[str] | None = None) -> DataF
 
 def run_suite(frames: Frames, names: Iterable[str] | None = None) -> DataFrame:
     """Q9: every "expected 0" rule in one frame: (rule, table_name, subject,
-    failing_rows, passed)."""
+    failing_rows, passed).
+
+    Per table one aggregate pass yields the row count and every column
+    rule; the foreign keys of all tables share one anti-join (see
+    :func:`soft_key_suite`)."""
     names = list(names or [n for n in S.TABLES])
-    prof = quality_profile(frames, names).select(
-        F.col("rule"), "table_name", F.col("column_name").alias("subject"), "failing_rows")
-    fks = soft_key_suite(frames).select(
-        F.lit("foreign_key").alias("rule"), "table_name",
-        F.concat_ws("->", "fk_column", "dim_table").alias("subject"),
-        F.col("orphan_rows").alias("failing_rows"))
-    rows = row_count_check(frames, {t: m for t, m in S.ROW_MINIMUMS.items() if t in names})
-    counts = rows.select(F.lit("row_count").alias("rule"), "table_name", F.lit("*").alias("subject"),
-                         F.when(F.col("status") == "OK", F.lit(0)).otherwise(F.lit(1)).cast("bigint")
-                         .alias("failing_rows"))
-    dups = []
+    parts = []
+    spark = None
+    for t in names:
+        try:
+            df = frames[t]
+        except KeyError:
+            df = None
+        if df is None:
+            if t in S.ROW_MINIMUMS:
+                parts.append(("missing", t, None))
+            continue
+        spark = df.sparkSession
+        preds = rule_predicates(df, t)
+        counters = [F.sum(F.when(p, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias(f"{r}::{c}")
+                    for c, r, p in preds]
+        one = df.agg(F.count(F.lit(1)).alias("__rows"), *counters)
+        cells = [F.struct(F.lit(r).alias("rule"), F.lit(c).alias("subject"), F.col(f"{r}::{c}").alias("failing_rows"))
+                 for c, r, _ in preds]
+        if t in S.ROW_MINIMUMS:
+            low = F.when(F.col("__rows") >= S.ROW_MINIMUMS[t], F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+            cells.append(F.struct(F.lit("row_count").alias("rule"), F.lit("*").alias("subject"),
+                                  low.alias("failing_rows")))
+        if cells:
+            parts.append(("rows", t, one.select(F.explode(F.array(*cells)).alias("x")).select(
+                "x.rule", F.lit(t).alias("table_name"), "x.subject", "x.failing_rows")))
+    out = None
+    for kind, t, p in parts:
+        if kind == "missing":
+            if spark is None:
+                continue
+            p = spark.range(1).select(F.lit("row_count").alias("rule"), F.lit(t).alias("table_name"),
+                                      F.lit("*").alias("subject"), F.lit(1).cast("bigint").alias("failing_rows"))
+        out = p if out is None else out.unionByName(p)
+    fks = soft_key_suite(frames)
+    if fks is not None:
+        out = out.unionByName(fks.select(
+            F.lit("foreign_key").alias("rule"), "table_name",
+            F.concat_ws("->", "fk_column", "dim_table").alias("subject"),
+            F.col("orphan_rows").alias("failing_rows")))
     for t, key in S.UNIQUE_KEYS.items():
         if t in names and key in _columns(frames, t):
-            dups.append(unique_key_check(frames[t], key).agg(
+            out = out.unionByName(unique_key_check(frames[t], key).agg(
                 F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("failing_rows"))
                 .select(F.lit("unique").alias("rule"), F.lit(t).alias("table_name"),
                         F.lit(key).alias("subject"), "failing_rows"))
-    out = prof.unionByName(fks).unionByName(counts)
-    for d in dups:
-        out = out.unionByName(d)
     return out.withColumn("passed", F.col("failing_rows") == 0)
 
 
