@@ -218,25 +218,47 @@ def key_high_water(frames: Mapping[str, DataFrame], names: Iterable[str] | None
 
 def collect_statistics(df: DataFrame, table: str = "", exact_distinct: bool = False) -> DataFrame:
     """(table_name, column_name, row_count, null_count, min_value,
-    max_value, distinct_count) in one aggregate pass.  Distinct counts are
-    HyperLogLog estimates by default (exact on request: one shuffle per
-    column, use on dimensions only)."""
+    max_value, distinct_count).
+
+    Counts, NULLs, minima and maxima come from one aggregate pass.
+    Distinct counts are HyperLogLog estimates in the same pass by default.
+    ``exact_distinct`` counts them exactly without one expansion per column:
+    every cell becomes a (column, value) pair, pairs are de-duplicated with
+    partial aggregation and counted per column, so one shuffle serves all
+    columns.  Floating-point values are normalised (-0.0 = 0.0) first."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in df.columns:
         col = F.col(c)
         aggs += [F.sum(F.when(col.isNull(), 1).otherwise(0)).cast("bigint").alias(f"{c}__nulls"),
                  F.min(col).cast("string").alias(f"{c}__min"),
-                 F.max(col).cast("string").alias(f"{c}__max"),
-                 (F.countDistinct(col) if exact_distinct else F.approx_count_distinct(col)).cast("bigint")
-                 .alias(f"{c}__ndv")]
+                 F.max(col).cast("string").alias(f"{c}__max")]
+        if not exact_distinct:
+            aggs.append(F.approx_count_distinct(col).cast("bigint").alias(f"{c}__ndv"))
     one = df.agg(*aggs)
     stacked = one.select("__rows", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__nulls").alias("null_count"),
                  F.col(f"{c}__min").alias("min_value"), F.col(f"{c}__max").alias("max_value"),
-                 F.col(f"{c}__ndv").alias("distinct_count")) for c in df.columns])).alias("s"))
-    return stacked.select(F.lit(table).alias("table_name"), "s.column_name",
-                          F.col("__rows").cast("bigint").alias("row_count"),
-                          "s.null_count", "s.min_value", "s.max_value", "s.distinct_count")
+                 (F.lit(None).cast("bigint") if exact_distinct else F.col(f"{c}__ndv")).alias("distinct_count"))
+        for c in df.columns])).alias("s"))
+    out = stacked.select(F.lit(table).alias("table_name"), "s.column_name",
+                         F.col("__rows").cast("bigint").alias("row_count"),
+                         "s.null_count", "s.min_value", "s.max_value", "s.distinct_count")
+    if not exact_distinct:
+        return out
+    floating = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+
+    def cell(c: str) -> Column:
+        v = F.col(c)
+        if c in floating:
+            v = F.when(v == 0, F.lit(0.0)).otherwise(v)
+        return F.struct(F.lit(c).alias("c"), v.cast("string").alias("v"))
+
+    cells = df.select(F.explode(F.array(*[cell(c) for c in df.columns])).alias("x")).select("x.c", "x.v") \
+        .filter(F.col("v").isNotNull())
+    ndv = cells.distinct().groupBy("c").agg(F.count(F.lit(1)).alias("__ndv"))
+    j = out.drop("distinct_count").join(ndv, out["column_name"] == ndv["c"], "left")
+    return j.select("table_name", "column_name", "row_count", "null_count", "min_value", "max_value",
+                    F.coalesce("__ndv", F.lit(0)).cast("bigint").alias("distinct_count"))
 
 
 def analyze_table(spark: SparkSession, table: str) -> None:
