@@ -83,3 +83,24 @@ def test_statistics_and_analyze(spark, tmp_path):
     load.analyze_table(spark, "stats_t")
     desc = spark.sql("describe table extended stats_t").filter("col_name = 'Statistics'").first()
     assert desc is not None and "3 rows" in desc.data_type
+
+
+def test_bucketed_fact_and_dimension_join_without_exchange(spark, tmp_path):
+    from ledgermart.sources.testviews import dim_customer, fact_loan_daily_snapshot
+    loans = fact_loan_daily_snapshot(spark, "/root/testdata/sf0.001")
+    cust = dim_customer(spark, "/root/testdata/sf0.001").filter("is_current_record")
+    load.write_bucketed(loans, "b_loans", ["customer_sk"], 8, str(tmp_path / "b_loans"))
+    load.write_bucketed(cust, "b_customers", ["customer_sk"], 8, str(tmp_path / "b_customers"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("b_loans").join(spark.table("b_customers").select("customer_sk", "customer_segment"),
+                                        "customer_sk")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        want = loans.join(cust.select("customer_sk", "customer_segment"), "customer_sk")
+        assert j.count() == want.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old)
