@@ -126,12 +126,12 @@ def to_reporting_ccy(facts: DataFrame, rates: DataFrame, amount: str, ccy: str,
 
 # ------------------------------------------------------------------ D3
 
-def balance_snapshot(transactions: DataFrame, account: str = "account_sk", ts: str = "transaction_datetime",
+def balance_activity(transactions: DataFrame, account: str = "account_sk", ts: str = "transaction_datetime",
                      amount: str = "amount_txn_ccy", is_credit: str = "is_credit") -> DataFrame:
-    """D3: one row per account and activity day: the day's credits, debits
-    and count, closing balance (running sum of credits minus debits;
-    reversals keep their sign), days since the previous activity day, and
-    ``is_overdrawn`` (balance below zero).
+    """D3, activity form: one row per account and activity day: the day's
+    credits, debits and count, closing balance (running sum of credits
+    minus debits; reversals keep their sign), days since the previous
+    activity day, and ``is_overdrawn`` (balance below zero).
 
     Transactions are first summed per (account, day) with partial
     aggregation; the running window then sees at most one row per day per
@@ -150,10 +150,45 @@ def balance_snapshot(transactions: DataFrame, account: str = "account_sk", ts: s
         "account_sk", date_key(F.col("snapshot_date")).alias("snapshot_date_sk"), "snapshot_date",
         "credit_amount_day", "debit_amount_day", "transaction_count_day",
         bal.alias("current_balance"),
-        F.datediff("snapshot_date", F.lag("snapshot_date").over(w)).alias("days_since_last_txn"),
+        F.datediff("snapshot_date", F.lag("snapshot_date").over(w)).alias("days_since_previous_txn"),
     ).withColumn("is_overdrawn", F.col("current_balance") < 0)
 
 
+def balance_snapshot(transactions: DataFrame, dates: DataFrame, date_col: str = "full_date",
+                     **columns) -> DataFrame:
+    """D3, periodic form: for every account and every date of ``dates`` from
+    the account's first activity on, the last balance at or before that
+    date, that day's credits, debits and count (0 without activity), days
+    since the last activity and ``is_overdrawn``.
+
+    Each activity row covers the days up to the next activity.  Those
+    intervals are expanded to the calendar months they touch and joined
+    with the snapshot dates on the month (the dates are bounded by the
+    calendar and broadcast), then filtered to the interval: every output
+    row is produced once, with no range join and no all-pairs step."""
+    act = balance_activity(transactions, **columns)
+    w = Window.partitionBy("account_sk").orderBy("snapshot_date")
+    d = dates.select(F.col(date_col).cast("date").alias("__d")).distinct()
+    last = d.select(F.max("__d")).scalar()
+    iv = act.withColumn("__end", F.coalesce(F.date_sub(F.lead("snapshot_date").over(w), 1), last)) \
+        .filter(F.col("snapshot_date") <= F.col("__end"))
+    iv = iv.withColumn("__m", F.explode(F.sequence(F.trunc("snapshot_date", "month"), F.trunc("__end", "month"),
+                                                   F.expr("INTERVAL 1 MONTH"))))
+    dm = F.broadcast(d.withColumn("__dm", F.trunc("__d", "month")))
+    j = iv.join(dm, iv["__m"] == dm["__dm"]).filter(
+        (F.col("__d") >= F.col("snapshot_date")) & (F.col("__d") <= F.col("__end")))
+    same = F.col("__d") == F.col("snapshot_date")
+    zero = F.lit(0).cast("decimal(20,2)")
+    return j.select(
+        "account_sk", date_key(F.col("__d")).alias("snapshot_date_sk"), F.col("__d").alias("snapshot_date"),
+        F.when(same, F.col("credit_amount_day")).otherwise(zero).alias("credit_amount_day"),
+        F.when(same, F.col("debit_amount_day")).otherwise(zero).alias("debit_amount_day"),
+        F.when(same, F.col("transaction_count_day")).otherwise(F.lit(0)).alias("transaction_count_day"),
+        "current_balance",
+        F.datediff(F.col("__d"), F.col("snapshot_date")).alias("days_since_last_txn"),
+        "is_overdrawn")
+
+
 # ------------------------------------------------------------------ D4
 
 def past_due_bucket(days: Column | str) -> Column:

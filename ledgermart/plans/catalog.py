@@ -109,7 +109,13 @@ def reporting_currency_amounts(f):
 
 
 def balance_snapshots(f):
-    return derive.balance_snapshot(f["fact_transaction"])
+    return derive.balance_activity(f["fact_transaction"])
+
+
+def month_end_balances(f):
+    d = f["dim_date"]
+    month_ends = d.filter(F.col("full_date") == F.last_day("full_date"))
+    return derive.balance_snapshot(f["fact_transaction"], month_ends)
 
 
 def past_due_buckets(f):
@@ -215,6 +221,7 @@ QUERIES.update({name: _on_frames(fn) for name, fn in {
     "dim_date_generated": dim_date_generated,
     "reporting_currency_amounts": reporting_currency_amounts,
     "balance_snapshots": balance_snapshots,
+    "month_end_balances": month_end_balances,
     "past_due_buckets": past_due_buckets,
     "expected_loss_check": expected_loss_check,
     "loan_to_value": loan_to_value_ratios,

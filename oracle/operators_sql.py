@@ -193,9 +193,31 @@ b as (
          snapshot_date, credit_amount_day, debit_amount_day, transaction_count_day,
          cast(sum(credit_amount_day - debit_amount_day) over (partition by account_sk order by snapshot_date
               rows between unbounded preceding and current row) as decimal(20,2)) as current_balance,
-         cast(datediff('day', lag(snapshot_date) over (partition by account_sk order by snapshot_date), snapshot_date) as int) as days_since_last_txn
+         cast(datediff('day', lag(snapshot_date) over (partition by account_sk order by snapshot_date), snapshot_date) as int) as days_since_previous_txn
   from daily)
 select *, current_balance < 0 as is_overdrawn from b
+""",
+    "month_end_balances": """
+with daily as (
+  select account_sk, cast(transaction_datetime as date) as snapshot_date,
+         cast(sum(case when is_credit then amount_txn_ccy else 0 end) as decimal(20,2)) as credit_amount_day,
+         cast(sum(case when is_credit then 0 else amount_txn_ccy end) as decimal(20,2)) as debit_amount_day,
+         cast(count(*) as int) as transaction_count_day
+  from fact_transaction group by 1, 2),
+iv as (
+  select *, cast(sum(credit_amount_day - debit_amount_day) over (partition by account_sk order by snapshot_date
+              rows between unbounded preceding and current row) as decimal(20,2)) as current_balance,
+         lead(snapshot_date) over (partition by account_sk order by snapshot_date) as next_day
+  from daily),
+me as (select distinct full_date as d from dim_date where full_date = last_day(full_date))
+select iv.account_sk, cast(year(me.d) * 10000 + month(me.d) * 100 + day(me.d) as int) as snapshot_date_sk,
+       me.d as snapshot_date,
+       case when me.d = iv.snapshot_date then iv.credit_amount_day else cast(0 as decimal(20,2)) end as credit_amount_day,
+       case when me.d = iv.snapshot_date then iv.debit_amount_day else cast(0 as decimal(20,2)) end as debit_amount_day,
+       case when me.d = iv.snapshot_date then iv.transaction_count_day else 0 end as transaction_count_day,
+       iv.current_balance, cast(datediff('day', iv.snapshot_date, me.d) as int) as days_since_last_txn,
+       iv.current_balance < 0 as is_overdrawn
+from iv join me on me.d >= iv.snapshot_date and (iv.next_day is null or me.d < iv.next_day)
 """,
     "past_due_buckets": """
 select case when d is null then null when d <= 0 then '0' when d <= 30 then '1-30' when d <= 60 then '31-60'
