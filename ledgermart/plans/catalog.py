@@ -206,6 +206,20 @@ def alert_milestones(f):
     return history.accumulate_alerts(None, f["alert_milestone_events"])
 
 
+def alert_milestone_calendar(f):
+    """J5 with one alias per milestone: the accumulating alert snapshot
+    joined to the date dimension once per milestone role."""
+    from ledgermart.functions.keys import date_key
+    from ledgermart.operators.joins import join_dim
+    snap = history.accumulate_alerts(None, f["alert_milestone_events"])
+    out = snap.select("alert_id", *[date_key(F.col(f"{m}_date")).alias(f"{m}_date_sk") for m in history.MILESTONES])
+    for m in history.MILESTONES:
+        out = join_dim(out, f["dim_date"], f"{m}_date_sk", "date_sk",
+                       {"month_name": f"{m}_month_name", "fiscal_quarter": f"{m}_fiscal_quarter"},
+                       how="left", name="dim_date")
+    return out
+
+
 def orders_customer_version(f):
     o = f["orders"].select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("order_date"))
     return history.late_facts(o, f["customer_versions"], "o_custkey", "customer_nk", "order_date",
@@ -239,4 +253,5 @@ QUERIES.update({name: _on_frames(fn) for name, fn in {
     "customers_as_of": customers_as_of,
     "alert_milestones": alert_milestones,
     "orders_customer_version": orders_customer_version,
+    "alert_milestone_calendar": alert_milestone_calendar,
 }.items()})

@@ -296,6 +296,29 @@ select alert_id, {', '.join(f'{m}_date' for m in _MILESTONES)},
             when reviewed_date is not null then 'UNDER_REVIEW' when assigned_date is not null then 'ASSIGNED'
             else 'OPEN' end as alert_status
 from s
+""",
+    "alert_milestone_calendar": f"""
+with s as ({_ALERTS})
+select s.alert_id,
+       cast(year(s.generated_date) * 10000 + month(s.generated_date) * 100 + day(s.generated_date) as int) as generated_date_sk,
+       cast(year(s.assigned_date) * 10000 + month(s.assigned_date) * 100 + day(s.assigned_date) as int) as assigned_date_sk,
+       cast(year(s.reviewed_date) * 10000 + month(s.reviewed_date) * 100 + day(s.reviewed_date) as int) as reviewed_date_sk,
+       cast(year(s.escalated_date) * 10000 + month(s.escalated_date) * 100 + day(s.escalated_date) as int) as escalated_date_sk,
+       cast(year(s.closed_date) * 10000 + month(s.closed_date) * 100 + day(s.closed_date) as int) as closed_date_sk,
+       cast(year(s.sar_filed_date) * 10000 + month(s.sar_filed_date) * 100 + day(s.sar_filed_date) as int) as sar_filed_date_sk,
+       d_generated.month_name as generated_month_name, d_generated.fiscal_quarter as generated_fiscal_quarter,
+       d_assigned.month_name as assigned_month_name, d_assigned.fiscal_quarter as assigned_fiscal_quarter,
+       d_reviewed.month_name as reviewed_month_name, d_reviewed.fiscal_quarter as reviewed_fiscal_quarter,
+       d_escalated.month_name as escalated_month_name, d_escalated.fiscal_quarter as escalated_fiscal_quarter,
+       d_closed.month_name as closed_month_name, d_closed.fiscal_quarter as closed_fiscal_quarter,
+       d_sar_filed.month_name as sar_filed_month_name, d_sar_filed.fiscal_quarter as sar_filed_fiscal_quarter
+from s
+left join dim_date d_generated on d_generated.date_sk = year(s.generated_date) * 10000 + month(s.generated_date) * 100 + day(s.generated_date)
+left join dim_date d_assigned on d_assigned.date_sk = year(s.assigned_date) * 10000 + month(s.assigned_date) * 100 + day(s.assigned_date)
+left join dim_date d_reviewed on d_reviewed.date_sk = year(s.reviewed_date) * 10000 + month(s.reviewed_date) * 100 + day(s.reviewed_date)
+left join dim_date d_escalated on d_escalated.date_sk = year(s.escalated_date) * 10000 + month(s.escalated_date) * 100 + day(s.escalated_date)
+left join dim_date d_closed on d_closed.date_sk = year(s.closed_date) * 10000 + month(s.closed_date) * 100 + day(s.closed_date)
+left join dim_date d_sar_filed on d_sar_filed.date_sk = year(s.sar_filed_date) * 10000 + month(s.sar_filed_date) * 100 + day(s.sar_filed_date)
 """,
     "orders_customer_version": """
 select o.o_orderkey, o.o_custkey, cast(o.o_orderdate as date) as order_date, v.customer_sk as customer_version_sk
