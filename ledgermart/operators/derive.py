@@ -281,6 +281,16 @@ def ownership_weight_check(bridge: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ D9
 
+def gl_closing(opening: Column | str, debits: Column | str, credits: Column | str,
+               normal_side: Column | str) -> Column:
+    """Closing balance by the account's normal side: a DEBIT-normal
+    account (assets, expenses) grows with debits, a CREDIT-normal one
+    (liabilities, equity, income) with credits.  NULL movements count 0."""
+    o, d, c = (F.coalesce(_c(x), F.lit(0)) for x in (opening, debits, credits))
+    side = _c(normal_side)
+    return F.when(side == "DEBIT", o + d - c).when(side == "CREDIT", o + c - d)
+
+
 def gl_roll_forward(gl: DataFrame, fiscal_start_month: int = 1) -> DataFrame:
     """Per ledger account, branch and monthly period: the month's
     closing balance, the year-to-date running sum within the fiscal year,

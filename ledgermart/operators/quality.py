@@ -58,7 +58,7 @@ def column_profile(df: DataFrame, name: str) -> DataFrame:
     if not preds:
         return df.sparkSession.createDataFrame(
             [], "table_name string, column_name string, rule string, failing_rows bigint")
-    counters = [F.sum(F.when(p, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias(f"{c}::{r}")
+    counters = [F.count(F.when(p, F.lit(1))).cast("bigint").alias(f"{c}::{r}")
                 for c, r, p in preds]
     one = df.agg(*counters)
     long = one.unpivot([], [f"{c}::{r}" for c, r, _ in preds], "check", "failing_rows")
@@ -253,7 +253,7 @@ def run_suite(frames: Frames, names: Iterable[str] | None = None) -> DataFrame:
             continue
         spark = df.sparkSession
         preds = rule_predicates(df, t)
-        counters = [F.sum(F.when(p, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias(f"{r}::{c}")
+        counters = [F.count(F.when(p, F.lit(1))).cast("bigint").alias(f"{r}::{c}")
                     for c, r, p in preds]
         one = df.agg(F.count(F.lit(1)).alias("__rows"), *counters)
         cells = [F.struct(F.lit(r).alias("rule"), F.lit(c).alias("subject"), F.col(f"{r}::{c}").alias("failing_rows"))
@@ -308,8 +308,8 @@ def validation_summary(frames: Frames, names: Iterable[str] | None = None) -> Da
         bad = F.lit(False)
         for p in preds:
             bad = bad | p
-        row = df.agg(F.sum(F.when(bad, 0).otherwise(1)).cast("bigint").alias("good_rows"),
-                     F.sum(F.when(bad, 1).otherwise(0)).cast("bigint").alias("rejected_rows")) \
+        row = df.agg(F.count(F.when(~bad, F.lit(1))).cast("bigint").alias("good_rows"),
+                     F.count(F.when(bad, F.lit(1))).cast("bigint").alias("rejected_rows")) \
             .select(F.lit(t).alias("table_name"), "good_rows", "rejected_rows")
         out = row if out is None else out.unionByName(row)
     return out

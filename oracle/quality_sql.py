@@ -39,7 +39,7 @@ def quality_profile_sql() -> str:
             continue
         for col, rule, pred in _rules(t):
             parts.append(f"select {_q(t)} as table_name, {_q(col)} as column_name, {_q(rule)} as rule, "
-                         f"cast(sum(case when {pred} then 1 else 0 end) as bigint) as failing_rows from {t}")
+                         f"cast(count(case when {pred} then 1 end) as bigint) as failing_rows from {t}")
     return "\nunion all\n".join(parts)
 
 
@@ -99,8 +99,8 @@ def split_valid_sql() -> str:
         preds = [p for _, _, p in _rules(t)]
         bad = " or ".join(f"({p})" for p in preds) if preds else "false"
         parts.append(f"select {_q(t)} as table_name, "
-                     f"cast(sum(case when {bad} then 0 else 1 end) as bigint) as good_rows, "
-                     f"cast(sum(case when {bad} then 1 else 0 end) as bigint) as rejected_rows from {t}")
+                     f"cast(count(case when not ({bad}) then 1 end) as bigint) as good_rows, "
+                     f"cast(count(case when {bad} then 1 end) as bigint) as rejected_rows from {t}")
     return "\nunion all\n".join(parts)
 
 
