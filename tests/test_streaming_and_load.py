@@ -104,3 +104,25 @@ def test_bucketed_fact_and_dimension_join_without_exchange(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old)
+
+
+def test_load_job_end_to_end(spark, frames, tmp_path):
+    from ledgermart.plans import warehouse
+    from ledgermart.sources import schemas as S
+    out = warehouse.load_warehouse(frames, str(tmp_path / "dw"), 1996, 1999, load_date="2024-01-01")
+    rows = out["rows"]
+    assert rows["fact_transaction"] == frames["fact_transaction"].count()
+    assert all(v == 0 for v in out["rejected"].values())
+    t = load.read_current(spark, str(tmp_path / "dw"), "fact_transaction")
+    assert set(t.columns) >= {c.name for c in S.columns("fact_transaction")} | {"booking_year"}
+    r = t.agg(F.min("transaction_sk"), F.max("transaction_sk"), F.countDistinct("transaction_sk")).first()
+    assert tuple(r) == (1, rows["fact_transaction"], rows["fact_transaction"])       # dense generated keys
+    assert t.filter("fraud_flag is null or fraud_flag").count() == 0          # declared default FALSE
+    assert t.filter("fx_rate_applied = 1").count() == t.count()              # declared default 1.000000
+    c = load.read_current(spark, str(tmp_path / "dw"), "dim_customer").first()
+    assert c.dw_source_system == "CBS" and c.effective_from_date == dt.date(2024, 1, 1)
+    nk = {r.table_name: r.next_key for r in out["next_keys"].collect()}
+    assert nk["fact_transaction"] == rows["fact_transaction"] + 1
+    status = {r.table_name: r.status for r in out["verification"].collect()}
+    assert status["dim_employee"] == "ERROR"
+    assert status["fact_transaction"] == ("OK" if rows["fact_transaction"] >= 10000 else "LOW")
