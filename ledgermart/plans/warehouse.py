@@ -45,9 +45,7 @@ def prepare(frames: Mapping[str, DataFrame], load_date: str, load_ts: str,
         ok, bad = split_valid(typed, t, strict=strict)
         key = S.key_column(t)
         if key and key not in ok.columns:
-            present = ok.columns
-            order = [c for c in present if c.endswith("date_sk")][:1] + [c for c in present[:2]]
-            ok = load.append_with_keys(ok, None, key, list(dict.fromkeys(order)))
+            ok = load.append_with_keys(ok, None, key)        # arrival order, no shuffle
         good[t], rejected[t] = load.conform(ok, t), bad   # declared order, absent columns as NULL
     return good, rejected
 

@@ -97,3 +97,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # a core setting may be read-only at run time; the context has it
         pass
     return local
+
+
+def materialize(df, label: str = "stage"):
+    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
+    folder and reading it back.  Columnar and compressed, so cheaper than
+    an RDD checkpoint of wide rows; the files are durable, so a lost
+    executor never forces a recomputation of what was written."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ledgermart/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

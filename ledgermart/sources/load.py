@@ -14,7 +14,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgermart.session import checkpoint_dir
+from ledgermart.session import checkpoint_dir, materialize
 from ledgermart.sources import schemas as S
 
 # ------------------------------------------------------------------- read
@@ -161,35 +161,41 @@ def _covered(lo_key: int, hi_key: int, ranges) -> bool:
 # --------------------------------------------------------------- keys
 
 def append_with_keys(new_rows: DataFrame, existing: DataFrame | None, key: str,
-                     order_by: Sequence[str], num_partitions: int | None = None,
+                     order_by: Sequence[str] | None = None, num_partitions: int | None = None,
                      existing_key: str | None = None) -> DataFrame:
     """Give ``new_rows`` dense surrogate keys continuing after the
-    highest key in ``existing`` (1 when empty), in ``order_by`` order.
-
-    No single-partition window: rows are range-partitioned on the order,
-    sorted inside each partition and tagged with their partition id and
-    position; that layout is checkpointed (reliably, in the shared
-    checkpoint folder) so both passes see the same one and a lost executor
-    recomputes nothing inconsistent.  The per-partition counts (one row
-    per partition) give running offsets, joined back by broadcast."""
+    highest key in ``existing`` (1 when empty).
+
+    With ``order_by`` the keys follow that order: rows are range-partitioned
+    on it (a seeded random tiebreaker spreads a hot value over several
+    partitions) and sorted inside each partition.  Without it the keys
+    follow the rows' current layout, as a sequence hands out numbers in
+    arrival order, and no shuffle is needed.
+
+    No single-partition window over the data: each row is tagged with its
+    partition id and position, and the tagged rows are written as Parquet to
+    the shared checkpoint folder (``session.materialize``), so every later
+    pass reads the same tags and a lost executor recomputes nothing
+    inconsistent; the per-partition counts (one row per partition) give
+    running offsets, joined back by broadcast."""
     spark = new_rows.sparkSession
     checkpoint_dir(spark)
     # highest existing key: an uncorrelated scalar subquery, evaluated once
     base = (existing.select(F.coalesce(F.max(existing_key or key), F.lit(0)).cast("bigint")).scalar()
             if existing is not None else F.lit(0).cast("bigint"))
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the seeded random tiebreaker spreads a hot order value (or duplicate
-    # rows) over several range partitions; the checkpoint below fixes the
-    # resulting order, so recomputation cannot reshuffle the keys
-    tiebreak = F.rand(seed=29)
-    laid = (new_rows.withColumn("__tb", tiebreak)
-            .repartitionByRange(parts, *order_by, "__tb").sortWithinPartitions(*order_by, "__tb")
-            .withColumn("__pid", F.spark_partition_id())
+    laid = new_rows
+    if order_by:
+        parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        laid = (laid.withColumn("__tb", F.rand(seed=29))
+                .repartitionByRange(parts, *order_by, "__tb").sortWithinPartitions(*order_by, "__tb"))
+    laid = (laid.withColumn("__pid", F.spark_partition_id())
             .withColumn("__pos", F.monotonically_increasing_id() - (F.spark_partition_id().cast("bigint") * (1 << 33))))
-    laid = laid.drop("__tb").checkpoint(eager=True)
+    if order_by:
+        laid = laid.drop("__tb")
+    laid = materialize(laid, "keys")
     counts = laid.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    # this window sees one row per partition only (bounded by ``parts``)
+    # this window sees one row per partition only (bounded by the partition count)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).select("__pid", "__off")
     keyed = laid.join(F.broadcast(offsets), "__pid")
     return keyed.withColumn(key, base + F.col("__off") + F.col("__pos") + 1).drop("__pid", "__pos", "__off")
