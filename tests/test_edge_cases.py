@@ -431,3 +431,29 @@ def test_l11_dictionary(spark):
     assert pii == ["date_of_birth", "first_name", "full_name", "last_name"]
     assert len(S.TABLES) == 22
     assert S.table_schema("fact_transaction")["booking_date_sk"].metadata["not_null"] is True
+
+
+# ------------------------------------------------------------------ J6, H4, broadcast check
+
+def test_latest_only_uses_the_global_maximum(spark):
+    b = df(spark, [(1, 20240131), (1, 20240229), (2, 20240131)], "account_sk long, snapshot_date_sk int")
+    got = sorted(tuple(r) for r in joins.latest_only(b, "snapshot_date_sk").collect())
+    assert got == [(1, 20240229)]                 # account 2 has no row on the global latest day
+
+
+def test_current_and_as_of_views(spark):
+    dim = df(spark, [(1, "a", dt.date(2020, 1, 1), dt.date(2021, 1, 1), False),
+                     (1, "b", dt.date(2021, 1, 1), None, True), (2, "c", dt.date(2020, 1, 1), None, None)],
+             "nk long, v string, effective_from_date date, effective_to_date date, is_current_record boolean")
+    assert sorted(r.v for r in history.current_view(dim).collect()) == ["b"]     # NULL flag is not current
+    assert sorted(r.v for r in history.as_of_view(dim, "2020-12-31").collect()) == ["a", "c"]
+    assert sorted(r.v for r in history.as_of_view(dim, "2021-01-01").collect()) == ["b", "c"]
+
+
+def test_sized_broadcast_checks_the_count(spark):
+    small = spark.range(10)
+    big = spark.range(1000)
+    j_small = spark.range(100).join(joins.sized_broadcast(small, max_rows=100), "id")
+    j_big = spark.range(100).join(joins.sized_broadcast(big, max_rows=100), "id")
+    assert "BroadcastHashJoin" in j_small._jdf.queryExecution().executedPlan().toString()
+    assert j_big.count() == 100 and j_small.count() == 10
