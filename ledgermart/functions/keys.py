@@ -13,7 +13,7 @@ def date_key(d: Column) -> Column:
 
 def key_to_date(k: Column) -> Column:
     """Inverse of :func:`date_key`; NULL for a key that is not a calendar day."""
-    return F.try_to_date(k.cast("string"), F.lit("yyyyMMdd"))
+    return F.try_to_date(k.cast("string"), "yyyyMMdd")
 
 
 def key_year(k: Column) -> Column:

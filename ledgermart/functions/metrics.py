@@ -46,23 +46,12 @@ def cond_count(pred: Column) -> Column:
     return F.sum(F.when(pred, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
-def round_half_up(x: Column, places: int) -> Column:
-    """``ROUND(x, n)`` (half away from zero, as PostgreSQL numeric)."""
-    return F.round(x, places)
-
-
 def safe_pct(numerator: Column, denominator: Column, places: int = 2) -> Column:
     """``ROUND(100.0 * n / NULLIF(d, 0), places)`` as ``decimal(18, places)``."""
     ratio = (F.lit(100.0) * numerator.cast("double")) / F.nullif(denominator.cast("double"), F.lit(0.0))
     return F.round(ratio, places).cast(f"decimal(18,{places})")
 
 
-def safe_ratio(numerator: Column, denominator: Column, places: int = 4) -> Column:
-    """``ROUND(n / NULLIF(d, 0), places)`` as ``decimal(18, places)``."""
-    ratio = numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))
-    return F.round(ratio, places).cast(f"decimal(18,{places})")
-
-
 def count_pct(k: Column, n: Column, places: int = 2) -> Column:
     """``ROUND(100.0 * k / NULLIF(n, 0), places)`` for non-negative counts,
     exactly: integer half-up rounding ``(2*10^(p+2)*k + n) div 2n``, so no

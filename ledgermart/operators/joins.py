@@ -196,9 +196,3 @@ def bridge_allocate(fact: DataFrame, bridge: DataFrame, fact_key: str, bridge_ke
     b = bridge.select(F.col(bridge_key).alias("__bk"), F.col(other_key), F.col(weight).alias("__w"))
     j = fact.join(b, fact[fact_key] == b["__bk"])
     return j.withColumn(out, (F.col(amount) * F.col("__w") / F.lit(100)).cast("decimal(38,6)")).drop("__bk", "__w")
-
-
-def where(df: DataFrame, *conds: Column) -> DataFrame:
-    for c in conds:
-        df = df.filter(c)
-    return df

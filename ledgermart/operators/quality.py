@@ -162,10 +162,6 @@ def orphan_check(fact: DataFrame, dim: DataFrame, fk: str, pk: str) -> DataFrame
     return missing.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("orphan_rows"))
 
 
-def _key_counts(fact: DataFrame, fk: str) -> DataFrame:
-    return fact.groupBy(F.col(fk).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
-
-
 def _present_keys(frames: Frames, keys) -> list[tuple[str, str, str, str]]:
     out = []
     for t, fk, dim, pk in keys:

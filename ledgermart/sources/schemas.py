@@ -574,10 +574,6 @@ HISTORY = {
 LOAD_ORDER = list(TABLES)
 
 
-def table_names() -> list[str]:
-    return list(TABLES)
-
-
 def columns(name: str) -> list[Col]:
     return TABLES[name][1]
 

@@ -457,3 +457,23 @@ def test_sized_broadcast_checks_the_count(spark):
     j_big = spark.range(100).join(joins.sized_broadcast(big, max_rows=100), "id")
     assert "BroadcastHashJoin" in j_small._jdf.queryExecution().executedPlan().toString()
     assert j_big.count() == 100 and j_small.count() == 10
+
+
+def test_anti_semi_project_and_single_rule_checks(spark):
+    facts = df(spark, [(1,), (2,), (None,)], "k long")
+    dim = df(spark, [(1, "x")], "k long, name string")
+    assert sorted((r.k is None, r.k) for r in joins.anti_join(facts, dim, "k", "k").collect()) == \
+        [(False, 2), (True, None)]
+    assert [r.k for r in joins.semi_join(facts, dim, "k", "k").collect()] == [1]
+    assert joins.project(dim, {"k": "nationality_sk", "name": "nationality"}).columns == ["nationality_sk", "nationality"]
+    raw = df(spark, [("USA", "x" * 101, "PURPLE")], "country_code string, country_name string, aml_risk_rating string")
+    assert [r.failing_rows for r in quality.domain_check(raw, "country").collect()] == [1]
+    fit = {r.column_name: r.failing_rows for r in quality.fit_check(raw, "country").collect()}
+    assert fit["country_name"] == 1 and fit["country_code"] == 0
+
+
+def test_date_key_helpers(spark):
+    from ledgermart.functions.keys import key_to_date, key_year
+    t = df(spark, [(20240229,), (20230229,)], "k int")
+    got = [(r.d, r.y) for r in t.select(key_to_date(F.col("k")).alias("d"), key_year(F.col("k")).alias("y")).collect()]
+    assert got == [(dt.date(2024, 2, 29), 2024), (None, 2023)]
