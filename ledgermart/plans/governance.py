@@ -44,7 +44,9 @@ def ifrs9_portfolio(frames: Frames, snapshot_date=None) -> DataFrame:
     and past-due bucket on one snapshot date (default: the latest)."""
     when = latest_loan_snapshot_date(frames) if snapshot_date is None else F.lit(snapshot_date).cast("date")
     dates = frames["dim_date"].filter(F.col("full_date") == when)
-    x = join_dim(frames["fact_loan_daily_snapshot"], dates, "snapshot_date_sk", "date_sk", {}, name="dim_date")
+    loans = frames["fact_loan_daily_snapshot"].select(
+        "snapshot_date_sk", "ifrs9_stage", "dpd_bucket", "total_outstanding_rcy", "ecl_pd")
+    x = join_dim(loans, dates, "snapshot_date_sk", "date_sk", {}, name="dim_date")
     return (x.groupBy("ifrs9_stage", "dpd_bucket")
             .agg(F.count(F.lit(1)).alias("loans"),
                  dec_sum("total_outstanding_rcy").alias("exposure_usd"),
@@ -55,7 +57,8 @@ def ifrs9_portfolio(frames: Frames, snapshot_date=None) -> DataFrame:
 def false_positive_rate_by_rule(frames: Frames) -> DataFrame:
     """V4: alerts and false-positive percent (1 place) per rule, highest first.
     Inner join: alerts of an unknown rule are not counted."""
-    x = join_dim(frames["fact_aml_alert"], frames["dim_aml_rule"], "aml_rule_sk", "aml_rule_sk",
+    x = join_dim(frames["fact_aml_alert"].select("aml_rule_sk", "is_false_positive"), frames["dim_aml_rule"],
+                 "aml_rule_sk", "aml_rule_sk",
                  {"rule_name": "rule_name"}, name="dim_aml_rule")
     n = F.count(F.lit(1))
     return (x.groupBy("rule_name")
@@ -66,7 +69,8 @@ def false_positive_rate_by_rule(frames: Frames) -> DataFrame:
 def net_interest_margin(frames: Frames) -> DataFrame:
     """V5: monthly interest income, expense and their difference (net
     interest income; the reference does not divide by assets)."""
-    g = frames["fact_gl_balance"].filter(F.col("period_type") == "MONTHLY")
+    g = frames["fact_gl_balance"].filter(F.col("period_type") == "MONTHLY").select(
+        "period_end_date_sk", "gl_account_sk", "closing_balance_rcy")
     x = join_dim(g, frames["dim_gl_account"], "gl_account_sk", "gl_account_sk",
                  {"is_interest_income": "is_interest_income", "is_interest_expense": "is_interest_expense"},
                  name="dim_gl_account")

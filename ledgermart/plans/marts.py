@@ -103,7 +103,10 @@ def credit_risk_portfolio(frames: Frames, snapshot_date: str | None = None) -> D
     ``snapshot_date`` (V7) filters the date dimension; Catalyst pushes it
     below the aggregate and the broadcast join prunes the fact.
     """
-    loans = frames["fact_loan_daily_snapshot"]
+    # the fact carries its own ``loan_type``; take only what the mart reads
+    loans = frames["fact_loan_daily_snapshot"].select(
+        "snapshot_date_sk", "customer_sk", "product_sk", "credit_grade", "ifrs9_stage", "dpd_bucket",
+        "total_outstanding_rcy", "ecl_provision_amount", "ecl_pd", "ecl_lgd", "loan_to_value_ratio", "is_npl_flag")
     dates = frames["dim_date"]
     if snapshot_date is not None:
         dates = dates.filter(F.col("full_date") == F.lit(snapshot_date).cast("date"))
@@ -133,7 +136,9 @@ def financial_performance(frames: Frames, calendar_year: int | None = None) -> D
     Growth divides by the absolute prior-year base, so a loss base keeps
     the sign of the change; a zero or missing base gives NULL.
     """
-    g = frames["fact_gl_balance"].filter(F.col("period_type") == "MONTHLY")
+    g = frames["fact_gl_balance"].filter(F.col("period_type") == "MONTHLY").select(
+        "period_end_date_sk", "gl_account_sk", "branch_sk", "closing_balance_rcy", "ytd_balance", "budget_amount",
+        "prior_year_balance")
     dates = frames["dim_date"]
     if calendar_year is not None:
         dates = dates.filter(F.col("calendar_year") == calendar_year)
@@ -165,7 +170,10 @@ def aml_compliance(frames: Frames, severity: str | None = None) -> DataFrame:
     """M4: alerts by day, rule, alert attributes, customer segment and
     rating, and branch region; every dimension is a left join, so an
     alert without a rule, customer or branch match stays, under NULLs."""
-    a = frames["fact_aml_alert"]
+    a = frames["fact_aml_alert"].select(
+        "generated_date_sk", "aml_rule_sk", "subject_customer_sk", "branch_sk", "alert_type", "alert_severity",
+        "alert_status", "generated_by", "ml_risk_score", "alert_amount_rcy", "is_false_positive", "is_sar_filed",
+        "days_to_close", "days_to_assign")
     if severity is not None:
         a = a.filter(F.col("alert_severity") == severity)
     x = join_dim(a, frames["dim_date"], "generated_date_sk", "date_sk",
@@ -195,7 +203,10 @@ def aml_compliance(frames: Frames, severity: str | None = None) -> DataFrame:
 def payments_analytics(frames: Frames) -> DataFrame:
     """M5: payments by day, type, status, creditor country and its risk,
     debtor region and currency."""
-    p = frames["fact_payment_order"]
+    p = frames["fact_payment_order"].select(
+        "instruction_date_sk", "creditor_country_sk", "debtor_branch_sk", "currency_sk", "payment_type",
+        "payment_status", "payment_amount_rcy", "charge_amount", "processing_time_seconds", "is_stp", "is_rejected",
+        "is_cross_border", "sanctions_screening_status")
     x = join_dim(p, frames["dim_date"], "instruction_date_sk", "date_sk",
                  {"full_date": "instruction_date", "calendar_year": "calendar_year", "month_name": "month_name"},
                  name="dim_date")
