@@ -189,6 +189,29 @@ def balance_snapshot(transactions: DataFrame, dates: DataFrame, date_col: str =
         "is_overdrawn")
 
 
+# ------------------------------------------------------------------ bands
+
+# Band edges are parameters: the model names age and income bands but gives
+# no limits.  The default age labels are the ones the test data uses.
+AGE_BANDS = ((18, "18-24"), (25, "25-34"), (35, "35-49"), (50, "50-64"), (65, "65+"))
+
+
+def band(value: Column | str, edges: Sequence[tuple[float, str]], below: str | None = None) -> Column:
+    """Label of the highest edge not above ``value`` (edges ascending);
+    ``below`` for values under the first edge; NULL stays NULL."""
+    v = _c(value)
+    expr = F.when(v.isNull(), F.lit(None).cast("string"))
+    for lower, label in reversed(list(edges)):
+        expr = expr.when(v >= lower, F.lit(label))
+    return expr.otherwise(F.lit(below))
+
+
+def age_band(date_of_birth: Column | str, as_of: Column, edges: Sequence[tuple[int, str]] = AGE_BANDS) -> Column:
+    """Age band in whole years at ``as_of`` (birthday counted on the day)."""
+    years = F.floor(F.months_between(as_of, _c(date_of_birth)) / 12)
+    return band(years, edges)
+
+
 # ------------------------------------------------------------------ D4
 
 def past_due_bucket(days: Column | str) -> Column:

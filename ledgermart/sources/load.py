@@ -54,6 +54,10 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
                options: Mapping[str, str] | None = None) -> DataFrame:
     """L2: read ``name`` from ``path`` and conform it to the declared schema.
 
+    Declared columns the source lacks stay absent, so that
+    :func:`fill_defaults` can still supply their defaults (an explicit NULL
+    would not get one); ``conform(df, name)`` adds the rest as NULL.
+
     Parquet is read with its own footer schema, then cast (so column
     pruning and filter pushdown still reach the scan); CSV is read as text
     by header name (no inference pass over the data); JSON is read with
@@ -68,7 +72,7 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
         raw = reader.schema(text_schema).json(path)
     else:
         raw = reader.format(fmt).load(path)
-    return conform(raw, name)
+    return conform(raw, name, add_missing=False)
 
 
 def fill_defaults(df: DataFrame, name: str, load_date: str | None = None,

@@ -246,7 +246,9 @@ def test_l2_read_conforms_types_and_reports_misfits(spark, tmp_path):
                           "currency_code string, currency_name string, minor_unit_decimals string") \
         .write.option("header", True).csv(path)
     got = load.read_table(spark, path, "currency", fmt="csv", options={"header": "true"})
-    assert [f.dataType.simpleString() for f in got.schema.fields][:4] == ["string", "string", "string", "smallint"]
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema.fields] == [
+        ("currency_code", "string"), ("currency_name", "string"), ("minor_unit_decimals", "smallint")]
+    assert load.fill_defaults(got, "currency").first().is_active is True      # absent, so defaulted
     rows = {r.currency_name: r for r in got.collect()}
     assert rows["Euro"].currency_code == "EUR" and rows["Euro"].minor_unit_decimals == 2
     assert rows["Bad"].minor_unit_decimals is None
@@ -477,3 +479,12 @@ def test_date_key_helpers(spark):
     t = df(spark, [(20240229,), (20230229,)], "k int")
     got = [(r.d, r.y) for r in t.select(key_to_date(F.col("k")).alias("d"), key_year(F.col("k")).alias("y")).collect()]
     assert got == [(dt.date(2024, 2, 29), 2024), (None, 2023)]
+
+
+def test_bands(spark):
+    t = df(spark, [(dt.date(2006, 1, 2),), (dt.date(2006, 1, 1),), (dt.date(1950, 6, 1),), (None,)], "dob date")
+    got = [r.b for r in t.select(derive.age_band("dob", F.lit("2024-01-01").cast("date")).alias("b")).collect()]
+    assert got == [None, "18-24", "65+", None]          # 17 the day before the 18th birthday: below all bands
+    inc = df(spark, [(0.0,), (25000.0,), (1e6,)], "x double")
+    edges = [(0, "LOW"), (25000, "MID"), (100000, "HIGH")]
+    assert [r.b for r in inc.select(derive.band("x", edges).alias("b")).collect()] == ["LOW", "MID", "HIGH"]

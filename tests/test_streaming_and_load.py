@@ -126,3 +126,22 @@ def test_load_job_end_to_end(spark, frames, tmp_path):
     status = {r.table_name: r.status for r in out["verification"].collect()}
     assert status["dim_employee"] == "ERROR"
     assert status["fact_transaction"] == ("OK" if rows["fact_transaction"] >= 10000 else "LOW")
+
+
+def test_command_line_load_and_mart(spark, frames, tmp_path, capsys):
+    from ledgermart import jobs
+    src = tmp_path / "src"
+    for t in ("dim_date", "dim_customer", "dim_product", "fact_loan_daily_snapshot", "dim_currency"):
+        frames[t].write.parquet(str(src / t))
+    frames["dim_geography"].write.option("header", True).csv(str(tmp_path / "csvsrc" / "dim_geography"))
+    root = str(tmp_path / "dw")
+    assert jobs.main(["--master", "local[4]", "load", "--source", str(src), "--root", root,
+                      "--first-year", "1996", "--last-year", "1999"]) == 0
+    assert "fact_loan_daily_snapshot" in capsys.readouterr().out
+    out = str(tmp_path / "mart")
+    assert jobs.main(["--master", "local[4]", "mart", "credit_risk_portfolio", "--root", root, "--out", out]) == 0
+    got = spark.read.parquet(out)
+    assert got.count() == marts.credit_risk_portfolio(frames).count() > 0
+    assert jobs.main(["--master", "local[4]", "load", "--source", str(tmp_path / "csvsrc"), "--format", "csv",
+                      "--root", str(tmp_path / "dw2")]) == 0
+    assert load.read_current(spark, str(tmp_path / "dw2"), "dim_geography").count() == frames["dim_geography"].count()
