@@ -7,8 +7,9 @@ Rules (the model declares the history kinds, not the procedure):
   the surrogate key is kept; new natural keys get new keys (L7);
 * type 2: tracked attributes are compared NULL-safely; a natural key
   whose current row differs is closed at ``as_of`` and gets a new current
-  version with a new key; unchanged keys are untouched, so applying the
-  same batch twice changes nothing;
+  version with a new key, taking the change's attributes and copying the
+  others from the current version; unchanged keys are untouched, so
+  applying the same batch twice changes nothing;
 * versions are half-open ``[effective_from_date, effective_to_date)``;
 * alert milestones keep the earliest date per milestone, so replaying or
   reordering milestone events gives the same snapshot.
@@ -82,6 +83,15 @@ def scd2_apply(dim: DataFrame, changes: DataFrame, nk: str, sk: str, tracked: Se
         F.when(close, F.lit(False)).otherwise(F.col(c)).alias(c) if c == flag else F.col(c)
         for c in dim.columns])
     new_versions = latest.join(changed, latest[nk] == changed["__chg"], "left_semi").unionByName(fresh.drop("__c"))
+    # attributes the change does not carry are copied from the newest current
+    # version (one row per key, picked by a partial aggregate)
+    history_cols = {sk, nk, from_col, to_col, flag}
+    carried = [c for c in dim.columns if c not in history_cols and c not in attrs]
+    if carried:
+        prev = dim.filter(F.col(flag)).groupBy(F.col(nk).alias("__pk")).agg(
+            F.max_by(F.struct(*carried), F.col(from_col)).alias("__prev"))
+        new_versions = new_versions.join(prev, new_versions[nk] == prev["__pk"], "left").select(
+            *new_versions.columns, *[F.col(f"__prev.{c}").alias(c) for c in carried])
     added = append_with_keys(new_versions, dim, sk, [nk])
     defaults = {from_col: as_of, to_col: F.lit(None).cast("date"), flag: F.lit(True)}
     added = added.select(*[F.col(c) if c in added.columns else

@@ -488,3 +488,14 @@ def test_bands(spark):
     inc = df(spark, [(0.0,), (25000.0,), (1e6,)], "x double")
     edges = [(0, "LOW"), (25000, "MID"), (100000, "HIGH")]
     assert [r.b for r in inc.select(derive.band("x", edges).alias("b")).collect()] == ["LOW", "MID", "HIGH"]
+
+
+def test_scd2_new_version_copies_attributes_the_change_lacks(spark):
+    dim = scd_dim(spark)
+    changes = df(spark, [(100, "B")], "nk long, seg string")        # no 'other' column in the batch
+    dim2 = df(spark, [(1, 100, "A", "keep-me", dt.date(2020, 1, 1), None, True)], dim.schema)
+    out = history.scd2_apply(dim2, changes, "nk", "sk", ["seg"], "2024-01-01")
+    new = out.filter("is_current_record").first()
+    assert (new.seg, new.other, new.effective_from_date) == ("B", "keep-me", dt.date(2024, 1, 1))
+    fresh = history.scd2_apply(dim2, df(spark, [(7, "N")], "nk long, seg string"), "nk", "sk", ["seg"], "2024-01-01")
+    assert fresh.filter("nk = 7").first().other is None
