@@ -202,12 +202,30 @@ def aml_compliance(frames: Frames, severity: str | None = None) -> DataFrame:
 
 def payments_analytics(frames: Frames) -> DataFrame:
     """M5: payments by day, type, status, creditor country and its risk,
-    debtor region and currency."""
-    p = frames["fact_payment_order"].select(
-        "instruction_date_sk", "creditor_country_sk", "debtor_branch_sk", "currency_sk", "payment_type",
-        "payment_status", "payment_amount_rcy", "charge_amount", "processing_time_seconds", "is_stp", "is_rejected",
-        "is_cross_border", "sanctions_screening_status")
-    x = join_dim(p, frames["dim_date"], "instruction_date_sk", "date_sk",
+    debtor region and currency.
+
+    The fact is first aggregated to its dimension-key grain (day, creditor
+    country, debtor branch, currency, type, status) with partial sums and
+    counts, so the joins - including the branch join, which is not
+    broadcast-bounded - move aggregated rows instead of payments.  Exact:
+    every measure is a sum or count, averages are carried as sum and count.
+    """
+    p = frames["fact_payment_order"]
+    amt = F.col("payment_amount_rcy")
+    pre = p.groupBy("instruction_date_sk", "creditor_country_sk", "debtor_branch_sk", "currency_sk",
+                    "payment_type", "payment_status").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(amt).alias("amt_sum"),
+        F.count(amt).alias("amt_cnt"),
+        F.sum("charge_amount").alias("charge_sum"),
+        F.sum("processing_time_seconds").alias("secs_sum"),
+        F.count("processing_time_seconds").alias("secs_cnt"),
+        cond_count(F.col("is_stp")).alias("stp"),
+        cond_count(F.col("is_rejected")).alias("rejected"),
+        F.sum(F.when(F.col("is_cross_border"), amt).otherwise(F.lit(0))).alias("xb_sum"),
+        cond_count(F.col("sanctions_screening_status") == "HIT").alias("hits"),
+    )
+    x = join_dim(pre, frames["dim_date"], "instruction_date_sk", "date_sk",
                  {"full_date": "instruction_date", "calendar_year": "calendar_year", "month_name": "month_name"},
                  name="dim_date")
     x = join_dim(x, frames["dim_geography"], "creditor_country_sk", "geography_sk",
@@ -217,18 +235,18 @@ def payments_analytics(frames: Frames) -> DataFrame:
                  how="left", current_only=True, name="dim_branch")
     x = join_dim(x, frames["dim_currency"], "currency_sk", "currency_sk", {"currency_code": "currency_code"},
                  how="left", name="dim_currency")
-    n = F.count(F.lit(1))
+    n = F.sum("n")
     return x.groupBy("instruction_date", "calendar_year", "month_name", "payment_type", "payment_status",
                      "creditor_country", "creditor_country_risk", "debtor_region", "currency_code").agg(
-        n.alias("payment_count"),
-        dec_sum("payment_amount_rcy").alias("total_volume_usd"),
-        exact_avg("payment_amount_rcy").alias("avg_payment_usd"),
-        dec_sum("charge_amount").alias("total_charges_usd"),
-        exact_avg("processing_time_seconds").alias("avg_processing_secs"),
-        count_pct(cond_count(F.col("is_stp")), n).alias("stp_rate_pct"),
-        count_pct(cond_count(F.col("is_rejected")), n).alias("rejection_rate_pct"),
-        cond_sum(F.col("is_cross_border"), "payment_amount_rcy").alias("cross_border_volume_usd"),
-        cond_count(F.col("sanctions_screening_status") == "HIT").alias("sanctions_hits"),
+        n.cast("bigint").alias("payment_count"),
+        dec_sum("amt_sum").alias("total_volume_usd"),
+        (F.sum("amt_sum").cast("double") / F.nullif(F.sum("amt_cnt"), F.lit(0))).alias("avg_payment_usd"),
+        dec_sum("charge_sum").alias("total_charges_usd"),
+        (F.sum("secs_sum").cast("double") / F.nullif(F.sum("secs_cnt"), F.lit(0))).alias("avg_processing_secs"),
+        count_pct(F.sum("stp"), n).alias("stp_rate_pct"),
+        count_pct(F.sum("rejected"), n).alias("rejection_rate_pct"),
+        dec_sum("xb_sum").alias("cross_border_volume_usd"),
+        F.sum("hits").cast("bigint").alias("sanctions_hits"),
     )
 
 
