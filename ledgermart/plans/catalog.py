@@ -9,9 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgermart.operators import quality
+from ledgermart.functions.keys import date_key
+from ledgermart.operators import derive, history, quality
+from ledgermart.operators.joins import join_dim, latest_only
 from ledgermart.plans import governance, marts
+from ledgermart.sources import load
+from ledgermart.sources import testviews as TV
 from ledgermart.sources.testviews import bank_frames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,12 +56,6 @@ QUERIES.update({
 # history (H1-H6) and the declared joins (J10-J12), each over the test
 # tables through the bank-shaped frames.
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from ledgermart.operators import derive, history  # noqa: E402
-from ledgermart.sources import load  # noqa: E402
-from ledgermart.sources import testviews as TV  # noqa: E402
-
 # L5/L6 on the test data: its years are 1995-2001, so the yearly ranges are
 # 1996-1999 and everything else goes to the default partition.
 TEST_RANGES = load.year_ranges(1996, 1999)
@@ -149,7 +148,6 @@ def over_allocated(f):
 
 
 def weighted_balances(f):
-    from ledgermart.operators.joins import latest_only
     bal = latest_only(f["fact_account_balance_daily"], "snapshot_date_sk").select("account_sk", "current_balance")
     return derive.weighted_customer_balance(bal, f["bridge_account_customer"])
 
@@ -209,8 +207,6 @@ def alert_milestones(f):
 def alert_milestone_calendar(f):
     """J5 with one alias per milestone: the accumulating alert snapshot
     joined to the date dimension once per milestone role."""
-    from ledgermart.functions.keys import date_key
-    from ledgermart.operators.joins import join_dim
     snap = history.accumulate_alerts(None, f["alert_milestone_events"])
     out = snap.select("alert_id", *[date_key(F.col(f"{m}_date")).alias(f"{m}_date_sk") for m in history.MILESTONES])
     for m in history.MILESTONES:
