@@ -9,8 +9,9 @@ stops at the first error and then counts rows per table.  Here:
 2. rows failing NOT NULL / allowed values / fit are split off with their
    reasons (``strict=True`` stops the load instead, like the reference);
 3. all tables are written in load order to a new run folder, the
-   transaction fact range-partitioned by booking year, and the pointer is
-   switched only when every table is written;
+   transaction fact range-partitioned by booking year, type 2 dimensions
+   in current / history folders, other facts sorted by date key and main
+   foreign key; the pointer is switched only when every table is written;
 4. the written tables are verified (row minimums) and the next surrogate
    key per table is reported (the key reset of the reference).
 """
@@ -50,6 +51,23 @@ def prepare(frames: Mapping[str, DataFrame], load_date: str, load_ts: str,
     return good, rejected
 
 
+def physical_layout(tables) -> dict[str, dict[str, list[str]]]:
+    """File layout per table, by rule: type 2 dimensions are partitioned by
+    their current-version flag; facts are sorted by their first date key and
+    their first other foreign key."""
+    out = {}
+    for t in tables:
+        cols = [c.name for c in S.columns(t)]
+        if S.HISTORY.get(t) == "type2" and "is_current_record" in cols:
+            out[t] = {"partition_by": ["is_current_record"]}
+        elif t.startswith("fact_"):
+            own = S.key_column(t)
+            dates = [c for c in cols if c.endswith("date_sk")][:1]
+            fks = [c for c in cols if c.endswith("_sk") and c != own and c not in dates][:1]
+            out[t] = {"sort_by": dates + fks}
+    return out
+
+
 def load_warehouse(frames: Mapping[str, DataFrame], root: str, first_year: int, last_year: int,
                    strict: bool = False, load_date: str | None = None) -> dict:
     """Run the load; returns run id, rows written per table (from the
@@ -60,7 +78,8 @@ def load_warehouse(frames: Mapping[str, DataFrame], root: str, first_year: int,
     load_ts = now.strftime("%Y-%m-%d %H:%M:%S")
     good, rejected = prepare(frames, load_date, load_ts, strict)
     ranges = load.year_ranges(first_year, last_year)
-    run_id = load.full_refresh(good, root, partitioned={"fact_transaction": ("booking_date_sk", ranges)})
+    run_id = load.full_refresh(good, root, partitioned={"fact_transaction": ("booking_date_sk", ranges)},
+                               layout=physical_layout(good))
     spark = next(iter(good.values())).sparkSession
     written = {t: load.read_current(spark, root, t) for t in good}
     counts = {r.table_name: r.actual_rows for r in

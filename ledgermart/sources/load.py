@@ -303,14 +303,23 @@ def analyze_table(spark: SparkSession, table: str) -> None:
 # ------------------------------------------------------------ refresh
 
 def full_refresh(frames: Mapping[str, DataFrame], root: str, order: Sequence[str] | None = None,
-                 partitioned: Mapping[str, tuple[str, list]] | None = None, run_id: str | None = None) -> str:
+                 partitioned: Mapping[str, tuple[str, list]] | None = None, run_id: str | None = None,
+                 layout: Mapping[str, Mapping[str, Sequence[str]]] | None = None) -> str:
     """L4: write every table in load order (reference, dimensions, bridges,
     facts) under ``root/<run_id>/<table>``, stopping at the first failure,
     then switch ``root/_current`` to the new run.  Readers use
-    :func:`read_current`; a failed run never replaces the current one."""
+    :func:`read_current`; a failed run never replaces the current one.
+
+    ``partitioned`` names range-partitioned facts (key, ranges);
+    ``layout`` gives other tables ``partition_by`` folders (e.g. the
+    current-version flag of a type 2 dimension, the Parquet counterpart of
+    a partial index) and ``sort_by`` columns (date key and main foreign
+    key, the counterpart of a plain index: row-group min/max statistics
+    then let scans skip)."""
     run_id = run_id or _uuid.uuid4().hex[:12]
     order = [t for t in (order or S.LOAD_ORDER) if t in frames]
     partitioned = partitioned or {}
+    layout = layout or {}
     spark = None
     for t in order:
         df = frames[t]
@@ -319,8 +328,15 @@ def full_refresh(frames: Mapping[str, DataFrame], root: str, order: Sequence[str
         if t in partitioned:
             key, ranges = partitioned[t]
             write_range_partitioned(df, target, key, ranges)
-        else:
-            df.write.mode("overwrite").parquet(target)
+            continue
+        spec = layout.get(t, {})
+        sort_by = [c for c in spec.get("sort_by", ()) if c in df.columns]
+        part_by = [c for c in spec.get("partition_by", ()) if c in df.columns]
+        out = df.sortWithinPartitions(*(part_by + sort_by)) if (sort_by or part_by) else df
+        w = out.write.mode("overwrite")
+        if part_by:
+            w = w.partitionBy(*part_by)
+        w.parquet(target)
     if spark is not None:
         spark.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").json(
             f"{root}/_current")
@@ -328,8 +344,17 @@ def full_refresh(frames: Mapping[str, DataFrame], root: str, order: Sequence[str
 
 
 def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The table as of the current run.  Partition folder values come back
+    as inferred text or numbers, so declared columns are cast back to their
+    declared types (a cast on a partition column still prunes folders)."""
     run_id = spark.read.json(f"{root}/_current").first()["run_id"]
-    return spark.read.parquet(f"{root}/{run_id}/{table}")
+    df = spark.read.parquet(f"{root}/{run_id}/{table}")
+    if table not in S.TABLES:
+        return df
+    declared = {c.name: S.spark_type(c.dtype) for c in S.columns(table)}
+    fixes = {c: F.col(c).cast(declared[c]) for c, t in df.dtypes
+             if c in declared and t != declared[c].simpleString()}
+    return df.withColumns(fixes) if fixes else df
 
 
 def register_views(spark: SparkSession, frames: Mapping[str, DataFrame], names: Iterable[str] | None = None) -> list[str]:

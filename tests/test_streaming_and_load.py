@@ -145,3 +145,15 @@ def test_command_line_load_and_mart(spark, frames, tmp_path, capsys):
     assert jobs.main(["--master", "local[4]", "load", "--source", str(tmp_path / "csvsrc"), "--format", "csv",
                       "--root", str(tmp_path / "dw2")]) == 0
     assert load.read_current(spark, str(tmp_path / "dw2"), "dim_geography").count() == frames["dim_geography"].count()
+
+
+def test_load_layout_prunes_history_folders(spark, frames, tmp_path):
+    from ledgermart.plans import warehouse
+    sub = {t: frames[t] for t in ("dim_customer", "fact_loan_daily_snapshot", "dim_date")}
+    out = warehouse.load_warehouse(sub, str(tmp_path / "dw"), 1996, 1999)
+    cust = load.read_current(spark, str(tmp_path / "dw"), "dim_customer")
+    cur = cust.filter("is_current_record")
+    plan = cur._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "is_current_record" in plan.split("PartitionFilters: [", 1)[1][:200]
+    assert cur.count() == frames["dim_customer"].filter("is_current_record").count()
+    assert out["rows"]["fact_loan_daily_snapshot"] == frames["fact_loan_daily_snapshot"].count()
