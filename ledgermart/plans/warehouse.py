@@ -9,9 +9,10 @@ stops at the first error and then counts rows per table.  Here:
 2. rows failing NOT NULL / allowed values / fit are split off with their
    reasons (``strict=True`` stops the load instead, like the reference);
 3. all tables are written in load order to a new run folder, the
-   transaction fact range-partitioned by booking year, type 2 dimensions
-   in current / history folders, other facts sorted by date key and main
-   foreign key; the pointer is switched only when every table is written;
+   transaction fact range-partitioned by booking year, periodic snapshots
+   by snapshot date, type 2 dimensions in current / history folders, other
+   facts sorted by date key and main foreign key; the pointer is switched
+   only when every table is written;
 4. the written tables are verified (row minimums) and the next surrogate
    key per table is reported (the key reset of the reference).
 """
@@ -51,17 +52,32 @@ def prepare(frames: Mapping[str, DataFrame], load_date: str, load_ts: str,
     return good, rejected
 
 
+# Periodic snapshots are partitioned by their snapshot date key: a one-day
+# query then prunes folders, statically or - through the filtered, broadcast
+# date dimension - by dynamic partition pruning.
+SNAPSHOT_KEYS = {
+    "fact_account_balance_daily": "snapshot_date_sk",
+    "fact_loan_daily_snapshot": "snapshot_date_sk",
+    "fact_gl_balance": "period_end_date_sk",
+}
+
+
 def physical_layout(tables) -> dict[str, dict[str, list[str]]]:
     """File layout per table, by rule: type 2 dimensions are partitioned by
-    their current-version flag; facts are sorted by their first date key and
-    their first other foreign key."""
+    their current-version flag; periodic snapshots by their date key and
+    sorted by their first other foreign key; other facts sorted by their
+    first date key and first other foreign key."""
     out = {}
     for t in tables:
         cols = [c.name for c in S.columns(t)]
+        own = S.key_column(t)
         if S.HISTORY.get(t) == "type2" and "is_current_record" in cols:
             out[t] = {"partition_by": ["is_current_record"]}
+        elif t in SNAPSHOT_KEYS:
+            key = SNAPSHOT_KEYS[t]
+            fks = [c for c in cols if c.endswith("_sk") and c not in (own, key) and not c.endswith("date_sk")][:1]
+            out[t] = {"partition_by": [key], "sort_by": fks}
         elif t.startswith("fact_"):
-            own = S.key_column(t)
             dates = [c for c in cols if c.endswith("date_sk")][:1]
             fks = [c for c in cols if c.endswith("_sk") and c != own and c not in dates][:1]
             out[t] = {"sort_by": dates + fks}

@@ -332,7 +332,12 @@ def full_refresh(frames: Mapping[str, DataFrame], root: str, order: Sequence[str
         spec = layout.get(t, {})
         sort_by = [c for c in spec.get("sort_by", ()) if c in df.columns]
         part_by = [c for c in spec.get("partition_by", ()) if c in df.columns]
-        out = df.sortWithinPartitions(*(part_by + sort_by)) if (sort_by or part_by) else df
+        out = df
+        if part_by:
+            # few files per folder, and a hot folder value spread over tasks
+            out = out.repartitionByRange(*[F.col(c) for c in part_by], F.rand(seed=23))
+        if sort_by or part_by:
+            out = out.sortWithinPartitions(*(part_by + sort_by))
         w = out.write.mode("overwrite")
         if part_by:
             w = w.partitionBy(*part_by)

@@ -157,3 +157,14 @@ def test_load_layout_prunes_history_folders(spark, frames, tmp_path):
     assert "PartitionFilters: [" in plan and "is_current_record" in plan.split("PartitionFilters: [", 1)[1][:200]
     assert cur.count() == frames["dim_customer"].filter("is_current_record").count()
     assert out["rows"]["fact_loan_daily_snapshot"] == frames["fact_loan_daily_snapshot"].count()
+
+
+def test_one_day_mart_prunes_snapshot_partitions_dynamically(spark, frames, tmp_path):
+    from ledgermart.plans import governance, warehouse
+    sub = {t: frames[t] for t in ("dim_customer", "fact_loan_daily_snapshot", "dim_date", "dim_product")}
+    warehouse.load_warehouse(sub, str(tmp_path / "dw"), 1996, 1999)
+    stored = {t: load.read_current(spark, str(tmp_path / "dw"), t) for t in sub}
+    one_day = governance.credit_risk_on_date(stored, "1998-12-31")
+    plan = one_day._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert one_day.count() == governance.credit_risk_on_date(frames, "1998-12-31").count() > 0
