@@ -13,8 +13,9 @@ stops at the first error and then counts rows per table.  Here:
    by snapshot date, type 2 dimensions in current / history folders, other
    facts sorted by date key and main foreign key; the pointer is switched
    only when every table is written;
-4. the written tables are verified (row minimums) and the next surrogate
-   key per table is reported (the key reset of the reference).
+4. the written tables are verified (row minimums, soft foreign keys) and
+   the next surrogate key per table is reported (the key reset of the
+   reference).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from ledgermart.operators.quality import row_count_check, split_valid
+from ledgermart.operators.quality import row_count_check, soft_key_suite, split_valid
 from ledgermart.sources import load
 from ledgermart.sources import schemas as S
 
@@ -106,4 +107,5 @@ def load_warehouse(frames: Mapping[str, DataFrame], root: str, first_year: int,
         "rejected": rejected,
         "verification": row_count_check(written),
         "next_keys": load.key_high_water(written),
+        "soft_keys": soft_key_suite(written),
     }

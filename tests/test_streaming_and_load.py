@@ -168,3 +168,18 @@ def test_one_day_mart_prunes_snapshot_partitions_dynamically(spark, frames, tmp_
     plan = one_day._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
     assert one_day.count() == governance.credit_risk_on_date(frames, "1998-12-31").count() > 0
+
+
+def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
+    events = alert_milestone_events(spark, SF_SMALL)
+    first, second = events.randomSplit([0.6, 0.4], seed=11)
+    src, snap, ckpt = tmp_path / "ev", str(tmp_path / "snap"), str(tmp_path / "ck")
+    first.write.parquet(str(src / "part=1"))
+    stream = lambda: spark.readStream.schema(alerts.EVENT_SCHEMA).parquet(str(src / "*"))
+    alerts.maintain_snapshot(stream(), snap, ckpt, available_now=True).awaitTermination(300)
+    # the job stops (or its driver is lost); more events arrive; it restarts from the checkpoint
+    second.write.parquet(str(src / "part=2"))
+    alerts.maintain_snapshot(stream(), snap, ckpt, available_now=True).awaitTermination(300)
+    got = alerts.current_snapshot(spark, snap)
+    want = history.accumulate_alerts(None, events)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
