@@ -86,3 +86,28 @@ def test_split_valid_against_brute_force(spark, data):
     assert got_bad == want_bad
     prof = {(r.column_name, r.rule): r.failing_rows for r in quality.column_profile(df, "country").collect()}
     assert prof[("country_code", "not_null")] == sum(1 for r in data if r[0] is None)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 10**6), st.integers(0, 10**6)), min_size=1, max_size=30))
+def test_count_pct_equals_exact_half_up(spark, pairs):
+    from decimal import ROUND_HALF_UP
+
+    from ledgermart.functions.metrics import count_pct
+    t = spark.createDataFrame(pairs, "k long, n long")
+    got = [r.p for r in t.select(count_pct(F.col("k"), F.col("n")).alias("p")).collect()]
+    want = [None if n == 0 else (D(100) * k / D(n)).quantize(D("0.01"), rounding=ROUND_HALF_UP) for k, n in pairs]
+    assert got == want
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 5), min_size=0, max_size=60), st.integers(1, 7), st.integers(0, 100))
+def test_keys_are_dense_and_ordered_for_any_layout(spark, values, parts, base):
+    from ledgermart.sources import load
+    new = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(parts)
+    existing = spark.createDataFrame([(base,)], "k long")
+    rows = load.append_with_keys(new, existing, "k", ["v"], num_partitions=parts).collect()
+    keys = sorted(r.k for r in rows)
+    assert keys == list(range(base + 1, base + 1 + len(values)))
+    by_key = [r.v for r in sorted(rows, key=lambda r: r.k)]
+    assert by_key == sorted(values)                      # keys follow the order column
