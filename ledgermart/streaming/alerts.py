@@ -16,6 +16,11 @@ arrive.  Two Structured Streaming forms:
 
 Both survive executor loss: the stream's progress and state live in the
 checkpoint location, which must be on the shared file system.
+
+With ``buckets`` the snapshot is stored in hash buckets of the alert id and
+each micro-batch rewrites only the buckets its alerts fall in (dynamic
+partition overwrite), so the cost of a batch follows the batch, not the
+size of the snapshot.
 """
 
 from __future__ import annotations
@@ -57,12 +62,46 @@ def merge_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/_current")
 
 
+def _bucket(n: int):
+    return F.pmod(F.xxhash64("alert_id"), F.lit(n)).cast("int")
+
+
+def read_bucketed_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(root).drop("alert_bucket")
+    except Exception:  # nothing written yet
+        return None
+
+
+def merge_batch_bucketed(batch: DataFrame, batch_id: int, root: str, buckets: int) -> None:
+    """Merge one micro-batch, rewriting only the hash buckets it touches."""
+    from ledgermart.session import materialize
+
+    spark = batch.sparkSession
+    touched = [r[0] for r in batch.select(_bucket(buckets)).distinct().collect()]   # at most ``buckets`` values
+    if not touched:
+        return
+    try:
+        existing = spark.read.parquet(root).filter(F.col("alert_bucket").isin(touched)).drop("alert_bucket")
+    except Exception:  # first batch
+        existing = None
+    merged = accumulate_alerts(existing, batch).withColumn("alert_bucket", _bucket(buckets))
+    # cut the lineage to the files about to be replaced, then overwrite just those buckets
+    staged = materialize(merged, f"alerts-{batch_id}")
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("alert_bucket").parquet(root))
+
+
 def maintain_snapshot(events: DataFrame, root: str, checkpoint: str, available_now: bool = False,
-                      processing_time: str | None = None) -> StreamingQuery:
+                      processing_time: str | None = None, buckets: int | None = None) -> StreamingQuery:
     """Start the stream that keeps ``root`` equal to the batch snapshot of
-    all events seen so far."""
-    w = events.writeStream.foreachBatch(lambda df, i: merge_batch(df, i, root)) \
-        .option("checkpointLocation", checkpoint)
+    all events seen so far (versioned folders, or hash buckets rewritten in
+    place with ``buckets``)."""
+    if buckets:
+        fn = lambda df, i: merge_batch_bucketed(df, i, root, buckets)
+    else:
+        fn = lambda df, i: merge_batch(df, i, root)
+    w = events.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
     elif processing_time:

@@ -183,3 +183,24 @@ def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
     got = alerts.current_snapshot(spark, snap)
     want = history.accumulate_alerts(None, events)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_bucketed_stream_rewrites_only_touched_buckets(spark, tmp_path):
+    events = alert_milestone_events(spark, SF_SMALL)
+    first, second = events.randomSplit([0.7, 0.3], seed=5)
+    src, snap, ckpt = tmp_path / "ev", str(tmp_path / "snap"), str(tmp_path / "ck")
+    first.write.parquet(str(src / "part=1"))
+    stream = lambda: spark.readStream.schema(alerts.EVENT_SCHEMA).parquet(str(src / "*"))
+    alerts.maintain_snapshot(stream(), snap, ckpt, available_now=True, buckets=8).awaitTermination(300)
+    import os
+    before = {d: os.listdir(os.path.join(snap, d)) for d in os.listdir(snap) if d.startswith("alert_bucket=")}
+    # a second batch touching one alert only rewrites that alert's bucket
+    one = second.limit(1)
+    one.write.parquet(str(src / "part=2"))
+    alerts.maintain_snapshot(stream(), snap, ckpt, available_now=True, buckets=8).awaitTermination(300)
+    after = {d: os.listdir(os.path.join(snap, d)) for d in os.listdir(snap) if d.startswith("alert_bucket=")}
+    changed = [d for d in after if after[d] != before.get(d)]
+    assert len(changed) == 1
+    got = alerts.read_bucketed_snapshot(spark, snap)
+    want = history.accumulate_alerts(None, first.unionByName(one))
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
