@@ -499,3 +499,15 @@ def test_scd2_new_version_copies_attributes_the_change_lacks(spark):
     assert (new.seg, new.other, new.effective_from_date) == ("B", "keep-me", dt.date(2024, 1, 1))
     fresh = history.scd2_apply(dim2, df(spark, [(7, "N")], "nk long, seg string"), "nk", "sk", ["seg"], "2024-01-01")
     assert fresh.filter("nk = 7").first().other is None
+
+
+def test_l2_json_source(spark, tmp_path):
+    path = tmp_path / "rates.json"
+    path.write_text('{"from_currency_code": "EUR ", "to_currency_code": "USD", "rate_type": "MID_RATE", '
+                    '"rate_value": 1.10000001, "extra": 1}\n'
+                    '{"from_currency_code": "GBP", "to_currency_code": "USD", "rate_type": "MID_RATE", '
+                    '"rate_value": "n/a"}\n')
+    got = load.read_table(spark, str(path), "exchange_rate", fmt="json")
+    rows = {r.from_currency_code: r for r in got.collect()}
+    assert rows["EUR"].rate_value == D("1.10000001") and rows["GBP"].rate_value is None   # misfit -> NULL
+    assert "extra" not in got.columns and got.schema["rate_value"].dataType.simpleString() == "decimal(15,8)"
