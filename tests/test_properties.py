@@ -111,3 +111,32 @@ def test_keys_are_dense_and_ordered_for_any_layout(spark, values, parts, base):
     assert keys == list(range(base + 1, base + 1 + len(values)))
     by_key = [r.v for r in sorted(rows, key=lambda r: r.k)]
     assert by_key == sorted(values)                      # keys follow the order column
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["EUR", "GBP"]), st.integers(0, 60), st.integers(1, 999)),
+                min_size=0, max_size=12),
+       st.lists(st.tuples(st.sampled_from(["EUR", "GBP", "JPY"]), st.integers(0, 70)), min_size=1, max_size=15))
+def test_dated_rate_lookup_against_brute_force(spark, rates, facts):
+    import datetime as dt
+
+    from ledgermart.operators.joins import latest_rate_on_or_before
+    day0 = dt.date(2024, 1, 1)
+    # one rate per (currency, day): the lookup keeps the largest when a day repeats
+    rate_rows = [(c, day0 + dt.timedelta(days=d), D(v)) for c, d, v in rates]
+    fact_rows = [(i, c, day0 + dt.timedelta(days=d)) for i, (c, d) in enumerate(facts)]
+    r = spark.createDataFrame(rate_rows, "ccy string, rate_date date, rate_value decimal(15,8)")
+    f = spark.createDataFrame(fact_rows, "id int, ccy string, d date")
+    got = {row.id: row.rate_value for row in latest_rate_on_or_before(f, r, ["ccy"], "d").collect()}
+
+    def brute(c, d):
+        best = {}
+        for rc, rd, rv in rate_rows:
+            if rc == c and rd <= d:
+                best[rd] = max(best.get(rd, rv), rv)
+        return best[max(best)] if best else None
+
+    assert len(got) == len(fact_rows)
+    for i, c, d in fact_rows:
+        want = brute(c, d)
+        assert got[i] == (None if want is None else want.quantize(D("0.00000001")))
