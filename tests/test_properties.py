@@ -140,3 +140,26 @@ def test_dated_rate_lookup_against_brute_force(spark, rates, facts):
     for i, c, d in fact_rows:
         want = brute(c, d)
         assert got[i] == (None if want is None else want.quantize(D("0.00000001")))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 40), st.one_of(st.none(), st.integers(1, 30))),
+                min_size=0, max_size=8),
+       st.lists(st.tuples(st.integers(1, 4), st.integers(0, 80)), min_size=1, max_size=12))
+def test_as_of_join_against_brute_force(spark, versions, facts):
+    import datetime as dt
+
+    from ledgermart.operators.joins import as_of_join
+    day0 = dt.date(2024, 1, 1)
+    vrows = [(i, nk, day0 + dt.timedelta(days=f), None if span is None else day0 + dt.timedelta(days=f + span))
+             for i, (nk, f, span) in enumerate(versions)]
+    frows = [(j, nk, day0 + dt.timedelta(days=d)) for j, (nk, d) in enumerate(facts)]
+    v = spark.createDataFrame(vrows, "ver int, nk int, effective_from_date date, effective_to_date date")
+    f = spark.createDataFrame(frows, "id int, nk int, d date")
+    got = sorted((r.id, r.ver) for r in as_of_join(f, v, "nk", "nk", "d", {"ver": "ver"}).collect())
+    want = []
+    for j, nk, d in frows:
+        hits = [i for i, vnk, fr, to in vrows if vnk == nk and fr <= d and (to is None or d < to)]
+        want += [(j, i) for i in hits] or [(j, None)]
+    key = lambda t: (t[0], -1 if t[1] is None else t[1])
+    assert sorted(got, key=key) == sorted(want, key=key)
