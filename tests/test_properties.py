@@ -163,3 +163,30 @@ def test_as_of_join_against_brute_force(spark, versions, facts):
         want += [(j, i) for i in hits] or [(j, None)]
     key = lambda t: (t[0], -1 if t[1] is None else t[1])
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 150), st.integers(1, 500), st.booleans()),
+                min_size=1, max_size=15),
+       st.lists(st.integers(0, 200), min_size=1, max_size=8, unique=True))
+def test_periodic_balance_snapshot_against_brute_force(spark, txns, snap_days):
+    import datetime as dt
+
+    day0 = dt.date(2024, 1, 1)
+    t_rows = [(a, dt.datetime.combine(day0 + dt.timedelta(days=d), dt.time(12)), D(v), c) for a, d, v, c in txns]
+    t = spark.createDataFrame(t_rows, "account_sk long, transaction_datetime timestamp_ntz, "
+                                      "amount_txn_ccy decimal(20,2), is_credit boolean")
+    dates = spark.createDataFrame([(day0 + dt.timedelta(days=d),) for d in snap_days], "full_date date")
+    got = sorted((r.account_sk, r.snapshot_date, r.current_balance, r.days_since_last_txn, r.transaction_count_day)
+                 for r in derive.balance_snapshot(t, dates).collect())
+    want = []
+    for a in sorted({x[0] for x in txns}):
+        mine = [(day0 + dt.timedelta(days=d), D(v) if c else -D(v)) for aa, d, v, c in txns if aa == a]
+        first = min(d for d, _ in mine)
+        for sd in sorted(day0 + dt.timedelta(days=d) for d in snap_days):
+            if sd < first:
+                continue
+            upto = [(d, x) for d, x in mine if d <= sd]
+            last = max(d for d, _ in upto)
+            want.append((a, sd, sum(x for _, x in upto), (sd - last).days, sum(1 for d, _ in mine if d == sd)))
+    assert got == sorted(want)
