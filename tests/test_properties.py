@@ -190,3 +190,20 @@ def test_periodic_balance_snapshot_against_brute_force(spark, txns, snap_days):
             last = max(d for d, _ in upto)
             want.append((a, sd, sum(x for _, x in upto), (sd - last).days, sum(1 for d, _ in mine if d == sd)))
     assert got == sorted(want)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 6)), st.one_of(st.none(), st.integers(0, 6))),
+                min_size=0, max_size=20),
+       st.lists(st.integers(0, 6), min_size=0, max_size=5), st.lists(st.integers(0, 6), min_size=0, max_size=5))
+def test_soft_key_suite_against_brute_force(spark, fact_rows, dim_a, dim_b):
+    facts = spark.createDataFrame(fact_rows, "a_sk long, b_sk long")
+    da = spark.createDataFrame([(k,) for k in dim_a], "a_sk long")
+    db = spark.createDataFrame([(k, k) for k in dim_b], "b_sk long, dup long")
+    keys = [("f", "a_sk", "dim_a", "a_sk"), ("f", "b_sk", "dim_b", "b_sk")]
+    got = {r.fk_column: (r.orphan_rows, r.null_fk_rows) for r in
+           quality.soft_key_suite({"f": facts, "dim_a": da, "dim_b": db}, keys).collect()}
+    for col, idx, dim in (("a_sk", 0, set(dim_a)), ("b_sk", 1, set(dim_b))):
+        orphans = sum(1 for r in fact_rows if r[idx] is not None and r[idx] not in dim)
+        nulls = sum(1 for r in fact_rows if r[idx] is None)
+        assert got[col] == (orphans, nulls)
