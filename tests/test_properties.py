@@ -207,3 +207,32 @@ def test_soft_key_suite_against_brute_force(spark, fact_rows, dim_a, dim_b):
         orphans = sum(1 for r in fact_rows if r[idx] is not None and r[idx] not in dim)
         nulls = sum(1 for r in fact_rows if r[idx] is None)
         assert got[col] == (orphans, nulls)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 4), st.one_of(st.none(), st.sampled_from("AB")), st.booleans()),
+                min_size=0, max_size=8),
+       st.dictionaries(st.integers(1, 6), st.one_of(st.none(), st.sampled_from("ABC")), max_size=5))
+def test_scd2_apply_against_a_python_model(spark, versions, changes):
+    import datetime as dt
+
+    from ledgermart.operators import history
+    as_of = dt.date(2024, 6, 1)
+    dim_rows = [(i + 1, nk, seg, dt.date(2020, 1, 1) + dt.timedelta(days=i), None if cur else dt.date(2021, 1, 1), cur)
+                for i, (nk, seg, cur) in enumerate(versions)]
+    schema = ("sk long, nk long, seg string, effective_from_date date, effective_to_date date, "
+              "is_current_record boolean")
+    dim = spark.createDataFrame(dim_rows, schema)
+    ch = spark.createDataFrame(sorted(changes.items()), "nk long, seg string")
+    got = sorted(tuple(r) for r in history.scd2_apply(dim, ch, "nk", "sk", ["seg"], as_of).collect())
+
+    current = [r for r in dim_rows if r[5]]
+    changed = {nk for (sk, nk, seg, f, t, c) in current if nk in changes and seg != changes[nk]}
+    fresh = {nk for nk in changes if nk not in {r[1] for r in current}}
+    want = [(sk, nk, seg, f, as_of, False) if (c and nk in changed) else (sk, nk, seg, f, t, c)
+            for (sk, nk, seg, f, t, c) in dim_rows]
+    base = max([r[0] for r in dim_rows], default=0)
+    for i, nk in enumerate(sorted(changed | fresh)):
+        want.append((base + i + 1, nk, changes[nk], as_of, None, True))
+    key = lambda r: tuple("" if v is None else str(v) for v in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
