@@ -511,3 +511,16 @@ def test_l2_json_source(spark, tmp_path):
     rows = {r.from_currency_code: r for r in got.collect()}
     assert rows["EUR"].rate_value == D("1.10000001") and rows["GBP"].rate_value is None   # misfit -> NULL
     assert "extra" not in got.columns and got.schema["rate_value"].dataType.simpleString() == "decimal(15,8)"
+
+
+def test_d9_ytd_restarts_at_the_fiscal_year(spark):
+    rows = [(20240229, D("10")), (20240331, D("20")), (20240430, D("30")), (20240531, D("40")), (20250430, D("5"))]
+    gl = df(spark, [(7, 1, k, "MONTHLY", v, None) for k, v in rows],
+            "gl_account_sk long, branch_sk long, period_end_date_sk int, period_type string, "
+            "closing_balance_rcy decimal(22,2), budget_amount decimal(22,2)")
+    got = {r.period_end_date_sk: r for r in derive.gl_roll_forward(gl, fiscal_start_month=4).collect()}
+    assert got[20240331].ytd_balance == D("30.00") and got[20240331].fiscal_year == 2024
+    assert got[20240430].ytd_balance == D("30.00") and got[20240430].fiscal_year == 2025    # new fiscal year
+    assert got[20240531].ytd_balance == D("70.00")
+    assert got[20250430].prior_year_closing == D("30") and got[20240430].prior_year_closing is None
+    assert got[20240229].variance_vs_budget == D("10.00")
