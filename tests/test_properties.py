@@ -236,3 +236,33 @@ def test_scd2_apply_against_a_python_model(spark, versions, changes):
         want.append((base + i + 1, nk, changes[nk], as_of, None, True))
     key = lambda r: tuple("" if v is None else str(v) for v in r)
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 6), st.sampled_from(["CURRENT", "SAVINGS", "LOAN"]),
+                          st.integers(0, 1), st.booleans()), min_size=0, max_size=12),
+       st.lists(st.tuples(st.integers(1, 6), st.integers(1, 900)), min_size=0, max_size=10))
+def test_customer_account_summary_against_distinct_counts(spark, accounts, balances):
+    """The two-level aggregation equals COUNT(DISTINCT ...) and the plain sum,
+    also with duplicate account rows and several balance rows per account."""
+    from ledgermart.plans.marts import customer_account_summary
+    acct = spark.createDataFrame(accounts, "customer_sk long, account_sk long, account_type string, "
+                                           "currency_sk long, is_current_record boolean")
+    bal = spark.createDataFrame([(a, 20241231, D(v)) for a, v in balances],
+                                "account_sk long, snapshot_date_sk int, current_balance decimal(20,2)")
+    f = {"dim_account": acct, "fact_account_balance_daily": bal,
+         "dim_currency": spark.createDataFrame([(0, "USD"), (1, "EUR")], "currency_sk int, currency_code string"),
+         "exchange_rate": spark.createDataFrame([("USD", "USD", "MID_RATE", D("1"), None),
+                                                 ("EUR", "USD", "MID_RATE", D("2"), None)],
+                                                "from_currency_code string, to_currency_code string, rate_type string, "
+                                                "rate_value decimal(15,8), valid_to_datetime timestamp_ntz")}
+    got = {r.customer_sk: (r.total_accounts, r.current_accounts, r.savings_accounts, r.loan_accounts,
+                           r.total_balance_usd) for r in customer_account_summary(f).collect()}
+    want = {}
+    for c in {a[0] for a in accounts if a[4]}:
+        rows = [a for a in accounts if a[0] == c and a[4]]
+        distinct = lambda t=None: len({a[1] for a in rows if t is None or a[2] == t})
+        terms = [D(v) * (2 if a[3] == 1 else 1) for a in rows for (b, v) in balances if b == a[1]]
+        total = sum(terms).quantize(D("1E-10")) if terms else None
+        want[c] = (distinct(), distinct("CURRENT"), distinct("SAVINGS"), distinct("LOAN"), total)
+    assert got == want
