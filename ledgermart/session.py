@@ -101,12 +101,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def materialize(df, label: str = "stage"):
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
-    folder and reading it back.  Columnar and compressed, so cheaper than
+    folder and reading it back; the folder goes when the driver ends.  Columnar and compressed, so cheaper than
     an RDD checkpoint of wide rows; the files are durable, so a lost
     executor never forces a recomputation of what was written."""
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgermart/{label}-{uuid.uuid4().hex}"
+    _delete_on_exit(spark, path)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system remove ``path`` when the driver ends: nothing
+    that is built lazily on it can be read after that."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where.getParent())
+    fs.deleteOnExit(where)
