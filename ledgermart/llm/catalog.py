@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgermart.llm import bpe
 from ledgermart.llm import chat_format as chat
+from ledgermart.llm import decontaminate
 from ledgermart.llm import license_scan as licenses
 from ledgermart.llm import line_quality as lines
 from ledgermart.llm.common import table
 from ledgermart.llm.sql import ORACLE_SQL  # noqa: F401
 
+#: The public vocabulary file; a parameter of the operator.
+VOCABULARY = "word_bpe_49k.json"
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.license_scan(table(spark, sf_dir, "documents"))
     return out.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ","))
@@ -33,6 +44,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -40,7 +56,9 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_license_scan": op3_license_scan,
     "op7_chat_format": op7_chat_format,
+    "op8_bpe": op8_bpe,
     "op9_line_quality": op9_line_quality,
 }

@@ -9,6 +9,22 @@ _SPACED = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LETTERED = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP1 = rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {_LETTERED} AS w FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_LETTERED} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS said FROM (
+  SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT uid, i, n, array_to_string(w[i:i + n - 1], ' ') AS said FROM (
+  SELECT uid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hits AS (SELECT uid, i, n, item_id FROM dw JOIN bw USING (n, said)),
+words AS (SELECT uid, count(DISTINCT p) AS n_hit FROM (SELECT uid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY uid),
+items AS (SELECT uid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT uid, item_id FROM hits) GROUP BY uid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (uid) LEFT JOIN items USING (uid)
+"""
+
 OP3 = rf"""
 WITH templates(t, label, t_words) AS (VALUES {licenses.sql_templates()}),
 d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS body, {_LETTERED} AS w FROM documents),
@@ -71,6 +87,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 ORACLE_SQL = {
+    "op1_decontaminate": OP1,
     "op3_license_scan": OP3,
     "op7_chat_format": OP7,
     "op9_line_quality": OP9,
