@@ -10,6 +10,8 @@ from ledgermart.llm import chat_format as chat
 from ledgermart.llm import decontaminate
 from ledgermart.llm import license_scan as licenses
 from ledgermart.llm import line_quality as lines
+from ledgermart.llm import pii, url_rules
+from ledgermart.llm import quality_classifier as quality
 from ledgermart.llm.common import table
 from ledgermart.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -25,11 +27,42 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.license_scan(table(spark, sf_dir, "documents"))
     return out.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ","))
 
 
+def _held_out(doc_id):
+    return F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 5 == 0
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~_held_out(F.col("id")))
+    scored = quality.score(docs, model, name="score")
+    return scored.select("doc_id", F.coalesce(_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = pii.pii_spans(docs, pii.fit(docs))
+
+    def said(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(
+            ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def of(kind):
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [of(kind) for kind in pii.BASE_KINDS]
+    return out.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(1).select(F.inline(F.array(*[
@@ -57,7 +90,10 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_url_rules": op2_url_rules,
     "op3_license_scan": op3_license_scan,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_pii": op6_pii,
     "op7_chat_format": op7_chat_format,
     "op8_bpe": op8_bpe,
     "op9_line_quality": op9_line_quality,
