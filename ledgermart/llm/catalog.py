@@ -10,7 +10,8 @@ from ledgermart.llm import chat_format as chat
 from ledgermart.llm import decontaminate
 from ledgermart.llm import license_scan as licenses
 from ledgermart.llm import line_quality as lines
-from ledgermart.llm import pii, url_rules
+from ledgermart.llm import ngram_join as ngrams
+from ledgermart.llm import pii, substring_dedup, url_rules
 from ledgermart.llm import quality_classifier as quality
 from ledgermart.llm.common import table
 from ledgermart.llm.sql import ORACLE_SQL  # noqa: F401
@@ -48,6 +49,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.ngram_join(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = pii.pii_spans(docs, pii.fit(docs))
@@ -88,13 +93,21 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_removed_lines", "n_removed_words")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.passage_report(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_passages", "repeated_words", "removed_words", F.array_join(F.transform(
+        "passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"))), ",").alias("passages"), "owners")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_rules": op2_url_rules,
     "op3_license_scan": op3_license_scan,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_ngram_join": op5_ngram_join,
     "op6_pii": op6_pii,
     "op7_chat_format": op7_chat_format,
     "op8_bpe": op8_bpe,
     "op9_line_quality": op9_line_quality,
+    "op10_substring_dedup": op10_substring_dedup,
 }
