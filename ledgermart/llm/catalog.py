@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +38,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ","))
 
 
-def _held_out(doc_id):
+def held_out(doc_id):
     return F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 5 == 0
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~_held_out(F.col("id")))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~held_out(F.col("id")))
     scored = quality.score(docs, model, name="score")
-    return scored.select("doc_id", F.coalesce(_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -82,9 +83,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def vocabulary_path() -> str:
+    return public_tokenizers.path(VOCABULARY)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-    return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
