@@ -11,7 +11,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -20,16 +19,14 @@ from pyspark.sql import SparkSession
 def _source_frames(spark: SparkSession, source: str, fmt: str) -> dict:
     from ledgermart.sources import load
     from ledgermart.sources import schemas as S
+    from ledgermart.sources.pointer import exists
 
     frames = {}
     for t in S.LOAD_ORDER:
         for cand in (f"{source}/{t}", f"{source}/{t}.{fmt}"):
-            if os.path.exists(cand) or "://" in source:
-                try:
-                    frames[t] = load.read_table(spark, cand, t, fmt=fmt)
-                    break
-                except Exception:  # not there in this form
-                    continue
+            if exists(spark, cand):  # a table that is there must be readable: any error stops the load
+                frames[t] = load.read_table(spark, cand, t, fmt=fmt, typed=False)
+                break
     return frames
 
 
@@ -42,13 +39,20 @@ def cmd_load(args) -> int:
     if not frames:
         print(f"no declared table found under {args.source}", file=sys.stderr)
         return 2
-    out = warehouse.load_warehouse(frames, args.root.rstrip("/"), args.first_year, args.last_year,
-                                   strict=args.strict)
+    minimums = warehouse.present_minimums(frames) if args.partial else None
+    try:
+        out = warehouse.load_warehouse(frames, args.root.rstrip("/"), args.first_year, args.last_year,
+                                       strict=args.strict, minimums=minimums)
+    except warehouse.LoadVerificationError as failed:
+        print(f"the load did not become current: {failed}", file=sys.stderr)
+        return 1
     print(f"run {out['run_id']}: {sum(v or 0 for v in out['rows'].values())} rows in {len(out['rows'])} tables")
     out["verification"].orderBy("table_name").show(50, truncate=False)
     out["next_keys"].orderBy("table_name").show(50, truncate=False)
-    failed = [r.table_name for r in out["verification"].collect() if r.status != "OK"]
-    return 1 if failed and args.strict else 0
+    rejected = {t: n for t, n in out["rejected_rows"].items() if n}
+    print(f"rejected rows, kept under {args.root}/{out['run_id']}/_rejects: {rejected or 'none'}")
+    print(f"soft keys not checked (table or column absent): {len(out['soft_keys_skipped'])}")
+    return 0
 
 
 def cmd_mart(args) -> int:
@@ -57,15 +61,15 @@ def cmd_mart(args) -> int:
     from ledgermart.session import get_spark
     from ledgermart.sources import load
     from ledgermart.sources import schemas as S
+    from ledgermart.sources.pointer import current, exists
 
     spark = get_spark(args.master, args.partitions, app_name=f"ledgermart-{args.name}")
     root = args.root.rstrip("/")
-    frames = {}
-    for t in S.LOAD_ORDER:
-        try:
-            frames[t] = load.read_current(spark, root, t)
-        except Exception:  # table not loaded
-            continue
+    run = current(spark, root)
+    if run is None:
+        print(f"nothing was loaded into {root}", file=sys.stderr)
+        return 2
+    frames = {t: load.read_current(spark, root, t) for t in S.LOAD_ORDER if exists(spark, f"{root}/{run}/{t}")}
     fn = {**MARTS, **GOVERNANCE}[args.name]
     df = fn(frames)
     if args.out:
@@ -87,6 +91,7 @@ def main(argv: list[str] | None = None) -> int:
     lp.add_argument("--first-year", type=int, default=2022)
     lp.add_argument("--last-year", type=int, default=2025)
     lp.add_argument("--strict", action="store_true", help="stop at the first rejected row")
+    lp.add_argument("--partial", action="store_true", help="accept a source without all tables, or short ones")
     lp.set_defaults(func=cmd_load)
     mp = sub.add_parser("mart")
     mp.add_argument("name")

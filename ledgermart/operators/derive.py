@@ -26,13 +26,15 @@ def _c(x: Column | str) -> Column:
 
 
 def exact_ratio(num: Column, den: Column, places: int) -> Column:
-    """``ROUND(num / NULLIF(den, 0), places)`` for non-negative decimals with
-    at most 2 decimals, exactly: both are scaled to integers and divided
-    with integer half-up rounding.  ``decimal(18, places)``."""
-    n = (num * 100).cast("decimal(38,0)")
-    d = (den * 100).cast("decimal(38,0)")
-    q = F.call_function("div", n * F.lit(2 * 10 ** places) + d, F.nullif(d * 2, F.lit(0)))
-    return (q.cast("decimal(38,0)") * F.lit(Decimal(1).scaleb(-places))).cast(f"decimal(18,{places})")
+    """``ROUND(num / NULLIF(den, 0), places)`` for decimals with at most 2
+    decimals, exactly and half away from zero: the absolute values are
+    scaled to integers and divided with integer half-up rounding, and the
+    sign is put back.  ``decimal(18, places)``."""
+    n = F.abs(num * 100).cast("decimal(38,0)")
+    d = F.abs(den * 100).cast("decimal(38,0)")
+    q = F.call_function("div", n * F.lit(2 * 10 ** places) + d, F.nullif(d * 2, F.lit(0))).cast("decimal(38,0)")
+    q = F.when((num < 0) != (den < 0), -q).otherwise(q)
+    return (q * F.lit(Decimal(1).scaleb(-places))).cast(f"decimal(18,{places})")
 
 
 # ------------------------------------------------------------------ D1
@@ -40,8 +42,8 @@ def exact_ratio(num: Column, den: Column, places: int) -> Column:
 def holidays_by_rule(spark: SparkSession, first_year: Column, last_year: Column,
                      month_days: Sequence[tuple[int, int]] = ((1, 1), (12, 25))) -> DataFrame:
     """Fixed-date public holidays (month, day) for every year in range."""
-    years = spark.range(1900, 2200).select(F.col("id").cast("int").alias("y")).filter(
-        (F.col("y") >= first_year) & (F.col("y") <= last_year))
+    years = (spark.range(1).select(first_year.cast("int").alias("a"), last_year.cast("int").alias("b"))
+             .filter("a <= b").select(F.explode(F.sequence("a", "b")).alias("y")))
     md = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d")) for m, d in month_days])
     return years.select(F.explode(md).alias("md"), "y").select(
         F.make_date("y", "md.m", "md.d").alias("holiday"))
@@ -56,11 +58,11 @@ def build_dim_date(spark: SparkSession, start: Column, end: Column, fiscal_start
     after the year it ends in; prior-year key = same day 12 months back
     (29 February -> 28 February).
 
-    Generated by ``spark.range`` (distributed) up to 200 years of days and
-    bounded by the two scalar dates; holidays join by broadcast (one row
-    per holiday, bounded by the calendar)."""
-    days = spark.range(0, 366 * 200).select(F.date_add(start, F.col("id").cast("int")).alias("d")) \
-        .filter(F.col("d") <= end)
+    One row per day between the two scalar dates, however far apart; an
+    empty span gives no rows.  Holidays join by broadcast (one row per
+    holiday, bounded by the calendar)."""
+    days = (spark.range(1).select(start.cast("date").alias("a"), end.cast("date").alias("b")).filter("a <= b")
+            .select(F.explode(F.sequence("a", "b")).alias("d")))
     d = F.col("d")
     m = F.month(d)
     fm = ((m - fiscal_start_month + 12) % 12) + 1
@@ -314,16 +316,21 @@ def gl_closing(opening: Column | str, debits: Column | str, credits: Column | st
     return F.when(side == "DEBIT", o + d - c).when(side == "CREDIT", o + c - d)
 
 
-def gl_roll_forward(gl: DataFrame, fiscal_start_month: int = 1) -> DataFrame:
+def gl_roll_forward(gl: DataFrame, fiscal_start_month: int = 1,
+                    movement: Column | str = "closing_balance_rcy") -> DataFrame:
     """Per ledger account, branch and monthly period: the month's
-    closing balance, the year-to-date running sum within the fiscal year,
-    the prior-year closing (same account and branch, 12 months back, by a
+    closing balance, the year-to-date running sum of ``movement`` within the
+    fiscal year (the chosen rule: by default the period's own figure, which
+    fits accounts that restart every period; pass net movement, e.g. debits
+    minus credits, for balances that carry forward, where summing closing
+    balances would count them again), the prior-year closing (same account and branch, 12 months back, by a
     self-join on the date key) and the variance to budget.
 
     The running window is partitioned by (account, branch, fiscal year):
     at most 12 rows each."""
     g = gl.filter(F.col("period_type") == "MONTHLY").select(
-        "gl_account_sk", "branch_sk", "period_end_date_sk", "closing_balance_rcy", "budget_amount")
+        "gl_account_sk", "branch_sk", "period_end_date_sk", "closing_balance_rcy", "budget_amount",
+        _c(movement).alias("__movement"))
     pdate = F.to_date(F.col("period_end_date_sk").cast("string"), "yyyyMMdd")
     m = F.month(pdate)
     fy = F.year(pdate) + (F.lit(1) if fiscal_start_month > 1 else F.lit(0)) * (m >= fiscal_start_month).cast("int")
@@ -331,7 +338,7 @@ def gl_roll_forward(gl: DataFrame, fiscal_start_month: int = 1) -> DataFrame:
          .withColumn("prior_key", date_key(F.last_day(F.add_months(pdate, -12))))
     w = (Window.partitionBy("gl_account_sk", "branch_sk", "fiscal_year").orderBy("period_end_date_sk")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    g = g.withColumn("ytd_balance", F.sum("closing_balance_rcy").over(w).cast("decimal(22,2)"))
+    g = g.withColumn("ytd_balance", F.sum("__movement").over(w).cast("decimal(22,2)"))
     prior = gl.filter(F.col("period_type") == "MONTHLY").select(
         F.col("gl_account_sk").alias("p_acct"), F.col("branch_sk").alias("p_branch"),
         F.col("period_end_date_sk").alias("p_key"), F.col("closing_balance_rcy").alias("prior_year_closing"))
@@ -381,7 +388,7 @@ def ledger_rollup(gl: DataFrame, gl_accounts: DataFrame, levels: Sequence[str],
     ``grouping_level`` (= ``grouping_id``) telling a subtotal from a NULL
     level value.  Partial aggregation per task, one shuffle."""
     g = gl.filter(F.col("period_type") == period_type).select("gl_account_sk", measure)
-    acc = F.broadcast(gl_accounts.select(F.col("gl_account_sk").alias("__k"), *levels))
+    acc = gl_accounts.select(F.col("gl_account_sk").alias("__k"), *levels)  # Spark broadcasts it if it is small
     j = g.join(acc, g["gl_account_sk"] == acc["__k"])
     return j.rollup(*levels).agg(
         F.grouping_id().cast("int").alias("grouping_level"),

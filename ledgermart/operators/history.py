@@ -31,10 +31,11 @@ from ledgermart.sources.load import append_with_keys
 
 def latest_change(changes: DataFrame, nk: str, attrs: Sequence[str], change_ts: str | None) -> DataFrame:
     """One row per natural key: the newest change (partial aggregate, so a
-    key with many changes is combined map-side)."""
-    if change_ts is None:
-        return changes.select(nk, *attrs).dropDuplicates([nk])
-    picked = changes.groupBy(nk).agg(F.max_by(F.struct(*attrs), F.col(change_ts)).alias("__c"))
+    key with many changes is combined map-side).  A change without a time is
+    older than any other; ties go to the greatest attribute values, so the
+    pick does not depend on the order of rows."""
+    order = [*([change_ts] if change_ts else []), *attrs]
+    picked = changes.groupBy(nk).agg(F.max_by(F.struct(*attrs), F.struct(*order)).alias("__c"))
     return picked.select(nk, *[F.col(f"__c.{a}").alias(a) for a in attrs])
 
 
@@ -65,15 +66,20 @@ def _differs(left: str, right: str, attrs: Sequence[str]) -> Column:
 def scd2_apply(dim: DataFrame, changes: DataFrame, nk: str, sk: str, tracked: Sequence[str], as_of,
                change_ts: str | None = None, from_col: str = "effective_from_date",
                to_col: str = "effective_to_date", flag: str = "is_current_record") -> DataFrame:
-    """H2: apply a batch of changes to a type 2 dimension as of ``as_of``."""
+    """H2: apply a batch of changes to a type 2 dimension as of ``as_of``.
+
+    A change to a key whose current version starts after ``as_of`` is not
+    applied (it would end before it starts); :func:`back_dated` lists these."""
     as_of = F.lit(as_of).cast("date") if not isinstance(as_of, Column) else as_of
     # the new version takes every attribute the change carries; only the
     # tracked ones decide whether there is a change
     attrs = [c for c in changes.columns if c not in (nk, change_ts) and c in dim.columns]
     latest = latest_change(changes, nk, attrs, change_ts)
     lc = latest.select(F.col(nk).alias("__nk"), *[F.col(a).alias(f"__new_{a}") for a in tracked])
-    cur = dim.filter(F.col(flag)).select(nk, *tracked)
+    cur = dim.filter(F.col(flag)).select(nk, *tracked, F.col(from_col).alias("__from"))
     cmp = cur.join(lc, cur[nk] == lc["__nk"])
+    late = cmp.filter(F.col("__from") > as_of).select(F.col("__nk").alias("__late")).distinct()
+    cmp = cmp.join(late, cmp["__nk"] == late["__late"], "left_anti")
     changed = cmp.filter(_differs("", "__new_", tracked)).select(F.col(nk).alias("__chg")).distinct()
     fresh = latest.join(cur.select(F.col(nk).alias("__c")).distinct(), latest[nk] == F.col("__c"), "left_anti")
     tagged = dim.join(changed, dim[nk] == changed["__chg"], "left")
@@ -99,6 +105,15 @@ def scd2_apply(dim: DataFrame, changes: DataFrame, nk: str, sk: str, tracked: Se
     return kept.unionByName(added)
 
 
+def back_dated(dim: DataFrame, changes: DataFrame, nk: str, as_of, from_col: str = "effective_from_date",
+               flag: str = "is_current_record") -> DataFrame:
+    """The changes that :func:`scd2_apply` does not apply: their key's
+    current version starts after ``as_of``."""
+    as_of = F.lit(as_of).cast("date") if not isinstance(as_of, Column) else as_of
+    late = dim.filter(F.col(flag) & (F.col(from_col) > as_of)).select(F.col(nk).alias("__late")).distinct()
+    return changes.join(late, changes[nk] == late["__late"], "left_semi")
+
+
 def scd2_check(dim: DataFrame, nk: str, from_col: str = "effective_from_date", to_col: str = "effective_to_date",
                flag: str = "is_current_record") -> DataFrame:
     """H3: (natural key, issue, rows) for every broken history rule:

@@ -14,8 +14,6 @@ A side is broadcast only when its size has a proven bound:
   ``spark.sql.adaptive.autoBroadcastJoinThreshold``; beyond it the join
   stays a sort-merge join, and AQE's skew-join split handles a hot key
   on the fact side (a customer holding a third of all facts).
-* :func:`sized_broadcast` is the measured variant for jobs that may run
-  an action: it counts the side first and broadcasts only below a limit.
 """
 
 from __future__ import annotations
@@ -29,10 +27,6 @@ from pyspark.sql import functions as F
 BOUNDED_DIMENSIONS = {
     "dim_date": "one row per calendar day: about 366 per year",
     "dim_currency": "ISO 4217 currencies: under 300",
-    "dim_geography": "countries and their versions: a few hundred",
-    "exchange_rate": "open rates per currency pair and type",
-    "dim_aml_rule": "the rule and model catalogue",
-    "dim_gl_account": "the chart of accounts",
     "currency_rate": "one open rate per currency",
 }
 
@@ -44,15 +38,6 @@ def hinted(dim: DataFrame, name: str) -> DataFrame:
     return F.broadcast(dim) if name in BOUNDED_DIMENSIONS else dim
 
 
-def sized_broadcast(dim: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Measured check: broadcast ``dim`` only if it holds at most ``max_rows``.
-
-    Runs one ``count`` (an action); use it in jobs, not in lazy marts.
-    Beyond the limit the frame is returned as is and joins shuffle.
-    """
-    return F.broadcast(dim) if dim.count() <= max_rows else dim
-
-
 def current(dim: DataFrame, flag: str = CURRENT_FLAG) -> DataFrame:
     """Current versions only: a bare boolean predicate, so NULL is not current."""
     return dim.filter(F.col(flag))
@@ -180,12 +165,13 @@ def latest_rate_on_or_before(facts: DataFrame, rates: DataFrame, pair_cols: Iter
     over all its days.  Facts before the first rate get NULL.
     """
     pair_cols = list(pair_cols)
-    until = facts.select(F.max(F.col(fact_date).cast("date"))).scalar()
+    # the spine ends with the last rate; later facts look up that day
+    until = rates.select(F.max(F.col(rate_date).cast("date"))).scalar()
     spine = rate_day_spine(rates, pair_cols, until, rate_date, rate_col)
     spine = spine.select(*[F.col(c).alias(f"__r_{c}") for c in pair_cols], F.col("rate_day").alias("__rd"),
                          F.col(rate_col))
-    cond = [facts[c] == spine[f"__r_{c}"] for c in pair_cols] + [facts[fact_date].cast("date") == spine["__rd"]]
-    out = facts.join(spine, cond, "left")
+    cond = [facts[c] == spine[f"__r_{c}"] for c in pair_cols] + [F.least(facts[fact_date].cast("date"), until) == spine["__rd"]]
+    out = facts.join(F.broadcast(spine), cond, "left")  # pairs x days: bounded by the rate table's own calendar
     return out.drop(*[f"__r_{c}" for c in pair_cols], "__rd")
 
 

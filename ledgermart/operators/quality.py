@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermart.sources import schemas as S
@@ -85,11 +85,14 @@ def split_valid(df: DataFrame, name: str, strict: bool = False) -> tuple[DataFra
     """Q10: (good, rejected).  ``rejected`` carries ``reject_reasons``, an
     array of ``rule:column``.  Good + rejected = input, row for row.
     With ``strict`` the first rejected row raises instead (ANSI
-    ``raise_error`` inside the plan, no driver round trip)."""
+    ``raise_error`` inside the plan, no driver round trip).  Reasons that
+    typing found before the cast (``type:column``) come first."""
     preds = rule_predicates(df, name)
     reasons = F.array_compact(F.array(*[F.when(p, F.lit(f"{r}:{c}")) for c, r, p in preds])) \
         if preds else F.array().cast("array<string>")
-    tagged = df.withColumn("reject_reasons", reasons)
+    if S.MISFITS in df.columns:
+        reasons = F.concat(F.coalesce(S.MISFITS, F.array().cast("array<string>")), reasons)
+    tagged = df.withColumn("reject_reasons", reasons).drop(S.MISFITS)
     bad = F.size("reject_reasons") > 0
     if strict:
         tagged = tagged.withColumn("reject_reasons", F.when(
@@ -102,11 +105,11 @@ def split_valid(df: DataFrame, name: str, strict: bool = False) -> tuple[DataFra
 
 def row_count_check(frames: Frames, minimums: Mapping[str, int] | None = None) -> DataFrame:
     """Q1: (table_name, actual_rows, expected_min, status) with status OK,
-    LOW (below the minimum, a failure) or ERROR (the table cannot be read)."""
+    LOW (below the minimum, a failure) or ERROR (the table is not there)."""
     from pyspark.errors import AnalysisException
 
     minimums = dict(S.ROW_MINIMUMS if minimums is None else minimums)
-    parts, spark = [], None
+    parts, spark = [], SparkSession.getActiveSession()
     for t, m in minimums.items():
         try:
             df = frames[t]
@@ -120,8 +123,6 @@ def row_count_check(frames: Frames, minimums: Mapping[str, int] | None = None) -
     out = None
     for t, m, counted in parts:
         if counted is None:
-            if spark is None:
-                continue
             row = spark.range(1).select(F.lit(None).cast("bigint").alias("actual_rows"))
         else:
             row = counted
@@ -132,6 +133,22 @@ def row_count_check(frames: Frames, minimums: Mapping[str, int] | None = None) -
                           .when(F.col("actual_rows") >= F.col("expected_min"), "OK").otherwise("LOW"))
 
 
+def verified_counts(frames: Frames, minimums: Mapping[str, int]) -> list[tuple[str, int | None, int, str]]:
+    """Q1 as an action, table by table: a table that is missing or whose
+    files cannot be read is an ERROR of its own and hides no other table."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    out = []
+    for t, m in minimums.items():
+        try:
+            n = frames[t].count()
+            out.append((t, n, m, "OK" if n >= m else "LOW"))
+        except (KeyError, PySparkException, Py4JJavaError):
+            out.append((t, None, m, "ERROR"))
+    return out
+
+
 def unique_check(df: DataFrame, keys: Iterable[str], where: Column | None = None,
                  count_col: str = "cnt") -> DataFrame:
     """Q2: key values occurring more than once (among rows matching ``where``)."""
@@ -162,6 +179,14 @@ def orphan_check(fact: DataFrame, dim: DataFrame, fk: str, pk: str) -> DataFrame
     return missing.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("orphan_rows"))
 
 
+def skipped_soft_keys(frames: Frames, keys: Iterable[tuple[str, str, str, str]] | None = None) -> list[tuple[str, str, str]]:
+    """(table, foreign key, dimension) of the declared keys that
+    :func:`soft_key_suite` cannot check: a table or column is not there."""
+    keys = list(S.soft_foreign_keys() if keys is None else keys)
+    there = set(_present_keys(frames, keys))
+    return [(t, fk, dim) for t, fk, dim, pk in keys if (t, fk, dim, pk) not in there]
+
+
 def _present_keys(frames: Frames, keys) -> list[tuple[str, str, str, str]]:
     out = []
     for t, fk, dim, pk in keys:

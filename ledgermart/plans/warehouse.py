@@ -6,15 +6,20 @@ stops at the first error and then counts rows per table.  Here:
 1. every frame is conformed to its declared schema (``try_cast``, fixed
    width trimmed, absent columns added) and absent columns get their
    declared defaults, with one load date and timestamp for the batch;
-2. rows failing NOT NULL / allowed values / fit are split off with their
-   reasons (``strict=True`` stops the load instead, like the reference);
+2. rows with a value its declared type cannot hold (looked at before the
+   cast), or failing NOT NULL / allowed values / fit, are split off with
+   their reasons, written beside the run under ``_rejects`` and counted
+   (``strict=True`` stops the load instead, like the reference);
 3. all tables are written in load order to a new run folder, the
    transaction fact range-partitioned by booking year, periodic snapshots
    by snapshot date, type 2 dimensions in current / history folders, other
    facts sorted by date key and main foreign key; the pointer is switched
    only when every table is written;
-4. the written tables are verified (row minimums, soft foreign keys) and
-   the next surrogate key per table is reported (the key reset of the
+4. before that, the written tables are counted against their minimums; a
+   missing, unreadable or short table stops the load and the previous run
+   stays current;
+5. soft foreign keys are checked, with the keys that could not be, and the
+   next surrogate key per table is reported (the key reset of the
    reference).
 """
 
@@ -25,7 +30,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from ledgermart.operators.quality import row_count_check, soft_key_suite, split_valid
+from ledgermart.operators.quality import skipped_soft_keys, soft_key_suite, split_valid, verified_counts
 from ledgermart.sources import load
 from ledgermart.sources import schemas as S
 
@@ -44,7 +49,8 @@ def prepare(frames: Mapping[str, DataFrame], load_date: str, load_ts: str,
             df = frames[t]
         except KeyError:
             continue
-        typed = load.fill_defaults(load.conform(df, t, add_missing=False), t, load_date, load_ts)
+        tagged = load.with_misfits(df, t)
+        typed = load.fill_defaults(load.conform(tagged, t, add_missing=False), t, load_date, load_ts)
         ok, bad = split_valid(typed, t, strict=strict)
         key = S.key_column(t)
         if key and key not in ok.columns:
@@ -85,27 +91,66 @@ def physical_layout(tables) -> dict[str, dict[str, list[str]]]:
     return out
 
 
+class LoadVerificationError(RuntimeError):
+    """A written table is missing, unreadable or below its minimum."""
+
+
+def all_minimums() -> dict[str, int]:
+    """Every declared table with its least row count (0 where none is declared)."""
+    return {t: S.ROW_MINIMUMS.get(t, 0) for t in S.LOAD_ORDER}
+
+
+def present_minimums(frames: Mapping[str, DataFrame]) -> dict[str, int]:
+    """For a partial load: the tables at hand, without least row counts."""
+    out = {}
+    for t in S.LOAD_ORDER:
+        try:
+            frames[t]
+        except KeyError:
+            continue
+        out[t] = 0
+    return out
+
+
 def load_warehouse(frames: Mapping[str, DataFrame], root: str, first_year: int, last_year: int,
-                   strict: bool = False, load_date: str | None = None) -> dict:
+                   strict: bool = False, load_date: str | None = None,
+                   minimums: Mapping[str, int] | None = None) -> dict:
     """Run the load; returns run id, rows written per table (from the
-    written files), the rejected rows per table (lazy frames with reasons),
-    the row-count verification and the key high-water marks."""
+    written files), the rejected rows per table (read from where they were
+    written) and their counts, the row-count verification, the soft keys
+    checked and skipped, and the key high-water marks.
+
+    ``minimums`` (all 22 tables by default) is what the run must hold to
+    become current; otherwise :class:`LoadVerificationError` is raised."""
     now = _dt.datetime.now()
     load_date = load_date or now.date().isoformat()
     load_ts = now.strftime("%Y-%m-%d %H:%M:%S")
     good, rejected = prepare(frames, load_date, load_ts, strict)
     ranges = load.year_ranges(first_year, last_year)
-    run_id = load.full_refresh(good, root, partitioned={"fact_transaction": ("booking_date_sk", ranges)},
-                               layout=physical_layout(good))
     spark = next(iter(good.values())).sparkSession
-    written = {t: load.read_current(spark, root, t) for t in good}
-    counts = {r.table_name: r.actual_rows for r in
-              row_count_check(written, {t: S.ROW_MINIMUMS.get(t, 0) for t in written}).collect()}
+    minimums = all_minimums() if minimums is None else dict(minimums)
+    written, verified, rejects, counts = {}, [], {}, {}
+
+    def check(folder: str) -> None:
+        written.update({t: load.read_run(spark, folder, t) for t in good})
+        verified.extend(verified_counts(written, dict.fromkeys(written, 0) | minimums))
+        for t, bad in rejected.items():
+            bad.write.parquet(f"{folder}/_rejects/{t}")
+            rejects[t] = spark.read.parquet(f"{folder}/_rejects/{t}")
+            counts[t] = rejects[t].count()
+        failed = [f"{t} {status} ({n} rows, at least {m})" for t, n, m, status in verified if status != "OK"]
+        if failed:
+            raise LoadVerificationError("; ".join(failed))
+    run_id = load.full_refresh(good, root, partitioned={"fact_transaction": ("booking_date_sk", ranges)},
+                               layout=physical_layout(good), check=check)
     return {
         "run_id": run_id,
-        "rows": counts,
-        "rejected": rejected,
-        "verification": row_count_check(written),
+        "rows": {t: n for t, n, _, _ in verified if t in written},
+        "rejected": rejects,
+        "rejected_rows": counts,
+        "verification": spark.createDataFrame(
+            verified, "table_name string, actual_rows bigint, expected_min bigint, status string"),
         "next_keys": load.key_high_water(written),
         "soft_keys": soft_key_suite(written),
+        "soft_keys_skipped": skipped_soft_keys(written),
     }

@@ -9,12 +9,14 @@ every start; ours is an idempotent full refresh).
 from __future__ import annotations
 
 import uuid as _uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermart.session import checkpoint_dir, materialize
+from ledgermart.sources import pointer
 from ledgermart.sources import schemas as S
 
 # ------------------------------------------------------------------- read
@@ -34,9 +36,21 @@ def conform(df: DataFrame, name: str, add_missing: bool = True) -> DataFrame:
             cols.append(x.try_cast(S.spark_type(c.dtype)).alias(c.name))
         elif add_missing:
             cols.append(F.lit(None).cast(S.spark_type(c.dtype)).alias(c.name))
+    if S.MISFITS in present:
+        cols.append(F.col(S.MISFITS))
     return df.select(*cols)
 
 
+def with_misfits(raw: DataFrame, name: str) -> DataFrame:
+    """Tag rows, before any cast, with ``type:column`` for every non-NULL
+    value that its declared type cannot hold."""
+    present = set(raw.columns)
+    checks = [F.when(F.col(c.name).isNotNull() & F.col(c.name).try_cast(S.spark_type(c.dtype)).isNull(), F.lit(f"type:{c.name}"))
+              for c in S.columns(name) if c.name in present and raw.schema[c.name].dataType != S.spark_type(c.dtype)]
+    found = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
+    return raw.withColumn(S.MISFITS, found)
+
+
 def misfits(raw: DataFrame, name: str) -> DataFrame:
     """Rows whose non-NULL values do not survive the cast to the declared
     type: (column_name, raw_value) pairs, one per failing cell."""
@@ -51,8 +65,10 @@ def misfits(raw: DataFrame, name: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
-               options: Mapping[str, str] | None = None) -> DataFrame:
-    """L2: read ``name`` from ``path`` and conform it to the declared schema.
+               options: Mapping[str, str] | None = None, typed: bool = True) -> DataFrame:
+    """L2: read ``name`` from ``path`` and conform it to the declared schema
+    (``typed=False`` leaves the values as they are, so that the load can
+    reject what does not fit instead of reading NULL).
 
     Declared columns the source lacks stay absent, so that
     :func:`fill_defaults` can still supply their defaults (an explicit NULL
@@ -72,7 +88,7 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
         raw = reader.schema(text_schema).json(path)
     else:
         raw = reader.format(fmt).load(path)
-    return conform(raw, name, add_missing=False)
+    return conform(raw, name, add_missing=False) if typed else raw
 
 
 def fill_defaults(df: DataFrame, name: str, load_date: str | None = None,
@@ -304,11 +320,13 @@ def analyze_table(spark: SparkSession, table: str) -> None:
 
 def full_refresh(frames: Mapping[str, DataFrame], root: str, order: Sequence[str] | None = None,
                  partitioned: Mapping[str, tuple[str, list]] | None = None, run_id: str | None = None,
-                 layout: Mapping[str, Mapping[str, Sequence[str]]] | None = None) -> str:
+                 layout: Mapping[str, Mapping[str, Sequence[str]]] | None = None,
+                 check: Callable[[str], None] | None = None) -> str:
     """L4: write every table in load order (reference, dimensions, bridges,
     facts) under ``root/<run_id>/<table>``, stopping at the first failure,
-    then switch ``root/_current`` to the new run.  Readers use
+    then publish the run as the current one (:mod:`.pointer`).  Readers use
     :func:`read_current`; a failed run never replaces the current one.
+    ``check(run_folder)`` runs before that and stops it by raising.
 
     ``partitioned`` names range-partitioned facts (key, ranges);
     ``layout`` gives other tables ``partition_by`` folders (e.g. the
@@ -342,9 +360,10 @@ def full_refresh(frames: Mapping[str, DataFrame], root: str, order: Sequence[str
         if part_by:
             w = w.partitionBy(*part_by)
         w.parquet(target)
+    if check is not None:
+        check(f"{root}/{run_id}")
     if spark is not None:
-        spark.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").json(
-            f"{root}/_current")
+        pointer.publish(spark, root, run_id)
     return run_id
 
 
@@ -352,8 +371,21 @@ def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
     """The table as of the current run.  Partition folder values come back
     as inferred text or numbers, so declared columns are cast back to their
     declared types (a cast on a partition column still prunes folders)."""
-    run_id = spark.read.json(f"{root}/_current").first()["run_id"]
-    df = spark.read.parquet(f"{root}/{run_id}/{table}")
+    run_id = pointer.current(spark, root)
+    if run_id is None:
+        raise FileNotFoundError(f"nothing was loaded into {root}")
+    return read_run(spark, f"{root}/{run_id}", table)
+
+
+def read_run(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """One table of one run, typed as in :func:`read_current`."""
+    try:
+        df = spark.read.parquet(f"{folder}/{table}")
+    except AnalysisException as failed:
+        # a write of no rows into partition folders leaves the folder but no file to take a schema from
+        if failed.getCondition() != "UNABLE_TO_INFER_SCHEMA" or pointer.folders(spark, f"{folder}/{table}"):
+            raise
+        df = conform(spark.createDataFrame([], "__none string"), table)
     if table not in S.TABLES:
         return df
     declared = {c.name: S.spark_type(c.dtype) for c in S.columns(table)}

@@ -573,6 +573,10 @@ HISTORY = {
 # Load order: reference tables, dimensions, bridges, facts.
 LOAD_ORDER = list(TABLES)
 
+# Array column that carries ``type:column`` tags from the raw values to the
+# split into good and rejected rows.
+MISFITS = "__misfits"
+
 
 def columns(name: str) -> list[Col]:
     return TABLES[name][1]

@@ -25,11 +25,14 @@ size of the snapshot.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgermart.operators.history import MILESTONES, accumulate_alerts, derive_alert_measures
+from ledgermart.sources import pointer
 
 EVENT_SCHEMA = "alert_id bigint, milestone string, milestone_ts timestamp_ntz"
 
@@ -44,10 +47,13 @@ def milestone_state(events: DataFrame) -> DataFrame:
 
 
 def current_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The snapshot version the pointer names, or None before the first batch."""
-    try:
-        version = spark.read.json(f"{root}/_current").first()["version"]
-    except Exception:  # no pointer yet
+    """The snapshot version the pointer names, or None before the first
+    batch.  A pointer that is lost while versions are there is an error, not
+    a first batch: merging without them would replace history."""
+    version = pointer.current(spark, root)
+    if version is None:
+        if any(name.startswith("v") for name in pointer.folders(spark, root)):
+            raise RuntimeError(f"{root} holds snapshot versions but no complete pointer")
         return None
     return spark.read.parquet(f"{root}/{version}")
 
@@ -57,9 +63,12 @@ def merge_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     spark = batch.sparkSession
     existing = current_snapshot(spark, root)
     merged = accumulate_alerts(existing, batch)
-    version = f"v{batch_id:010d}"
-    merged.write.mode("overwrite").parquet(f"{root}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/_current")
+    version = f"v{batch_id:010d}-{uuid.uuid4().hex[:8]}"  # a replayed batch never rewrites what it reads
+    if existing is None:  # not a version until it is published: a crash before that leaves a first batch
+        version = f"first-{version}"
+    merged.write.parquet(f"{root}/{version}")
+    pointer.publish(spark, root, version)
+    pointer.drop_older(spark, root)
 
 
 def _bucket(n: int):
@@ -67,10 +76,9 @@ def _bucket(n: int):
 
 
 def read_bucketed_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(root).drop("alert_bucket")
-    except Exception:  # nothing written yet
+    if not pointer.exists(spark, root):  # nothing written yet
         return None
+    return spark.read.parquet(root).drop("alert_bucket")
 
 
 def merge_batch_bucketed(batch: DataFrame, batch_id: int, root: str, buckets: int) -> None:
@@ -81,10 +89,9 @@ def merge_batch_bucketed(batch: DataFrame, batch_id: int, root: str, buckets: in
     touched = [r[0] for r in batch.select(_bucket(buckets)).distinct().collect()]   # at most ``buckets`` values
     if not touched:
         return
-    try:
+    existing = None
+    if pointer.exists(spark, root):  # any failure to read what is there stops the batch
         existing = spark.read.parquet(root).filter(F.col("alert_bucket").isin(touched)).drop("alert_bucket")
-    except Exception:  # first batch
-        existing = None
     merged = accumulate_alerts(existing, batch).withColumn("alert_bucket", _bucket(buckets))
     # cut the lineage to the files about to be replaced, then overwrite just those buckets
     staged = materialize(merged, f"alerts-{batch_id}")

@@ -452,15 +452,6 @@ def test_current_and_as_of_views(spark):
     assert sorted(r.v for r in history.as_of_view(dim, "2021-01-01").collect()) == ["b", "c"]
 
 
-def test_sized_broadcast_checks_the_count(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    j_small = spark.range(100).join(joins.sized_broadcast(small, max_rows=100), "id")
-    j_big = spark.range(100).join(joins.sized_broadcast(big, max_rows=100), "id")
-    assert "BroadcastHashJoin" in j_small._jdf.queryExecution().executedPlan().toString()
-    assert j_big.count() == 100 and j_small.count() == 10
-
-
 def test_anti_semi_project_and_single_rule_checks(spark):
     facts = df(spark, [(1,), (2,), (None,)], "k long")
     dim = df(spark, [(1, "x")], "k long, name string")
