@@ -36,6 +36,12 @@ def exact_avg(x: Column | str) -> Column:
     return F.sum(x).cast("double") / F.nullif(F.count(x), F.lit(0))
 
 
+def merged_avg(total: Column | str, n: Column | str) -> Column:
+    """:func:`exact_avg` over groups that were added up before: the sum of
+    their sums over the sum of their counts."""
+    return F.sum(_c(total)).cast("double") / F.nullif(F.sum(_c(n)), F.lit(0))
+
+
 def cond_sum(pred: Column, x: Column | str, scale: int = 2) -> Column:
     """``SUM(CASE WHEN pred THEN x ELSE 0 END)``: 0 when nothing matches."""
     return F.sum(F.when(pred, _c(x)).otherwise(F.lit(0))).cast(f"decimal(38,{scale})")

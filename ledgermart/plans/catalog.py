@@ -204,6 +204,44 @@ def alert_milestones(f):
     return history.accumulate_alerts(None, f["alert_milestone_events"])
 
 
+def alert_milestones_merged(f):
+    """H5 with a stored snapshot: the events of the first half of each month
+    are accumulated, the others merged in; the result equals one pass over
+    all events."""
+    e = f["alert_milestone_events"]
+    early = F.dayofmonth("milestone_ts") <= 15
+    stored = history.accumulate_alerts(None, e.filter(early))
+    return history.accumulate_alerts(stored, e.filter(~early))
+
+
+def load_rejects(f):
+    """Q7/Q10 before the cast: accounts as text with planted misfits, counted
+    by the reason of their rejection."""
+    a, k = f["dim_account"], F.col("account_sk")
+    raw = a.select(*[F.col(c).cast("string").alias(c) for c in ("account_sk", "account_type")],
+                   F.when(k % 97 == 5, F.lit("abc")).otherwise(F.col("customer_sk").cast("string")).alias("customer_sk"),
+                   F.when(k % 83 == 11, F.lit("99999999999")).otherwise(F.col("currency_sk").cast("string")).alias("currency_sk"),
+                   F.when(k % 89 == 7, F.lit("maybe")).otherwise(F.col("is_current_record").cast("string")).alias("is_current_record"),
+                   F.when(k % 79 == 3, F.lit("OPENED")).otherwise(F.lit("ACTIVE")).alias("account_status"),
+                   F.when(k % 71 == 2, F.lit("2024-02-30")).otherwise(F.lit("2024-02-29")).alias("open_date"),
+                   F.when(k % 73 != 1, k.cast("string")).alias("account_nk"))
+    typed = load.conform(load.with_misfits(raw, "dim_account"), "dim_account", add_missing=False)
+    _, rejected = quality.split_valid(typed, "dim_account")
+    return (rejected.select(F.explode("reject_reasons").alias("reason")).groupBy("reason")
+            .agg(F.count(F.lit(1)).alias("rejected_rows")))
+
+
+def gl_closing_balance(f):
+    """D9 closing rule over the transactions: accounts with an odd key are
+    credit-normal, the others debit-normal."""
+    t = f["fact_transaction"]
+    amount, credit = F.col("amount_txn_ccy"), F.col("is_credit")
+    side = F.when(F.col("account_sk") % 2 == 1, F.lit("CREDIT")).otherwise(F.lit("DEBIT"))
+    g = t.groupBy("account_sk").agg(F.sum(F.when(~credit, amount)).alias("debits"), F.sum(F.when(credit, amount)).alias("credits"))
+    return g.select("account_sk", derive.gl_closing(F.lit(100).cast("decimal(20,2)"), "debits", "credits", side)
+                    .cast("decimal(38,2)").alias("closing_balance"))
+
+
 def alert_milestone_calendar(f):
     """J5 with one alias per milestone: the accumulating alert snapshot
     joined to the date dimension once per milestone role."""
@@ -250,4 +288,7 @@ QUERIES.update({name: _on_frames(fn) for name, fn in {
     "alert_milestones": alert_milestones,
     "orders_customer_version": orders_customer_version,
     "alert_milestone_calendar": alert_milestone_calendar,
+    "alert_milestones_merged": alert_milestones_merged,
+    "load_rejects": load_rejects,
+    "gl_closing_balance": gl_closing_balance,
 }.items()})

@@ -27,7 +27,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermart.functions.metrics import cond_count, cond_sum, count_pct, dec_sum, exact_avg, safe_pct
+from ledgermart.functions.metrics import cond_count, cond_sum, count_pct, dec_sum, exact_avg, merged_avg, safe_pct
 from ledgermart.operators.joins import current, currency_rates, hinted, join_dim, latest_only
 
 Frames = Mapping[str, DataFrame]
@@ -113,19 +113,25 @@ def credit_risk_portfolio(frames: Frames, snapshot_date: str | None = None) -> D
     x = join_dim(loans, dates, "snapshot_date_sk", "date_sk", {"full_date": "snapshot_date"}, name="dim_date")
     x = join_dim(x, frames["dim_customer"], "customer_sk", "customer_sk",
                  {"customer_segment": "customer_segment"}, current_only=True, name="dim_customer")
+    # add up per product key first: what meets the products is groups, not loans
+    keys = ["snapshot_date", "customer_segment", "credit_grade", "ifrs9_stage", "dpd_bucket"]
+    averaged = ["ecl_pd", "ecl_lgd", "loan_to_value_ratio"]
+    x = x.groupBy(*keys, "product_sk").agg(
+        F.count(F.lit(1)).alias("loans"), F.sum("total_outstanding_rcy").alias("exposure"),
+        F.sum("ecl_provision_amount").alias("provision"),
+        F.sum(F.when(F.col("is_npl_flag"), F.col("total_outstanding_rcy")).otherwise(F.lit(0))).alias("npl"),
+        *[F.sum(c).alias(f"{c}_sum") for c in averaged], *[F.count(c).alias(f"{c}_n") for c in averaged])
     x = join_dim(x, frames["dim_product"], "product_sk", "product_sk",
                  {"product_sub_category": "loan_type"}, name="dim_product")
-    npl = cond_sum(F.col("is_npl_flag"), "total_outstanding_rcy")
-    return x.groupBy("snapshot_date", "loan_type", "customer_segment", "credit_grade", "ifrs9_stage",
-                     "dpd_bucket").agg(
-        F.count(F.lit(1)).alias("loan_count"),
-        dec_sum("total_outstanding_rcy").alias("total_exposure_usd"),
-        dec_sum("ecl_provision_amount").alias("total_ecl_provision"),
-        exact_avg("ecl_pd").alias("avg_pd"),
-        exact_avg("ecl_lgd").alias("avg_lgd"),
-        exact_avg("loan_to_value_ratio").alias("avg_ltv"),
-        npl.alias("npl_exposure_usd"),
-        safe_pct(npl, F.sum("total_outstanding_rcy")).alias("npl_ratio_pct"),
+    return x.groupBy("snapshot_date", "loan_type", *keys[1:]).agg(
+        F.sum("loans").alias("loan_count"),
+        dec_sum("exposure").alias("total_exposure_usd"),
+        dec_sum("provision").alias("total_ecl_provision"),
+        merged_avg("ecl_pd_sum", "ecl_pd_n").alias("avg_pd"),
+        merged_avg("ecl_lgd_sum", "ecl_lgd_n").alias("avg_lgd"),
+        merged_avg("loan_to_value_ratio_sum", "loan_to_value_ratio_n").alias("avg_ltv"),
+        dec_sum("npl").alias("npl_exposure_usd"),
+        safe_pct(dec_sum("npl"), F.sum("exposure")).alias("npl_ratio_pct"),
     )
 
 
@@ -183,20 +189,25 @@ def aml_compliance(frames: Frames, severity: str | None = None) -> DataFrame:
     x = join_dim(x, frames["dim_customer"], "subject_customer_sk", "customer_sk",
                  {"customer_segment": "customer_segment", "risk_rating": "customer_risk_rating"},
                  how="left", current_only=True, name="dim_customer")
+    # add up per branch key first: what meets the branches is groups, not alerts
+    keys = ["alert_generated_date", "rule_name", "rule_category", "alert_type", "alert_severity", "alert_status",
+            "generated_by", "customer_segment", "customer_risk_rating"]
+    averaged = ["ml_risk_score", "days_to_close", "days_to_assign"]
+    x = x.groupBy(*keys, "branch_sk").agg(
+        F.count(F.lit(1)).alias("alerts"), F.sum("alert_amount_rcy").alias("amount"),
+        cond_count(F.col("is_false_positive")).alias("false_positives"), cond_count(F.col("is_sar_filed")).alias("sars"),
+        *[F.sum(c).alias(f"{c}_sum") for c in averaged], *[F.count(c).alias(f"{c}_n") for c in averaged])
     x = join_dim(x, frames["dim_branch"], "branch_sk", "branch_sk", {"region_name": "region_name"},
                  how="left", current_only=True, name="dim_branch")
-    fp = cond_count(F.col("is_false_positive"))
-    return x.groupBy("alert_generated_date", "rule_name", "rule_category", "alert_type", "alert_severity",
-                     "alert_status", "generated_by", "customer_segment", "customer_risk_rating",
-                     "region_name").agg(
-        F.count(F.lit(1)).alias("alert_count"),
-        exact_avg("ml_risk_score").alias("avg_ml_score"),
-        dec_sum("alert_amount_rcy").alias("total_alert_amount_usd"),
-        fp.alias("false_positive_count"),
-        cond_count(F.col("is_sar_filed")).alias("sar_filed_count"),
-        count_pct(fp, F.count(F.lit(1))).alias("false_positive_rate_pct"),
-        exact_avg("days_to_close").alias("avg_days_to_close"),
-        exact_avg("days_to_assign").alias("avg_days_to_assign"),
+    return x.groupBy(*keys, "region_name").agg(
+        F.sum("alerts").alias("alert_count"),
+        merged_avg("ml_risk_score_sum", "ml_risk_score_n").alias("avg_ml_score"),
+        dec_sum("amount").alias("total_alert_amount_usd"),
+        F.sum("false_positives").alias("false_positive_count"),
+        F.sum("sars").alias("sar_filed_count"),
+        count_pct(F.sum("false_positives"), F.sum("alerts")).alias("false_positive_rate_pct"),
+        merged_avg("days_to_close_sum", "days_to_close_n").alias("avg_days_to_close"),
+        merged_avg("days_to_assign_sum", "days_to_assign_n").alias("avg_days_to_assign"),
     )
 
 

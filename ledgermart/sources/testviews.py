@@ -219,7 +219,9 @@ def fact_account_balance_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lineitem_orders(spark: SparkSession, sf_dir: str, li_cols: list[str]) -> DataFrame:
     li = read_test_table(spark, sf_dir, "lineitem").select(*li_cols)
     o = read_test_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return li.join(o, F.col("o_orderkey") == F.col("l_orderkey"))
+    # every line has its order, so this equals an inner join; as a left join
+    # Spark drops it where only columns of the line are asked for
+    return li.join(o, F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
 
 def _fact_customer_sk() -> Column:

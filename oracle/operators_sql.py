@@ -325,5 +325,19 @@ select o.o_orderkey, o.o_custkey, cast(o.o_orderdate as date) as order_date, v.c
 from orders o left join customer_versions v on v.customer_nk = o.o_custkey
   and v.effective_from_date <= cast(o.o_orderdate as date)
   and (v.effective_to_date is null or cast(o.o_orderdate as date) < v.effective_to_date)
+""",
+    "load_rejects": """
+select reason, count(*) as rejected_rows from (select unnest([
+    case when account_sk % 97 = 5 then 'type:customer_sk' end, case when account_sk % 83 = 11 then 'type:currency_sk' end,
+    case when account_sk % 89 = 7 then 'type:is_current_record' end, case when account_sk % 89 = 7 then 'not_null:is_current_record' end,
+    case when account_sk % 79 = 3 then 'domain:account_status' end, case when account_sk % 71 = 2 then 'type:open_date' end,
+    case when account_sk % 73 = 1 then 'not_null:account_nk' end]) as reason from dim_account)
+where reason is not null group by reason
+""",
+    "gl_closing_balance": """
+select account_sk, cast(100 + sum(amount_txn_ccy * (case when is_credit = (account_sk % 2 = 1) then 1 else -1 end)) as decimal(38,2))
+       as closing_balance
+from fact_transaction group by account_sk
 """,
 }
+OPERATORS["alert_milestones_merged"] = OPERATORS["alert_milestones"]
