@@ -12,18 +12,21 @@ group, and similar sets share one.  ``slack`` further groups guarantee
 1 + slack groups that share one.
 
 1. Documents with equal sets become one node.
-2. Signatures that two different nodes share are kept.  A signature shared
-   by more than ``CROWD`` nodes is crowded (a passage that many documents
-   quote, or many copies); a node with crowded signatures in no more than
-   ``slack`` groups leaves them, as a partner must meet it in another group.
-   This loses nothing: if both nodes stay, they still meet.
+2. Signatures that two different nodes share are kept, of nodes that share
+   them in 1 + slack groups or more: documents that only quote a common
+   passage go here.  A signature shared by more than ``CROWD`` nodes is
+   crowded; a node with crowded signatures in no more than ``slack`` groups
+   leaves them, as a partner must meet it in another group.  This loses
+   nothing: if both nodes stay, they still meet.
 3. In every signature each node is compared with one centre, the node with
-   most company, and linked nodes become components; again with further
-   centres, only where a signature still spans several components.  What is
-   left is compared across components.  So a group of copies costs about one
-   comparison a copy, not one a pair, and every candidate pair is either
-   compared or already joined: the components are exact.
-4. Comparisons are exact, on the whole sets, in 100 * |a & b| >= pct * |a | b|.
+   most company, and linked nodes become components; again with another
+   centre, only where a signature still spans several components.  What is
+   left is joined by its differences from the first centre (rest_pairs).
+   So a group of copies costs about one comparison a copy, not one a pair,
+   and every candidate pair is compared, ruled out by a bound or already
+   joined: the components are exact.
+4. A pair must share signatures in 1 + slack groups to be compared at all.
+   Comparisons are exact, on the whole sets, in 100 * |a & b| >= pct * |a | b|.
 
 Defined cases: null, empty and blank texts have no shingles, link with
 nothing and are their own component; repeated rows each get a row; rows of
@@ -35,6 +38,7 @@ empty result; other columns are ignored, so their names cannot clash.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -43,7 +47,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermart.llm import words as W
@@ -51,7 +55,9 @@ from ledgermart.llm.common import col, text_of
 from ledgermart.session import materialize
 
 SHINGLE, PERCENT = 5, 80
-BAND_RATIO, COVERAGE, CROWD, CENTRES = 1.3, 3.5, 64, 3
+BAND_RATIO, COVERAGE, SLACK_SHARE, CROWD, CENTRES = 1.3, 2.2, 0.2, 64, 2
+#: The low bits of a signature hold its tag.
+TAGS = 127
 #: Stands for a null id inside the operator.
 NO_ID = -(2 ** 63)
 #: Sets of copies that a task remembers so as not to sign them again.
@@ -82,7 +88,7 @@ def plan(tag: int, percent: int) -> tuple[int, int, int, int]:
     ``COVERAGE`` elements each, or else the widest of a few."""
     low, high = bands(percent)[tag]
     least, k = max(1, math.ceil(low * percent / 100)), most_apart(high, percent)
-    slack = min(4, k // 12)
+    slack = int(k * SLACK_SHARE)
     best, widest = None, None
     for m in range(4):
         groups = math.ceil((k + 1) / (m + 1)) + slack
@@ -186,9 +192,9 @@ def _signed(shingle: int, percent: int):
                     if len(seen) > SEEN_SETS:
                         seen.popitem(last=False)
                 at, place, signature = signatures(np.where(fresh, sizes, 0), value[np.repeat(fresh, sizes)], percent)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(signature.view(np.int64)), pa.array(place), pa.array(node[at].view(np.int64))],
-                    ["signature", "place", "node"])
+                signature = (signature & ~np.uint64(TAGS)) | (place.astype(np.uint64) >> np.uint64(24))
+                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(node[at].view(np.int64))],
+                                                 ["signature", "node"])
     return run
 
 
@@ -219,6 +225,21 @@ def _similar(percent: int):
     return run
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements in which a node's set (y) and its centre's (x) differ."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            apart = [np.setxor1d(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in pair), assume_unique=True)
+                     for pair in zip(part.column("x"), part.column("y"))]
+            sizes = np.array([len(d) for d in apart], dtype=np.int64)
+            at = pa.array(np.repeat(np.arange(len(apart)), sizes))
+            flat = np.concatenate([*apart, np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([
+                *(part.column(c).take(at) for c in ("home", "node", "label", "n")), pa.array(np.repeat(sizes, sizes)),
+                pa.array(flat.view(np.int64))], ["home", "node", "label", "n", "size", "element"])
+
+
 # --- components -------------------------------------------------------------
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,31 +265,58 @@ def components(edges: DataFrame) -> DataFrame:
 
 # --- the join ---------------------------------------------------------------
 
+def _step(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table and let Spark's cleaner drop the shuffle
+    files of what led to it: it does so when the driver collects garbage."""
+    out = materialize(df, label)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def _shared(rows: DataFrame, key: str = "signature", of: str = "node") -> DataFrame:
     """Rows of signatures that hold at least two different values."""
     ends = rows.groupBy(key).agg(F.min(of).alias("lo"), F.max(of).alias("hi")).filter("lo < hi").select(key)
     return rows.join(ends, key)
 
 
-def candidates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(signature, place, node) shared by two nodes, crowded ones left
-    where the slack allows."""
-    signed = docs.mapInArrow(_signed(shingle, percent), "signature long, place long, node long")
+def _tag() -> Column:
+    return F.col("signature").bitwiseAND(F.lit(TAGS)).cast("int")
+
+
+def _slack(percent: int) -> Column:
+    """The slack of a signature's tag."""
+    return F.get(F.array(*[F.lit(plan(t, percent)[3]) for t in range(len(bands(percent)))]), F.col("tag"))
+
+
+def live_signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(signature, node) shared by two nodes, of nodes that share more
+    signatures of the tag than the slack, as a partner must."""
+    signed = docs.mapInArrow(_signed(shingle, percent), "signature long, node long")
     by = Window.partitionBy("signature")
-    live = (signed.withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by))
-            .filter("lo < hi").select("signature", "place", "node").distinct())
-    live = materialize(live, "signatures")
+    live = (signed.withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).filter("lo < hi")
+            .select("signature", "node").distinct())
+    live = _step(live, "signatures").withColumn("tag", _tag())
+    enough = live.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _slack(percent))
+    return _step(_shared(live.join(enough.select("node", "tag"), ["node", "tag"]).select("signature", "node")), "signatures")
+
+
+def candidates(live: DataFrame, percent: int) -> DataFrame:
+    """(signature, node) without the crowded ones that the slack allows to leave."""
     crowd = live.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("signature")
-    tags = [t for t in range(len(bands(percent))) if plan(t, percent)[3] > 0]
-    slack = F.lit(0)
-    for s in sorted({plan(t, percent)[3] for t in tags}):
-        first = min(t for t in tags if plan(t, percent)[3] == s)
-        slack = F.when(F.shiftright("place", 24) >= first, F.lit(s)).otherwise(slack)
-    crowded = live.join(crowd, "signature").withColumn("tag", F.shiftright("place", 24))
-    pressed = crowded.groupBy("node", "tag").agg(F.countDistinct("place").alias("groups"), F.max(slack).alias("slack"))
-    stay = crowded.join(pressed.filter("groups > slack").select("node", "tag"), ["node", "tag"]).select("signature", "place", "node")
-    calm = live.join(crowd, "signature", "left_anti").select("signature", "place", "node")
-    return materialize(_shared(calm.union(stay)).select("signature", "node").distinct(), "candidates")
+    crowded = live.join(crowd, "signature").withColumn("tag", _tag())
+    pressed = crowded.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _slack(percent))
+    stay = crowded.join(pressed.select("node", "tag"), ["node", "tag"]).select("signature", "node")
+    calm = live.join(crowd, "signature", "left_anti")
+    return _step(_shared(calm.union(stay)), "candidates")
+
+
+def promising(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, tag) that share more signatures than the slack."""
+    with_a = pairs.join(vectors.select(F.col("node").alias("a"), "tag", F.col("own").alias("x")), ["a", "tag"])
+    with_b = with_a.join(vectors.select(F.col("node").alias("b"), "tag", F.col("own").alias("y")), ["b", "tag"])
+    return with_b.filter(F.size(F.array_intersect("x", "y")) > _slack(percent)).select("a", "b").distinct()
 
 
 def similar_pairs(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
@@ -280,34 +328,81 @@ def similar_pairs(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFr
     return near.mapInArrow(_similar(percent), "a long, b long")
 
 
-def link_nodes(rows: DataFrame, elements: DataFrame, percent: int, centres: int = CENTRES) -> DataFrame:
+def rest_pairs(left: DataFrame, homes: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that can still be similar, across components.
+
+    ``homes`` has the first centre c of every signature.  Let D(a) be the
+    elements in which a and c differ, and k the difference allowed.  a and b
+    differ in |D(a)| + |D(b)| - 2 |D(a) & D(b)| elements, and one of them is
+    further than allowed from c (else both are in c's component); hence
+    similar ones share at least t = (|D| (1 - r) - 1) / 2 elements of D for
+    either's |D|, with r = (100 - percent) / (100 + percent).  So they meet
+    on one of the |D| - t + 1 rarest elements of both.  Changes made to one
+    copy only are the rarest ones: copies that just share an origin with c
+    do not meet."""
+    home = homes.select("signature", F.col("centre").alias("home"))
+    near = _shared(left.join(home, "signature").select("home", "node", "label").distinct(), key="home", of="label")
+    x = elements.select(F.col("node").alias("home"), F.col("elements").alias("x"))
+    y = elements.select("node", F.col("elements").alias("y"), (F.length("elements") / 8).cast("long").alias("n"))
+    rows = _step(near.join(y, "node").join(x, "home").select("home", "node", "label", "n", "x", "y").mapInArrow(
+        _differences, "home long, node long, label long, n long, size long, element long"), "differences")
+    count = rows.groupBy("home", "element").agg(F.count(F.lit(1)).alias("often"))
+    ranked = rows.join(count, ["home", "element"]).withColumn("rank", F.row_number().over(
+        Window.partitionBy("home", "node").orderBy("often", "element")))
+    least = F.greatest(F.lit(1), F.floor((F.col("size") * (2 * percent) / (100 + percent) - 1) / 2))
+    prefix = ranked.filter((F.col("rank") <= F.col("size") - least + 1) & (F.col("often") > 1)).drop("often")
+    other = prefix.select("home", "element", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("n_b"),
+                          F.col("size").alias("size_b"), F.col("rank").alias("rank_b"))
+    met = prefix.join(other, ["home", "element"]).filter("node > b AND label <> other")
+    # what can follow the first shared element must reach the pair's own t
+    allowed = F.floor((F.col("n") + F.col("n_b")) * (100 - percent) / (100 + percent))
+    follow = F.least(F.col("size") - F.col("rank"), F.col("size_b") - F.col("rank_b"))
+    return met.filter(2 * (1 + follow) >= F.col("size") + F.col("size_b") - allowed).select(F.col("node").alias("a"), "b").distinct()
+
+
+def link_nodes(rows: DataFrame, vectors: DataFrame, elements: DataFrame, percent: int, centres: int = CENTRES) -> DataFrame:
     """(node, label) of all nodes linked to another one."""
     size = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
     company = rows.join(size, "signature").groupBy("node").agg(F.sum("n").alias("company"))
-    left = materialize(rows.join(company, "node").select("signature", "node", "company", F.col("node").alias("label")), "left")
-    edges = labels = None
-    for turn in range(centres + 1):
-        if turn < centres:  # everyone with the centre of the signature: most company, then least node
-            best = left.groupBy("signature").agg(F.max(F.struct(
-                F.col("company"), F.bitwise_not("node").alias("not_node"), F.col("label"))).alias("c"))
-            best = best.select("signature", F.bitwise_not("c.not_node").alias("centre"), F.col("c.label").alias("of_centre"))
-            pairs = left.join(best, "signature").filter("label <> of_centre").select(
-                F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
-        else:  # the rest, across components
-            other = left.select("signature", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = left.join(other, "signature").filter("node > b AND label <> other").select(F.col("node").alias("a"), "b")
-        found = materialize(similar_pairs(pairs.distinct(), elements, percent), "links")
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-        if turn == centres:
-            break
+    left = _step(rows.join(company, "node").select("signature", "node", "company", F.col("node").alias("label")), "left")
+    edges = labels = homes = None
+    for turn in range(centres):  # everyone with the centre of the signature: most company, then least node
+        best = left.groupBy("signature").agg(F.max(F.struct(
+            F.col("company"), F.bitwise_not("node").alias("not_node"), F.col("label"))).alias("c"))
+        best = _step(best.select("signature", F.bitwise_not("c.not_node").alias("centre"), F.col("c.label").alias("of_centre")), "centres")
+        homes = best if homes is None else homes
+        pairs = left.join(best, "signature").filter("label <> of_centre").select(
+            F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"), _tag().alias("tag"))
+        edges, labels = _linked(edges, labels, promising(pairs.distinct(), vectors, percent), elements, percent)
         # a centre has met everyone in its signature and leaves it
         met = best.select("signature", F.col("centre").alias("node"))
         known = left.drop("label").join(met, ["signature", "node"], "left_anti").join(labels, "node", "left")
-        left = materialize(_shared(known.withColumn("label", F.coalesce("label", "node")), of="label"), "left")
+        left = _step(_shared(known.withColumn("label", F.coalesce("label", "node")), of="label"), "left")
         if left.isEmpty():
-            break
-    return labels
+            return labels
+    # what is left: pair by pair where a signature has few nodes, by their differences from the centre elsewhere
+    full = left.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("signature")
+    few = left.join(full, "signature", "left_anti").select("signature", "node", "label")
+    other = few.select("signature", F.col("node").alias("b"), F.col("label").alias("other"))
+    pairs = few.join(other, "signature").filter("node > b AND label <> other").select(
+        F.col("node").alias("a"), "b", _tag().alias("tag"))
+    edges, labels = _linked(edges, labels, promising(pairs.distinct(), vectors, percent), elements, percent)
+    many = left.join(full, "signature", "left_semi")
+    if many.isEmpty():
+        return labels
+    return _linked(edges, labels, rest_pairs(many, homes, elements, percent), elements, percent)[1]
+
+
+def _linked(edges: DataFrame | None, labels: DataFrame | None, pairs: DataFrame, elements: DataFrame,
+            percent: int) -> tuple[DataFrame, DataFrame]:
+    """All links so far with those among ``pairs``, and the components."""
+    found = _step(similar_pairs(_step(pairs, "pairs"), elements, percent), "links")
+    if edges is None:
+        return found, components(found)
+    if found.isEmpty():
+        return edges, labels
+    edges = edges.union(found)
+    return edges, components(edges)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE,
@@ -315,16 +410,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_shingles, component_id) of every row."""
     d = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text_of(text_col).alias("body"))
     rows = materialize(d.mapInArrow(_nodes(shingle), "doc long, n_shingles long, node long"), "nodes")
-    shared = candidates(d.select("body"), shingle, percent)
-    if shared.isEmpty():
+    live = live_signatures(d.select("body"), shingle, percent)
+    if live.isEmpty():
         labelled = rows.withColumn("label", F.col("node"))
     else:
+        shared = candidates(live, percent)
+        # one set's own signatures
+        vectors = _step(live.withColumn("tag", _tag()).groupBy("node", "tag").agg(F.collect_list("signature").alias("own")), "vectors")
         # one text of each node in question: the least document's
         firsts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
-        wanted = firsts.join(shared.select("node").distinct(), "node").select("doc").distinct()
+        wanted = _step(firsts.join(shared.select("node").distinct(), "node").select("doc").distinct(), "wanted")
         texts = d.join(wanted, "doc", "left_semi").withColumn("text_key", F.xxhash64("body")).dropDuplicates(["doc", "text_key"])
-        elements = materialize(texts.select("body").mapInArrow(_whole_sets(shingle), "node long, elements binary"), "sets")
-        labels = link_nodes(shared, elements, percent)
+        elements = _step(texts.select("body").mapInArrow(_whole_sets(shingle), "node long, elements binary"), "sets")
+        labels = link_nodes(shared, vectors, elements, percent)
         labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = labelled.filter("label IS NOT NULL").groupBy("label").agg(
         F.min(F.when(F.col("doc") != NO_ID, F.col("doc"))).alias("component_id"))

@@ -44,7 +44,7 @@ KINDS = [*BASE_KINDS, "secret"]
 MAX_ATOMS = 14
 SAMPLE, SAMPLE_ATOMS = 400, 60
 GAP, MARGIN, WORD = 40, 24, 200
-MIN_POSTERIOR = 0.9
+MIN_POSTERIOR = 0.6
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
@@ -271,7 +271,7 @@ def silver(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def train(texts: list[str], rounds: int = 40, rate: float = 0.3, penalty: float = 0.02) -> Model:
+def train(texts: list[str], rounds: int = 60, rate: float = 0.3, penalty: float = 0.01) -> Model:
     """Conditional likelihood over the sample by adaptive gradient steps."""
     plan = []
     blank = Model()

@@ -51,9 +51,9 @@ OP7 = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
-  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-  sum(length('<|im_start|>') + length(role) + 1 + length('<|im_end|>') + 1 + length(regexp_replace(text,
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(length('<|im_start|>') + length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + 1 + length('<|im_end|>') + 1 + length(regexp_replace(text,
     '([<\[])(\\*)(\|[A-Za-z_]+\|>|/?s>|/?INST\]|<?/?SYS>>)', '\1\2\\\3', 'g'))) AS formatted_chars
   FROM r GROUP BY conv_id)
 SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256,
