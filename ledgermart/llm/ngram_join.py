@@ -20,7 +20,7 @@ group, and similar sets share one.  ``slack`` further groups guarantee
    nothing: if both nodes stay, they still meet.
 3. In every signature each node is compared with one centre, the node with
    most company, and linked nodes become components; again with another
-   centre, only where a signature still spans several components.  What is
+   centre (``CENTRES`` in all), only where a signature still spans several components.  What is
    left is joined by its differences from the first centre (rest_pairs).
    So a group of copies costs about one comparison a copy, not one a pair,
    and every candidate pair is compared, ruled out by a bound or already
@@ -55,7 +55,7 @@ from ledgermart.llm.common import col, text_of
 from ledgermart.session import materialize
 
 SHINGLE, PERCENT = 5, 80
-BAND_RATIO, COVERAGE, SLACK_SHARE, CROWD, CENTRES = 1.3, 2.2, 0.2, 64, 2
+BAND_RATIO, COVERAGE, SLACK_SHARE, CROWD, CENTRES = 1.3, 2.2, 0.2, 64, 1
 #: The low bits of a signature hold its tag.
 TAGS = 127
 #: Stands for a null id inside the operator.
@@ -192,9 +192,12 @@ def _signed(shingle: int, percent: int):
                     if len(seen) > SEEN_SETS:
                         seen.popitem(last=False)
                 at, place, signature = signatures(np.where(fresh, sizes, 0), value[np.repeat(fresh, sizes)], percent)
-                signature = (signature & ~np.uint64(TAGS)) | (place.astype(np.uint64) >> np.uint64(24))
-                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(node[at].view(np.int64))],
-                                                 ["signature", "node"])
+                tag = place >> 24
+                signature = (signature & ~np.uint64(TAGS)) | tag.astype(np.uint64)
+                own = tag == np.searchsorted([b[1] for b in bands(percent)], sizes)[at]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(signature.view(np.int64)), pa.array(node[at].view(np.int64)), pa.array(own)],
+                    ["signature", "node", "own"])
     return run
 
 
@@ -225,19 +228,31 @@ def _similar(percent: int):
     return run
 
 
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The elements in which a node's set (y) and its centre's (x) differ."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            apart = [np.setxor1d(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in pair), assume_unique=True)
-                     for pair in zip(part.column("x"), part.column("y"))]
-            sizes = np.array([len(d) for d in apart], dtype=np.int64)
-            at = pa.array(np.repeat(np.arange(len(apart)), sizes))
-            flat = np.concatenate([*apart, np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([
-                *(part.column(c).take(at) for c in ("home", "node", "label", "n")), pa.array(np.repeat(sizes, sizes)),
-                pa.array(flat.view(np.int64))], ["home", "node", "label", "n", "size", "element"])
+def _differences(percent: int):
+    """The prefix of the elements in which a node's set (y) and its centre's
+    (x) differ: those that only the node has, then those it lacks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part, prefixes, sizes = batch.slice(a, 256), [], []
+                for x, y in zip(part.column("x"), part.column("y")):
+                    x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                    apart = np.concatenate([np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)])
+                    if len(apart) * (100 + percent) <= (len(x) + len(y)) * (100 - percent):  # similar to the centre
+                        least = (len(apart) * 2 * percent // (100 + percent) - 1) // 2
+                    else:
+                        least = len(apart) - len(y) * (100 - percent) // percent
+                    prefixes.append(apart[:len(apart) - max(1, least) + 1])
+                    sizes.append(len(apart))
+                many = np.array([len(p) for p in prefixes], dtype=np.int64)
+                at = pa.array(np.repeat(np.arange(len(many)), many))
+                rank = np.concatenate([np.arange(1, m + 1) for m in many] or [np.zeros(0, np.int64)])
+                flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)])
+                yield pa.RecordBatch.from_arrays([
+                    *(part.column(c).take(at) for c in ("home", "node", "label", "n")),
+                    pa.array(np.repeat(np.array(sizes, dtype=np.int64), many)), pa.array(rank), pa.array(flat.view(np.int64))],
+                    ["home", "node", "label", "n", "size", "rank", "element"])
+    return run
 
 
 # --- components -------------------------------------------------------------
@@ -247,8 +262,12 @@ def components(edges: DataFrame) -> DataFrame:
     node of the component.  Alternating star contraction: every round joins
     each node's neighbours to its least one, by joins and minima only."""
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    mark = None
     while True:
+        # done when every node has one edge down and none of these leads to a node that has one
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            now.select("b", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        if ends.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
+            break
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, both["a"] == least["u"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -256,9 +275,6 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, large["a"] == least["u"])
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).distinct()
         now = materialize(small, "edges")
-        was, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == was:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
         now.select("b", "b").distinct())
 
@@ -291,12 +307,13 @@ def _slack(percent: int) -> Column:
 
 
 def live_signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(signature, node) shared by two nodes, of nodes that share more
-    signatures of the tag than the slack, as a partner must."""
-    signed = docs.mapInArrow(_signed(shingle, percent), "signature long, node long")
+    """(signature, node) shared by two nodes, one at least of the tag's own
+    band (two of the band before meet under their own tag), of nodes that
+    share more signatures of the tag than the slack, as a partner must."""
+    signed = docs.mapInArrow(_signed(shingle, percent), "signature long, node long, own boolean")
     by = Window.partitionBy("signature")
-    live = (signed.withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).filter("lo < hi")
-            .select("signature", "node").distinct())
+    live = (signed.withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by))
+            .withColumn("own", F.max("own").over(by)).filter("lo < hi AND own").select("signature", "node").distinct())
     live = _step(live, "signatures").withColumn("tag", _tag())
     enough = live.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _slack(percent))
     return _step(_shared(live.join(enough.select("node", "tag"), ["node", "tag"]).select("signature", "node")), "signatures")
@@ -332,32 +349,32 @@ def rest_pairs(left: DataFrame, homes: DataFrame, elements: DataFrame, percent:
     """Pairs (a, b) that can still be similar, across components.
 
     ``homes`` has the first centre c of every signature.  Let D(a) be the
-    elements in which a and c differ, and k the difference allowed.  a and b
-    differ in |D(a)| + |D(b)| - 2 |D(a) & D(b)| elements, and one of them is
-    further than allowed from c (else both are in c's component); hence
-    similar ones share at least t = (|D| (1 - r) - 1) / 2 elements of D for
-    either's |D|, with r = (100 - percent) / (100 + percent).  So they meet
-    on one of the |D| - t + 1 rarest elements of both.  Changes made to one
-    copy only are the rarest ones: copies that just share an origin with c
-    do not meet."""
+    elements in which a and c differ.  a and b differ in |D(a)| + |D(b)| -
+    2 |D(a) & D(b)| elements; if they are similar this is at most k = r
+    (|a| + |b|) with r = (100 - percent) / (100 + percent), so they share at
+    least t = (|D(a)| + |D(b)| - k) / 2 elements of D.  One of them, say a,
+    is not similar to c, or both would be in c's component.  Then
+    t > (|D(b)| (1 - r) - 1) / 2 bounds t for a b similar to c, and, as
+    |D(b)| >= t, t >= |D(a)| - k with k <= |a| (100 - percent) / percent
+    bounds it for every a that is not.  So in any order a and b meet on one
+    of the first |D| - (bound) + 1 elements of both, and what follows the
+    first shared element must still reach t.  The order puts first what
+    only the node has and c has not: copies that just share an origin with
+    c do not meet there."""
     home = homes.select("signature", F.col("centre").alias("home"))
     near = _shared(left.join(home, "signature").select("home", "node", "label").distinct(), key="home", of="label")
     x = elements.select(F.col("node").alias("home"), F.col("elements").alias("x"))
     y = elements.select("node", F.col("elements").alias("y"), (F.length("elements") / 8).cast("long").alias("n"))
-    rows = _step(near.join(y, "node").join(x, "home").select("home", "node", "label", "n", "x", "y").mapInArrow(
-        _differences, "home long, node long, label long, n long, size long, element long"), "differences")
-    count = rows.groupBy("home", "element").agg(F.count(F.lit(1)).alias("often"))
-    ranked = rows.join(count, ["home", "element"]).withColumn("rank", F.row_number().over(
-        Window.partitionBy("home", "node").orderBy("often", "element")))
-    least = F.greatest(F.lit(1), F.floor((F.col("size") * (2 * percent) / (100 + percent) - 1) / 2))
-    prefix = ranked.filter((F.col("rank") <= F.col("size") - least + 1) & (F.col("often") > 1)).drop("often")
-    other = prefix.select("home", "element", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("n_b"),
-                          F.col("size").alias("size_b"), F.col("rank").alias("rank_b"))
-    met = prefix.join(other, ["home", "element"]).filter("node > b AND label <> other")
-    # what can follow the first shared element must reach the pair's own t
+    prefix = _step(near.join(y, "node").join(x, "home").select("home", "node", "label", "n", "x", "y").mapInArrow(
+        _differences(percent), "home long, node long, label long, n long, size long, rank long, element long"), "differences")
+    other = prefix.select(F.col("home").alias("home_b"), F.col("element").alias("element_b"), F.col("node").alias("b"),
+                          F.col("label").alias("other"), F.col("n").alias("n_b"), F.col("size").alias("size_b"),
+                          F.col("rank").alias("rank_b"))
     allowed = F.floor((F.col("n") + F.col("n_b")) * (100 - percent) / (100 + percent))
     follow = F.least(F.col("size") - F.col("rank"), F.col("size_b") - F.col("rank_b"))
-    return met.filter(2 * (1 + follow) >= F.col("size") + F.col("size_b") - allowed).select(F.col("node").alias("a"), "b").distinct()
+    met = prefix.join(other, (F.col("home") == F.col("home_b")) & (F.col("element") == F.col("element_b")) & (F.col("node") > F.col("b"))
+                      & (F.col("label") != F.col("other")) & (2 * (1 + follow) >= F.col("size") + F.col("size_b") - allowed))
+    return met.select(F.col("node").alias("a"), "b").distinct()
 
 
 def link_nodes(rows: DataFrame, vectors: DataFrame, elements: DataFrame, percent: int, centres: int = CENTRES) -> DataFrame:
@@ -386,11 +403,11 @@ def link_nodes(rows: DataFrame, vectors: DataFrame, elements: DataFrame, percent
     other = few.select("signature", F.col("node").alias("b"), F.col("label").alias("other"))
     pairs = few.join(other, "signature").filter("node > b AND label <> other").select(
         F.col("node").alias("a"), "b", _tag().alias("tag"))
-    edges, labels = _linked(edges, labels, promising(pairs.distinct(), vectors, percent), elements, percent)
+    pairs = promising(pairs.distinct(), vectors, percent)
     many = left.join(full, "signature", "left_semi")
-    if many.isEmpty():
-        return labels
-    return _linked(edges, labels, rest_pairs(many, homes, elements, percent), elements, percent)[1]
+    if not many.isEmpty():
+        pairs = pairs.union(rest_pairs(many, homes, elements, percent)).distinct()
+    return _linked(edges, labels, pairs, elements, percent)[1]
 
 
 def _linked(edges: DataFrame | None, labels: DataFrame | None, pairs: DataFrame, elements: DataFrame,

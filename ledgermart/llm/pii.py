@@ -42,7 +42,7 @@ BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "secret"]
 
 MAX_ATOMS = 14
-SAMPLE, SAMPLE_ATOMS = 400, 60
+SAMPLE, SAMPLE_ATOMS, THIN = 400, 60, 100
 GAP, MARGIN, WORD = 40, 24, 200
 MIN_POSTERIOR = 0.6
 
@@ -331,10 +331,14 @@ def find_spans(text: str, model: Model) -> list[tuple[str, int, int, bool]]:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE) -> Model:
     """Train on ``sample`` lines with a trigger, those with the least hash
-    (of up to 2,000 characters, so that what the driver gets is bounded)."""
+    (of up to 2,000 characters).  Before they are ranked, lines are thinned
+    by their hash to about ``THIN`` times the sample per document count, so
+    that what the tasks send does not grow with the corpus."""
+    share = min(1.0, sample * THIN / max(1, docs.count()))
     lines = docs.select(F.explode(F.split(text_of(text_col), "\n")).alias("line")).filter(
-        F.col("line").rlike("[0-9@]") & (F.length("line") <= 2000))
-    rows = (lines.select("line", F.xxhash64("line").alias("h")).orderBy("h", "line").limit(sample).collect())
+        F.col("line").rlike("[0-9@]") & (F.length("line") <= 2000)).withColumn("h", F.xxhash64("line"))
+    thin = lines.filter(F.pmod(F.col("h"), F.lit(1 << 20)) < share * (1 << 20))
+    rows = thin.orderBy("h", "line").limit(sample).collect()
     return train([r["line"] for r in rows])
 
 

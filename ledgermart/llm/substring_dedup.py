@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ledgermart.llm import words as W
 from ledgermart.llm.common import col, text_of
+from ledgermart.session import materialize
 
 GEAR_BYTES, CUT_BITS = 8, 2
 MIN_CHUNK, MAX_CUTLESS, MIN_RUN = 8, 64, 24
@@ -111,6 +112,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = d.mapInArrow(_chunk_rows(min_chunk), "doc long, start int, size int, digest long")
     owners = (rows.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
               .filter("owner < last").select("digest", "owner"))
+    owners = materialize(owners, "chunk-owners")  # a stored side lets Spark split hot digests in the join
     hits = rows.join(owners, "digest").select("doc", "start", (F.col("start") + F.col("size")).alias("end"), "owner")
     of_doc = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(of_doc.rowsBetween(Window.unboundedPreceding, -1))

@@ -87,6 +87,30 @@ def test_ngram_join_with_crowded_signatures(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rest_pairs_loses_no_similar_pair(spark, percent):
+    """Sets around a centre, many of them copies of one another's changes."""
+    rng = random.Random(percent)
+    centre = set(range(1, 121))
+    sets = {1: centre}
+    for k in range(2, 120):
+        base = set(sets[rng.choice(list(sets))]) if rng.random() < 0.7 else set(centre)
+        base -= set(rng.sample(sorted(base), rng.randrange(0, 14)))
+        sets[k] = base | {rng.randrange(1000, 10**9) for _ in range(rng.randrange(0, 14))}
+
+    def similar(x, y):
+        return 100 * len(x & y) >= percent * len(x | y)
+    label = {k: 1 if similar(s, centre) else k for k, s in sets.items()}
+    elements = spark.createDataFrame([(k, np.array(sorted(s), dtype=np.uint64).tobytes()) for k, s in sets.items()],
+                                     "node long, elements binary")
+    left = spark.createDataFrame([(5, k, label[k]) for k in sets if k != 1], "signature long, node long, label long")
+    homes = spark.createDataFrame([(5, 1)], "signature long, centre long")
+    pairs = ngram_join.rest_pairs(left, homes, elements, percent)
+    got = {(r["a"], r["b"]) for r in ngram_join.similar_pairs(pairs, elements, percent).collect()}
+    want = {(a, b) for a in sets for b in sets if a > b > 1 and label[a] != label[b] and similar(sets[a], sets[b])}
+    assert want and got == want
+
+
 def test_ngram_join_query_equals_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = QUERIES["op5_ngram_join"](spark, "/root/testdata/sf0.001").collect()
