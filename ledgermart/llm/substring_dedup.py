@@ -7,8 +7,10 @@ From every cut a chunk runs to the first cut at least ``min_chunk`` words
 on (chunks overlap, so two copies of a passage need not fall into step).
 Chunks are compared by the digest of their words; the document with the
 least id that has a chunk owns it.  Neighbouring repeated chunks form runs,
-and a run of at least ``min_run`` words is a repeated passage; it is
-removed wherever the document does not own all of it.
+and a run of at least ``min_run`` words is a repeated passage.  A word of it
+belongs to this document if one of the chunks over it does, or else to the
+least owner of these; words of others are removed.  So an owner keeps all
+of a chunk, and nothing vanishes from every document.
 
 Plan: chunk digests are reduced to (least, greatest document) with map-side
 combining, so a passage in a third of all documents is no hot spot; the
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermart.llm import words as W
@@ -103,40 +105,81 @@ def _chunk_rows(min_chunk: int):
     return run
 
 
+def _owned_ranges(min_run: int):
+    """Runs of each document's hits, cut where the owner of the words changes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            hits = batch.column("hits")
+            many = np.diff(hits.offsets.to_numpy())
+            start, end, owner = (x.to_numpy(zero_copy_only=False) for x in hits.flatten().flatten())
+            row = np.repeat(np.arange(len(many)), many)
+            docs = batch.column("doc").to_numpy()
+            reach = np.maximum.reduceat(end, np.cumsum(many) - many).astype(np.int64) + 1  # documents do not touch
+            base = np.cumsum(reach) - reach
+            points = np.unique(np.concatenate([start + base[row], end + base[row]]))
+            first, last = np.searchsorted(points, start + base[row]), np.searchsorted(points, end + base[row])
+            over = last - first  # a chunk lies over few pieces between points
+            piece = np.repeat(first - (np.cumsum(over) - over), over) + np.arange(over.sum())
+            mine, least = np.zeros(len(points), bool), np.full(len(points), np.iinfo(np.int64).max)
+            covered = np.zeros(len(points), bool)
+            covered[piece] = True
+            mine[piece[np.repeat(owner == docs[row], over)]] = True
+            np.minimum.at(least, piece, np.repeat(owner, over))
+            of = np.searchsorted(base, points, side="right") - 1
+            least[mine] = docs[of[mine]]
+            at = np.flatnonzero(covered)
+            new_run = np.append(True, ~covered[at[1:] - 1])
+            new = new_run | np.append(True, (mine[at[1:]] != mine[at[:-1]]) | (least[at[1:]] != least[at[:-1]]))
+
+            def ends(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                return points[at[new]], points[at[np.append(new[1:], True)] + 1]
+            (run_start, run_end), (a, b) = ends(new_run), ends(new)
+            in_run = (np.cumsum(new_run) - 1)[new]
+            long = (run_end - run_start >= min_run)[in_run]
+            in_run, a, b, at = in_run[long], a[long], b[long], at[new][long]
+            doc, back = docs[of[at]], base[of[at]]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(doc), *(pa.array((x - back).astype(np.int32)) for x in (run_start[in_run], run_end[in_run], a, b)),
+                pa.array(mine[at]), pa.array(least[at])],
+                ["doc", "passage_start", "passage_end", "start", "end", "owned", "owner"])
+    return run
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chunk: int = MIN_CHUNK,
                       min_run: int = MIN_RUN) -> DataFrame:
-    """(doc_id, start, end, owned, owner): word ranges (end exclusive) that
-    stand in other documents too; ``owned`` where all of it is kept here,
-    ``owner`` the least id that has part of it."""
+    """(doc_id, passage_start, passage_end, start, end, owned, owner): word
+    ranges (end exclusive) of one owner, which together make up a passage
+    that stands in other documents too; ``owned`` where it is kept here."""
     d = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text_of(text_col).alias("body"))
     rows = d.mapInArrow(_chunk_rows(min_chunk), "doc long, start int, size int, digest long")
     owners = (rows.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
               .filter("owner < last").select("digest", "owner"))
     owners = materialize(owners, "chunk-owners")  # a stored side lets Spark split hot digests in the join
     hits = rows.join(owners, "digest").select("doc", "start", (F.col("start") + F.col("size")).alias("end"), "owner")
-    of_doc = Window.partitionBy("doc").orderBy("start", "end")
-    reach = F.max("end").over(of_doc.rowsBetween(Window.unboundedPreceding, -1))
-    runs = (hits.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
-            .withColumn("run", F.sum("new").over(of_doc.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("owner").alias("owner")))
-    return runs.filter(F.col("end") - F.col("start") >= min_run).select(
-        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "start", "end",
-        (F.col("owner") == F.col("doc")).alias("owned"), F.when(F.col("owner") != NO_ID, F.col("owner")).alias("owner"))
+    of_doc = hits.groupBy("doc").agg(F.collect_set(F.struct("start", "end", "owner")).alias("hits"))
+    ranges = of_doc.mapInArrow(_owned_ranges(min_run), "doc long, passage_start int, passage_end int, start int, end int, "
+                               "owned boolean, owner long")
+    return ranges.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id").withColumn(
+        "owner", F.when(F.col("owner") != NO_ID, F.col("owner")))
 
 
 def passage_report(docs: DataFrame, **options) -> DataFrame:
     """One row per document with a repeated passage."""
     p = repeated_passages(docs, **options)
     n = F.col("end") - F.col("start")
+    whole = F.collect_set(F.struct(F.col("passage_start").alias("start"), F.col("passage_end").alias("end")))
     return p.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_passages"), F.sum(n).cast("long").alias("repeated_words"),
+        F.size(whole).cast("long").alias("n_passages"), F.sum(n).cast("long").alias("repeated_words"),
         F.sum(F.when(F.col("owned"), 0).otherwise(n)).cast("long").alias("removed_words"),
-        F.sort_array(F.collect_list(F.struct("start", "end", "owned"))).alias("passages"),
+        F.sort_array(whole).alias("passages"),
+        F.sort_array(F.collect_list(F.struct("start", "end", "owned"))).alias("ranges"),
         F.sort_array(F.collect_set("owner")).alias("owners"))
 
 
 def drop_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) without the passages that other documents own."""
+    """(doc_id, text) without the parts of passages that other documents own."""
     cuts = passages.filter(~F.col("owned")).groupBy(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("at")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
     d = docs.select(col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"),
@@ -149,10 +192,11 @@ def drop_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id",
             for w in W.words(batch.column("body"), letters=False):
                 offsets = np.cumsum([0, *(len(x.encode()) for x in said[w.rows])])
                 for i in range(len(w.first) - 1):
-                    raw, base, done, kept = said[w.rows.start + i].encode(), offsets[i], 0, []
+                    raw, base, done, kept, last = said[w.rows.start + i].encode(), offsets[i], 0, [], -1
                     for c in cut[w.rows.start + i] or []:
-                        kept.append(raw[done:w.start[w.first[i] + c["start"]] - base])
-                        done = w.end[w.first[i] + c["end"] - 1] - base
+                        if c["start"] != last:
+                            kept.append(raw[done:w.start[w.first[i] + c["start"]] - base])
+                        last, done = c["end"], w.end[w.first[i] + c["end"] - 1] - base
                     out.append(b"".join([*kept, raw[done:]]).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 

@@ -187,6 +187,38 @@ def test_passages_survive_insertions_and_are_dropped_once(spark):
     assert left[9] == rows[5][1] and left[10] == "" and left[11] == ""
 
 
+def _prose(n, seed):
+    r = random.Random(seed)
+    return [f"{r.choice('abcdefgh')}{r.randrange(9999)}" for _ in range(n)]
+
+
+def test_near_copies_with_other_edits_keep_every_part_once(spark):
+    text = _prose(300, 1)
+    edited = text[:100] + _prose(60, 2) + text[160:]
+    other = text[:230] + _prose(30, 3) + text[260:]
+    rows = [(1, " ".join(edited)), (5, " ".join(text)), (7, " ".join(text)), (8, " ".join(other))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    p = substring_dedup.repeated_passages(d)
+    left = [(r["doc_id"], spaced(r["text"])) for r in substring_dedup.drop_passages(d, p).collect()]
+    middle = text[110:150]
+    holds = {i for i, w in left if " ".join(middle) in " ".join(w)}
+    assert holds == {5} and not dict(left)[7]  # the edit of 1 stands in 5 alone; 7 has nothing of its own
+    assert dict(left)[1] == edited and _prose(30, 3)[10:20] == [w for w in dict(left)[8] if w in _prose(30, 3)[10:20]]
+    report = {r["doc_id"]: r for r in substring_dedup.passage_report(d).collect()}
+    assert report[7]["removed_words"] == 300 and 0 < report[5]["removed_words"] < 300 and report[1]["removed_words"] == 0
+    assert report[5]["owners"] == [1, 5]
+
+
+def test_passages_of_two_owners_in_one_run(spark):
+    text = _prose(160, 11)
+    rows = [(1, " ".join(_prose(40, 13) + text[:100])), (5, " ".join(text)), (7, " ".join(text[60:] + _prose(40, 14)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.drop_passages(d, substring_dedup.repeated_passages(d)).collect()}
+    late, early = " ".join(text[115:145]), " ".join(text[15:85])
+    assert late in left[5] and late not in left[7]
+    assert early in left[1] and early not in left[5]
+
+
 def test_gear_equals_the_rolling_loop():
     data = np.frombuffer(b"some bytes that roll along, and on" * 3, dtype=np.uint8)
     place = np.arange(len(data))
