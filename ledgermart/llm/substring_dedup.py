@@ -12,14 +12,18 @@ belongs to this document if one of the chunks over it does, or else to the
 least owner of these; words of others are removed.  So an owner keeps all
 of a chunk, and nothing vanishes from every document.
 
+A document is an id and the hash of its text; of unlike texts of one id, or
+without an id, the one of least hash comes first.
+
 Plan: chunk digests are reduced to (least, greatest document) with map-side
 combining, so a passage in a third of all documents is no hot spot; the
 repeated digests are joined back with a join whose hot keys Spark can
-split; only the chunks of one document ever meet in one task.
+split; only the distinct chunks of one document ever meet in one task.
 
 Defined cases: null and blank texts have no chunks; a text of fewer than
-``min_chunk`` words has none; null ids count as one document without an id;
-rows with the same id are one document; white space and the case of A-Z do
+``min_chunk`` words has none; a null id counts as less than all others;
+rows with the same id (or none) and text are one document, unlike texts of
+one id are documents of their own; white space and the case of A-Z do
 not matter; an empty table gives an empty result; other columns are
 ignored, so their names cannot clash.
 """
@@ -100,8 +104,8 @@ def _chunk_rows(min_chunk: int):
                 own = offsets[w.rows.start:w.rows.stop + 1]
                 text, start, size, digest = chunks(w, own - own[0], min_chunk)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc").take(pa.array(text + w.rows.start)), pa.array(start.astype(np.int32)),
-                    pa.array(size.astype(np.int32)), pa.array(digest.view(np.int64))], ["doc", "start", "size", "digest"])
+                    *(batch.column(c).take(pa.array(text + w.rows.start)) for c in ("doc", "text_key")), pa.array(start.astype(np.int32)),
+                    pa.array(size.astype(np.int32)), pa.array(digest.view(np.int64))], ["doc", "text_key", "start", "size", "digest"])
     return run
 
 
@@ -113,7 +117,7 @@ def _owned_ranges(min_run: int):
                 continue
             hits = batch.column("hits")
             many = np.diff(hits.offsets.to_numpy())
-            start, end, owner = (x.to_numpy(zero_copy_only=False) for x in hits.flatten().flatten())
+            start, end, owner, own = (x.to_numpy(zero_copy_only=False) for x in hits.flatten().flatten())
             row = np.repeat(np.arange(len(many)), many)
             docs = batch.column("doc").to_numpy()
             reach = np.maximum.reduceat(end, np.cumsum(many) - many).astype(np.int64) + 1  # documents do not touch
@@ -125,7 +129,7 @@ def _owned_ranges(min_run: int):
             mine, least = np.zeros(len(points), bool), np.full(len(points), np.iinfo(np.int64).max)
             covered = np.zeros(len(points), bool)
             covered[piece] = True
-            mine[piece[np.repeat(owner == docs[row], over)]] = True
+            mine[piece[np.repeat(own, over)]] = True
             np.minimum.at(least, piece, np.repeat(owner, over))
             of = np.searchsorted(base, points, side="right") - 1
             least[mine] = docs[of[mine]]
@@ -139,38 +143,47 @@ def _owned_ranges(min_run: int):
             in_run = (np.cumsum(new_run) - 1)[new]
             long = (run_end - run_start >= min_run)[in_run]
             in_run, a, b, at = in_run[long], a[long], b[long], at[new][long]
-            doc, back = docs[of[at]], base[of[at]]
+            back = base[of[at]]
             yield pa.RecordBatch.from_arrays([
-                pa.array(doc), *(pa.array((x - back).astype(np.int32)) for x in (run_start[in_run], run_end[in_run], a, b)),
+                *(batch.column(c).take(pa.array(of[at])) for c in ("doc", "text_key")), *(pa.array((x - back).astype(np.int32)) for x in (run_start[in_run], run_end[in_run], a, b)),
                 pa.array(mine[at]), pa.array(least[at])],
-                ["doc", "passage_start", "passage_end", "start", "end", "owned", "owner"])
+                ["doc", "text_key", "passage_start", "passage_end", "start", "end", "owned", "owner"])
     return run
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, doc, body, text_key): ``doc`` and ``text_key`` are the document."""
+    d = docs.select(col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
+    return d.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "body", F.xxhash64("body").alias("text_key"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chunk: int = MIN_CHUNK,
                       min_run: int = MIN_RUN) -> DataFrame:
-    """(doc_id, passage_start, passage_end, start, end, owned, owner): word
+    """(doc_id, text_key, passage_start, passage_end, start, end, owned, owner): word
     ranges (end exclusive) of one owner, which together make up a passage
     that stands in other documents too; ``owned`` where it is kept here."""
-    d = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text_of(text_col).alias("body"))
-    rows = d.mapInArrow(_chunk_rows(min_chunk), "doc long, start int, size int, digest long")
-    owners = (rows.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
-              .filter("owner < last").select("digest", "owner"))
+    d = _keyed(docs, id_col, text_col).select("doc", "text_key", "body")
+    rows = d.mapInArrow(_chunk_rows(min_chunk), "doc long, text_key long, start int, size int, digest long")
+    key = F.struct("doc", "text_key")
+    owners = (rows.groupBy("digest").agg(F.min(key).alias("owner"), F.max(key).alias("last"))
+              .filter("owner < last").select("digest", F.col("owner.doc").alias("owner"), F.col("owner.text_key").alias("owner_key")))
     owners = materialize(owners, "chunk-owners")  # a stored side lets Spark split hot digests in the join
-    hits = rows.join(owners, "digest").select("doc", "start", (F.col("start") + F.col("size")).alias("end"), "owner")
-    of_doc = hits.groupBy("doc").agg(F.collect_set(F.struct("start", "end", "owner")).alias("hits"))
-    ranges = of_doc.mapInArrow(_owned_ranges(min_run), "doc long, passage_start int, passage_end int, start int, end int, "
+    hits = rows.join(owners, "digest").select(
+        "doc", "text_key", "start", (F.col("start") + F.col("size")).alias("end"), "owner",
+        ((F.col("doc") == F.col("owner")) & (F.col("text_key") == F.col("owner_key"))).alias("own"))
+    of_doc = hits.groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "end", "owner", "own")).alias("hits"))
+    ranges = of_doc.mapInArrow(_owned_ranges(min_run), "doc long, text_key long, passage_start int, passage_end int, start int, end int, "
                                "owned boolean, owner long")
     return ranges.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id").withColumn(
         "owner", F.when(F.col("owner") != NO_ID, F.col("owner")))
 
 
 def passage_report(docs: DataFrame, **options) -> DataFrame:
-    """One row per document with a repeated passage."""
+    """One row per document (id and text) with a repeated passage."""
     p = repeated_passages(docs, **options)
     n = F.col("end") - F.col("start")
     whole = F.collect_set(F.struct(F.col("passage_start").alias("start"), F.col("passage_end").alias("end")))
-    return p.groupBy("doc_id").agg(
+    return p.groupBy("doc_id", "text_key").agg(
         F.size(whole).cast("long").alias("n_passages"), F.sum(n).cast("long").alias("repeated_words"),
         F.sum(F.when(F.col("owned"), 0).otherwise(n)).cast("long").alias("removed_words"),
         F.sort_array(whole).alias("passages"),
@@ -180,10 +193,9 @@ def passage_report(docs: DataFrame, **options) -> DataFrame:
 
 def drop_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) without the parts of passages that other documents own."""
-    cuts = passages.filter(~F.col("owned")).groupBy(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("at")).agg(
+    cuts = passages.filter(~F.col("owned")).groupBy(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc"), "text_key").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    d = docs.select(col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"),
-                    F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("at"))
+    d = _keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,4 +212,4 @@ def drop_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id",
                     out.append(b"".join([*kept, raw[done:]]).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return d.join(cuts, "at", "left").select("doc_id", "body", "cuts").mapInArrow(run, "doc_id long, text string")
+    return d.join(cuts, ["doc", "text_key"], "left").select("doc_id", "body", "cuts").mapInArrow(run, "doc_id long, text string")

@@ -219,6 +219,26 @@ def test_passages_of_two_owners_in_one_run(spark):
     assert early in left[1] and early not in left[5]
 
 
+def test_unlike_texts_of_one_id_are_documents_of_their_own(spark):
+    one, two, three = _prose(70, 21), _prose(70, 22), _prose(70, 23)
+    clean = _prose(90, 24)
+    rows = [(None, " ".join(_prose(30, 25) + one)), (None, " ".join(_prose(50, 26) + one)),  # only among rows without an id
+            (3, " ".join(two + clean)), (3, " ".join(_prose(45, 27) + two)), (3, " ".join(_prose(4, 28))),  # only within one id
+            (1, " ".join(_prose(20, 29) + three)), (8, " ".join(three + _prose(140, 30))), (8, " ".join(_prose(200, 31)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    p = substring_dedup.repeated_passages(d)
+    left = [(r["doc_id"], r["text"]) for r in substring_dedup.drop_passages(d, p).collect()]
+    assert len(left) == len(rows)
+    for passage in (one, two, three):
+        assert sum(" ".join(passage[12:58]) in t for _, t in left) == 1
+    for words in (clean, _prose(30, 25), _prose(50, 26), _prose(45, 27), _prose(4, 28), _prose(140, 30)):
+        assert sum(" ".join(words[8:-8] or words) in t for _, t in left) == 1
+    assert (8, rows[-1][1]) in left
+    report = substring_dedup.passage_report(d).collect()
+    assert sorted((r["doc_id"] or 0, r["removed_words"] > 0) for r in report) == [
+        (0, False), (0, True), (1, False), (3, False), (3, True), (8, True)]
+
+
 def test_gear_equals_the_rolling_loop():
     data = np.frombuffer(b"some bytes that roll along, and on" * 3, dtype=np.uint8)
     place = np.arange(len(data))
