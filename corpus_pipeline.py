@@ -6,9 +6,10 @@ any further columns the input has).  Stages are written as Parquet and read
 again between one another.
 
 Defined cases, for every stage: an empty table stays empty; null texts are
-empty texts (and stay null where text is returned); null ids are kept; of
-rows that repeat an id one stays in ``near_duplicates``; columns with
-unlike names pass through untouched.
+empty texts (and stay null where text is returned); null ids are kept, and
+in ``near_duplicates`` a row with or without an id goes only for its own
+text; unlike texts of one id stay, of rows with one id and no words one
+stays; columns with unlike names pass through untouched.
 
 SQL cannot express the compression classifier, the PII model or the BPE
 tables, so there is no oracle; the pipeline is tested against a brute-force
@@ -17,7 +18,7 @@ version.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermart.llm import bpe, decontaminate, pii
@@ -40,19 +41,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of every group linked by word 5-grams with a
-    Jaccard similarity of 0.8 or more, and one row of every id (the least
-    text hash)."""
-    joined = materialize(ngrams.ngram_join(docs), "components")
-    gone = joined.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
-    twice = (joined.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__twice")).count().filter("count > 1")
-             .select("__twice"))
-    once = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(text_of()), F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
-    again = (kept.join(twice, kept["doc_id"] == twice["__twice"], "left_semi").withColumn("__row", F.row_number().over(first))
-             .filter(F.col("__row") == 1).drop("__row"))
-    return once.unionByName(again)
+    """Keeps one row of every group of texts linked by word 5-grams with a
+    Jaccard similarity of 0.8 or more: that of the least id (a null id comes
+    last), then of the least text hash and row hash.  Rows without words are
+    linked to none; one of every id stays, and all without an id."""
+    doc, text_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(ngrams.NO_ID)), F.xxhash64(text_of())
+    joined = materialize(ngrams.labelled_rows(docs), "components")
+    texts = joined.groupBy("label", "doc", "text_key").agg(F.count(F.lit(1)).alias("rows")).withColumn("no_id", F.col("doc") == ngrams.NO_ID)
+    texts = materialize(texts.filter("label IS NOT NULL OR NOT no_id"), "texts")
+
+    def least(part, key):
+        first = part.groupBy(F.col(key).alias("of")).agg(F.min(F.struct("no_id", "doc", "text_key")).alias("first"))
+        both = part.join(first, part[key] == first["of"])
+        return both.select("doc", "text_key", "rows", (F.struct("no_id", "doc", "text_key") == F.col("first")).alias("stays"))
+    ruled = materialize(least(texts.filter("label IS NOT NULL"), "label").unionByName(
+        least(texts.filter("label IS NULL"), "doc")), "ruled")
+
+    def keys(which):
+        return ruled.filter(which).select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key"))
+    keyed = docs.withColumns({"__doc": doc, "__key": text_key})
+    kept = keyed.join(keys("NOT stays"), ["__doc", "__key"], "left_anti")
+    twice = keys("stays AND rows > 1")
+    once = kept.join(twice, ["__doc", "__key"], "left_anti").drop("__doc", "__key")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = kept.join(twice, ["__doc", "__key"], "left_semi").groupBy("__doc", "__key").agg(F.min_by(row, F.xxhash64(row)).alias("__row"))
+    return once.unionByName(again.select("__row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,8 +173,8 @@ def _nodes(shingle: int):
             for w in W.words(batch.column("body"), letters=False):
                 sizes, _, node = sets(w, shingle)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc").slice(w.rows.start, len(sizes)), pa.array(sizes.astype(np.int64)),
-                    pa.array(node.view(np.int64), mask=sizes == 0)], ["doc", "n_shingles", "node"])
+                    *(batch.column(c).slice(w.rows.start, len(sizes)) for c in ("doc", "text_key")), pa.array(sizes.astype(np.int64)),
+                    pa.array(node.view(np.int64), mask=sizes == 0)], ["doc", "text_key", "n_shingles", "node"])
     return run
 
 
@@ -422,25 +422,33 @@ def _linked(edges: DataFrame | None, labels: DataFrame | None, pairs: DataFrame,
     return edges, components(edges)
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE,
-               percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE,
+                  percent: int = PERCENT) -> DataFrame:
+    """(doc, text_key, n_shingles, node, label) of every row: ``doc`` is
+    ``NO_ID`` without an id, ``text_key`` the hash of the text (null as
+    empty), ``label`` the component, null for texts without a shingle."""
     d = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text_of(text_col).alias("body"))
-    rows = materialize(d.mapInArrow(_nodes(shingle), "doc long, n_shingles long, node long"), "nodes")
+    keyed = d.withColumn("text_key", F.xxhash64("body"))
+    rows = materialize(keyed.mapInArrow(_nodes(shingle), "doc long, text_key long, n_shingles long, node long"), "nodes")
     live = live_signatures(d.select("body"), shingle, percent)
     if live.isEmpty():
-        labelled = rows.withColumn("label", F.col("node"))
-    else:
-        shared = candidates(live, percent)
-        # one set's own signatures
-        vectors = _step(live.withColumn("tag", _tag()).groupBy("node", "tag").agg(F.collect_list("signature").alias("own")), "vectors")
-        # one text of each node in question: the least document's
-        firsts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
-        wanted = _step(firsts.join(shared.select("node").distinct(), "node").select("doc").distinct(), "wanted")
-        texts = d.join(wanted, "doc", "left_semi").withColumn("text_key", F.xxhash64("body")).dropDuplicates(["doc", "text_key"])
-        elements = _step(texts.select("body").mapInArrow(_whole_sets(shingle), "node long, elements binary"), "sets")
-        labels = link_nodes(shared, vectors, elements, percent)
-        labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return rows.withColumn("label", F.col("node"))
+    shared = candidates(live, percent)
+    # one set's own signatures
+    vectors = _step(live.withColumn("tag", _tag()).groupBy("node", "tag").agg(F.collect_list("signature").alias("own")), "vectors")
+    # one text of each node in question: the least document's
+    firsts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
+    wanted = _step(firsts.join(shared.select("node").distinct(), "node").select("doc").distinct(), "wanted")
+    texts = d.join(wanted, "doc", "left_semi").withColumn("text_key", F.xxhash64("body")).dropDuplicates(["doc", "text_key"])
+    elements = _step(texts.select("body").mapInArrow(_whole_sets(shingle), "node long, elements binary"), "sets")
+    labels = link_nodes(shared, vectors, elements, percent)
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE,
+               percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    labelled = labelled_rows(docs, id_col, text_col, shingle=shingle, percent=percent)
     names = labelled.filter("label IS NOT NULL").groupBy("label").agg(
         F.min(F.when(F.col("doc") != NO_ID, F.col("doc"))).alias("component_id"))
     doc_id = F.when(F.col("doc") != NO_ID, F.col("doc"))

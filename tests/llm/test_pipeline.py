@@ -92,6 +92,25 @@ def test_stages_on_odd_and_empty_tables(spark, odd, empty):
                 assert "<EMAIL>" in text and "<IP>" in text and "<CARD>" in text and "<PHONE>" in text and "300.1.1.1" in text
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    def prose(seed, n=60):
+        return " ".join(f"w{seed}x{i * 7919 % 1000}" for i in range(n))
+    rows = [(None, prose(1)), (4, prose(1) + " more"), (None, prose(2)), (None, prose(3)),  # one of four is a copy
+            (None, prose(4)), (None, prose(4)), (None, prose(4) + " end"),  # copies that have no id
+            (5, prose(1) + " and"), (5, prose(5)), (6, prose(6)), (6, prose(7)),  # unlike texts of one id
+            (8, ""), (8, None), (9, " "), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, `n.k` int")
+    out = P.near_duplicate_stage(spark, docs, SF)
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == docs.columns
+    assert [i for i, t in got if t and "w1x" in t] == [4]
+    assert sum("w4x" in (t or "") for _, t in got) == 1
+    for row in ((None, prose(2)), (None, prose(3)), (5, prose(5)), (6, prose(6)), (6, prose(7)), (9, " ")):
+        assert got.count(row) == 1
+    assert [i for i, t in got if not (t or "").strip()].count(8) == 1 and got.count((None, "")) == 2
+    assert len(got) == 11
+
+
 @pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
 def test_stage_functions_take_a_frame_of_their_own(spark, name):
     docs = spark.createDataFrame([(5, "just one text", "en", "s", 13)], "doc_id long, text string, lang string, source string, n_chars long")
