@@ -14,7 +14,8 @@ The weights are learned here by conditional likelihood from a bounded
 sample of ``SAMPLE`` regions; their labels come from the base patterns and
 from assignments to names of secrets, so no table of labels is needed.
 
-Everything runs in one scan of whole texts; nothing is shuffled.
+Spans are found in one scan of whole texts; nothing is shuffled but the few
+lines that tasks offer for the sample.
 
 Defined cases: null text is empty and has no spans; null ids are kept; ties
 of segmentations go to the earlier and shorter segment; repeated rows each
@@ -36,13 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermart.llm.common import col, text_of
+from ledgermart.session import materialize
 
 #: Kinds in the order in which spans are listed; the method adds the last one.
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "secret"]
 
 MAX_ATOMS = 14
-SAMPLE, SAMPLE_ATOMS, THIN = 400, 60, 100
+SAMPLE, SAMPLE_ATOMS = 400, 60
 GAP, MARGIN, WORD = 40, 24, 200
 MIN_POSTERIOR = 0.6
 
@@ -329,17 +331,45 @@ def find_spans(text: str, model: Model) -> list[tuple[str, int, int, bool]]:
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+@lru_cache(maxsize=4096)
+def stratum(line: str) -> str:
+    """The last kind of which the line has a silver span."""
+    return max((k for k, _, _ in silver(line)), key=KINDS.index, default="none")
+
+
+def _least_lines(sample: int):
+    """The ``sample`` distinct lines of least hash of every stratum of a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, dict[int, str]] = {k: {} for k in [*KINDS, "none"]}
+        edge = {k: 2 ** 63 for k in best}
+        for batch in batches:
+            for h, line in zip(batch.column("h").to_pylist(), batch.column("line").to_pylist()):
+                k = stratum(line)
+                if h < edge[k]:
+                    best[k][h] = line
+                    if len(best[k]) >= 2 * sample:
+                        best[k] = dict(sorted(best[k].items())[:sample])
+                        edge[k] = max(best[k])
+        rows = [(k, h, line) for k in best for h, line in sorted(best[k].items())[:sample]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(
+            (pa.string(), pa.int64(), pa.string()))], ["kind", "h", "line"])
+    return run
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE) -> Model:
-    """Train on ``sample`` lines with a trigger, those with the least hash
-    (of up to 2,000 characters).  Before they are ranked, lines are thinned
-    by their hash to about ``THIN`` times the sample per document count, so
-    that what the tasks send does not grow with the corpus."""
-    share = min(1.0, sample * THIN / max(1, docs.count()))
+    """Train on ``sample`` distinct lines with a trigger (of up to 2,000
+    characters): of every stratum an equal share of half the sample, those of
+    least hash, or all it has; then the least hashes of the rest.  A task
+    sends no more than the sample of each stratum, so nothing is thinned."""
     lines = docs.select(F.explode(F.split(text_of(text_col), "\n")).alias("line")).filter(
-        F.col("line").rlike("[0-9@]") & (F.length("line") <= 2000)).withColumn("h", F.xxhash64("line"))
-    thin = lines.filter(F.pmod(F.col("h"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = thin.orderBy("h", "line").limit(sample).collect()
-    return train([r["line"] for r in rows])
+        F.col("line").rlike("[0-9@]") & (F.length("line") <= 2000)).select(F.xxhash64("line").alias("h"), "line")
+    least = materialize(lines.mapInArrow(_least_lines(sample), "kind string, h long, line string"), "pii-lines")
+    by_kind = {k: [(r["h"], r["line"]) for r in least.filter(F.col("kind") == k).select("h", "line").distinct()
+                   .orderBy("h", "line").limit(sample).collect()] for k in [*KINDS, "none"]}
+    share = max(1, sample // (2 * len(by_kind)))
+    chosen = [x for rows in by_kind.values() for x in rows[:share]]
+    rest = sorted(x for rows in by_kind.values() for x in rows[share:])
+    return train([line for _, line in sorted([*chosen, *rest[:max(0, sample - len(chosen))]])])
 
 
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"

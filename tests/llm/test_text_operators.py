@@ -1,5 +1,6 @@
 """Operators on single texts against plain Python and public libraries."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -142,6 +143,18 @@ def test_pii_keeps_base_and_adds_secrets(spark, model):
     assert named > 50 and found >= 0.95 * named
 
 
+def test_pii_sample_is_of_distinct_lines_and_every_kind(spark, monkeypatch):
+    secret = [f'token = "{hashlib.sha1(bytes([i])).hexdigest()}"' for i in range(5)]
+    prose = [f"page {i} of the book" for i in range(600)]
+    text = [("\n".join([x] * (300 if i < 3 else 1)),) for i, x in enumerate(prose)] + [(x,) for x in secret]
+    docs = spark.createDataFrame([(None, *x) for x in text], "doc_id long, text string")
+    monkeypatch.setattr(pii, "train", list)
+    got = pii.fit(docs, sample=60)
+    assert len(got) == len(set(got)) == 60 and set(secret) <= set(got)
+    assert sorted(pii.fit(docs.filter("text LIKE 'page 1%' OR text LIKE 'token%'").limit(30))) == sorted(set(
+        line for row in docs.filter("text LIKE 'page 1%' OR text LIKE 'token%'").limit(30).collect() for line in row["text"].split("\n")))
+
+
 def test_pii_leaves_plain_prose(spark, model):
     texts = ["There is no number here.", "In 1999, 12 of 30 people came; see page 7.", "", "Version 2.0 costs 15 euros."]
     assert [pii.find_spans(t, model) for t in texts] == [[]] * 4
