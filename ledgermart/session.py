@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -99,18 +100,54 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def materialize(df, label: str = "stage"):
+def materialize(df, label: str = "stage", partition_by: tuple[str, ...] = ()):
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
-    folder and reading it back; the folder goes when the driver ends.  Columnar and compressed, so cheaper than
+    folder and reading it back.  Columnar and compressed, so cheaper than
     an RDD checkpoint of wide rows; the files are durable, so a lost
-    executor never forces a recomputation of what was written."""
+    executor never forces a recomputation of what was written.
+
+    The folder goes when the driver ends, or earlier with the
+    :func:`scratch` block in which it was written."""
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgermart/{label}-{uuid.uuid4().hex}"
     _delete_on_exit(spark, path)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    if _open_scratch:
+        _open_scratch[-1].append((spark, path))
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path) if partition_by else spark.read.parquet(path)
+
+
+_open_scratch: list[list] = []
+
+
+@contextmanager
+def scratch():
+    """Folders that :func:`materialize` writes inside the block go at its end;
+    only what was written before or after it may be read then.  Yields a
+    function that writes a result which outlives the block."""
+    outer = len(_open_scratch)
+    _open_scratch.append([])
+
+    def keep(df, label: str = "kept"):
+        inner = _open_scratch.pop()
+        try:
+            return materialize(df, label)
+        finally:
+            _open_scratch.append(inner)
+    try:
+        yield keep
+    finally:
+        for spark, path in _open_scratch.pop():
+            delete_folder(spark, path)
+        assert len(_open_scratch) == outer
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate files wherever it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
