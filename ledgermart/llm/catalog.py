@@ -12,7 +12,7 @@ from ledgermart.llm import decontaminate
 from ledgermart.llm import license_scan as licenses
 from ledgermart.llm import line_quality as lines
 from ledgermart.llm import ngram_join as ngrams
-from ledgermart.llm import pii, substring_dedup, url_rules
+from ledgermart.llm import pii, simhash_pivots, substring_dedup, term_pipeline, url_rules, whitening
 from ledgermart.llm import quality_classifier as quality
 from ledgermart.llm.common import table
 from ledgermart.llm.sql import ORACLE_SQL  # noqa: F401
@@ -103,6 +103,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"))), ",").alias("passages"), "owners")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivots.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_pipeline.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_rules": op2_url_rules,
@@ -114,4 +127,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_line_quality": op9_line_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }

@@ -86,9 +86,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_removed_lines, n_removed_words FROM m
 """
 
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, unnest(list_distinct(regexp_extract_all(
+  {_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+total AS (SELECT count(*) AS docs, sum(len(w)) AS len FROM d WHERE len(w) > 0),
+tf AS (SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY uid, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS wt FROM tf, total GROUP BY term),
+m AS (SELECT uid, doc_id, 50 + CAST((50 * len(w) * docs) // len AS BIGINT) AS m FROM d, total WHERE len(w) > 0),
+scored AS (SELECT item, any_value(item_id) AS item_id, uid, any_value(doc_id) AS doc_id,
+  CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM i JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (uid) GROUP BY item, uid)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
 ORACLE_SQL = {
     "op1_decontaminate": OP1,
     "op3_license_scan": OP3,
     "op7_chat_format": OP7,
     "op9_line_quality": OP9,
+    "op13_ranked_search": OP13,
 }

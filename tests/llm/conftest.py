@@ -20,6 +20,8 @@ TEXTS = [
     (14, "Licensed under the Apache License, Version 2.0.\nreleased UNDER the mit license"), (15, "9" * 20_000 + "." + "@" * 3000),
     (16, "d e f " * 40), (17, "d e f " * 40), (18, "one two three"), (19, "One  two\nthree"), (20, "#*$%&|<> # * $"),
 ]
+VECTORS = [(1, [0.5, -1.0, 0.25]), (1, [0.5, -1.0, 0.25]), (None, [3.0, 2.0, 0.25]), (2, None), (3, [None, 1.0, 1.0]), (4, []),
+           (5, [float("nan"), 0.0, 0.0]), (6, [1.0, float("-inf"), 0.0]), (7, [1.0, 2.0]), (8, [3e38, 0.0, 0.0]), (9, [-7.5, 0.125, 0.25])]
 
 
 def _write(folder, documents, benchmark, labels, pages, conversations):
@@ -47,6 +49,11 @@ def _write(folder, documents, benchmark, labels, pages, conversations):
                                    "text": pa.array([c[3] for c in conversations], pa.string()),
                                    "record": pa.array(["x"] * len(conversations), pa.string())}),
     }
+    vectors = VECTORS if documents else []
+    tables["embeddings"] = pa.table({"vec_id": pa.array([v for v, _ in vectors], pa.int64()),
+                                     "embedding": pa.array([v for _, v in vectors], pa.list_(pa.float32())),
+                                     "label": pa.array([None] * len(vectors), pa.int32()),
+                                     "whitened": pa.array(["x"] * len(vectors), pa.string())})
     for name, t in tables.items():
         pq.write_table(t, os.path.join(folder, f"{name}.parquet"))
     return str(folder)
