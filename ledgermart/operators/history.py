@@ -114,6 +114,114 @@ def back_dated(dim: DataFrame, changes: DataFrame, nk: str, as_of, from_col: str
     return changes.join(late, changes[nk] == late["__late"], "left_semi")
 
 
+# ------------------------------------------------------------ splicing (H2)
+
+_OPEN = "9999-12-31"
+
+
+def change_log(changes: DataFrame, nk: str, change_ts: str, log: DataFrame | None = None) -> DataFrame:
+    """One change per key and day, of all those seen so far: the latest of
+    the day, ties by the greatest attributes.  Pass the result as ``log``
+    with the next batch.  Changes without a key or a time have no place in a
+    history; :func:`unplaced_changes` lists them."""
+    every = changes if log is None else log.unionByName(changes)
+    attrs = [c for c in changes.columns if c not in (nk, change_ts)]
+    # a partial maximum: a key with very many changes costs one row per task and day
+    day = every.filter(F.col(nk).isNotNull() & F.col(change_ts).isNotNull()).groupBy(
+        nk, F.to_date(change_ts).alias("__day")).agg(F.max(F.struct(change_ts, *attrs)).alias("__c"))
+    return day.select(*[F.col(nk) if c == nk else F.col(f"__c.{c}").alias(c) for c in changes.columns])
+
+
+def unplaced_changes(changes: DataFrame, nk: str, change_ts: str) -> DataFrame:
+    return changes.filter(F.col(nk).isNull() | F.col(change_ts).isNull())
+
+
+def scd2_splice(dim: DataFrame, changes: DataFrame, nk: str, sk: str, change_ts: str, log: DataFrame | None = None,
+                from_col: str = "effective_from_date", to_col: str = "effective_to_date",
+                flag: str = "is_current_record") -> DataFrame:
+    """H2 with a history: fit every change into the versions of its key,
+    back-dated ones and any number per key included.
+
+    A version start and a change each state what holds from that day until
+    the next statement; on one day a change goes before a version, and the
+    latest change before the others.  An end that no other version covers
+    says that the key is absent, until the next statement.  Days between two
+    statements become one version; neighbours that agree in every attribute
+    become one (islands).  So a change inside a version splits it, a change
+    before the first version opens the key earlier, and a change that says
+    nothing new leaves no trace.
+
+    The result depends on the statements alone, not on their order or on how
+    they are cut into batches, if all changes seen before are passed as
+    ``log`` (see :func:`change_log`).  Attributes that changes do not carry
+    come from the version in force (before the first one: from the first).
+    A version keeps the key of the earliest stored version in it, and others
+    get new keys; :func:`replaced_keys` tells what became of the old ones.
+    Of overlapping versions the later start holds.  Versions of keys without
+    a change, without a key or without a start are returned as they are.
+
+    After the per-day aggregate a key has one row per day at the most, so
+    the windows over a key are bounded by the calendar, not by the changes."""
+    history = {sk, nk, from_col, to_col, flag}
+    attrs = [c for c in dim.columns if c not in history]
+    carried = [c for c in attrs if c in changes.columns]
+    said = change_log(changes.select(nk, change_ts, *carried), nk, change_ts,
+                      None if log is None else log.select(nk, change_ts, *carried))
+    keys = said.select(F.col(nk).alias("__k")).distinct()
+    placed = F.col(nk).isNotNull() & F.col(from_col).isNotNull()
+    mine = dim.filter(placed).join(keys, F.col(nk) == F.col("__k"), "left_semi")
+    other = dim.filter(~placed).unionByName(dim.filter(placed).join(keys, F.col(nk) == F.col("__k"), "left_anti"))
+
+    # one row per key and day: what a version and what a change says there
+    none = F.lit(None)
+    versions = mine.select(
+        F.col(nk).alias("nk"), F.col(from_col).alias("day"), F.struct(F.col(sk).alias("sk"), *attrs).alias("v"),
+        none.cast(said.select(F.struct(*carried)).schema[0].dataType).alias("c"),
+        F.coalesce(F.col(to_col), F.lit(_OPEN).cast("date")).alias("until"))
+    stated = said.select(F.col(nk).alias("nk"), F.to_date(change_ts).alias("day"), none.cast(versions.schema["v"].dataType).alias("v"),
+                         F.struct(*carried).alias("c"), none.cast("date").alias("until"))
+    days = versions.unionByName(stated).groupBy("nk", "day").agg(F.max("v").alias("v"), F.max("c").alias("c"), F.max("until").alias("until"))
+
+    key = Window.partitionBy("nk").orderBy("day")
+    before, after = key.rowsBetween(Window.unboundedPreceding, 0), key.rowsBetween(1, Window.unboundedFollowing)
+    covered = F.max("until").over(before)
+    next_version = F.min(F.when(F.col("v").isNotNull(), F.col("day"))).over(after)
+    ends = F.when(F.col("v").isNotNull() & (covered < F.coalesce(next_version, F.lit(_OPEN).cast("date"))), covered)
+    rows = days.withColumn("ends", ends).withColumn("in_force", F.last("v", ignorenulls=True).over(before)).withColumn(
+        "in_force", F.coalesce("in_force", F.first("v", ignorenulls=True).over(after)))
+    value = F.struct(*[F.when(F.col("c").isNotNull(), F.col(f"c.{a}")).otherwise(F.col(f"in_force.{a}")).alias(a) if a in carried
+                       else F.col(f"in_force.{a}").alias(a) for a in attrs]).alias("value")
+    statement = rows.select("nk", "day", "ends", F.col("v.sk").alias("sk"), value)
+    at = F.array_compact(F.array(F.struct(F.col("day").alias("day"), F.lit(True).alias("there")),
+                                 F.when(F.col("ends").isNotNull(), F.struct(F.col("ends").alias("day"), F.lit(False).alias("there")))))
+    timeline = statement.select("nk", "sk", "value", F.explode(at).alias("s")).select(
+        "nk", "s.day", "s.there", F.when(F.col("s.there"), F.col("sk")).alias("sk"), F.when(F.col("s.there"), F.col("value")).alias("value"))
+
+    key = Window.partitionBy("nk").orderBy("day", "there")   # an end gives way to what starts on its day
+    spans = timeline.withColumn("until", F.lead("day").over(key)).filter(F.col("until").isNull() | (F.col("day") < F.col("until")))
+    goes_on = F.lag("value").over(key).eqNullSafe(F.col("value")) & F.lag("there").over(key)
+    islands = spans.withColumn("fresh", F.when(goes_on, 0).otherwise(1)).withColumn(
+        "island", F.sum("fresh").over(key.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.filter("there").groupBy("nk", "island").agg(
+        F.min("day").alias("start"), F.max(F.coalesce("until", F.lit(_OPEN).cast("date"))).alias("until"),
+        F.min_by("value", "day").alias("value"), F.min(F.when(F.col("sk").isNotNull(), F.struct("day", "sk")))["sk"].alias("sk"))
+    open_end = F.col("until") == F.lit(_OPEN).cast("date")
+    cells = {nk: F.col("nk"), from_col: F.col("start"), to_col: F.when(~open_end, F.col("until")), flag: open_end, sk: F.col("sk")}
+    out = merged.select(*[cells.get(c, F.col(f"value.{c}") if c in attrs else None).cast(dim.schema[c].dataType).alias(c) for c in dim.columns])
+    kept = out.filter(F.col(sk).isNotNull())
+    fresh = append_with_keys(out.filter(F.col(sk).isNull()).drop(sk), dim, sk, [nk, from_col])
+    return other.unionByName(kept).unionByName(fresh.withColumn(sk, F.col(sk).cast(dim.schema[sk].dataType)).select(*dim.columns))
+
+
+def replaced_keys(old: DataFrame, new: DataFrame, nk: str, sk: str, from_col: str = "effective_from_date",
+                  to_col: str = "effective_to_date") -> DataFrame:
+    """(old key, new key) of the stored versions that a splice merged into
+    another one: the new key is that of the version valid on the old start.
+    Facts bound to the old key are re-bound with it (H6)."""
+    gone = old.join(new.select(F.col(sk).alias("__k")), F.col(sk) == F.col("__k"), "left_anti").select(sk, nk, from_col)
+    return as_of_join(gone, new, nk, nk, from_col, {sk: f"new_{sk}"}, from_col, to_col).select(F.col(sk).alias(f"old_{sk}"), f"new_{sk}")
+
+
 def scd2_check(dim: DataFrame, nk: str, from_col: str = "effective_from_date", to_col: str = "effective_to_date",
                flag: str = "is_current_record") -> DataFrame:
     """H3: (natural key, issue, rows) for every broken history rule:

@@ -5,11 +5,10 @@ Broadcast policy
 A side is broadcast only when its size has a proven bound:
 
 * ``BOUNDED_DIMENSIONS`` lists dimensions whose row count is bounded by
-  the domain, not by data volume (calendar days, ISO currencies and
-  countries, the rule catalogue, the chart of accounts, a one-row
-  scalar).  Those get an explicit ``broadcast`` hint.
-* every other dimension (customers, accounts, branches, products, ...)
-  is joined without a hint.  AQE measures the shuffled size at run time
+  the domain, not by data volume (calendar days, ISO currencies, a
+  one-row scalar).  Those get an explicit ``broadcast`` hint.
+* every other dimension (customers, accounts, branches, products,
+  countries, rules, the chart of accounts, ...) is joined without a hint.  AQE measures the shuffled size at run time
   and turns the join into a broadcast only below
   ``spark.sql.adaptive.autoBroadcastJoinThreshold``; beyond it the join
   stays a sort-merge join, and AQE's skew-join split handles a hot key
@@ -20,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Dimensions whose cardinality is bounded by the business domain.
@@ -141,8 +140,6 @@ def rate_day_spine(rates: DataFrame, pair_cols: Iterable[str], until: Column,
     by pair, a few thousand rows each); rows with the same pair and date
     keep the largest rate value so the lookup stays one row per day.
     """
-    from pyspark.sql import Window
-
     pair_cols = list(pair_cols)
     r = (rates.groupBy(*pair_cols, F.col(rate_date).cast("date").alias("__d"))
          .agg(F.max(rate_col).alias(rate_col)))
@@ -175,6 +172,95 @@ def latest_rate_on_or_before(facts: DataFrame, rates: DataFrame, pair_cols: Iter
     return out.drop(*[f"__r_{c}" for c in pair_cols], "__rd")
 
 
+# ------------------------------------------------------------ rates by validity
+
+def rate_segments(rates: DataFrame, pair_cols: Iterable[str], from_col: str = "valid_from_datetime",
+                  to_col: str = "valid_to_datetime", rate_col: str = "rate_value") -> DataFrame:
+    """Disjoint pieces of the rates' validity: (pair, ``__month``, ``__from``,
+    ``__to``, rate), each inside one calendar month.
+
+    Validity is half-open; a missing start is valid from the beginning, a
+    missing end until further notice, and an interval that ends before it
+    begins is never valid.  Where intervals overlap the one that started
+    last holds, ties by the greatest rate, and an earlier one goes on when
+    the later ends.
+
+    Intervals are cut into the months they touch.  Boundaries meet intervals
+    on (pair, month) with the interval as a residual test, so one long or
+    open interval costs a row per month and a hot pair spreads over months;
+    there is no join on the interval alone.  After the last boundary nothing
+    changes, so open intervals end there (see :func:`interval_rate`)."""
+    pair_cols = list(pair_cols)
+    far = F.lit("9999-12-31").cast("timestamp_ntz")
+    first, last = _rate_span(rates, from_col, to_col)
+    r = rates.select(*pair_cols, F.col(rate_col).alias("__rate"),
+                     F.coalesce(F.col(from_col).cast("timestamp_ntz"), first).alias("__s"),
+                     F.coalesce(F.col(to_col).cast("timestamp_ntz"), far).alias("__e")).filter(F.col("__s") < F.col("__e"))
+    end = F.least(F.col("__e"), last)
+    months = F.sequence(F.trunc(F.col("__s").cast("date"), "month"), F.trunc(end.cast("date"), "month"), F.expr("interval 1 month"))
+    pieces = r.select("*", F.explode(months).alias("__month"))
+    start = F.col("__month").cast("timestamp_ntz")
+    stop = F.add_months("__month", 1).cast("timestamp_ntz")
+    pieces = pieces.withColumn("__a", F.greatest("__s", start)).withColumn("__b", F.least("__e", stop)).filter("__a < __b")
+    points = pieces.select(*pair_cols, "__month", F.explode(F.array("__a", "__b")).alias("__at")).filter(
+        F.col("__at") < F.add_months("__month", 1).cast("timestamp_ntz")).distinct()
+    p = points.select(*[F.col(c).alias(f"__p_{c}") for c in pair_cols], F.col("__month").alias("__p_month"), "__at")
+    same = [F.col(c).eqNullSafe(F.col(f"__p_{c}")) for c in pair_cols] + [F.col("__month") == F.col("__p_month")]
+    inside = (F.col("__a") <= F.col("__at")) & (F.col("__at") < F.col("__b"))
+    met = p.join(pieces, [*same, inside], "left")
+    held = met.groupBy(*[F.col(f"__p_{c}").alias(c) for c in pair_cols], F.col("__p_month").alias("__month"), "__at").agg(
+        F.max(F.when(F.col("__rate").isNotNull(), F.struct("__s", "__rate")))["__rate"].alias(rate_col))
+    by = Window.partitionBy(*pair_cols, "__month").orderBy("__at")
+    until = F.coalesce(F.lead("__at").over(by), F.add_months("__month", 1).cast("timestamp_ntz"))
+    return held.withColumn("__to", until).filter(F.col(rate_col).isNotNull()).select(
+        *pair_cols, "__month", F.col("__at").alias("__from"), "__to", rate_col)
+
+
+def _rate_span(rates: DataFrame, from_col: str, to_col: str) -> tuple[Column, Column]:
+    """A moment before every boundary of the rates, and the last boundary."""
+    ends = rates.select(F.explode(F.array(F.col(from_col).cast("timestamp_ntz"), F.col(to_col).cast("timestamp_ntz"))).alias("t"))
+    one = ends.agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    now = F.lit("1970-01-01").cast("timestamp_ntz")   # no boundary at all: any moment will do
+    return (one.select(F.coalesce(F.col("a") - F.expr("interval 1 day"), now)).scalar(), one.select(F.coalesce("b", now)).scalar())
+
+
+def interval_rate(facts: DataFrame, rates: DataFrame, pair_cols: Iterable[str], fact_ts: str,
+                  from_col: str = "valid_from_datetime", to_col: str = "valid_to_datetime", rate_col: str = "rate_value",
+                  out: str | None = None) -> DataFrame:
+    """J11 by validity interval: each fact gets the rate valid at its time
+    (NULL where none is), one row per fact.
+
+    An equi-join on (pair, month) with the piece as a residual test.  Facts
+    after the last boundary look up that moment, facts before the first one
+    the day before it, so neither needs an interval of its own."""
+    pair_cols = list(pair_cols)
+    segments = rate_segments(rates, pair_cols, from_col, to_col, rate_col)
+    first, last = _rate_span(rates, from_col, to_col)
+    t = F.col(fact_ts).cast("timestamp_ntz")
+    f = facts.withColumn("__t", F.when(t.isNotNull(), F.least(F.greatest(t, first), last)))
+    f = f.withColumn("__m", F.trunc(F.col("__t").cast("date"), "month"))
+    s = segments.select(*[F.col(c).alias(f"__r_{c}") for c in pair_cols], "__month", "__from", "__to", F.col(rate_col).alias("__rate"))
+    on = [F.col(c) == F.col(f"__r_{c}") for c in pair_cols] + [
+        F.col("__m") == F.col("__month"), F.col("__from") <= F.col("__t"), F.col("__t") < F.col("__to")]
+    return f.join(s, on, "left").select(*facts.columns, F.col("__rate").alias(out or rate_col))
+
+
+def rate_interval_check(rates: DataFrame, pair_cols: Iterable[str], from_col: str = "valid_from_datetime",
+                        to_col: str = "valid_to_datetime") -> DataFrame:
+    """(pair, issue, rows): ``overlap`` (starts before an earlier one ended),
+    ``gap`` (starts after all earlier ones ended) and ``reversed`` (never
+    valid; left out of the other two)."""
+    pair_cols = list(pair_cols)
+    low, far = F.lit("0001-01-01").cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz")
+    r = rates.select(*pair_cols, F.coalesce(F.col(from_col).cast("timestamp_ntz"), low).alias("__s"),
+                     F.coalesce(F.col(to_col).cast("timestamp_ntz"), far).alias("__e"))
+    w = Window.partitionBy(*pair_cols).orderBy("__s", "__e").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.max("__e").over(w)
+    sound = r.filter("__s < __e").select(*pair_cols, F.when(F.col("__s") < ended, "overlap").when(F.col("__s") > ended, "gap").alias("issue"))
+    bad = r.filter("__s >= __e").select(*pair_cols, F.lit("reversed").alias("issue"))
+    return sound.filter("issue IS NOT NULL").unionByName(bad).groupBy(*pair_cols, "issue").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def bridge_allocate(fact: DataFrame, bridge: DataFrame, fact_key: str, bridge_key: str,
                     other_key: str, weight: str, amount: str, out: str) -> DataFrame:
     """Many-to-many through a weighted bridge: one output row per

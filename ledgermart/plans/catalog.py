@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermart.functions.keys import date_key
-from ledgermart.operators import derive, history, quality
+from ledgermart.operators import derive, history, joins, quality
 from ledgermart.operators.joins import join_dim, latest_only
 from ledgermart.plans import governance, marts
 from ledgermart.sources import load
@@ -191,6 +191,19 @@ def scd2_customers(f):
                               ["customer_segment", "nationality_country_sk"], TV.SCD_AS_OF, "change_ts")
 
 
+def scd2_history_splice(f):
+    """H2: changes of any age and number fitted into the customers' history."""
+    return history.scd2_splice(f["customer_versions"], f["customer_order_changes"], "customer_nk", "customer_sk", "change_ts")
+
+
+def interval_rate_amounts(f):
+    """J11 by validity interval, with the amount in reporting currency."""
+    t = f["transactions_with_currency"].select("account_sk", "booking_date", "amount_txn_ccy", "currency_code")
+    rates = f["interval_exchange_rate"].withColumnRenamed("from_currency_code", "currency_code")
+    out = joins.interval_rate(t, rates, ["currency_code"], "booking_date", out="fx_rate_applied")
+    return out.withColumn("amount_reporting_ccy", F.round(F.col("amount_txn_ccy") * F.col("fx_rate_applied"), 2).cast("decimal(20,2)"))
+
+
 def scd2_customer_check(f):
     return history.scd2_check(f["customer_versions"], "customer_nk")
 
@@ -290,5 +303,8 @@ QUERIES.update({name: _on_frames(fn) for name, fn in {
     "alert_milestone_calendar": alert_milestone_calendar,
     "alert_milestones_merged": alert_milestones_merged,
     "load_rejects": load_rejects,
+    "scd2_history_splice": scd2_history_splice,
+    "interval_rate_amounts": interval_rate_amounts,
+    "rate_interval_check": lambda f: joins.rate_interval_check(f["interval_exchange_rate"], ["from_currency_code"]),
     "gl_closing_balance": gl_closing_balance,
 }.items()})

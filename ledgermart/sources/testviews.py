@@ -418,6 +418,42 @@ def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def customer_order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a change of its customer's segment, dated to the first
+    of the order's month (so most changes are back-dated and several fall on
+    one day): segment by key % 5, hour by key % 24; customers with key % 97
+    = 5 appear under a new natural key; orders with key % 101 = 0 have no
+    time and no place in the history."""
+    o = read_test_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    month = F.trunc(F.to_date("o_orderdate"), "month").cast("timestamp_ntz")
+    return o.select(
+        F.when(c % 97 == 5, c + NEW_KEY_OFFSET).otherwise(c).alias("customer_nk"),
+        _case(k % 5, SEGMENTS).alias("customer_segment"),
+        F.when(k % 101 != 0, month + F.make_dt_interval(hours=(k % 24).cast("int"))).alias("change_ts"))
+
+
+def interval_exchange_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates to USD with validity intervals, one per currency and month of
+    the orders.  USD is valid until the 20th (gaps); EUR has none in months
+    3, 6, 9, 12; GBP rates of months 1, 5, 9 last three months (overlaps);
+    JPY rates are all open (the latest start holds); AED rates start at six
+    in the morning, and those of February end before they begin."""
+    r = dated_exchange_rate(spark, sf_dir)
+    code, month, m = F.col("from_currency_code"), F.month("rate_date"), F.col("rate_date").cast("timestamp_ntz")
+    next_month = F.add_months("rate_date", 1).cast("timestamp_ntz")
+    six = m + F.make_dt_interval(hours=F.lit(6))
+    until = (F.when(code == "USD", m + F.make_dt_interval(days=F.lit(20)))
+             .when((code == "GBP") & (month % 4 == 1), F.add_months("rate_date", 3).cast("timestamp_ntz"))
+             .when((code == "AED") & (month == 2), m).when(code != "JPY", next_month))
+    return r.filter((code != "EUR") | (month % 3 != 0)).select(
+        "from_currency_code", "to_currency_code", "rate_type", "rate_value",
+        F.when(code == "AED", six).otherwise(m).alias("valid_from_datetime"), until.alias("valid_to_datetime"))
+
+
 def dated_exchange_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One MID_RATE to USD per currency and month start of the order dates:
     ``1 + sk/10 + month/1000 + (year - 1990)/10000`` to 8 places.  Each
@@ -509,7 +545,9 @@ BUILDERS.update({
     "customer_versions": customer_versions,
     "customer_type1": customer_type1,
     "customer_changes": customer_changes,
+    "customer_order_changes": customer_order_changes,
     "dated_exchange_rate": dated_exchange_rate,
+    "interval_exchange_rate": interval_exchange_rate,
     "transactions_with_currency": transactions_with_currency,
     "dim_collateral": dim_collateral,
     "bridge_loan_collateral": bridge_loan_collateral,
@@ -540,6 +578,8 @@ VIEW_COLUMNS = {
     'customer_versions': ['customer_sk', 'customer_nk', 'full_name', 'customer_segment', 'nationality_country_sk', 'effective_from_date', 'effective_to_date', 'is_current_record'],
     'customer_type1': ['customer_sk', 'customer_nk', 'full_name', 'customer_segment', 'nationality_country_sk'],
     'customer_changes': ['customer_nk', 'full_name', 'customer_segment', 'nationality_country_sk', 'change_ts'],
+    'customer_order_changes': ['customer_nk', 'customer_segment', 'change_ts'],
+    'interval_exchange_rate': ['from_currency_code', 'to_currency_code', 'rate_type', 'rate_value', 'valid_from_datetime', 'valid_to_datetime'],
     'dated_exchange_rate': ['from_currency_code', 'to_currency_code', 'rate_type', 'rate_date', 'rate_value'],
     'transactions_with_currency': ['account_sk', 'booking_date_sk', 'booking_date', 'amount_txn_ccy', 'currency_code'],
     'dim_collateral': ['collateral_sk', 'market_value', 'haircut_percentage'],

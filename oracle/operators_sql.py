@@ -340,4 +340,57 @@ select account_sk, cast(100 + sum(amount_txn_ccy * (case when is_credit = (accou
 from fact_transaction group by account_sk
 """,
 }
+# H2 with a history: what holds on every day on which something is stated
+_SPLICE = """
+with ch as (
+  select customer_nk as nk, cast(change_ts as date) as d, customer_segment as seg from customer_order_changes
+  where change_ts is not null and customer_nk is not null
+  qualify row_number() over (partition by customer_nk, cast(change_ts as date) order by change_ts desc, customer_segment desc) = 1),
+v as (select customer_nk as nk, effective_from_date as d, effective_to_date as e, customer_sk as sk, full_name, customer_segment as seg,
+             nationality_country_sk as nat from customer_versions where customer_nk in (select nk from ch)),
+gaps as (select nk, e as d from v where e is not null and not exists (
+           select 1 from v o where o.nk = v.nk and o.d <= v.e and (o.e is null or o.e > v.e))),
+points as (select nk, d, max(vd) as vd, max(cd) as cd, max(gd) as gd from (
+    select nk, d, d as vd, null as cd, null as gd from v union all select nk, d, null, d, null from ch
+    union all select nk, d, null, null, d from gaps) group by nk, d),
+state as (select nk, d, lead(d) over w as next_d, max(vd) over w as vd, max(cd) over w as cd, max(gd) over w as gd,
+                 vd is not null as starts from points window w as (partition by nk order by d)),
+held as (
+  select s.nk, s.d, s.next_d, coalesce(s.gd > s.vd, s.gd is not null) and coalesce(s.gd > s.cd, true) as absent, own.sk,
+         coalesce(v.full_name, f.full_name) as full_name, coalesce(v.nat, f.nat) as nat,
+         case when s.cd is not null and (s.vd is null or s.cd >= s.vd) then ch.seg else v.seg end as seg
+  from state s left join v on v.nk = s.nk and v.d = s.vd left join ch on ch.nk = s.nk and ch.d = s.cd
+  left join (select nk, min(d) as d from v group by nk) fd on fd.nk = s.nk left join v f on f.nk = fd.nk and f.d = fd.d
+  left join v own on own.nk = s.nk and own.d = s.d),
+marked as (select *, case when lag(absent) over w = false and absent = false and lag(full_name) over w is not distinct from full_name
+                and lag(seg) over w is not distinct from seg and lag(nat) over w is not distinct from nat then 0 else 1 end as fresh
+           from held window w as (partition by nk order by d)),
+isl as (select *, sum(fresh) over (partition by nk order by d) as island from marked),
+merged as (select nk, min(d) as d, nullif(max(coalesce(next_d, date '9999-12-31')), date '9999-12-31') as e, any_value(full_name) as full_name,
+                  any_value(seg) as seg, any_value(nat) as nat, arg_min(sk, d) filter (where sk is not null) as sk
+           from isl where not absent group by nk, island),
+keyed as (select *, (select max(customer_sk) from customer_versions) + row_number() over (partition by sk is null order by nk, d) as new_sk from merged)
+select customer_sk, customer_nk, full_name, customer_segment, nationality_country_sk, effective_from_date, effective_to_date, is_current_record
+from customer_versions where customer_nk not in (select nk from ch)
+union all
+select coalesce(sk, new_sk), nk, full_name, seg, nat, d, e, e is null from keyed
+"""
+OPERATORS["scd2_history_splice"] = _SPLICE
+OPERATORS["interval_rate_amounts"] = """
+with t as (select *, row_number() over () as id from transactions_with_currency),
+best as (select t.id, arg_max(r.rate_value, (r.valid_from_datetime, r.rate_value)) as rate
+         from t join interval_exchange_rate r on r.from_currency_code = t.currency_code and r.valid_from_datetime <= cast(t.booking_date as timestamp)
+              and (r.valid_to_datetime is null or cast(t.booking_date as timestamp) < r.valid_to_datetime) group by t.id)
+select t.account_sk, t.booking_date, t.amount_txn_ccy, t.currency_code, best.rate as fx_rate_applied,
+       cast(round(cast(t.amount_txn_ccy as decimal(20,2)) * best.rate, 2) as decimal(20,2)) as amount_reporting_ccy
+from t left join best on best.id = t.id
+"""
+OPERATORS["rate_interval_check"] = """
+with r as (select from_currency_code, valid_from_datetime as s, coalesce(valid_to_datetime, timestamp '9999-12-31') as e from interval_exchange_rate),
+w as (select *, max(e) over (partition by from_currency_code order by s, e rows between unbounded preceding and 1 preceding) as ended
+      from r where s < e)
+select from_currency_code, issue, count(*) as rows from (
+  select from_currency_code, case when s < ended then 'overlap' when s > ended then 'gap' end as issue from w
+  union all select from_currency_code, 'reversed' from r where s >= e) where issue is not null group by from_currency_code, issue
+"""
 OPERATORS["alert_milestones_merged"] = OPERATORS["alert_milestones"]
