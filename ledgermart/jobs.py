@@ -42,7 +42,7 @@ def cmd_load(args) -> int:
     minimums = warehouse.present_minimums(frames) if args.partial else None
     try:
         out = warehouse.load_warehouse(frames, args.root.rstrip("/"), args.first_year, args.last_year,
-                                       strict=args.strict, minimums=minimums)
+                                       strict=args.strict, minimums=minimums, analyze_into=args.analyze)
     except warehouse.LoadVerificationError as failed:
         print(f"the load did not become current: {failed}", file=sys.stderr)
         return 1
@@ -92,6 +92,7 @@ def main(argv: list[str] | None = None) -> int:
     lp.add_argument("--last-year", type=int, default=2025)
     lp.add_argument("--strict", action="store_true", help="stop at the first rejected row")
     lp.add_argument("--partial", action="store_true", help="accept a source without all tables, or short ones")
+    lp.add_argument("--analyze", metavar="DATABASE", help="register the tables there and analyse them (needs a lasting catalogue)")
     lp.set_defaults(func=cmd_load)
     mp = sub.add_parser("mart")
     mp.add_argument("name")

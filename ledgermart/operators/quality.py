@@ -21,6 +21,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgermart.session import materialize
 from ledgermart.sources import schemas as S
 
 Frames = Mapping[str, DataFrame]
@@ -179,6 +180,43 @@ def orphan_check(fact: DataFrame, dim: DataFrame, fk: str, pk: str) -> DataFrame
     return missing.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("orphan_rows"))
 
 
+#: Bits of one bitmap and the bytes they take; a set of bitmaps up to this
+#: size goes to every task.
+BITMAP_BITS, BITMAP_BYTES, BITMAP_BROADCAST = 32_768, 4_096, 64 * 1024 * 1024
+
+
+def key_bitmaps(dim: DataFrame, pk: str) -> DataFrame:
+    """(bucket, bits): the exact set of a dimension's whole-number keys, one
+    bit per key of a bucket of 32,768 (generated keys are dense)."""
+    k = F.col(pk).cast("bigint")
+    return dim.filter(k.isNotNull()).groupBy(F.bitmap_bucket_number(k).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(k)).alias("bits"))
+
+
+def orphan_rows(fact: DataFrame, dim: DataFrame, fk: str, pk: str) -> DataFrame:
+    """Facts with no dimension row, NULL keys included, without shuffling the
+    facts: the dimension's keys become bitmaps, the facts look their bit up,
+    and only orphans go on.  The same rows as an anti join.
+
+    The bitmaps are counted first.  Up to ``BITMAP_BROADCAST`` bytes they go
+    to every task (16,384 buckets, half a billion dense keys); beyond that,
+    or where keys are so scattered that the bitmaps would take more than the
+    keys, it is the exact anti join."""
+    maps = materialize(key_bitmaps(dim, pk), "bitmaps")
+    size = maps.agg(F.count(F.lit(1)).alias("buckets"), F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("keys")).first()
+    scattered = size["buckets"] * BITMAP_BYTES > 16 * 1024 * 1024 and size["keys"] * 64 < size["buckets"] * BITMAP_BYTES
+    if scattered or size["buckets"] * BITMAP_BYTES > BITMAP_BROADCAST:
+        d = dim.select(F.col(pk).alias("__pk"))
+        return fact.join(d, fact[fk] == d["__pk"], "left_anti")
+    k = F.col(fk).cast("bigint")
+    looked = fact.join(F.broadcast(maps.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))),
+                       F.bitmap_bucket_number(k) == F.col("__bucket"), "left")
+    at = F.bitmap_bit_position(k)
+    byte = F.conv(F.hex(F.substring("__bits", F.call_function("div", at, F.lit(8)).cast("int") + 1, 1)), 16, 10).cast("int")
+    present = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
+    return looked.filter(~F.coalesce(present, F.lit(False))).select(*fact.columns)
+
+
 def skipped_soft_keys(frames: Frames, keys: Iterable[tuple[str, str, str, str]] | None = None) -> list[tuple[str, str, str]]:
     """(table, foreign key, dimension) of the declared keys that
     :func:`soft_key_suite` cannot check: a table or column is not there."""
@@ -211,7 +249,11 @@ def soft_key_suite(frames: Frames, keys: Iterable[tuple[str, str, str, str]] | N
     listed twice does no harm); one shuffle for the whole suite."""
     keys = _present_keys(frames, list(S.soft_foreign_keys() if keys is None else keys))
     if not keys:
-        return None
+        spark = next((frames[t] for t in frames), None)
+        if spark is None:
+            raise ValueError("no table to check")
+        return spark.sparkSession.createDataFrame(
+            [], "table_name string, fk_column string, dim_table string, orphan_rows bigint, null_fk_rows bigint")
     by_table: dict[str, list[tuple[int, str]]] = {}
     for tag, (t, fk, _dim, _pk) in enumerate(keys):
         by_table.setdefault(t, []).append((tag, fk))

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermart.functions.keys import date_key
-from ledgermart.operators import derive, history, joins, quality
+from ledgermart.operators import derive, hierarchy, history, joins, quality
 from ledgermart.operators.joins import join_dim, latest_only
-from ledgermart.plans import governance, marts
-from ledgermart.sources import load
+from ledgermart.plans import governance, marts, views
+from ledgermart.session import materialize, scratch_folder
+from ledgermart.sources import load, stored
 from ledgermart.sources import testviews as TV
 from ledgermart.sources.testviews import bank_frames
 
@@ -76,6 +77,39 @@ def pruned_transactions(f):
                                          F.sum("amount_txn_ccy").cast("decimal(38,2)").alias("amount"))
 
 
+CHOSEN_CUSTOMERS = (1, 2, 4, 5, 7, 8, 10, 11, 13, 14)
+
+
+def pruned_stored_transactions(f):
+    """L5/L6 over a written layout: the transactions are written by booking
+    year with a manifest and Bloom filters; the query opens only the files
+    that the manifest leaves for its dates, and looks up some customers."""
+    t = f["fact_transaction"].select("account_sk", "customer_sk", "booking_date_sk", "amount_txn_ccy")
+    folder = scratch_folder(t.sparkSession, "layout")
+    load.write_range_partitioned(t, f"{folder}/fact_transaction", "booking_date_sk", TEST_RANGES, bloom=["customer_sk"])
+    stored.write_manifest(t.sparkSession, folder, "fact_transaction", ["booking_date_sk"])
+    p = stored.read_pruned(t.sparkSession, folder, "fact_transaction", {"booking_date_sk": (PRUNE_FROM, PRUNE_TO)},
+                           {"customer_sk": CHOSEN_CUSTOMERS})
+    return p.groupBy(F.col("booking_year").cast("string").alias("booking_year"), "customer_sk").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("amount_txn_ccy").cast("decimal(38,2)").alias("amount"))
+
+
+def payment_sketches(f):
+    """L9 in parts: one row of counts, ends and sketches per column and day,
+    merged; distinct counts are estimates, so the query reports whether they
+    are within five percent of the exact count (and the median of the
+    numbers within 2 % of the ranks)."""
+    p = f["fact_payment_order"].select("payment_nk", "instruction_date_sk", "debtor_customer_sk", "payment_type", "payment_amount_rcy",
+                                       "processing_time_seconds")
+    parts = materialize(stored.sketch_statistics(p, F.col("instruction_date_sk")), "sketches")
+    merged = stored.merge_statistics(parts, [0.49, 0.5, 0.51])
+    exact = p.agg(*[F.count_distinct(c).alias(c) for c in p.columns]).unpivot([], p.columns, "exact_column", "exact")
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.05)
+    return merged.join(F.broadcast(exact), F.col("column_name") == F.col("exact_column")).select(
+        "column_name", "row_count", "null_count", "min_value", "max_value", near.alias("distinct_is_near"),
+        (F.size("quantiles") == 3).alias("has_quantiles"))
+
+
 def append_new_accounts(f):
     """Orders without an account row become accounts with keys after
     the highest existing account key, in order-key order."""
@@ -191,6 +225,25 @@ def scd2_customers(f):
                               ["customer_segment", "nationality_country_sk"], TV.SCD_AS_OF, "change_ts")
 
 
+def ledger_rollup_ragged(f):
+    """G19 over all five levels, of accounts that end at different ones."""
+    g = f["fact_gl_balance"].filter("period_type = 'MONTHLY'").select("gl_account_sk", "closing_balance_rcy")
+    return hierarchy.ragged_rollup(g, f["gl_account_levels"], "gl_account_sk", TV.LEDGER_LEVELS, "closing_balance_rcy")
+
+
+def orphan_transaction_rows(f):
+    """Q4: the orphans themselves, looked up in bitmaps of the account keys."""
+    t = f["fact_transaction"].select("account_sk", "booking_date_sk", "amount_txn_ccy")
+    return quality.orphan_rows(t, f["dim_account"], "account_sk", "account_sk")
+
+
+def ifrs9_portfolio_function(f):
+    """V3 as a table function called by SQL text, for two days."""
+    spark = f["fact_loan_daily_snapshot"].sparkSession
+    views.register_functions(spark, f, ["ifrs9_portfolio"])
+    return spark.sql("SELECT * FROM ifrs9_portfolio(DATE'1996-06-30') UNION ALL SELECT * FROM ifrs9_portfolio(DATE'1997-01-31')")
+
+
 def scd2_history_splice(f):
     """H2: changes of any age and number fitted into the customers' history."""
     return history.scd2_splice(f["customer_versions"], f["customer_order_changes"], "customer_nk", "customer_sk", "change_ts")
@@ -277,6 +330,8 @@ QUERIES.update({name: _on_frames(fn) for name, fn in {
     "key_high_water": load.key_high_water,
     "partition_layout": partition_layout,
     "pruned_transactions": pruned_transactions,
+    "pruned_stored_transactions": pruned_stored_transactions,
+    "payment_sketches": payment_sketches,
     "append_new_accounts": append_new_accounts,
     "payment_statistics": payment_statistics,
     "dim_date_generated": dim_date_generated,
@@ -304,6 +359,11 @@ QUERIES.update({name: _on_frames(fn) for name, fn in {
     "alert_milestones_merged": alert_milestones_merged,
     "load_rejects": load_rejects,
     "scd2_history_splice": scd2_history_splice,
+    "manager_chain": lambda f: hierarchy.parent_chain(f["employees"], "employee_sk", "manager_employee_sk"),
+    "ledger_rollup_ragged": ledger_rollup_ragged,
+    "masked_customers_declared": lambda f: derive.mask_declared(f["dim_customer"], "dim_customer", MASK_SALT),
+    "orphan_transaction_rows": orphan_transaction_rows,
+    "ifrs9_portfolio_function": ifrs9_portfolio_function,
     "interval_rate_amounts": interval_rate_amounts,
     "rate_interval_check": lambda f: joins.rate_interval_check(f["interval_exchange_rate"], ["from_currency_code"]),
     "gl_closing_balance": gl_closing_balance,

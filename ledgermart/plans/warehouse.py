@@ -18,7 +18,8 @@ stops at the first error and then counts rows per table.  Here:
 4. before that, the written tables are counted against their minimums; a
    missing, unreadable or short table stops the load and the previous run
    stays current;
-5. soft foreign keys are checked, with the keys that could not be, and the
+5. with ``analyze_into`` the tables of the run are registered and analysed;
+6. soft foreign keys are checked, with the keys that could not be, and the
    next surrogate key per table is reported (the key reset of the
    reference).
 """
@@ -31,7 +32,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from ledgermart.operators.quality import skipped_soft_keys, soft_key_suite, split_valid, verified_counts
-from ledgermart.sources import load
+from ledgermart.sources import load, stored
 from ledgermart.sources import schemas as S
 
 
@@ -40,9 +41,10 @@ def prepare(frames: Mapping[str, DataFrame], load_date: str, load_ts: str,
     """Conform, default, validate and key every declared table present.
 
     The rules are checked on the columns the source provides (plus the
-    defaults); a generated surrogate key the source does not carry is
-    assigned after validation, dense after the highest existing key (L7),
-    as the reference's key generators do."""
+    defaults).  A generated surrogate key the source does not carry stays
+    open here: it follows from the position that each valid row gets in the
+    written files (L7, :func:`ledgermart.sources.stored.keys_from_positions`),
+    so a fact is written once."""
     good, rejected = {}, {}
     for t in S.LOAD_ORDER:
         try:
@@ -52,9 +54,6 @@ def prepare(frames: Mapping[str, DataFrame], load_date: str, load_ts: str,
         tagged = load.with_misfits(df, t)
         typed = load.fill_defaults(load.conform(tagged, t, add_missing=False), t, load_date, load_ts)
         ok, bad = split_valid(typed, t, strict=strict)
-        key = S.key_column(t)
-        if key and key not in ok.columns:
-            ok = load.append_with_keys(ok, None, key)        # arrival order, no shuffle
         good[t], rejected[t] = load.conform(ok, t), bad   # declared order, absent columns as NULL
     return good, rejected
 
@@ -83,11 +82,11 @@ def physical_layout(tables) -> dict[str, dict[str, list[str]]]:
         elif t in SNAPSHOT_KEYS:
             key = SNAPSHOT_KEYS[t]
             fks = [c for c in cols if c.endswith("_sk") and c not in (own, key) and not c.endswith("date_sk")][:1]
-            out[t] = {"partition_by": [key], "sort_by": fks}
+            out[t] = {"partition_by": [key], "sort_by": fks, "bloom": fks}
         elif t.startswith("fact_"):
             dates = [c for c in cols if c.endswith("date_sk")][:1]
             fks = [c for c in cols if c.endswith("_sk") and c != own and c not in dates][:1]
-            out[t] = {"sort_by": dates + fks}
+            out[t] = {"sort_by": dates + fks, "bloom": fks}
     return out
 
 
@@ -114,14 +113,16 @@ def present_minimums(frames: Mapping[str, DataFrame]) -> dict[str, int]:
 
 def load_warehouse(frames: Mapping[str, DataFrame], root: str, first_year: int, last_year: int,
                    strict: bool = False, load_date: str | None = None,
-                   minimums: Mapping[str, int] | None = None) -> dict:
+                   minimums: Mapping[str, int] | None = None, analyze_into: str | None = None) -> dict:
     """Run the load; returns run id, rows written per table (from the
     written files), the rejected rows per table (read from where they were
     written) and their counts, the row-count verification, the soft keys
     checked and skipped, and the key high-water marks.
 
     ``minimums`` (all 22 tables by default) is what the run must hold to
-    become current; otherwise :class:`LoadVerificationError` is raised."""
+    become current; otherwise :class:`LoadVerificationError` is raised.
+    ``analyze_into`` names a database whose tables are pointed at the run
+    and analysed for the cost-based optimiser."""
     now = _dt.datetime.now()
     load_date = load_date or now.date().isoformat()
     load_ts = now.strftime("%Y-%m-%d %H:%M:%S")
@@ -141,8 +142,12 @@ def load_warehouse(frames: Mapping[str, DataFrame], root: str, first_year: int,
         failed = [f"{t} {status} ({n} rows, at least {m})" for t, n, m, status in verified if status != "OK"]
         if failed:
             raise LoadVerificationError("; ".join(failed))
+    keyed = {t for t in good if S.key_column(t) and S.key_column(t) not in frames[t].columns}
     run_id = load.full_refresh(good, root, partitioned={"fact_transaction": ("booking_date_sk", ranges)},
-                               layout=physical_layout(good), check=check)
+                               layout=physical_layout(good), check=check, keyed=keyed)
+    if analyze_into:
+        folder, there = f"{root}/{run_id}", [t for t, n, _, _ in verified if n]
+        stored.analyze_tables(spark, stored.register_tables(spark, folder, there, analyze_into), analyze_into)
     return {
         "run_id": run_id,
         "rows": {t: n for t, n, _, _ in verified if t in written},

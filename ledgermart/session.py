@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -108,15 +109,20 @@ def materialize(df, label: str = "stage", partition_by: tuple[str, ...] = ()):
 
     The folder goes when the driver ends, or earlier with the
     :func:`scratch` block in which it was written."""
-    import uuid
-
     spark = df.sparkSession
+    path = scratch_folder(spark, label)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path) if partition_by else spark.read.parquet(path)
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under the shared checkpoint folder, not made yet; it goes
+    when the driver ends or with the :func:`scratch` block."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgermart/{label}-{uuid.uuid4().hex}"
     _delete_on_exit(spark, path)
     if _open_scratch:
         _open_scratch[-1].append((spark, path))
-    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if partition_by else spark.read.parquet(path)
+    return path
 
 
 _open_scratch: list[list] = []

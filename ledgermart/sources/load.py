@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermart.session import checkpoint_dir, materialize
-from ledgermart.sources import pointer
+from ledgermart.sources import pointer, stored
 from ledgermart.sources import schemas as S
 
 # ------------------------------------------------------------------- read
@@ -140,7 +140,7 @@ def with_partition_label(df: DataFrame, key: str, ranges, part_col: str = "booki
 
 
 def write_range_partitioned(df: DataFrame, path: str, key: str, ranges, part_col: str = "booking_year",
-                            files_per_range: int | None = None, mode: str = "overwrite") -> None:
+                            files_per_range: int | None = None, mode: str = "overwrite", bloom: Sequence[str] = ()) -> None:
     """Write ``df`` partitioned by the yearly (or any) range of ``key``.
 
     Rows are range-partitioned on the key before the write, so every task
@@ -148,12 +148,13 @@ def write_range_partitioned(df: DataFrame, path: str, key: str, ranges, part_col
     file's row groups carry tight min/max statistics for later skipping;
     a year is never funnelled into a single task.  A seeded random
     tiebreaker in the range key splits a hot day (one date holding a
-    third of all rows) over several tasks instead of one."""
+    third of all rows) over several tasks instead of one.  ``bloom`` names
+    the columns that get Parquet Bloom filters."""
     out = with_partition_label(df, key, ranges, part_col)
     n = files_per_range * (len(ranges) + 1) if files_per_range else None
     order = [F.col(key), F.rand(seed=17)]
     out = out.repartitionByRange(n, *order) if n else out.repartitionByRange(*order)
-    (out.sortWithinPartitions(key).write.mode(mode).partitionBy(part_col).parquet(path))
+    (out.sortWithinPartitions(key).write.mode(mode).options(**stored.bloom_options(bloom)).partitionBy(part_col).parquet(path))
 
 
 def prune_by_date_key(df: DataFrame, key: str, from_sk: int, to_sk: int, ranges,
@@ -205,9 +206,9 @@ def append_with_keys(new_rows: DataFrame, existing: DataFrame | None, key: str,
             if existing is not None else F.lit(0).cast("bigint"))
     laid = new_rows
     if order_by:
-        parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        laid = (laid.withColumn("__tb", F.rand(seed=29))
-                .repartitionByRange(parts, *order_by, "__tb").sortWithinPartitions(*order_by, "__tb"))
+        # without a number AQE merges small ranges, neighbours only, so the order stays
+        by = ([num_partitions] if num_partitions else []) + [*order_by, "__tb"]
+        laid = laid.withColumn("__tb", F.rand(seed=29)).repartitionByRange(*by).sortWithinPartitions(*order_by, "__tb")
     laid = (laid.withColumn("__pid", F.spark_partition_id())
             .withColumn("__pos", F.monotonically_increasing_id() - (F.spark_partition_id().cast("bigint") * (1 << 33))))
     if order_by:
@@ -321,7 +322,7 @@ def analyze_table(spark: SparkSession, table: str) -> None:
 def full_refresh(frames: Mapping[str, DataFrame], root: str, order: Sequence[str] | None = None,
                  partitioned: Mapping[str, tuple[str, list]] | None = None, run_id: str | None = None,
                  layout: Mapping[str, Mapping[str, Sequence[str]]] | None = None,
-                 check: Callable[[str], None] | None = None) -> str:
+                 check: Callable[[str], None] | None = None, keyed: Iterable[str] = ()) -> str:
     """L4: write every table in load order (reference, dimensions, bridges,
     facts) under ``root/<run_id>/<table>``, stopping at the first failure,
     then publish the run as the current one (:mod:`.pointer`).  Readers use
@@ -333,7 +334,10 @@ def full_refresh(frames: Mapping[str, DataFrame], root: str, order: Sequence[str
     current-version flag of a type 2 dimension, the Parquet counterpart of
     a partial index) and ``sort_by`` columns (date key and main foreign
     key, the counterpart of a plain index: row-group min/max statistics
-    then let scans skip)."""
+    then let scans skip) and ``bloom`` columns (single values skip row
+    groups).  Tables with such a layout and those of ``keyed``, whose
+    generated key follows from the rows' positions, get a manifest
+    (:mod:`.stored`)."""
     run_id = run_id or _uuid.uuid4().hex[:12]
     order = [t for t in (order or S.LOAD_ORDER) if t in frames]
     partitioned = partitioned or {}
@@ -343,11 +347,14 @@ def full_refresh(frames: Mapping[str, DataFrame], root: str, order: Sequence[str
         df = frames[t]
         spark = df.sparkSession
         target = f"{root}/{run_id}/{t}"
+        spec = layout.get(t, {})
+        bloom = [c for c in spec.get("bloom", ()) if c in df.columns]
+        recorded = [*([partitioned[t][0]] if t in partitioned else []), *spec.get("partition_by", ()), *spec.get("sort_by", ())]
         if t in partitioned:
             key, ranges = partitioned[t]
-            write_range_partitioned(df, target, key, ranges)
+            write_range_partitioned(df, target, key, ranges, bloom=bloom)
+            stored.write_manifest(spark, f"{root}/{run_id}", t, recorded, t in keyed)
             continue
-        spec = layout.get(t, {})
         sort_by = [c for c in spec.get("sort_by", ()) if c in df.columns]
         part_by = [c for c in spec.get("partition_by", ()) if c in df.columns]
         out = df
@@ -356,10 +363,12 @@ def full_refresh(frames: Mapping[str, DataFrame], root: str, order: Sequence[str
             out = out.repartitionByRange(*[F.col(c) for c in part_by], F.rand(seed=23))
         if sort_by or part_by:
             out = out.sortWithinPartitions(*(part_by + sort_by))
-        w = out.write.mode("overwrite")
+        w = out.write.mode("overwrite").options(**stored.bloom_options(bloom))
         if part_by:
             w = w.partitionBy(*part_by)
         w.parquet(target)
+        if recorded or t in keyed:
+            stored.write_manifest(spark, f"{root}/{run_id}", t, recorded, t in keyed)
     if check is not None:
         check(f"{root}/{run_id}")
     if spark is not None:
@@ -378,9 +387,13 @@ def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def read_run(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One table of one run, typed as in :func:`read_current`."""
+    """One table of one run, typed as in :func:`read_current`.  A generated
+    key that the source did not have comes from the rows' positions."""
     try:
         df = spark.read.parquet(f"{folder}/{table}")
+        manifest = stored.read_manifest(spark, folder, table)
+        if manifest is not None and manifest.filter("keyed").limit(1).count():
+            df = stored.keys_from_positions(df, manifest, table, S.key_column(table))
     except AnalysisException as failed:
         # a write of no rows into partition folders leaves the folder but no file to take a schema from
         if failed.getCondition() != "UNABLE_TO_INFER_SCHEMA" or pointer.folders(spark, f"{folder}/{table}"):

@@ -607,6 +607,8 @@ def _reference_target(col: str) -> tuple[str, str] | None:
         return "dim_geography", "geography_sk"
     if col.endswith("customer_sk"):
         return "dim_customer", "customer_sk"
+    if col.endswith("transaction_sk"):
+        return "fact_transaction", "transaction_sk"     # a fact that points at a fact
     if col in ("assigned_analyst_sk", "relationship_mgr_sk") or col.endswith("employee_sk"):
         return "dim_employee", "employee_sk"
     keys = {key_column(d): d for d in TABLES if d.startswith("dim_") and key_column(d)}
@@ -620,7 +622,8 @@ def _reference_target(col: str) -> tuple[str, str] | None:
 
 
 def soft_foreign_keys() -> list[tuple[str, str, str, str]]:
-    """(table, fk, dimension, pk) for every reference the model declares by name."""
+    """(table, fk, referenced table, pk) for every reference the model declares
+    by name, those into the table itself included."""
     out = []
     for t in TABLES:
         own = key_column(t)
@@ -628,7 +631,7 @@ def soft_foreign_keys() -> list[tuple[str, str, str, str]]:
             if c.name == own:
                 continue
             target = _reference_target(c.name)
-            if target and target[0] in TABLES and target[0] != t and any(
+            if target and target[0] in TABLES and any(
                     x.name == target[1] for x in columns(target[0])):
                 out.append((t, c.name, *target))
     return out

@@ -418,6 +418,30 @@ def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as an employee of the one with a quarter of the key
+    (keys below four have no manager).  Planted: key % 41 = 7 has a manager
+    who is not there; keys % 100 = 50 and 51 manage each other."""
+    k = F.col("c_custkey")
+    own = F.call_function("div", k, F.lit(4))
+    manager = (F.when(k % 41 == 7, k + 5_000_000).when(k % 100 == 50, k + 1).when(k % 100 == 51, k - 1).when(own > 0, own))
+    return read_test_table(spark, sf_dir, "customer").select(k.alias("employee_sk"), manager.alias("manager_employee_sk"))
+
+
+LEDGER_LEVELS = ["account_class", "level1_name", "level2_name", "level3_name", "level4_name", "level5_name"]
+
+
+def gl_account_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger accounts with one to five levels (1 + key % 5): the part's
+    type, brand, size, name and key; the second level of keys % 7 = 3 has no
+    name."""
+    p = read_test_table(spark, sf_dir, "part").filter("p_partkey < 33").select("p_partkey", "p_type", "p_brand", "p_size", "p_name")
+    k = F.col("p_partkey")
+    names = [F.col("p_type"), F.when(k % 7 != 3, F.col("p_brand")), F.col("p_size").cast("string"), F.col("p_name"), k.cast("string")]
+    levels = [F.when(1 + k % 5 > i, n).alias(f"level{i + 1}_name") for i, n in enumerate(names)]
+    return p.select(k.alias("gl_account_sk"), _case(k % 5, GL_CLASSES).alias("account_class"), *levels)
+
+
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
@@ -546,6 +570,8 @@ BUILDERS.update({
     "customer_type1": customer_type1,
     "customer_changes": customer_changes,
     "customer_order_changes": customer_order_changes,
+    "employees": employees,
+    "gl_account_levels": gl_account_levels,
     "dated_exchange_rate": dated_exchange_rate,
     "interval_exchange_rate": interval_exchange_rate,
     "transactions_with_currency": transactions_with_currency,
@@ -578,6 +604,8 @@ VIEW_COLUMNS = {
     'customer_versions': ['customer_sk', 'customer_nk', 'full_name', 'customer_segment', 'nationality_country_sk', 'effective_from_date', 'effective_to_date', 'is_current_record'],
     'customer_type1': ['customer_sk', 'customer_nk', 'full_name', 'customer_segment', 'nationality_country_sk'],
     'customer_changes': ['customer_nk', 'full_name', 'customer_segment', 'nationality_country_sk', 'change_ts'],
+    'employees': ['employee_sk', 'manager_employee_sk'],
+    'gl_account_levels': ['gl_account_sk', 'account_class', 'level1_name', 'level2_name', 'level3_name', 'level4_name', 'level5_name'],
     'customer_order_changes': ['customer_nk', 'customer_segment', 'change_ts'],
     'interval_exchange_rate': ['from_currency_code', 'to_currency_code', 'rate_type', 'rate_value', 'valid_from_datetime', 'valid_to_datetime'],
     'dated_exchange_rate': ['from_currency_code', 'to_currency_code', 'rate_type', 'rate_date', 'rate_value'],

@@ -35,6 +35,8 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in ordered)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -376,6 +376,50 @@ union all
 select coalesce(sk, new_sk), nk, full_name, seg, nat, d, e, e is null from keyed
 """
 OPERATORS["scd2_history_splice"] = _SPLICE
+OPERATORS["pruned_stored_transactions"] = f"""
+select {_label('booking_date_sk')} as booking_year, customer_sk, count(*) as rows, cast(sum(amount_txn_ccy) as decimal(38,2)) as amount
+from fact_transaction where booking_date_sk between 19970601 and 19980315 and customer_sk in (1, 2, 4, 5, 7, 8, 10, 11, 13, 14) group by 1, 2
+"""
+OPERATORS["payment_sketches"] = "\nunion all\n".join(
+    f"select '{c}' as column_name, count(*) as row_count, cast(sum(case when {c} is null then 1 else 0 end) as bigint) as null_count, "
+    f"cast(min({c}) as varchar) as min_value, cast(max({c}) as varchar) as max_value, true as distinct_is_near, "
+    f"{'null' if c == 'payment_type' else 'true'} as has_quantiles from fact_payment_order"
+    for c in ("payment_nk", "instruction_date_sk", "debtor_customer_sk", "payment_type", "payment_amount_rcy", "processing_time_seconds"))
+OPERATORS["manager_chain"] = """
+with recursive walk(employee_sk, here, depth, seen) as (
+  select employee_sk, employee_sk, cast(0 as bigint), [employee_sk] from employees
+  union all
+  select w.employee_sk, m.employee_sk, w.depth + 1, list_append(w.seen, m.employee_sk)
+  from walk w join employees e on e.employee_sk = w.here join employees m on m.employee_sk = e.manager_employee_sk
+  where len(w.seen) = len(list_distinct(w.seen))),
+ends as (select employee_sk, arg_max(here, depth) as here, max(depth) as depth, arg_max(seen, depth) as seen from walk group by employee_sk),
+said as (select *, len(seen) <> len(list_distinct(seen)) as loops from ends)
+select s.employee_sk, case when not loops then depth end as depth, case when not loops then here end as top,
+       case when loops and s.employee_sk = here then 'cycle' when loops then 'below_cycle'
+            when e.manager_employee_sk is not null and depth = 0 then 'orphan' end as issue
+from said s join employees e on e.employee_sk = s.employee_sk
+"""
+_LEVELS = ["account_class", "level1_name", "level2_name", "level3_name", "level4_name", "level5_name"]
+OPERATORS["ledger_rollup_ragged"] = "\nunion all\n".join(
+    "select " + ", ".join(c if i < n else f"cast(null as varchar) as {c}" for i, c in enumerate(_LEVELS))
+    + f", {n} as depth, count(*) as row_count, cast(sum(g.closing_balance_rcy) as decimal(38,2)) as total_balance "
+    + "from fact_gl_balance g join gl_account_levels a on a.gl_account_sk = g.gl_account_sk where g.period_type = 'MONTHLY'"
+    + (f" and coalesce({', '.join(_LEVELS[n - 1:])}) is not null" if n else "")
+    + (f" group by {', '.join(_LEVELS[:n])}" if n else "") for n in range(len(_LEVELS) + 1))
+OPERATORS["masked_customers_declared"] = """
+select * replace (sha256('ledgermart-test-salt' || full_name) as full_name) from dim_customer
+"""
+OPERATORS["orphan_transaction_rows"] = """
+select t.account_sk, t.booking_date_sk, t.amount_txn_ccy from fact_transaction t left join (select distinct account_sk from dim_account) a
+  on a.account_sk = t.account_sk where a.account_sk is null
+"""
+OPERATORS["ifrs9_portfolio_function"] = """
+select snapshot_date, ifrs9_stage, dpd_bucket, count(*) as loans, cast(sum(total_outstanding_rcy) as decimal(38,2)) as exposure_usd,
+       cast(cast((2 * cast(sum(ecl_pd * 1000000) as hugeint) + 100 * count(ecl_pd))
+                 // nullif(200 * count(ecl_pd), 0) as decimal(18,0)) * 0.0001 as decimal(18,4)) as avg_pd
+from (select l.*, d.full_date as snapshot_date from fact_loan_daily_snapshot l join dim_date d on d.date_sk = l.snapshot_date_sk)
+where snapshot_date in (date '1996-06-30', date '1997-01-31') group by all
+"""
 OPERATORS["interval_rate_amounts"] = """
 with t as (select *, row_number() over () as id from transactions_with_currency),
 best as (select t.id, arg_max(r.rate_value, (r.valid_from_datetime, r.rate_value)) as rate

@@ -18,10 +18,10 @@ from ledgermart.streaming import alerts
 def _raw_branches(spark):
     columns = {c.name: None for c in S.columns("dim_branch")}
     assert "branch_sk" in columns
-    good = {k: v for k, v in {"branch_sk": "1", "branch_code": "B1", "branch_name": "One"}.items() if k in columns}
-    rows = [good, dict(good, branch_sk="abc"), dict(good, branch_sk="3")]
     flag = next(c.name for c in S.columns("dim_branch") if c.dtype == "boolean")
-    rows[2][flag] = "maybe"
+    flags = {c.name: "true" for c in S.columns("dim_branch") if c.dtype == "boolean"}
+    good = {k: v for k, v in {"branch_sk": "1", "branch_code": "B1", "branch_name": "One"}.items() if k in columns} | flags
+    rows = [good, dict(good, branch_sk="abc"), dict(good, branch_sk="3", **{flag: "maybe"})]
     names = list({k: None for r in rows for k in r})
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ", ".join(f"{n} string" for n in names)), flag
 
@@ -34,8 +34,10 @@ def test_misfits_are_rejected_with_their_reason_and_kept(spark, tmp_path):
     out = warehouse.load_warehouse({"dim_branch": raw}, str(tmp_path), 2024, 2024, minimums={"dim_branch": 0})
     assert out["rejected_rows"]["dim_branch"] == out["rejected"]["dim_branch"].count() >= 2
     assert out["rows"]["dim_branch"] + out["rejected_rows"]["dim_branch"] == 3
-    with pytest.raises(Exception, match="type:"):
-        warehouse.prepare({"dim_branch": raw}, "2024-01-01", "2024-01-01 00:00:00", strict=True)[0]["dim_branch"].count()
+    assert sorted(r["branch_sk"] for r in good["dim_branch"].collect()) == [1]
+    one = raw.filter("branch_sk = 'abc'")   # one misfit, so there is one error to raise
+    with pytest.raises(Exception, match="type:branch_sk"):
+        warehouse.prepare({"dim_branch": one}, "2024-01-01", "2024-01-01 00:00:00", strict=True)[0]["dim_branch"].count()
 
 
 def test_short_or_missing_tables_do_not_become_current(spark, tmp_path):
