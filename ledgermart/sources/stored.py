@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermart.sources import pointer
+from ledgermart.sources import schemas as S
 
 #: Files up to which a manifest (about 100 bytes a row) is broadcast.
 BROADCAST_FILES = 200_000
@@ -130,13 +131,22 @@ COST_BASED = {"spark.sql.cbo.enabled": "true", "spark.sql.cbo.joinReorder.enable
 
 def register_tables(spark: SparkSession, folder: str, tables: Iterable[str], database: str = "default") -> list[str]:
     """Make the files of a run catalogue tables of ``database`` (external:
-    dropping them leaves the files).  They last as long as the catalogue."""
+    dropping them leaves the files), partition columns with their declared
+    types.  They last as long as the catalogue.  A key that follows from
+    positions is NULL in them; :func:`ledgermart.sources.load.read_run` has it."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     done = []
     for t in tables:
-        name = f"`{database}`.`{t}`"
+        name, path = f"`{database}`.`{t}`", f"{folder}/{t}"
+        declared = {c.name: S.spark_type(c.dtype).simpleString() for c in S.columns(t)} if t in S.TABLES else {}
+        parts = sorted({n.split("=", 1)[0] for n in pointer.folders(spark, path) if "=" in n})
+        fields = [(f.name, f.dataType.simpleString()) for f in spark.read.parquet(path).schema]
+        columns = ", ".join(f"`{n}` {declared.get(n, kind)}" for n, kind in fields)
+        by = f"PARTITIONED BY ({', '.join(f'`{n}`' for n in parts)})" if parts else ""
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{folder}/{t}'")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {by} LOCATION '{path}'")
+        if parts:
+            spark.sql(f"MSCK REPAIR TABLE {name}")
         done.append(t)
     return done
 
@@ -158,19 +168,12 @@ def analyze_tables(spark: SparkSession, tables: Iterable[str], database: str = "
         for t in tables:
             name = f"`{database}`.`{t}`"
             use = list((columns or {}).get(t) or planner_columns(spark.table(name)))
-            if pointer_partitions(spark, name):
-                spark.sql(f"MSCK REPAIR TABLE {name}")
             what = f"FOR COLUMNS {', '.join(f'`{c}`' for c in use)}" if use else ""
             spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS {what}")
     finally:
         spark.conf.set(setting, before)
 
 
-def pointer_partitions(spark: SparkSession, name: str) -> list[str]:
-    """The partition columns of a catalogue table."""
-    return [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
-
-
 # ------------------------------------------------------------ mergeable statistics
 
 #: 2^12 registers: distinct counts within about 5 % (three standard errors);
