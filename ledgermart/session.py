@@ -108,10 +108,19 @@ def materialize(df, label: str = "stage", partition_by: tuple[str, ...] = ()):
     executor never forces a recomputation of what was written.
 
     The folder goes when the driver ends, or earlier with the
-    :func:`scratch` block in which it was written."""
+    :func:`scratch` block in which it was written; the shuffle files that
+    led to it go at once."""
     spark = df.sparkSession
     path = scratch_folder(spark, label)
-    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    # the shuffle files of this write are not needed once it is there
+    cleanup, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    try:
+        before = spark.conf.get(cleanup)
+        spark.conf.set(cleanup, "true")
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path) if partition_by else spark.read.parquet(path)
 
 
