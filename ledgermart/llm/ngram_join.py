@@ -21,10 +21,11 @@ group, and similar sets share one.  ``slack`` further groups guarantee
 3. In every signature each node is compared with one centre, the node with
    most company, and linked nodes become components; again with another
    centre (``CENTRES`` in all), only where a signature still spans several components.  What is
-   left is joined by its differences from the first centre (rest_pairs).
-   So a group of copies costs about one comparison a copy, not one a pair,
-   and every candidate pair is compared, ruled out by a bound or already
-   joined: the components are exact.
+   left is compared pair by pair in signatures of up to ``CROWD`` nodes, and
+   joined by its differences from a home elsewhere, rare elements first
+   (rest_pairs).  So a group of copies costs about one comparison a copy, not
+   one a pair, and every candidate pair is compared, ruled out by a bound or
+   already joined: the components are exact.
 4. A pair must share signatures in 1 + slack groups to be compared at all.
    Comparisons are exact, on the whole sets, in 100 * |a & b| >= pct * |a | b|.
 
@@ -38,7 +39,6 @@ empty result; other columns are ignored, so their names cannot clash.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -52,10 +52,12 @@ from pyspark.sql import functions as F
 
 from ledgermart.llm import words as W
 from ledgermart.llm.common import col, text_of
-from ledgermart.session import materialize
+from ledgermart.session import materialize, scratch
 
 SHINGLE, PERCENT = 5, 80
 BAND_RATIO, COVERAGE, SLACK_SHARE, CROWD, CENTRES = 1.3, 2.2, 0.2, 64, 1
+#: Nodes of a home whose differences are counted, and the frequent elements kept of them; both only order elements.
+SAMPLED, FREQUENT = 64, 1000
 #: The low bits of a signature hold its tag.
 TAGS = 127
 #: Stands for a null id inside the operator.
@@ -228,30 +230,50 @@ def _similar(percent: int):
     return run
 
 
+def _apart(x, y) -> np.ndarray:
+    """The elements in which two sets differ."""
+    x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+    return np.setxor1d(x, y, assume_unique=True)
+
+
+def _exploded(rows, at: list[int], elements: list[np.ndarray], names: list[str], **more) -> pa.RecordBatch:
+    """Rows with one element each; ``at`` says which row an array belongs to."""
+    many = np.array([len(e) for e in elements], dtype=np.int64)
+    place = pa.array(np.repeat(np.array(at, dtype=np.int64), many))
+    flat = np.concatenate([*elements, np.zeros(0, np.uint64)]).view(np.int64)
+    kept = [rows.column(c).take(place) for c in names]
+    extra = [pa.array(np.repeat(np.array(v, dtype=np.int64), many)) for v in more.values()]
+    rank = np.concatenate([np.arange(1, m + 1) for m in many] or [np.zeros(0, np.int64)])
+    return pa.RecordBatch.from_arrays([*kept, *extra, pa.array(rank), pa.array(flat)], [*names, *more, "rank", "element"])
+
+
+def _all_differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_apart(x, y) for x, y in zip(batch.column("x"), batch.column("y"))]
+        yield _exploded(batch, list(range(len(found))), found, ["home"]).select(["home", "element"])
+
+
 def _differences(percent: int):
-    """The prefix of the elements in which a node's set (y) and its centre's
-    (x) differ: those that only the node has, then those it lacks."""
+    """The first elements in which a node's set (y) and its home's (x)
+    differ, those that the home's sample has not often first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part, prefixes, sizes = batch.slice(a, 256), [], []
-                for x, y in zip(part.column("x"), part.column("y")):
-                    x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                    apart = np.concatenate([np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)])
-                    if len(apart) * (100 + percent) <= (len(x) + len(y)) * (100 - percent):  # similar to the centre
-                        least = (len(apart) * 2 * percent // (100 + percent) - 1) // 2
-                    else:
-                        least = len(apart) - len(y) * (100 - percent) // percent
-                    prefixes.append(apart[:len(apart) - max(1, least) + 1])
+                for x, y, often in zip(part.column("x"), part.column("y"), part.column("often")):
+                    apart, n = _apart(x, y), len(y.as_buffer()) // 8
+                    often = np.array(often.as_py() or [], dtype=np.int64).view(np.uint64)
+                    order = np.argsort(often)
+                    spot = np.searchsorted(often, apart, sorter=order)
+                    known = np.zeros(len(apart), dtype=np.int64)  # 0: rare; else its place among the frequent, rarest first
+                    if len(often):
+                        hit = order[np.minimum(spot, len(often) - 1)]
+                        known = np.where(often[hit] == apart, hit + 1, 0)
+                    apart = apart[np.lexsort((apart, known))]
+                    most = (n + n * 100 // percent) * (100 - percent) // (100 + percent)
+                    prefixes.append(apart[:most + 1])
                     sizes.append(len(apart))
-                many = np.array([len(p) for p in prefixes], dtype=np.int64)
-                at = pa.array(np.repeat(np.arange(len(many)), many))
-                rank = np.concatenate([np.arange(1, m + 1) for m in many] or [np.zeros(0, np.int64)])
-                flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)])
-                yield pa.RecordBatch.from_arrays([
-                    *(part.column(c).take(at) for c in ("home", "node", "label", "n")),
-                    pa.array(np.repeat(np.array(sizes, dtype=np.int64), many)), pa.array(rank), pa.array(flat.view(np.int64))],
-                    ["home", "node", "label", "n", "size", "rank", "element"])
+                yield _exploded(part, list(range(len(sizes))), prefixes, ["home", "node", "label", "n"], size=sizes)
     return run
 
 
@@ -260,37 +282,28 @@ def _differences(percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes on edges (a, b); the label is the least
     node of the component.  Alternating star contraction: every round joins
-    each node's neighbours to its least one, by joins and minima only."""
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    while True:
-        # done when every node has one edge down and none of these leads to a node that has one
-        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
-            now.select("b", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-        if ends.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
-            break
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == least["u"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        joined = large.join(least, large["a"] == least["u"])
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).distinct()
-        now = materialize(small, "edges")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
-        now.select("b", "b").distinct())
+    each node's neighbours to its least one, by joins and minima only.
+    Only the result of the last round stays on disk."""
+    with scratch() as keep:
+        now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+        while True:
+            # done when every node has one edge down and none of these leads to a node that has one
+            ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+                now.select("b", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+            if ends.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
+                break
+            both = now.union(now.select("b", "a"))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+            large = both.join(least, both["a"] == least["u"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+            joined = large.join(least, large["a"] == least["u"])
+            small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).distinct()
+            now = materialize(small, "edges")
+        return keep(now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct()), "components")
 
 
 # --- the join ---------------------------------------------------------------
 
-def _step(df: DataFrame, label: str) -> DataFrame:
-    """Write an intermediate table and let Spark's cleaner drop the shuffle
-    files of what led to it: it does so when the driver collects garbage."""
-    out = materialize(df, label)
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def _shared(rows: DataFrame, key: str = "signature", of: str = "node") -> DataFrame:
     """Rows of signatures that hold at least two different values."""
     ends = rows.groupBy(key).agg(F.min(of).alias("lo"), F.max(of).alias("hi")).filter("lo < hi").select(key)
@@ -309,14 +322,19 @@ def _slack(percent: int) -> Column:
 def live_signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(signature, node) shared by two nodes, one at least of the tag's own
     band (two of the band before meet under their own tag), of nodes that
-    share more signatures of the tag than the slack, as a partner must."""
+    share more signatures of the tag than the slack, as a partner must.
+
+    Texts are signed twice: minima and maxima per signature combine in each
+    task, so no signature is gathered anywhere however many documents share
+    it, and the semi-join with what is left can be split by Spark."""
     signed = docs.mapInArrow(_signed(shingle, percent), "signature long, node long, own boolean")
-    by = Window.partitionBy("signature")
-    live = (signed.withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by))
-            .withColumn("own", F.max("own").over(by)).filter("lo < hi AND own").select("signature", "node").distinct())
-    live = _step(live, "signatures").withColumn("tag", _tag())
+    ends = signed.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("own").alias("own"))
+    shared = materialize(ends.filter("lo < hi AND own").select("signature"), "shared")
+    again = docs.mapInArrow(_signed(shingle, percent), "signature long, node long, own boolean")
+    live = materialize(again.join(shared, "signature", "left_semi").select("signature", "node"), "signatures")
+    live = live.distinct().withColumn("tag", _tag())
     enough = live.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _slack(percent))
-    return _step(_shared(live.join(enough.select("node", "tag"), ["node", "tag"]).select("signature", "node")), "signatures")
+    return materialize(_shared(live.join(enough.select("node", "tag"), ["node", "tag"]).select("signature", "node")), "signatures")
 
 
 def candidates(live: DataFrame, percent: int) -> DataFrame:
@@ -326,7 +344,7 @@ def candidates(live: DataFrame, percent: int) -> DataFrame:
     pressed = crowded.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _slack(percent))
     stay = crowded.join(pressed.select("node", "tag"), ["node", "tag"]).select("signature", "node")
     calm = live.join(crowd, "signature", "left_anti")
-    return _step(_shared(calm.union(stay)), "candidates")
+    return materialize(_shared(calm.union(stay)), "candidates")
 
 
 def promising(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
@@ -346,47 +364,70 @@ def similar_pairs(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFr
 
 
 def rest_pairs(left: DataFrame, homes: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that can still be similar, across components.
-
-    ``homes`` has the first centre c of every signature.  Let D(a) be the
-    elements in which a and c differ.  a and b differ in |D(a)| + |D(b)| -
-    2 |D(a) & D(b)| elements; if they are similar this is at most k = r
-    (|a| + |b|) with r = (100 - percent) / (100 + percent), so they share at
-    least t = (|D(a)| + |D(b)| - k) / 2 elements of D.  One of them, say a,
-    is not similar to c, or both would be in c's component.  Then
-    t > (|D(b)| (1 - r) - 1) / 2 bounds t for a b similar to c, and, as
-    |D(b)| >= t, t >= |D(a)| - k with k <= |a| (100 - percent) / percent
-    bounds it for every a that is not.  So in any order a and b meet on one
-    of the first |D| - (bound) + 1 elements of both, and what follows the
-    first shared element must still reach t.  The order puts first what
-    only the node has and c has not: copies that just share an origin with
-    c do not meet there."""
-    home = homes.select("signature", F.col("centre").alias("home"))
-    near = _shared(left.join(home, "signature").select("home", "node", "label").distinct(), key="home", of="label")
+    """Pairs (a, b) that can still be similar, across components, for nodes
+    (signature, node, label) in crowded signatures.
+
+    Nodes that share a crowded signature, directly or through others, form a
+    cluster; its home c is the centre that most of them meet (``homes`` has
+    the centre of every signature).  Let D(a) be the elements in which a and
+    c differ.  a and b differ in |D(a)| + |D(b)| - 2 |D(a) & D(b)| elements,
+    and similar ones in k = r (|a| + |b|) at the most, with
+    r = (100 - percent) / (100 + percent); so they share t =
+    (|D(a)| + |D(b)| - k) / 2 elements of D or more.
+
+    * t <= 0: then a and b are both similar to c (the shorter difference is
+      at most k / 2, and the other at most k less the first); every node is
+      paired with its home.
+    * t >= 1: in any one order of the elements, a and b meet on one of the
+      first |D| - t + 1 of both, which is k + 1 at the most as
+      |D(a)| <= |D(b)| + k; and what follows the first shared element must
+      still reach t.
+
+    The order decides the cost only: elements that a sample of ``SAMPLED``
+    nodes of the home has often come last, the more frequent the later, so
+    what many copies share is seldom in a prefix."""
+    home = homes.select("signature", "centre")
+    met = materialize(left.join(home, "signature").select("centre", "node", "label").distinct(), "met")
+    cluster = components(met.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    of = met.join(cluster.withColumnRenamed("label", "cluster"), "node")
+    busy = of.groupBy("cluster", "centre").agg(F.count(F.lit(1)).alias("n"))
+    seat = busy.groupBy("cluster").agg(F.max(F.struct("n", "centre"))["centre"].alias("home"))
+    near = materialize(_shared(of.join(seat, "cluster").select("home", "node", "label").distinct(), key="home", of="label"), "near")
     x = elements.select(F.col("node").alias("home"), F.col("elements").alias("x"))
     y = elements.select("node", F.col("elements").alias("y"), (F.length("elements") / 8).cast("long").alias("n"))
-    prefix = _step(near.join(y, "node").join(x, "home").select("home", "node", "label", "n", "x", "y").mapInArrow(
+
+    size = near.groupBy("home").agg(F.count(F.lit(1)).alias("nodes"))
+    drawn = near.join(size, "home").filter(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("nodes") / SAMPLED))) == 0)
+    told = drawn.join(y, "node").join(x, "home").select("home", "x", "y").mapInArrow(_all_differences, "home long, element long")
+    counts = told.groupBy("home", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    last = Window.partitionBy("home").orderBy(F.col("n").desc(), "element")
+    often = counts.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= FREQUENT).groupBy("home").agg(
+        F.sort_array(F.collect_list(F.struct("n", "element")))["element"].alias("often"))   # rarest first
+    prefix = materialize(near.join(y, "node").join(x, "home").join(often, "home", "left").select(
+        "home", "node", "label", "n", "x", "y", "often").mapInArrow(
         _differences(percent), "home long, node long, label long, n long, size long, rank long, element long"), "differences")
     other = prefix.select(F.col("home").alias("home_b"), F.col("element").alias("element_b"), F.col("node").alias("b"),
                           F.col("label").alias("other"), F.col("n").alias("n_b"), F.col("size").alias("size_b"),
                           F.col("rank").alias("rank_b"))
     allowed = F.floor((F.col("n") + F.col("n_b")) * (100 - percent) / (100 + percent))
     follow = F.least(F.col("size") - F.col("rank"), F.col("size_b") - F.col("rank_b"))
-    met = prefix.join(other, (F.col("home") == F.col("home_b")) & (F.col("element") == F.col("element_b")) & (F.col("node") > F.col("b"))
-                      & (F.col("label") != F.col("other")) & (2 * (1 + follow) >= F.col("size") + F.col("size_b") - allowed))
-    return met.select(F.col("node").alias("a"), "b").distinct()
+    pairs = prefix.join(other, (F.col("home") == F.col("home_b")) & (F.col("element") == F.col("element_b")) & (F.col("node") > F.col("b"))
+                        & (F.col("label") != F.col("other")) & (2 * (1 + follow) >= F.col("size") + F.col("size_b") - allowed)
+                        & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
+    own = near.filter("home <> node").select(F.greatest("node", "home").alias("a"), F.least("node", "home").alias("b"))
+    return pairs.select(F.col("node").alias("a"), "b").union(own).distinct()
 
 
 def link_nodes(rows: DataFrame, vectors: DataFrame, elements: DataFrame, percent: int, centres: int = CENTRES) -> DataFrame:
     """(node, label) of all nodes linked to another one."""
     size = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
     company = rows.join(size, "signature").groupBy("node").agg(F.sum("n").alias("company"))
-    left = _step(rows.join(company, "node").select("signature", "node", "company", F.col("node").alias("label")), "left")
+    left = materialize(rows.join(company, "node").select("signature", "node", "company", F.col("node").alias("label")), "left")
     edges = labels = homes = None
     for turn in range(centres):  # everyone with the centre of the signature: most company, then least node
         best = left.groupBy("signature").agg(F.max(F.struct(
             F.col("company"), F.bitwise_not("node").alias("not_node"), F.col("label"))).alias("c"))
-        best = _step(best.select("signature", F.bitwise_not("c.not_node").alias("centre"), F.col("c.label").alias("of_centre")), "centres")
+        best = materialize(best.select("signature", F.bitwise_not("c.not_node").alias("centre"), F.col("c.label").alias("of_centre")), "centres")
         homes = best if homes is None else homes
         pairs = left.join(best, "signature").filter("label <> of_centre").select(
             F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"), _tag().alias("tag"))
@@ -394,7 +435,7 @@ def link_nodes(rows: DataFrame, vectors: DataFrame, elements: DataFrame, percent
         # a centre has met everyone in its signature and leaves it
         met = best.select("signature", F.col("centre").alias("node"))
         known = left.drop("label").join(met, ["signature", "node"], "left_anti").join(labels, "node", "left")
-        left = _step(_shared(known.withColumn("label", F.coalesce("label", "node")), of="label"), "left")
+        left = materialize(_shared(known.withColumn("label", F.coalesce("label", "node")), of="label"), "left")
         if left.isEmpty():
             return labels
     # what is left: pair by pair where a signature has few nodes, by their differences from the centre elsewhere
@@ -413,7 +454,7 @@ def link_nodes(rows: DataFrame, vectors: DataFrame, elements: DataFrame, percent
 def _linked(edges: DataFrame | None, labels: DataFrame | None, pairs: DataFrame, elements: DataFrame,
             percent: int) -> tuple[DataFrame, DataFrame]:
     """All links so far with those among ``pairs``, and the components."""
-    found = _step(similar_pairs(_step(pairs, "pairs"), elements, percent), "links")
+    found = materialize(similar_pairs(materialize(pairs, "pairs"), elements, percent), "links")
     if edges is None:
         return found, components(found)
     if found.isEmpty():
@@ -429,20 +470,21 @@ def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty), ``label`` the component, null for texts without a shingle."""
     d = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text_of(text_col).alias("body"))
     keyed = d.withColumn("text_key", F.xxhash64("body"))
-    rows = materialize(keyed.mapInArrow(_nodes(shingle), "doc long, text_key long, n_shingles long, node long"), "nodes")
-    live = live_signatures(d.select("body"), shingle, percent)
-    if live.isEmpty():
-        return rows.withColumn("label", F.col("node"))
-    shared = candidates(live, percent)
-    # one set's own signatures
-    vectors = _step(live.withColumn("tag", _tag()).groupBy("node", "tag").agg(F.collect_list("signature").alias("own")), "vectors")
-    # one text of each node in question: the least document's
-    firsts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
-    wanted = _step(firsts.join(shared.select("node").distinct(), "node").select("doc").distinct(), "wanted")
-    texts = d.join(wanted, "doc", "left_semi").withColumn("text_key", F.xxhash64("body")).dropDuplicates(["doc", "text_key"])
-    elements = _step(texts.select("body").mapInArrow(_whole_sets(shingle), "node long, elements binary"), "sets")
-    labels = link_nodes(shared, vectors, elements, percent)
-    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    with scratch() as keep:   # of all intermediate tables only the result stays
+        rows = materialize(keyed.mapInArrow(_nodes(shingle), "doc long, text_key long, n_shingles long, node long"), "nodes")
+        live = live_signatures(d.select("body"), shingle, percent)
+        if live.isEmpty():
+            return keep(rows.withColumn("label", F.col("node")), "labelled")
+        shared = candidates(live, percent)
+        # one set's own signatures
+        vectors = materialize(live.withColumn("tag", _tag()).groupBy("node", "tag").agg(F.collect_list("signature").alias("own")), "vectors")
+        # one text of each node in question: the least document's
+        firsts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
+        wanted = materialize(firsts.join(shared.select("node").distinct(), "node").select("doc").distinct(), "wanted")
+        texts = d.join(wanted, "doc", "left_semi").withColumn("text_key", F.xxhash64("body")).dropDuplicates(["doc", "text_key"])
+        elements = materialize(texts.select("body").mapInArrow(_whole_sets(shingle), "node long, elements binary"), "sets")
+        labels = link_nodes(shared, vectors, elements, percent)
+        return keep(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE,
