@@ -1,18 +1,23 @@
 """Chat formatting by schema fingerprints (operator 7).
 
-Records come as JSON text in unlike layouts.  The nested field paths of a
-record (Spark's own variant schema) are hashed; the hash selects a
-declarative mapping, which turns the record into canonical turns
-``array<struct<role, text>>``.  Canonical turns are written with one
-template: turn marks around each turn, a loss mask over the assistant
-texts, and control strings inside texts escaped so that they can be read
-back.  Everything is DataFrame functions.
-
-Defined cases: null texts and roles are empty; a record that is null, not
-JSON or of an unknown layout has null turns (``layout`` null) and is left
-for the caller to count; empty message lists give no turns; ties of a turn
-number are ordered by role, then text; rows with a null turn come first;
-repeated rows are repeated turns; other columns are ignored.
+Records come as JSON text in unlike layouts.  Of the nested field paths
+that the layouts know, those that a record has with a text (or null) in them
+are hashed; the hash selects a declarative mapping, which turns the record
+into canonical turns ``array<struct<role, text>>``.  Paths that no layout
+knows do not matter, so further fields do no harm.  Canonical turns are
+written with one template: turn marks around each turn, a loss mask over the
+assistant texts, and control strings inside texts escaped so that they can
+be read back.  Everything is DataFrame functions, and takes time in
+proportion to the record, however many turns it has.
+
+Defined cases: null texts and roles are empty; an optional path that is
+missing gives no turn; a record that is null, not JSON, has something else
+than a text where a layout wants one, or no known layout has null turns
+(``layout`` null) and is left for the caller to count; of several layouts
+that fit, the first of ``LAYOUTS`` is taken; empty message lists give no
+turns (layout ``no_messages``), null messages are left out; ties of a turn number are ordered by
+role, then text; rows with a null turn come first; repeated rows are
+repeated turns; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,20 +29,15 @@ from ledgermart.llm.common import col
 
 TURNS = "array<struct<role: string, text: string>>"
 
-#: The layouts: name, field paths with types as Spark spells them, and the
-#: mapping as (role, path) pairs in turn order or the path of a message list.
+#: The layouts: name and mapping.  ``list``: the path of a message list, and
+#: the paths of role and text in a message.  ``fields``: (role, path, must be
+#: there) in turn order.
 LAYOUTS = [
-    {"name": "messages", "schema": "OBJECT<messages: ARRAY<OBJECT<content: STRING, role: STRING>>>",
-     "list": ("messages", "role", "content")},
-    {"name": "no_messages", "schema": "OBJECT<messages: ARRAY<VOID>>", "list": ("messages", "role", "content")},
-    {"name": "conversations", "schema": "OBJECT<conversations: ARRAY<OBJECT<from: STRING, value: STRING>>>",
-     "list": ("conversations", "from", "value")},
-    {"name": "prompt", "schema": "OBJECT<completion: STRING, prompt: STRING>",
-     "fields": [("user", "prompt"), ("assistant", "completion")]},
-    {"name": "instruction", "schema": "OBJECT<instruction: STRING, output: STRING, system: STRING>",
-     "fields": [("system", "system"), ("user", "instruction"), ("assistant", "output")]},
-    {"name": "question", "schema": "OBJECT<data: OBJECT<answer: STRING, question: STRING>>",
-     "fields": [("user", "data.question"), ("assistant", "data.answer")]},
+    {"name": "messages", "list": ("messages", "role", "content")},
+    {"name": "conversations", "list": ("conversations", "from", "value")},
+    {"name": "prompt", "fields": [("user", "prompt", True), ("assistant", "completion", True)]},
+    {"name": "instruction", "fields": [("system", "system", False), ("user", "instruction", True), ("assistant", "output", True)]},
+    {"name": "question", "fields": [("user", "data.question", True), ("assistant", "data.answer", True)]},
 ]
 
 #: Role names of the list layouts and their canonical names.
@@ -57,36 +57,94 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, CONTROL.replace(r"(\\*)", r"\\(\\*)"), "$1$2$3")
 
 
-def fingerprint(schema: Column) -> Column:
-    """Hash of the nested field paths and types of a record."""
-    return F.xxhash64(schema)
+def _at(value: Column | str, path: str) -> Column:
+    """What stands at a path of a variant: SQL NULL only where nothing does."""
+    return F.try_variant_get(value, f"$.{path}", "variant")
+
+
+def _is_text(kind: Column) -> Column:
+    return kind.isin("STRING", "VOID")
+
+
+def _list_paths(rule: dict) -> list[str]:
+    path, role, text = rule["list"]
+    return [f"{path}[]", f"{path}[].{role}", f"{path}[].{text}"]
+
+
+def layout_paths(rule: dict) -> list[str]:
+    """The nested field paths that a layout knows, sorted."""
+    return sorted(_list_paths(rule) if "list" in rule else [path for _, path, _ in rule["fields"]])
+
+
+def layout_fingerprints(rule: dict) -> list[Column]:
+    """The fingerprints that select a layout: its paths with and without
+    each optional one; a message list may be empty."""
+    if "list" in rule:
+        some = [_list_paths(rule), _list_paths(rule)[:1]]
+    else:
+        some = [[]]
+        for _, path, must in rule["fields"]:
+            some = [s + [path] for s in some] + ([] if must else some)
+    return [fingerprint(F.lit(",".join(sorted(s)))) for s in some]
+
+
+def fingerprint(paths: Column) -> Column:
+    """Hash of nested field paths (sorted, comma-joined)."""
+    return F.xxhash64(paths)
+
+
+def _kinds(items: Column, key: str) -> Column:
+    """The kind of what stands at ``key`` in every message, empty for nothing."""
+    return F.transform(items, lambda m: F.coalesce(F.schema_of_variant(_at(m, key)), F.lit("")))
+
+
+def known_paths(value: Column | str) -> Column:
+    """The paths of a record that some layout knows and that hold a text or
+    null; a message list counts as ``path[]``, and a path in its messages if
+    one of them has it and none has anything else there."""
+    found = []
+    for rule in LAYOUTS:
+        if "list" in rule:
+            items = F.try_variant_get(value, f"$.{rule['list'][0]}", "array<variant>")
+            whole, *inner = _list_paths(rule)
+            found.append(F.when(items.isNotNull(), F.lit(whole)))
+            for path, key in zip(inner, rule["list"][1:]):
+                kinds = _kinds(items, key)
+                found.append(F.when(F.forall(kinds, lambda k: (k == "") | _is_text(k)) & F.exists(kinds, lambda k: k != ""), F.lit(path)))
+        else:
+            found += [F.when(_is_text(F.schema_of_variant(_at(value, path))), F.lit(path)) for _, path, _ in rule["fields"]]
+    return F.array_sort(F.array_compact(F.array(*found)))
 
 
 def canonical_turns(records: DataFrame, json_col: str = "record") -> DataFrame:
     """Add ``layout`` and ``turns`` to JSON records of unlike layouts."""
     parsed = records.withColumn("__v", F.try_parse_json(col(json_col)))
-    parsed = parsed.withColumn("__f", fingerprint(F.schema_of_variant("__v")))
+    parsed = parsed.withColumn("__p", known_paths("__v"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for rule in LAYOUTS:
-        here = F.col("__f") == fingerprint(F.lit(rule["schema"]))
-        layout = F.when(here, F.lit(rule["name"])).otherwise(layout)
+    for rule in reversed(LAYOUTS):
+        mine = F.array_intersect("__p", F.array(*[F.lit(p) for p in layout_paths(rule)]))
+        here = fingerprint(F.array_join(mine, ",")).isin(*layout_fingerprints(rule))
+        name = F.when(F.size(mine) == 1, F.lit(f"no_{rule['name']}")).otherwise(F.lit(rule["name"])) if "list" in rule else F.lit(rule["name"])
+        layout = F.when(here, name).otherwise(layout)
         turns = F.when(here, _mapped(rule)).otherwise(turns)
-    return parsed.withColumn("layout", layout).withColumn("turns", turns).drop("__v", "__f")
+    return parsed.withColumn("layout", layout).withColumn("turns", turns).drop("__v", "__p")
 
 
 def _mapped(rule: dict) -> Column:
     if "list" in rule:
         path, role, text = rule["list"]
-        items = F.try_variant_get("__v", f"$.{path}", f"array<struct<`{role}`: string, `{text}`: string>>")
+        items = F.try_variant_get("__v", f"$.{path}", "array<variant>")
 
         def turn(m):
-            name = F.coalesce(m[role], F.lit(""))
-            for theirs, ours in ROLES.items():
-                name = F.when(m[role] == theirs, F.lit(ours)).otherwise(name)
-            return F.struct(name.alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))
-        return F.transform(F.filter(items, lambda m: m.isNotNull()), turn)
-    return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(
-        F.try_variant_get("__v", f"$.{path}", "string"), F.lit("")).alias("text")) for role, path in rule["fields"]])
+            name = F.coalesce(F.try_variant_get(m, f"$.{role}", "string"), F.lit(""))
+            ours = name
+            for theirs, canonical in ROLES.items():
+                ours = F.when(name == theirs, F.lit(canonical)).otherwise(ours)
+            return F.struct(ours.alias("role"), F.coalesce(F.try_variant_get(m, f"$.{text}", "string"), F.lit("")).alias("text"))
+        return F.transform(F.filter(items, lambda m: m.isNotNull() & ~F.is_variant_null(m)), turn)
+    return F.array_compact(F.array(*[F.when(F.array_contains("__p", path), F.struct(
+        F.lit(role).alias("role"), F.coalesce(F.try_variant_get("__v", f"$.{path}", "string"), F.lit("")).alias("text")))
+        for role, path, _ in rule["fields"]]))
 
 
 def _role_out(role: Column) -> Column:
@@ -118,13 +176,15 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
-    """The unescaped text under the loss mask, run after run."""
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at: int, n: int>>").alias("spans"))
-    spans = F.aggregate(mask, start, lambda acc, m: F.struct(
-        (acc["at"] + m["n"]).alias("at"),
-        F.when(m["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("at"), m["n"].alias("n")))))
-        .otherwise(acc["spans"]).alias("spans")))["spans"]
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["at"], s["n"]))), "")
+    """The unescaped text under the loss mask, run after run.  A turn has
+    three runs (mark, text, mark); each is cut from its own turn, so the
+    text is never searched from its start."""
+    heads = F.filter(mask, lambda m, i: i % 3 == 0)
+    texts = F.filter(mask, lambda m, i: i % 3 == 1)
+    runs = F.zip_with(heads, texts, lambda h, t: F.struct(h["n"].alias("at"), t["n"].alias("n"), t["loss"].alias("loss")))
+    turns = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda c: c != "")
+    return F.array_join(F.zip_with(turns, runs, lambda c, r: F.when(
+        r["loss"], unescape(F.substring(c, r["at"] + 1, r["n"]))).otherwise(F.lit(""))), "")
 
 
 def records_of(rows: DataFrame) -> DataFrame:

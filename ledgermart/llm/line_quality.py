@@ -1,9 +1,11 @@
 """Quality rules with cross-document line frequency (operator 9).
 
 Every line is normalised (white space collapsed, lower case) and hashed.
-A line that stands in more than ``max_line_share`` of its host's distinct
-documents, and in more than ``min_line_docs`` of them, is boilerplate of
-that host.  Boilerplate lines are removed; a document that loses more than
+A line that stands in more than ``max_line_docs`` distinct documents of its
+host is boilerplate of that host, however large the host; on a host too
+small for that limit (``max_line_docs / max_line_share`` documents or fewer)
+so is a line in more than ``max_line_share`` of its documents and in
+``LEAST_DOCS`` at least.  Boilerplate lines are removed; a document that loses more than
 ``max_removed`` of its words is rejected as depleted.  Documents with the
 same text count once for a host, so a group of copies does not make its own
 lines boilerplate.
@@ -30,8 +32,9 @@ from ledgermart.session import materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
-MIN_LINE_DOCS = 20
+MAX_LINE_DOCS = 20
 MAX_LINE_SHARE = 0.1
+LEAST_DOCS = 3
 MAX_REMOVED = 0.8
 
 
@@ -68,25 +71,27 @@ def row_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                                 F.size(space_words(x)).alias("n"))).alias("lines"))
 
 
-def boilerplate(rows: DataFrame, min_line_docs: int = MIN_LINE_DOCS,
+def boilerplate(rows: DataFrame, max_line_docs: int = MAX_LINE_DOCS,
                 max_line_share: float = MAX_LINE_SHARE) -> DataFrame:
-    """(host, h) of the lines above the limits of their host."""
+    """(host, h) of the lines above the limit of their host."""
     seen = rows.select("host", "text_key", F.explode(F.array_distinct("lines.h")).alias("h")).distinct()
-    often = seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_line_docs)
+    often = seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min(LEAST_DOCS, max_line_docs + 1))
     hosts = (rows.select(F.col("host").alias("of_host"), "text_key").distinct()
              .groupBy("of_host").agg(F.count(F.lit(1)).alias("host_docs")))
     return (often.join(hosts, F.col("host").eqNullSafe(F.col("of_host")))
-            .filter(F.col("docs") > max_line_share * F.col("host_docs")).select("host", "h"))
+            .filter((F.col("docs") > max_line_docs) | (
+                (max_line_share * F.col("host_docs") <= max_line_docs) & (F.col("docs") >= LEAST_DOCS)
+                & (F.col("docs") > max_line_share * F.col("host_docs")))).select("host", "h"))
 
 
 def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *,
-                 min_line_docs: int = MIN_LINE_DOCS, max_line_share: float = MAX_LINE_SHARE,
+                 max_line_docs: int = MAX_LINE_DOCS, max_line_share: float = MAX_LINE_SHARE,
                  max_removed: float = MAX_REMOVED) -> DataFrame:
     """One row per document row: base counts, ``base_failed``, the removed
     lines and words, the hashes of the removed lines and ``kept``."""
     rows = row_metrics(docs, id_col, text_col, host_col).withColumn("uid", F.monotonically_increasing_id())
     rows = materialize(rows, "line-quality")
-    bad = boilerplate(rows, min_line_docs, max_line_share).select(
+    bad = boilerplate(rows, max_line_docs, max_line_share).select(
         F.col("host").alias("bad_host"), F.col("h").alias("bad_h"))
     lines = rows.select("uid", "host", F.explode("lines").alias("line"))
     hit = lines.join(bad, (lines["line.h"] == bad["bad_h"]) & lines["host"].eqNullSafe(bad["bad_host"]))

@@ -73,7 +73,8 @@ lines AS (SELECT uid, host, body, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+
   len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM (SELECT uid, host, body, unnest(ls) AS l FROM d)),
 hosts AS (SELECT host, count(DISTINCT body) AS host_docs FROM d GROUP BY host),
 bad AS (SELECT host, l FROM lines JOIN hosts USING (host) GROUP BY host, l, host_docs
-        HAVING count(DISTINCT body) > 20 AND count(DISTINCT body) > 0.1 * host_docs),
+        HAVING count(DISTINCT body) > 20
+            OR (0.1 * host_docs <= 20 AND count(DISTINCT body) >= 3 AND count(DISTINCT body) > 0.1 * host_docs)),
 lost AS (SELECT uid, count(*) AS n_lines, sum(n) AS n_words FROM lines JOIN bad USING (host, l) GROUP BY uid),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

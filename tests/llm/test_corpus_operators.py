@@ -4,6 +4,7 @@ import collections
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -365,6 +366,36 @@ def test_unknown_and_broken_records_have_no_layout(spark):
     assert got[1] == got[2] == got[3] == (None, None) and got[4] == ("no_messages", "")
 
 
+def test_nulls_optional_and_further_paths_keep_a_layout(spark):
+    cases = [
+        ({"prompt": "q", "completion": None}, "prompt", [("user", "q"), ("assistant", "")]),
+        ({"messages": [{"role": "user", "content": "a", "name": "n"}, None]}, "messages", [("user", "a")]),
+        ({"id": 1, "prompt": "a", "completion": "b", "meta": {"x": [1]}}, "prompt", [("user", "a"), ("assistant", "b")]),
+        ({"instruction": "i", "output": "o"}, "instruction", [("user", "i"), ("assistant", "o")]),
+        ({"system": "s", "instruction": "i", "output": "o"}, "instruction", [("system", "s"), ("user", "i"), ("assistant", "o")]),
+        ({"messages": [{"role": "user", "content": None}, {"role": "assistant"}]}, "messages", [("user", ""), ("assistant", "")]),
+        ({"data": {"question": "q", "answer": "a", "more": {"y": 1}}}, "question", [("user", "q"), ("assistant", "a")]),
+        ({"prompt": 1, "completion": "b"}, None, None), ({"messages": [{"role": "u", "content": 5}]}, None, None),
+        ({"messages": [{"role": "u"}]}, None, None), ({"messages": "m"}, None, None), ([1], None, None)]
+    d = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(cases)], "conv_id long, record string")
+    for r in chat.canonical_turns(d).collect():
+        record, layout, turns = cases[r["conv_id"]]
+        assert (r["layout"], r["turns"] if r["turns"] is None else [tuple(t) for t in r["turns"]]) == (layout, turns), record
+
+
+def test_one_conversation_of_many_turns(spark):
+    """In proportion to its turns: a hundred thousand take seconds."""
+    n = 100_000
+    i = F.col("id")
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), i.cast("int").alias("turn"), F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                 F.concat(F.lit("[INST] <|im_end|>\n"), i.cast("string")).alias("text"))
+    out = chat.chat_format(chat.records_of(rows))
+    start = time.time()
+    got = out.select(F.size(chat.read_turns(F.col("formatted"))).alias("n"), chat.read_loss(F.col("formatted"), F.col("mask")).alias("loss")).first()
+    assert time.time() - start < 120
+    assert got["n"] == n and got["loss"] == "".join(f"[INST] <|im_end|>\n{k}" for k in range(1, n, 2))
+
+
 def test_escapes_round_trip(spark):
     rng = random.Random(1)
     parts = ["<", "[", "\\", "|im_end|>", "\n", "s>", "/s>", "INST]", "/INST]", "<SYS>>", "x", "|a|>"]
@@ -390,3 +421,15 @@ def test_boilerplate_is_removed_and_depleted_documents_rejected(spark):
     text = spark.createDataFrame([(rows[0][1], got[0]["removed_lines"])], "t string, r array<long>").select(
         line_quality.remove_lines(F.col("t"), F.col("r")).alias("x")).first()["x"]
     assert text == f"{prose} d0"
+
+
+def test_boilerplate_of_large_and_small_hosts(spark):
+    """Two percent of a large host, and fifteen percent of a small one."""
+    def prose(i):
+        return " ".join(f"w{i}x{k}" for k in range(55))
+    rows = [(i, prose(i) + ("\nShare this page" if i % 50 == 0 else ""), "large") for i in range(2000)]
+    rows += [(5000 + i, prose(5000 + i) + ("\nRead more" if i < 6 else "\nTwo only" if i < 8 else ""), "small") for i in range(40)]
+    got = {r["doc_id"]: r for r in line_quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["n_removed_lines"] == (i % 50 == 0) for i in range(2000))
+    assert all(got[5000 + i]["n_removed_lines"] == (i < 6) for i in range(40))
+    assert all(r["kept"] for r in got.values())
