@@ -317,6 +317,15 @@ def gl_closing(opening: Column | str, debits: Column | str, credits: Column | st
     return F.when(side == "DEBIT", o + d - c).when(side == "CREDIT", o + c - d)
 
 
+def net_movement(gl: DataFrame) -> DataFrame:
+    """``gl`` with ``net_movement``: how much a monthly closing balance changed
+    against the account's and branch's previous period (from nothing, for
+    the first).  The window over an account and branch has a row a month."""
+    w = Window.partitionBy("gl_account_sk", "branch_sk", "period_type").orderBy("period_end_date_sk")
+    before = F.coalesce(F.lag("closing_balance_rcy").over(w), F.lit(0))
+    return gl.withColumn("net_movement", (F.coalesce("closing_balance_rcy", F.lit(0)) - before).cast("decimal(23,2)"))
+
+
 def gl_roll_forward(gl: DataFrame, fiscal_start_month: int = 1,
                     movement: Column | str = "closing_balance_rcy") -> DataFrame:
     """Per ledger account, branch and monthly period: the month's

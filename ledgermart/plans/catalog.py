@@ -17,6 +17,7 @@ from ledgermart.operators.joins import join_dim, latest_only
 from ledgermart.plans import governance, marts, views
 from ledgermart.session import materialize, scratch_folder
 from ledgermart.sources import load, stored
+from ledgermart.sources import schemas as S
 from ledgermart.sources import testviews as TV
 from ledgermart.sources.testviews import bank_frames
 
@@ -225,6 +226,39 @@ def scd2_customers(f):
                               ["customer_segment", "nationality_country_sk"], TV.SCD_AS_OF, "change_ts")
 
 
+def unique_key_duplicates(f):
+    """Q3 on all three declared unique codes, with planted duplicates and
+    NULLs (which are no duplicates): parts by brand as product codes, by key
+    % 20 as ledger codes, regions by key % 3 as currency codes."""
+    p = F.col("p_partkey")
+    frames = {
+        "dim_product": f["part"].select(F.when(p % 10 != 0, F.col("p_brand")).alias("product_code")),
+        "dim_gl_account": f["part"].select(F.when(p % 7 != 0, F.concat(F.lit("GL"), (p % 20).cast("string"))).alias("gl_account_code")),
+        "dim_currency": f["region"].select(F.concat(F.lit("C"), (F.col("r_regionkey") % 3).cast("string")).alias("currency_code"))}
+    out = None
+    for t, key in S.UNIQUE_KEYS.items():
+        found = quality.unique_key_check(frames[t], key).select(F.lit(t).alias("table_name"), F.col(key).alias("code"), "cnt")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def long_text_rejects(f):
+    """Q7 on texts: customers with planted over-long names (300 characters)
+    and band labels (30), counted by the reason of their rejection."""
+    k = F.col("c_custkey")
+    raw = f["customer"].select(k.alias("customer_sk"), k.cast("string").alias("customer_nk"),
+                               F.when(k % 61 == 9, F.repeat(F.lit("n"), F.lit(300))).otherwise(F.col("c_name")).alias("full_name"),
+                               F.when(k % 53 == 4, F.repeat(F.lit("b"), F.lit(30))).otherwise(F.lit("25-34")).alias("age_band"))
+    _, rejected = quality.split_valid(raw, "dim_customer")
+    return rejected.select(F.explode("reject_reasons").alias("reason")).filter(F.col("reason").startswith("fit:")).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("rejected_rows"))
+
+
+def gl_ytd_movement(f):
+    """D9 with balances that carry forward: the year to date adds up net movements."""
+    return derive.gl_roll_forward(derive.net_movement(f["fact_gl_balance"]), movement="net_movement")
+
+
 def ledger_rollup_ragged(f):
     """G19 over all five levels, of accounts that end at different ones."""
     g = f["fact_gl_balance"].filter("period_type = 'MONTHLY'").select("gl_account_sk", "closing_balance_rcy")
@@ -361,6 +395,9 @@ QUERIES.update({name: _on_frames(fn) for name, fn in {
     "scd2_history_splice": scd2_history_splice,
     "manager_chain": lambda f: hierarchy.parent_chain(f["employees"], "employee_sk", "manager_employee_sk"),
     "ledger_rollup_ragged": ledger_rollup_ragged,
+    "unique_key_duplicates": unique_key_duplicates,
+    "long_text_rejects": long_text_rejects,
+    "gl_ytd_movement": gl_ytd_movement,
     "masked_customers_declared": lambda f: derive.mask_declared(f["dim_customer"], "dim_customer", MASK_SALT),
     "orphan_transaction_rows": orphan_transaction_rows,
     "ifrs9_portfolio_function": ifrs9_portfolio_function,

@@ -385,6 +385,21 @@ OPERATORS["payment_sketches"] = "\nunion all\n".join(
     f"cast(min({c}) as varchar) as min_value, cast(max({c}) as varchar) as max_value, true as distinct_is_near, "
     f"{'null' if c == 'payment_type' else 'true'} as has_quantiles from fact_payment_order"
     for c in ("payment_nk", "instruction_date_sk", "debtor_customer_sk", "payment_type", "payment_amount_rcy", "processing_time_seconds"))
+OPERATORS["unique_key_duplicates"] = """
+select 'dim_product' as table_name, p_brand as code, count(*) as cnt from part where p_partkey % 10 <> 0 and p_brand is not null group by p_brand having count(*) > 1
+union all select 'dim_gl_account', 'GL' || (p_partkey % 20), count(*) from part where p_partkey % 7 <> 0 group by 2 having count(*) > 1
+union all select 'dim_currency', 'C' || (r_regionkey % 3), count(*) from region group by 2 having count(*) > 1
+"""
+OPERATORS["long_text_rejects"] = """
+select reason, count(*) as rejected_rows from (select unnest([case when c_custkey % 61 = 9 then 'fit:full_name' end,
+    case when c_custkey % 53 = 4 then 'fit:age_band' end]) as reason from customer) where reason is not null group by reason
+"""
+OPERATORS["gl_ytd_movement"] = _ROLL_FORWARD.replace(
+    "with g as (", "with m as (select *, closing_balance_rcy - coalesce(lag(closing_balance_rcy) over (partition by gl_account_sk, branch_sk, "
+    "period_type order by period_end_date_sk), 0) as moved from fact_gl_balance),\ng as (", 1).replace(
+    "closing_balance_rcy, budget_amount,", "closing_balance_rcy, budget_amount, moved,", 1).replace(
+    "from fact_gl_balance where period_type = 'MONTHLY'),", "from m where period_type = 'MONTHLY'),", 1).replace(
+    "cast(sum(h.closing_balance_rcy) over", "cast(sum(h.moved) over", 1)
 OPERATORS["manager_chain"] = """
 with recursive walk(employee_sk, here, depth, seen) as (
   select employee_sk, employee_sk, cast(0 as bigint), [employee_sk] from employees
