@@ -290,6 +290,30 @@ def accumulate_alerts(existing: DataFrame | None, events: DataFrame, alert: str
     return derive_alert_measures(new)
 
 
+def accumulate_alert_facts(existing: DataFrame | None, events: DataFrame, carry: Sequence[str], alert: str = "alert_id",
+                           milestone: str = "milestone", ts: str = "milestone_ts") -> DataFrame:
+    """H5 with the other columns of the fact: as :func:`accumulate_alerts`,
+    and ``carry`` holds what the alert's earliest event said (ties: the least
+    values), with that event's time in ``stated_at``.  Further columns of the
+    stored snapshot stay as they are (NULL for new alerts).  Replayed and
+    reordered batches give the same snapshot."""
+    carry = list(carry)
+    said = events.groupBy(F.col(alert).alias("__a")).agg(F.min(F.when(F.col(ts).isNotNull(), F.struct(
+        F.col(ts).alias("stated_at"), *carry))).alias("__new"))
+    out = accumulate_alerts(existing, events, alert, milestone, ts)
+    out = out.join(said, out["alert_id"].eqNullSafe(said["__a"]), "left").drop("__a")
+    first, further = F.col("__new"), []
+    if existing is not None:
+        further = [c for c in existing.columns if c not in out.columns and c not in carry and c != "stated_at"]
+        old = existing.select(F.col("alert_id").alias("__o"), F.when(F.col("stated_at").isNotNull(), F.struct(
+            "stated_at", *carry)).alias("__old"), *further)
+        out = out.join(old, out["alert_id"].eqNullSafe(old["__o"]), "left").drop("__o")
+        first = F.least(F.col("__old"), F.col("__new"))
+    kept = [c for c in out.columns if not c.startswith("__") and c not in further]
+    out = out.withColumn("__first", first)
+    return out.select(*kept, *[F.col(f"__first.{c}").alias(c) for c in ("stated_at", *carry)], *further)
+
+
 def derive_alert_measures(snap: DataFrame) -> DataFrame:
     gen = F.col("generated_date")
     status = (F.when(F.col("closed_date").isNotNull(), F.lit("CLOSED"))

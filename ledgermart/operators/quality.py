@@ -282,6 +282,20 @@ def soft_key_suite(frames: Frames, keys: Iterable[tuple[str, str, str, str]] | N
                       F.coalesce("null_fk_rows", F.lit(0)).cast("bigint").alias("null_fk_rows"))
 
 
+def soft_key_coverage(frames: Frames, keys: Iterable[tuple[str, str, str, str]] | None = None) -> DataFrame:
+    """Q8/Q9: a row for every declared key, those that could not be checked
+    included: (table_name, fk_column, dim_table, status, orphan_rows,
+    null_fk_rows); the status is ``ok``, ``orphans`` or ``skipped``, with
+    NULL counts for the last."""
+    keys = list(S.soft_foreign_keys() if keys is None else keys)
+    checked = soft_key_suite(frames, keys)
+    listed = checked.sparkSession.createDataFrame([(t, fk, dim) for t, fk, dim, _ in keys], "t string, fk string, d string")
+    out = listed.join(checked, (F.col("t") == F.col("table_name")) & (F.col("fk") == F.col("fk_column")), "left")
+    status = F.when(F.col("orphan_rows").isNull(), "skipped").when(F.col("orphan_rows") > 0, "orphans").otherwise("ok")
+    return out.select(F.col("t").alias("table_name"), F.col("fk").alias("fk_column"), F.col("d").alias("dim_table"),
+                      status.alias("status"), "orphan_rows", "null_fk_rows")
+
+
 def quality_profile(frames: Frames, names: Iterable[str] | None = None) -> DataFrame:
     """Column rules of every table present: the union of :func:`column_profile`."""
     out = None

@@ -259,6 +259,20 @@ def gl_ytd_movement(f):
     return derive.gl_roll_forward(derive.net_movement(f["fact_gl_balance"]), movement="net_movement")
 
 
+def alert_facts_merged(f):
+    """H5 with the fact's other columns: the events of odd days are stored
+    first, those of even days merged in."""
+    ms = None
+    for said, name in TV.MILESTONE_OF_EVENT.items():
+        here = F.col("event_type") == said
+        ms = F.when(here, F.lit(name)) if ms is None else ms.when(here, F.lit(name))
+    e = f["events"].select(F.col("user_id").alias("alert_id"), ms.alias("milestone"), F.col("ts").alias("milestone_ts"),
+                           F.col("event_id").alias("triggering_event_sk"), F.col("value").cast("decimal(20,2)").alias("alert_amount_rcy"))
+    carry, odd = ["triggering_event_sk", "alert_amount_rcy"], F.dayofmonth("milestone_ts") % 2 == 1
+    stored_snapshot = history.accumulate_alert_facts(None, e.filter(odd), carry)
+    return history.accumulate_alert_facts(stored_snapshot, e.filter(~odd), carry)
+
+
 def ledger_rollup_ragged(f):
     """G19 over all five levels, of accounts that end at different ones."""
     g = f["fact_gl_balance"].filter("period_type = 'MONTHLY'").select("gl_account_sk", "closing_balance_rcy")
@@ -395,6 +409,9 @@ QUERIES.update({name: _on_frames(fn) for name, fn in {
     "scd2_history_splice": scd2_history_splice,
     "manager_chain": lambda f: hierarchy.parent_chain(f["employees"], "employee_sk", "manager_employee_sk"),
     "ledger_rollup_ragged": ledger_rollup_ragged,
+    "alert_facts_merged": alert_facts_merged,
+    "soft_key_coverage": quality.soft_key_coverage,
+    "key_high_water_all": load.key_high_water_all,
     "unique_key_duplicates": unique_key_duplicates,
     "long_text_rejects": long_text_rejects,
     "gl_ytd_movement": gl_ytd_movement,

@@ -74,3 +74,10 @@ def register_marts(spark: SparkSession, frames: Mapping[str, DataFrame]) -> list
         build(frames).createOrReplaceTempView(view)
         names.append(view)
     return names
+
+
+def view_dictionary(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFrame:
+    """L11 for the marts: (view_name, view_comment, column_name, data_type, position)."""
+    rows = [(view, S.VIEW_COMMENTS[view], f.name, f.dataType.simpleString(), i + 1)
+            for view, build in MART_VIEWS.items() for i, f in enumerate(build(frames).schema.fields)]
+    return spark.createDataFrame(rows, "view_name string, view_comment string, column_name string, data_type string, position int")

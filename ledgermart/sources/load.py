@@ -241,6 +241,18 @@ def key_high_water(frames: Mapping[str, DataFrame], names: Iterable[str] | None
     return out
 
 
+def key_high_water_all(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """L8 for every declared table with a generated key: as
+    :func:`key_high_water`, and (``present`` false, no last key, next key 1)
+    for a table that is not there, whose keys start anew."""
+    here = key_high_water(frames)
+    declared = [(t, S.key_column(t)) for t in S.TABLES if S.key_column(t)]
+    listed = here.sparkSession.createDataFrame(declared, "t string, k string")
+    out = listed.join(here, F.col("t") == F.col("table_name"), "left")
+    return out.select(F.col("t").alias("table_name"), F.col("k").alias("key_column"), F.col("table_name").isNotNull().alias("present"),
+                      "last_key", F.coalesce("next_key", F.lit(1)).cast("bigint").alias("next_key"))
+
+
 # ------------------------------------------------------------ bucketing
 
 def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], num_buckets: int, path: str,

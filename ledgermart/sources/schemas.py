@@ -563,6 +563,16 @@ UNIQUE_KEYS = {
     "dim_gl_account": "gl_account_code",
 }
 
+# The comments of the mart views.
+VIEW_COMMENTS = {
+    "vw_customer_360": "Customer 360 mart view — aggregates account count, balance, product mix per customer.",
+    "vw_credit_risk_portfolio": "Credit Risk mart view — IFRS 9 staging, NPL ratio, ECL by portfolio segment.",
+    "vw_financial_performance": "Financial Performance mart view — P&L by period, branch, GL category with YoY and budget variance.",
+    "vw_aml_compliance_dashboard": "AML Compliance mart view — alert volumes, false positive rates, SAR filing rates by rule, severity, "
+                                   "and customer segment.",
+    "vw_payments_analytics": "Payments & Liquidity mart view — STP rates, rejection rates, cross-border corridors, sanctions hits.",
+}
+
 # History kind per table (SCD type, or the fact's snapshot kind).
 HISTORY = {
     "dim_date": "type0", "dim_geography": "type2", "dim_currency": "type1", "dim_customer": "type2",

@@ -400,6 +400,15 @@ OPERATORS["gl_ytd_movement"] = _ROLL_FORWARD.replace(
     "closing_balance_rcy, budget_amount,", "closing_balance_rcy, budget_amount, moved,", 1).replace(
     "from fact_gl_balance where period_type = 'MONTHLY'),", "from m where period_type = 'MONTHLY'),", 1).replace(
     "cast(sum(h.closing_balance_rcy) over", "cast(sum(h.moved) over", 1)
+OPERATORS["alert_facts_merged"] = OPERATORS["alert_milestones"].replace("\nselect alert_id, generated_date", "\nselect s.alert_id, generated_date").replace(
+    "\nfrom s\n", ",\n       f.ts as stated_at, f.event_id as triggering_event_sk, cast(f.value as decimal(20,2)) as alert_amount_rcy\nfrom s "
+    "left join (select user_id, ts, event_id, value from events qualify row_number() over (partition by user_id order by ts, event_id, value) = 1) f "
+    "on f.user_id = s.alert_id\n")
+OPERATORS["key_high_water_all"] = "\nunion all\n".join(
+    f"select '{t}' as table_name, '{S.key_column(t)}' as key_column, true as present, cast(max({S.key_column(t)}) as bigint) as last_key, "
+    f"cast(coalesce(max({S.key_column(t)}), 0) + 1 as bigint) as next_key from {t}" if S.key_column(t) in VIEW_COLUMNS.get(t, [])
+    else f"select '{t}', '{S.key_column(t)}', false, cast(null as bigint), cast(1 as bigint)"
+    for t in S.TABLES if S.key_column(t))
 OPERATORS["manager_chain"] = """
 with recursive walk(employee_sk, here, depth, seen) as (
   select employee_sk, employee_sk, cast(0 as bigint), [employee_sk] from employees

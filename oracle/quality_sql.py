@@ -55,6 +55,13 @@ def soft_key_sql() -> str:
     return "\nunion all\n".join(parts)
 
 
+def soft_key_coverage_sql() -> str:
+    rows = ", ".join(f"({_q(t)}, {_q(fk)}, {_q(dim)})" for t, fk, dim, _ in S.soft_foreign_keys())
+    return (f"select l.t as table_name, l.fk as fk_column, l.d as dim_table, case when k.orphan_rows is null then 'skipped' "
+            f"when k.orphan_rows > 0 then 'orphans' else 'ok' end as status, k.orphan_rows, k.null_fk_rows "
+            f"from (values {rows}) l(t, fk, d) left join ({soft_key_sql()}) k on k.table_name = l.t and k.fk_column = l.fk")
+
+
 def row_count_sql() -> str:
     parts = []
     for t, m in S.ROW_MINIMUMS.items():
@@ -109,6 +116,7 @@ QUALITY = {
     "quality_profile": quality_profile_sql(),
     "soft_key_suite": soft_key_sql(),
     "quality_suite": suite_sql(),
+    "soft_key_coverage": soft_key_coverage_sql(),
     "split_valid_counts": split_valid_sql(),
     "unique_currency_code": "select currency_code, count(*) as cnt from dim_currency where currency_code is not null "
                             "group by currency_code having count(*) > 1",
