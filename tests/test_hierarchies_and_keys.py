@@ -114,3 +114,11 @@ def test_table_functions_push_their_condition_below_the_aggregate(spark, frames)
     assert spark.sql("SELECT * FROM aml_alerts('HIGH')").select("alert_severity").distinct().collect() == [("HIGH",)]
     assert spark.sql("SELECT count(*) AS n FROM customer(1)").first()["n"] == spark.table("vw_customer_360").filter("customer_sk = 1").count()
     assert spark.sql("SELECT DISTINCT calendar_year FROM financial_performance(1997)").collect() == [(1997,)]
+
+
+def test_view_dictionary(spark, frames):
+    rows = views.view_dictionary(spark, frames).collect()
+    assert {r["view_name"] for r in rows} == set(views.MART_VIEWS) == set(S.VIEW_COMMENTS)
+    assert all(r["view_comment"] for r in rows)
+    mine = [r["column_name"] for r in sorted(rows, key=lambda r: r["position"]) if r["view_name"] == "vw_payments_analytics"]
+    assert mine == views.MART_VIEWS["vw_payments_analytics"](frames).columns

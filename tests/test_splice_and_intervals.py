@@ -173,3 +173,29 @@ def test_rate_interval_check(spark):
     rows = [("A", t[0], t[2]), ("A", t[1], t[3]), ("A", t[4], None), ("A", t[5], t[5]), ("B", None, t[1]), ("B", t[1], t[2])]
     got = joins.rate_interval_check(spark.createDataFrame([(c, Decimal(1), a, b) for c, a, b in rows], RATE), ["ccy"]).collect()
     assert Counter(tuple(r) for r in got) == Counter([("A", "overlap", 1), ("A", "gap", 1), ("A", "reversed", 1)])
+
+
+def test_alert_facts_in_any_order(spark):
+    """The snapshot with its other columns does not depend on the batches."""
+    rng, t0 = random.Random(6), dt.datetime(2024, 1, 1)
+    events = [(rng.randrange(9), rng.choice([*history.MILESTONES, None]), t0 + dt.timedelta(hours=rng.randrange(900)), rng.randrange(5), rng.choice("ab"))
+              for _ in range(120)] + [(77, "assigned", None, 1, "a")]
+    kind = "alert_id int, milestone string, milestone_ts timestamp_ntz, amount int, who string"
+    frame = spark.createDataFrame(events, kind)
+    once = history.accumulate_alert_facts(None, frame, ["amount", "who"])
+    first = {}
+    for a, _, ts, amount, who in events:
+        if ts is not None:
+            first[a] = min(first.get(a, (ts, amount, who)), (ts, amount, who))
+    assert {r["alert_id"]: (r["stated_at"], r["amount"], r["who"]) for r in once.collect()} == {**first, 77: (None, None, None)}
+    assert sorted(map(str, once.drop("stated_at", "amount", "who").collect())) == sorted(map(str, history.accumulate_alerts(None, frame).collect()))
+    rng.shuffle(events)
+    state = None
+    for a in range(0, len(events), 45):
+        state = history.accumulate_alert_facts(state, spark.createDataFrame(events[a:a + 45], kind), ["amount", "who"])
+        state = spark.createDataFrame(state.collect(), state.schema)
+    assert sorted(map(str, state.collect())) == sorted(map(str, once.collect()))
+    # columns that only the stored snapshot has stay
+    noted = state.filter("alert_id < 5").withColumn("note", F.col("alert_id") * 10)
+    more = history.accumulate_alert_facts(noted, frame, ["amount", "who"])
+    assert {r["alert_id"]: r["note"] for r in more.collect()} == {**{a: a * 10 if a < 5 else None for a in first}, 77: None}
