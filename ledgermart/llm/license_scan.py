@@ -1,14 +1,21 @@
 """License scans by an exact set-similarity join (operator 3).
 
-A text block is a line; a template is a known license notice.  A block is
-reported when it holds at least ``threshold`` of a template's distinct
-words (containment).  The join is exact and prunes by three filters on
-words in one global order, rarest first: the word sets share a word of
-both prefixes, the block is long enough, and the places of the shared
-prefix word leave room for the needed overlap.  Word counts for the order
-come from all blocks.  Only words of the templates' vocabulary can add to
-an overlap, so blocks are reduced to these first; the vocabulary and the
-inverted index of template prefixes are bounded by the template list.
+A template is a known license notice of m words; a text block is a window
+of ``m / threshold`` words, at every start, across line ends.  A template
+is reported where a block holds at least ``threshold`` of its distinct words
+(containment), so a wrapped notice is found, and words scattered over a long
+line are not.
+
+Windows are found through segments of twice the longest window, one starting
+every longest window: each window lies whole in one of them.  Segments and
+templates are joined exactly, pruned by three filters on words in one global
+order, rarest first: the word sets share a word of both prefixes, the
+segment is long enough, and the places of the shared prefix word leave room
+for the needed overlap.  In the few segments that hold enough of a template
+the windows are then counted.  Word counts for the order come from all
+segments.  Only words of the templates' vocabulary can add to an overlap, so
+segments are reduced to these (with their places) first; the vocabulary and
+the inverted index of template prefixes are bounded by the template list.
 
 Base phrases (places, labels) are found beside it and always reported.
 
@@ -61,11 +68,12 @@ def _array(values: list[str]) -> Column:
 
 def base_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """Word count, places of the base phrases, and the text of each row."""
+    """Word count, places of the base phrases, and the words of each row."""
     places = "(?i) (" + "|".join(phrases) + ")(?= )"
     d = docs.select(col(id_col).alias("doc_id"), text_of(text_col).alias("body"))
-    d = d.select("doc_id", "body", letter_words(F.col("body")).alias("words"))
-    d = d.select("doc_id", "body", F.size("words").cast("long").alias("n_words"),
+    lowered = F.translate("body", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    d = d.select("doc_id", letter_words(lowered).alias("words"))
+    d = d.select("doc_id", "words", F.size("words").cast("long").alias("n_words"),
                  F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("joined"))
     d = d.withColumn("found", F.transform(F.regexp_extract_all("joined", F.lit(places), F.lit(1)), F.lower))
     some = F.size("found") > 0
@@ -76,7 +84,7 @@ def base_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = F.array()
     for phrase, label in phrases.items():
         labels = F.concat(labels, F.when(F.array_contains("found", phrase), F.array(F.lit(label))).otherwise(F.array()))
-    return d.select("doc_id", "body", "n_words", F.size("found").cast("long").alias("n_base"),
+    return d.select("doc_id", "words", "n_words", F.size("found").cast("long").alias("n_base"),
                     words_before(f"(?s)^(.*?){places.replace('(?i)', '(?i:')})").alias("first_word"),
                     words_before(f"(?s)^(.*){places.replace('(?i)', '(?i:')})").alias("last_word"),
                     F.sort_array(F.array_distinct(labels.cast("array<string>"))).alias("base_labels"))
@@ -101,14 +109,14 @@ def template_index(spark: SparkSession, templates, order: list[str], threshold:
         for place, word in enumerate(words[:len(words) - need + 1]):
             entries.append(F.struct(F.lit(word).alias("token"), F.lit(k).alias("template"), F.lit(label).alias("label"),
                                     F.lit(place).alias("t_place"), F.lit(len(words)).alias("t_size"),
-                                    F.lit(need).alias("need"), _array(words).alias("t_words")))
+                                    F.lit(need).alias("need"), F.lit(window_words(text, threshold)).alias("window"),
+                                    _array(words).alias("t_words")))
     return spark.range(1).select(F.inline(F.array(*entries)))
 
 
-def contained_templates(blocks: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Join ``blocks(uid, tokens)`` (distinct vocabulary words of a block)
-    with the templates: (uid, label, containment) of every block that
-    holds enough of a template."""
+def _candidates(blocks: DataFrame, templates, threshold: float) -> DataFrame:
+    """``blocks`` (``tokens``: distinct vocabulary words, and further columns)
+    joined with the templates of which they hold enough words."""
     spark = blocks.sparkSession
     vocab = vocabulary(templates)
     least = min(needed(len(set(t.split())), threshold) for _, t in templates)
@@ -116,16 +124,50 @@ def contained_templates(blocks: DataFrame, templates=TEMPLATES, threshold: float
     counted = {r["token"]: r["n"] for r in blocks.select(F.explode("tokens").alias("token"))
                .groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(vocab, key=lambda w: (counted.get(w, 0), w))
-    ranked = blocks.select("uid", F.array_intersect(_array(order), "tokens").alias("b_words"))
-    ranked = ranked.select("uid", "b_words", F.size("b_words").alias("b_size"))
-    prefix = ranked.select("uid", "b_words", "b_size", F.posexplode(
+    ranked = blocks.withColumn("b_words", F.array_intersect(_array(order), "tokens")).drop("tokens")
+    ranked = ranked.withColumn("b_size", F.size("b_words"))
+    prefix = ranked.select("*", F.posexplode(
         F.slice("b_words", F.lit(1), F.greatest(F.col("b_size") - least + 1, F.lit(0)))).alias("b_place", "token"))
     index = F.broadcast(template_index(spark, templates, order, threshold))  # bounded by the template list
     pairs = prefix.join(index, "token").filter(
         (F.col("b_size") >= F.col("need")) & (F.col("b_place") <= F.col("b_size") - F.col("need"))
         & (1 + F.least(F.col("b_size") - F.col("b_place") - 1, F.col("t_size") - F.col("t_place") - 1) >= F.col("need")))
-    overlap = F.size(F.array_intersect("t_words", "b_words"))
-    return pairs.filter(overlap >= F.col("need")).select("uid", "label", (overlap / F.col("t_size")).alias("containment"))
+    return pairs.withColumn("overlap", F.size(F.array_intersect("t_words", "b_words"))).filter(F.col("overlap") >= F.col("need"))
+
+
+def contained_templates(blocks: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Join ``blocks(uid, tokens)`` (distinct vocabulary words of a block)
+    with the templates: (uid, label, containment) of every block that
+    holds enough of a template."""
+    found = _candidates(blocks.select("uid", "tokens"), templates, threshold)
+    return found.select("uid", "label", (F.col("overlap") / F.col("t_size")).alias("containment"))
+
+
+def window_words(template: str, threshold: float) -> int:
+    """The words of a block for a template."""
+    return math.ceil(round(len(template.split()) / threshold, 9))
+
+
+def segments(words: Column, templates, threshold: float) -> Column:
+    """The vocabulary words of a text with their places, for every segment
+    that holds enough for a template."""
+    longest = max(window_words(t, threshold) for _, t in templates)
+    least = min(needed(len(set(t.split())), threshold) for _, t in templates)
+    vocab = _array(vocabulary(templates))
+    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.floor((F.size(words) - 1) / longest).cast("int")))
+    cut = F.transform(starts, lambda k: F.struct((k * longest).alias("from"), F.slice(words, k * longest + 1, 2 * longest).alias("said")))
+    full = F.filter(cut, lambda s: F.size(F.array_intersect(s["said"], vocab)) >= least)
+    return F.transform(full, lambda s: F.filter(
+        F.transform(s["said"], lambda w, i: F.struct((s["from"] + i).alias("at"), w.alias("word"))),
+        lambda p: F.array_contains(vocab, p["word"])))
+
+
+def _windows(places: Column, t_words: Column, window: Column) -> Column:
+    """The most distinct words of a template in one window of a segment."""
+    mine = F.filter(places, lambda p: F.array_contains(t_words, p["word"]))
+    return F.array_max(F.transform(mine, lambda p: F.size(F.array_distinct(F.transform(
+        F.filter(places, lambda q: (q["at"] >= p["at"]) & (q["at"] < p["at"] + window) & F.array_contains(t_words, q["word"])),
+        lambda q: q["word"])))))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates=TEMPLATES,
@@ -133,14 +175,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document row: word and base counts, the sorted base
     labels and all labels as arrays, and the best containment (1 where a
     base phrase stands)."""
-    vocab = _array(vocabulary(templates))
-    least = min(needed(len(set(t.split())), threshold) for _, t in templates)
-    rows = base_phrases(docs, id_col, text_col)
-    rows = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("blocks", F.filter(
-        F.transform(F.split(F.lower("body"), "\n"), lambda b: F.array_intersect(letter_words(b), vocab)),
-        lambda t: F.size(t) >= least)).drop("body")
+    rows = base_phrases(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
+    rows = rows.withColumn("blocks", segments(F.col("words"), templates, threshold)).drop("words")
     rows = materialize(rows, "license-scan")
-    found = contained_templates(rows.select("uid", F.explode("blocks").alias("tokens")), templates, threshold)
+    blocks = rows.select("uid", F.explode("blocks").alias("places"))
+    blocks = blocks.withColumn("tokens", F.array_distinct(F.transform("places", lambda p: p["word"])))
+    near = _candidates(blocks, templates, threshold).withColumn("most", _windows(F.col("places"), F.col("t_words"), F.col("window")))
+    found = near.filter(F.col("most") >= F.col("need")).select("uid", "label", (F.col("most") / F.col("t_size")).alias("containment"))
     per_row = found.groupBy("uid").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     out = rows.drop("blocks").join(per_row, "uid", "left")
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels",
@@ -150,5 +191,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sql_templates() -> str:
-    """The templates as SQL rows, for a brute-force check."""
-    return ", ".join(f"({i}, '{label}', {sorted(set(re.split(' ', text)))!r})" for i, (label, text) in enumerate(TEMPLATES))
+    """The templates as SQL rows (number, label, distinct words, window), for a brute-force check."""
+    return ", ".join(f"({i}, '{label}', {sorted(set(re.split(' ', text)))!r}, {window_words(text, THRESHOLD)})"
+                     for i, (label, text) in enumerate(TEMPLATES))

@@ -26,7 +26,7 @@ FROM d LEFT JOIN words USING (uid) LEFT JOIN items USING (uid)
 """
 
 OP3 = rf"""
-WITH templates(t, label, t_words) AS (VALUES {licenses.sql_templates()}),
+WITH templates(t, label, t_words, win) AS (VALUES {licenses.sql_templates()}),
 d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS body, {_LETTERED} AS w FROM documents),
 places AS (
   SELECT uid, i - 1 AS pos, CASE WHEN w[i] = 'cc' AND w[i + 1] = 'by' THEN 'cc-by'
@@ -35,10 +35,11 @@ places AS (
   FROM (SELECT uid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 base AS (SELECT uid, count(*) AS n, min(pos) AS a, max(pos) AS z, list(DISTINCT label) AS ls
          FROM places WHERE label IS NOT NULL GROUP BY uid),
-blocks AS (SELECT uid, regexp_extract_all(lower(unnest(string_split(body, chr(10)))),
-                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS b FROM d),
-held AS (SELECT uid, label, len(list_intersect(t_words, b)) / len(t_words) AS share FROM blocks, templates),
-own AS (SELECT uid, max(share) AS best, list(DISTINCT label) AS ls FROM held WHERE share >= {licenses.THRESHOLD} GROUP BY uid)
+spots AS (SELECT uid, pos, t, word, win, len(t_words) AS size FROM (SELECT uid, i AS pos, w[i] AS word FROM (SELECT uid, w, unnest(range(1, len(w) + 1)) AS i FROM d))
+  JOIN (SELECT t, win, t_words, unnest(t_words) AS word FROM templates) USING (word)),
+held AS (SELECT a.uid, a.t, count(DISTINCT b.word) / any_value(a.size) AS share FROM spots a JOIN spots b
+  ON b.uid = a.uid AND b.t = a.t AND b.pos >= a.pos AND b.pos < a.pos + a.win GROUP BY a.uid, a.t, a.pos),
+own AS (SELECT uid, max(share) AS best, list(DISTINCT label) AS ls FROM held JOIN templates USING (t) WHERE share >= {licenses.THRESHOLD} GROUP BY uid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base,
   CAST(base.a AS BIGINT) AS first_word, CAST(base.z AS BIGINT) AS last_word,
   array_to_string(list_sort(coalesce(base.ls, [])), ',') AS base_labels,

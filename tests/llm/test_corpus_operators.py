@@ -346,6 +346,37 @@ def test_containment_join_equals_brute_force(spark):
         assert {(r["uid"], r["label"], round(r["containment"], 9)) for r in got.collect()} == want
 
 
+def test_notices_in_windows_equal_brute_force(spark):
+    """Notices wrapped over lines at every offset against the segments, with
+    lost and inserted words; words scattered over a long line."""
+    rng, docs = random.Random(9), []
+    longest = max(license_scan.window_words(t, 0.9) for _, t in license_scan.TEMPLATES)
+    for i in range(260):
+        said = [rng.choice(["the", "and", "is", f"x{rng.randrange(500)}"]) for _ in range(rng.randrange(0, 90))]
+        t = rng.choice(license_scan.TEMPLATES)[1].split()
+        if i % 3 == 0:
+            del t[rng.randrange(len(t))]
+        if i % 4 == 0:
+            t.insert(rng.randrange(len(t)), "odd")
+        at = rng.randrange(len(said) + 1)
+        words = said[:at] + t + said[at:]
+        docs.append((i, "".join(w.upper() + rng.choice([" ", "\n", ", "]) for w in words)))
+    scattered = [w for u in license_scan.TEMPLATES[-1][1].split() for w in [u] + [f"y{k}" for k in range(6)]]
+    docs += [(900, " ".join(scattered)), (901, " ".join(f"z{k}" for k in range(longest - 3)) + "\nreleased under\nthe MIT\n\nlicense")]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, text in docs:
+        words, labels, best = [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w], set(got[i]["base_labels"]), 0.0
+        for label, t in license_scan.TEMPLATES:
+            size, kinds = license_scan.window_words(t, 0.9), set(t.split())
+            most = max((len(kinds & set(words[a:a + size])) for a in range(len(words))), default=0) / len(kinds)
+            if most >= 0.9 - 1e-9:
+                labels.add(label)
+                best = max(best, most)
+        assert set(got[i]["labels"]) == labels, text
+        assert got[i]["score"] == pytest.approx(1.0 if got[i]["n_base"] else best)
+    assert got[900]["labels"] == [] and got[901]["labels"] == ["mit"]
+
+
 # --- chat formatting ---
 
 def test_layouts_become_the_same_turns(spark):
