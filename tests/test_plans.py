@@ -11,7 +11,7 @@ from tests.conftest import SF_SMALL
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
 # the only unpartitioned window: running offsets over one row per range
 # partition in key assignment (L7), used by the history operators too
-SMALL_WINDOWS_OK = {"append_new_accounts", "scd1_customer_upsert", "scd2_customer_apply"}
+SMALL_WINDOWS_OK = {"append_new_accounts", "scd1_customer_upsert", "scd2_customer_apply", "scd2_history_splice"}   # all by L7
 
 
 def physical(df):
