@@ -1,14 +1,17 @@
 """Operators on single texts against plain Python and public libraries."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from array import array
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -214,3 +217,49 @@ def test_quality_keeps_all_columns(spark):
     docs = spark.createDataFrame([(1, "a", "x", 2)], "doc_id long, text string, y string, n_chars int")
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.score(docs, model).columns == ["doc_id", "text", "y", "n_chars", "quality_score"]
+
+
+def test_quality_score_of_a_fixed_model_equals_brute_force(spark):
+    """Sizes counted block by block with fresh compressors, the curve by hand."""
+    rng = random.Random(12)
+    good, bad = b"the quick brown fox jumps over the lazy dog " * 40, b"buy cheap pills now click here win win win " * 40
+    model = quality.Model(good, bad, np.array([.01, -.5, 6, .001, .3, 0, .05]), np.array([.02, .2, 1, .01, .1, .05, .2]),
+                          np.array([.3, 1.5, -.2, .1, -.4, .2, .05, .6]))
+    texts = [None, "", "fox", "\u00e4\u00df\u4e2d" * 300] + [" ".join(rng.choice("the fox jumps over buy cheap pills win dog now".split())
+                                                                for _ in range(rng.randrange(1, 900))) for _ in range(40)]
+
+    def size(data, content=None):
+        d = zstandard.ZstdCompressionDict(content) if content else None
+        return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+
+    def want(text):
+        data = (text or "").encode()
+        cut = [data[i:i + 512] for i in range(0, len(data), 512)]
+        with_good, with_bad = (sum(size(b, c) for b in cut) for c in (good, bad))
+        raw = (with_bad - with_good) / (with_bad + with_good) if cut else 0.0
+        plain, n = math.log(size(data) / (len(data) + 20)), math.log(1 + len(data))
+        z = model.weights[0]
+        for w, m, s, x in zip(model.weights[1:], model.mean, model.scale, [raw, plain, n, raw * raw, plain * plain, raw * plain, raw * n]):
+            z += w * (x - m) / s
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(d, model).collect()}
+    assert all(got[i] == pytest.approx(want(t), abs=1e-9) for i, t in enumerate(texts))
+
+
+def test_pii_query_columns_equal_the_patterns(spark):
+    """The query's own counts, digest and spans over the whole test table."""
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    got = QUERIES["op6_pii"](spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = plain_base(texts[r["doc_id"]])
+        kinds = ["email", "ip", "card", "phone"]
+        assert [r[f"n_{k}"] for k in kinds] == [sum(b[0] == k for b in base) for k in kinds]
+        said = ",".join(f"{k}:{a}:{z}" for k, a, z in sorted(base, key=lambda b: (kinds.index(b[0]), b[1])))
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        spans = [tuple(x.split(":")) for x in r["spans"].split(",") if x]
+        assert {(k, str(a), str(z)) for k, a, z in base} <= set(spans)
+        order = [(["email", "ip", "card", "phone", "secret"].index(k), int(a)) for k, a, _ in spans]
+        assert order == sorted(order) and all(int(a) < int(z) <= len(texts[r["doc_id"]]) for _, a, z in spans)
