@@ -135,7 +135,9 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
         F.max((F.coalesce(col("toxic"), F.lit(0)) == 1) | (F.coalesce(col("quality"), F.lit(1)) == 0)).alias("bad"))
     teach = p.join(taught, p["page_id"] == taught["label_id"]).select(url_tokens(F.col("url")).alias("tokens"), "bad")
     mined = mine_rules(teach, **mining)
-    urls = p.filter("url IS NOT NULL").select("url").distinct()
+    # a fixed number of partitions: URLs are small, matching them is not, so merging small partitions would leave few tasks
+    parts = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = p.filter("url IS NOT NULL").select("url").repartition(parts, "url").distinct()
     keyed = urls.select(F.col("url").alias("url_key"), url_tokens(F.col("url")).alias("tokens"))
     hit = matches(keyed, mined).join(mined.select("rule", "confidence"), "rule").groupBy("url_key").agg(
         F.count(F.lit(1)).alias("n_rules"), F.max("confidence").alias("confidence"))
