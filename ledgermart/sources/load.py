@@ -404,8 +404,9 @@ def read_run(spark: SparkSession, folder: str, table: str) -> DataFrame:
     try:
         df = spark.read.parquet(f"{folder}/{table}")
         manifest = stored.read_manifest(spark, folder, table)
-        if manifest is not None and manifest.filter("keyed").limit(1).count():
-            df = stored.keys_from_positions(df, manifest, table, S.key_column(table))
+        told = manifest.agg(F.max("keyed").alias("keyed"), F.count(F.lit(1)).alias("files")).first() if manifest is not None else None
+        if told and told["keyed"]:
+            df = stored.keys_from_positions(df, manifest, table, S.key_column(table), files=told["files"])
     except AnalysisException as failed:
         # a write of no rows into partition folders leaves the folder but no file to take a schema from
         if failed.getCondition() != "UNABLE_TO_INFER_SCHEMA" or pointer.folders(spark, f"{folder}/{table}"):

@@ -65,13 +65,14 @@ def read_manifest(spark: SparkSession, folder: str, table: str) -> DataFrame | N
     return spark.read.parquet(path) if pointer.exists(spark, path) else None
 
 
-def keys_from_positions(df: DataFrame, manifest: DataFrame, table: str, key: str, base: int = 0) -> DataFrame:
+def keys_from_positions(df: DataFrame, manifest: DataFrame, table: str, key: str, base: int = 0,
+                        files: int | None = None) -> DataFrame:
     """``df`` as read from the files of ``manifest``, with the generated key
     ``base`` + rows before the file + position in the file + 1.  A query
     that does not use the key does not run the join either (the right side
     is known to be unique, so Spark drops it)."""
     first = manifest.groupBy("file").agg(F.max("rows_before").alias("__first"))
-    if manifest.count() <= BROADCAST_FILES:
+    if (manifest.count() if files is None else files) <= BROADCAST_FILES:
         first = F.broadcast(first)
     placed = df.withColumns({"__file": _file(table), "__row": F.col("_metadata.row_index")})
     value = (F.lit(base).cast("bigint") + F.col("__first") + F.col("__row") + 1)
