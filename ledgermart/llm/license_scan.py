@@ -6,16 +6,17 @@ is reported where a block holds at least ``threshold`` of its distinct words
 (containment), so a wrapped notice is found, and words scattered over a long
 line are not.
 
-Windows are found through segments of twice the longest window, one starting
-every longest window: each window lies whole in one of them.  Segments and
+Only words of the templates' vocabulary can add to an overlap, so a text is
+reduced to these, with their places.  Windows are found through segments:
+runs of twice as many such words as the longest window can have, one
+beginning every longest window, so each window lies whole in one of them.
+Segments and
 templates are joined exactly, pruned by three filters on words in one global
 order, rarest first: the word sets share a word of both prefixes, the
 segment is long enough, and the places of the shared prefix word leave room
 for the needed overlap.  In the few segments that hold enough of a template
 the windows are then counted.  Word counts for the order come from all
-segments.  Only words of the templates' vocabulary can add to an overlap, so
-segments are reduced to these (with their places) first; the vocabulary and
-the inverted index of template prefixes are bounded by the template list.
+segments; the vocabulary and the inverted index of template prefixes are bounded by the template list.
 
 Base phrases (places, labels) are found beside it and always reported.
 
@@ -148,18 +149,20 @@ def window_words(template: str, threshold: float) -> int:
     return math.ceil(round(len(template.split()) / threshold, 9))
 
 
-def segments(words: Column, templates, threshold: float) -> Column:
-    """The vocabulary words of a text with their places, for every segment
-    that holds enough for a template."""
+def vocabulary_places(words: Column, templates) -> Column:
+    """The words of a text that some template has, with their places."""
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    return F.filter(placed, lambda p: p["word"].isin(*vocabulary(templates)))
+
+
+def segments(places: Column, templates, threshold: float) -> Column:
+    """Runs of twice as many places as the longest window has words, one
+    beginning every longest window; those with enough words for a template."""
     longest = max(window_words(t, threshold) for _, t in templates)
     least = min(needed(len(set(t.split())), threshold) for _, t in templates)
-    vocab = _array(vocabulary(templates))
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.floor((F.size(words) - 1) / longest).cast("int")))
-    cut = F.transform(starts, lambda k: F.struct((k * longest).alias("from"), F.slice(words, k * longest + 1, 2 * longest).alias("said")))
-    full = F.filter(cut, lambda s: F.size(F.array_intersect(s["said"], vocab)) >= least)
-    return F.transform(full, lambda s: F.filter(
-        F.transform(s["said"], lambda w, i: F.struct((s["from"] + i).alias("at"), w.alias("word"))),
-        lambda p: F.array_contains(vocab, p["word"])))
+    starts = F.when(F.size(places) >= least, F.sequence(F.lit(0), F.floor((F.size(places) - 1) / longest).cast("int")))
+    runs = F.transform(starts, lambda k: F.slice(places, k * longest + 1, 2 * longest))
+    return F.filter(runs, lambda r: F.size(F.array_distinct(F.transform(r, lambda p: p["word"]))) >= least)
 
 
 def _windows(places: Column, t_words: Column, window: Column) -> Column:
@@ -176,7 +179,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels and all labels as arrays, and the best containment (1 where a
     base phrase stands)."""
     rows = base_phrases(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
-    rows = rows.withColumn("blocks", segments(F.col("words"), templates, threshold)).drop("words")
+    rows = rows.withColumn("places", vocabulary_places(F.col("words"), templates)).drop("words")
+    rows = rows.withColumn("blocks", segments(F.col("places"), templates, threshold)).drop("places")
     rows = materialize(rows, "license-scan")
     blocks = rows.select("uid", F.explode("blocks").alias("places"))
     blocks = blocks.withColumn("tokens", F.array_distinct(F.transform("places", lambda p: p["word"])))
