@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgermart.functions.metrics import cond_count, cond_sum, count_pct, dec_sum, exact_avg, merged_avg, safe_pct
 from ledgermart.operators.joins import current, currency_rates, hinted, join_dim, latest_only
+from ledgermart.session import spread
 
 Frames = Mapping[str, DataFrame]
 
@@ -151,12 +152,13 @@ def financial_performance(frames: Frames, calendar_year: int | None = None) -> D
     x = join_dim(g, dates, "period_end_date_sk", "date_sk",
                  {c: c for c in ("calendar_year", "month_num", "month_name", "fiscal_year", "fiscal_quarter")},
                  name="dim_date")
+    # the branches before the ledger's names, while a row is short
+    x = join_dim(spread(x, "branch_sk"), frames["dim_branch"], "branch_sk", "branch_sk",
+                 {"branch_name": "branch_name", "region_name": "region_name"}, current_only=True,
+                 name="dim_branch")
     x = join_dim(x, frames["dim_gl_account"], "gl_account_sk", "gl_account_sk",
                  {"level1_name": "p_and_l_category", "level2_name": "p_and_l_subcategory",
                   "account_class": "account_class", "account_type": "account_type"}, name="dim_gl_account")
-    x = join_dim(x, frames["dim_branch"], "branch_sk", "branch_sk",
-                 {"branch_name": "branch_name", "region_name": "region_name"}, current_only=True,
-                 name="dim_branch")
     closing, prior = F.col("closing_balance_rcy"), F.col("prior_year_balance")
     yoy = F.sum(closing - F.coalesce(prior, F.lit(0)))
     return x.groupBy("calendar_year", "month_num", "month_name", "fiscal_year", "fiscal_quarter",
