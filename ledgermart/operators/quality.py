@@ -6,9 +6,9 @@ constraints, so the declared rules are enforced here, as queries:
 * :func:`column_profile` evaluates NOT NULL, allowed values and fit
   (length, decimal precision, integer width) for every declared column of
   a frame in **one** aggregate pass, then unpivots the counters to rows;
-* :func:`soft_key_suite` checks every soft foreign key.  It first counts
-  rows per key value (partial aggregation, so a hot key costs one row per
-  task) and anti-joins only the distinct keys with the dimension;
+* :func:`soft_key_suite` checks every soft foreign key: rows look up their
+  keys in the dimensions' broadcast bitmaps and only counts move (or, for
+  keys that no bitmap fits, distinct values are counted and anti-joined);
 * :func:`split_valid` keeps failing rows with their reasons instead of
   aborting the load; ``strict=True`` raises like the reference's
   stop-on-first-error load.
@@ -204,17 +204,26 @@ def orphan_rows(fact: DataFrame, dim: DataFrame, fk: str, pk: str) -> DataFrame:
     keys, it is the exact anti join."""
     maps = materialize(key_bitmaps(dim, pk), "bitmaps")
     size = maps.agg(F.count(F.lit(1)).alias("buckets"), F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("keys")).first()
-    scattered = size["buckets"] * BITMAP_BYTES > 16 * 1024 * 1024 and size["keys"] * 64 < size["buckets"] * BITMAP_BYTES
-    if scattered or size["buckets"] * BITMAP_BYTES > BITMAP_BROADCAST:
+    if _too_large(size["buckets"], size["keys"]):
         d = dim.select(F.col(pk).alias("__pk"))
         return fact.join(d, fact[fk] == d["__pk"], "left_anti")
     k = F.col(fk).cast("bigint")
     looked = fact.join(F.broadcast(maps.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))),
                        F.bitmap_bucket_number(k) == F.col("__bucket"), "left")
+    return looked.filter(~_in_bitmap(k, "__bits")).select(*fact.columns)
+
+
+def _too_large(buckets: int, keys: int) -> bool:
+    """Whether bitmaps are beyond a broadcast, or larger than scattered keys by themselves."""
+    scattered = buckets * BITMAP_BYTES > 16 * 1024 * 1024 and keys * 64 < buckets * BITMAP_BYTES
+    return scattered or buckets * BITMAP_BYTES > BITMAP_BROADCAST
+
+
+def _in_bitmap(k: Column, bits: str) -> Column:
+    """Whether the whole number ``k`` is in its bucket's bitmap (not without one)."""
     at = F.bitmap_bit_position(k)
-    byte = F.conv(F.hex(F.substring("__bits", F.call_function("div", at, F.lit(8)).cast("int") + 1, 1)), 16, 10).cast("int")
-    present = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
-    return looked.filter(~F.coalesce(present, F.lit(False))).select(*fact.columns)
+    byte = F.conv(F.hex(F.substring(bits, F.call_function("div", at, F.lit(8)).cast("int") + 1, 1)), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False))
 
 
 def skipped_soft_keys(frames: Frames, keys: Iterable[tuple[str, str, str, str]] | None = None) -> list[tuple[str, str, str]]:
@@ -237,16 +246,42 @@ def _present_keys(frames: Frames, keys) -> list[tuple[str, str, str, str]]:
     return out
 
 
+def _bitmaps_of_keys(frames: Frames, dims: list[tuple[str, str]]) -> dict[tuple[str, str], DataFrame]:
+    """The key bitmaps of each (dimension, key column) that fits a broadcast,
+    all written by one job and measured by another (see :func:`orphan_rows`)."""
+    named = None
+    for i, (dim, pk) in enumerate(dims):
+        m = key_bitmaps(frames[dim], pk).select(F.lit(i).alias("d"), "bucket", "bits")
+        named = m if named is None else named.unionByName(m)
+    maps = materialize(named, "bitmaps")
+    sizes = maps.groupBy("d").agg(F.count(F.lit(1)).alias("buckets"), F.sum(F.bitmap_count("bits")).alias("keys")).collect()
+    large = {r["d"] for r in sizes if _too_large(r["buckets"], r["keys"])}
+    return {key: maps.filter(F.col("d") == i).select("bucket", "bits") for i, key in enumerate(dims) if i not in large}
+
+
+def _look_up(df: DataFrame, checks: list[tuple[int, str, DataFrame]]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the bitmap of each foreign key's bucket beside it, row for
+    row, and two counters per check (tag, foreign key, bitmaps): rows whose
+    key the dimension lacks, and rows without a key."""
+    counters = []
+    for tag, fk, maps in checks:
+        bucket, bits, k = f"__bucket{tag}", f"__bits{tag}", F.col(fk).cast("bigint")
+        df = df.join(F.broadcast(maps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))),
+                     F.bitmap_bucket_number(k) == F.col(bucket), "left")
+        counters += [F.count(F.when(k.isNotNull() & ~_in_bitmap(k, bits), F.lit(1))).cast("bigint").alias(f"__orphans{tag}"),
+                     F.count(F.when(k.isNull(), F.lit(1))).cast("bigint").alias(f"__nulls{tag}")]
+    return df, counters
+
+
 def soft_key_suite(frames: Frames, keys: Iterable[tuple[str, str, str, str]] | None = None) -> DataFrame:
     """Q8: (table_name, fk_column, dim_table, orphan_rows, null_fk_rows) for
     every soft foreign key whose table, column and dimension are present.
 
-    Each table is scanned once for all its foreign keys: its key columns
-    are unpivoted to (fk, key) pairs and counted per distinct pair
-    (partial aggregation, so a hot key value costs one row per task).  The
-    distinct pairs are anti-joined once with the dimension keys, tagged
-    with the foreign key they serve (an anti join, so a dimension key
-    listed twice does no harm); one shuffle for the whole suite."""
+    The dimensions' keys become bitmaps that go to every task; each table is
+    scanned once, looks up all its foreign keys there and adds up, so no key
+    of a fact is shuffled and a task holds no more than the bitmaps.  Keys
+    of a dimension whose bitmaps are too large are counted per distinct
+    value and anti-joined (:func:`_orphans_by_value`)."""
     keys = _present_keys(frames, list(S.soft_foreign_keys() if keys is None else keys))
     if not keys:
         spark = next((frames[t] for t in frames), None)
@@ -254,6 +289,40 @@ def soft_key_suite(frames: Frames, keys: Iterable[tuple[str, str, str, str]] | N
             raise ValueError("no table to check")
         return spark.sparkSession.createDataFrame(
             [], "table_name string, fk_column string, dim_table string, orphan_rows bigint, null_fk_rows bigint")
+    checks, rest = _key_checks(frames, keys)
+    out = _orphans_by_value(frames, rest) if rest else None
+    for t, found in checks.items():
+        df, counters = _look_up(frames[t], [(tag, fk, maps) for tag, fk, _dim, maps in found])
+        one = df.agg(*counters).select(F.explode(F.array(*[_key_cell(tag, fk, dim) for tag, fk, dim, _maps in found])).alias("x"))
+        part = one.select(F.lit(t).alias("table_name"), "x.fk_column", "x.dim_table", "x.orphan_rows", "x.null_fk_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _key_checks(frames: Frames, keys) -> tuple[dict[str, list[tuple[int, str, str, DataFrame]]], list]:
+    """Per table its (tag, foreign key, dimension, bitmaps), and the keys whose dimension has no bitmaps."""
+    maps = _bitmaps_of_keys(frames, list(dict.fromkeys((dim, pk) for _t, _fk, dim, pk in keys)))
+    checks: dict[str, list[tuple[int, str, str, DataFrame]]] = {}
+    for tag, (t, fk, dim, pk) in enumerate(keys):
+        if (dim, pk) in maps:
+            checks.setdefault(t, []).append((tag, fk, dim, maps[dim, pk]))
+    return checks, [key for key in keys if (key[2], key[3]) not in maps]
+
+
+def _key_cell(tag: int, fk: str, dim: str) -> Column:
+    return F.struct(F.lit(fk).alias("fk_column"), F.lit(dim).alias("dim_table"),
+                    F.col(f"__orphans{tag}").alias("orphan_rows"), F.col(f"__nulls{tag}").alias("null_fk_rows"))
+
+
+def _orphans_by_value(frames: Frames, keys: list[tuple[str, str, str, str]]) -> DataFrame:
+    """:func:`soft_key_suite` without bitmaps.
+
+    Each table is scanned once for all its foreign keys: its key columns
+    are unpivoted to (fk, key) pairs and counted per distinct pair
+    (partial aggregation, so a hot key value costs one row per task).  The
+    distinct pairs are anti-joined once with the dimension keys, tagged
+    with the foreign key they serve (an anti join, so a dimension key
+    listed twice does no harm); one shuffle for all keys."""
     by_table: dict[str, list[tuple[int, str]]] = {}
     for tag, (t, fk, _dim, _pk) in enumerate(keys):
         by_table.setdefault(t, []).append((tag, fk))
