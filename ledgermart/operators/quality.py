@@ -249,6 +249,8 @@ def _present_keys(frames: Frames, keys) -> list[tuple[str, str, str, str]]:
 def _bitmaps_of_keys(frames: Frames, dims: list[tuple[str, str]]) -> dict[tuple[str, str], DataFrame]:
     """The key bitmaps of each (dimension, key column) that fits a broadcast,
     all written by one job and measured by another (see :func:`orphan_rows`)."""
+    if not dims:
+        return {}
     named = None
     for i, (dim, pk) in enumerate(dims):
         m = key_bitmaps(frames[dim], pk).select(F.lit(i).alias("d"), "bucket", "bits")
@@ -292,13 +294,17 @@ def soft_key_suite(frames: Frames, keys: Iterable[tuple[str, str, str, str]] | N
     checks, rest = _key_checks(frames, keys)
     out = _orphans_by_value(frames, rest) if rest else None
     for t, found in checks.items():
-        df, counters = _look_up(frames[t], [(tag, fk, maps) for tag, fk, _dim, maps in found])
-        one = df.agg(*counters).select(F.explode(F.array(*[_key_cell(tag, fk, dim) for tag, fk, dim, _maps in found])).alias("x"))
-        part = one.select(F.lit(t).alias("table_name"), "x.fk_column", "x.dim_table", "x.orphan_rows", "x.null_fk_rows")
+        part = _orphans_by_bitmap(frames, t, found)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _orphans_by_bitmap(frames: Frames, t: str, found: list[tuple[int, str, str, DataFrame]]) -> DataFrame:
+    df, counters = _look_up(frames[t], [(tag, fk, maps) for tag, fk, _dim, maps in found])
+    one = df.agg(*counters).select(F.explode(F.array(*[_key_cell(tag, fk, dim) for tag, fk, dim, _maps in found])).alias("x"))
+    return one.select(F.lit(t).alias("table_name"), "x.fk_column", "x.dim_table", "x.orphan_rows", "x.null_fk_rows")
+
+
 def _key_checks(frames: Frames, keys) -> tuple[dict[str, list[tuple[int, str, str, DataFrame]]], list]:
     """Per table its (tag, foreign key, dimension, bitmaps), and the keys whose dimension has no bitmaps."""
     maps = _bitmaps_of_keys(frames, list(dict.fromkeys((dim, pk) for _t, _fk, dim, pk in keys)))
@@ -382,10 +388,10 @@ def run_suite(frames: Frames, names: Iterable[str] | None = None) -> DataFrame:
     """Q9: every "expected 0" rule in one frame: (rule, table_name, subject,
     failing_rows, passed).
 
-    Per table one aggregate pass yields the row count and every column
-    rule; the foreign keys of all tables share one anti-join (see
-    :func:`soft_key_suite`)."""
+    Per table one aggregate pass yields the row count, every column rule and
+    the foreign keys, which are looked up as in :func:`soft_key_suite`."""
     names = list(names or [n for n in S.TABLES])
+    checks, rest = _key_checks(frames, _present_keys(frames, list(S.soft_foreign_keys())))
     parts = []
     spark = None
     for t in names:
@@ -401,13 +407,17 @@ def run_suite(frames: Frames, names: Iterable[str] | None = None) -> DataFrame:
         preds = rule_predicates(df, t)
         counters = [F.count(F.when(p, F.lit(1))).cast("bigint").alias(f"{r}::{c}")
                     for c, r, p in preds]
-        one = df.agg(F.count(F.lit(1)).alias("__rows"), *counters)
+        mine = checks.pop(t, [])
+        looked, orphans = _look_up(df, [(tag, fk, maps) for tag, fk, _dim, maps in mine])
+        one = looked.agg(F.count(F.lit(1)).alias("__rows"), *counters, *orphans)
         cells = [F.struct(F.lit(r).alias("rule"), F.lit(c).alias("subject"), F.col(f"{r}::{c}").alias("failing_rows"))
                  for c, r, _ in preds]
         if t in S.ROW_MINIMUMS:
             low = F.when(F.col("__rows") >= S.ROW_MINIMUMS[t], F.lit(0)).otherwise(F.lit(1)).cast("bigint")
             cells.append(F.struct(F.lit("row_count").alias("rule"), F.lit("*").alias("subject"),
                                   low.alias("failing_rows")))
+        cells += [F.struct(F.lit("foreign_key").alias("rule"), F.lit(f"{fk}->{dim}").alias("subject"),
+                           F.col(f"__orphans{tag}").alias("failing_rows")) for tag, fk, dim, _maps in mine]
         if cells:
             parts.append(("rows", t, one.select(F.explode(F.array(*cells)).alias("x")).select(
                 "x.rule", F.lit(t).alias("table_name"), "x.subject", "x.failing_rows")))
@@ -419,9 +429,10 @@ def run_suite(frames: Frames, names: Iterable[str] | None = None) -> DataFrame:
             p = spark.range(1).select(F.lit("row_count").alias("rule"), F.lit(t).alias("table_name"),
                                       F.lit("*").alias("subject"), F.lit(1).cast("bigint").alias("failing_rows"))
         out = p if out is None else out.unionByName(p)
-    fks = soft_key_suite(frames)
-    if fks is not None:
-        out = out.unionByName(fks.select(
+    # keys of tables that are not profiled, and keys without bitmaps
+    fks = [_orphans_by_bitmap(frames, t, found) for t, found in checks.items()] + ([_orphans_by_value(frames, rest)] if rest else [])
+    for fk in fks:
+        out = out.unionByName(fk.select(
             F.lit("foreign_key").alias("rule"), "table_name",
             F.concat_ws("->", "fk_column", "dim_table").alias("subject"),
             F.col("orphan_rows").alias("failing_rows")))
