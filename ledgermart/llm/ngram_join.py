@@ -414,7 +414,8 @@ def rest_pairs(left: DataFrame, homes: DataFrame, elements: DataFrame, percent:
     pairs = prefix.join(other, (F.col("home") == F.col("home_b")) & (F.col("element") == F.col("element_b")) & (F.col("node") > F.col("b"))
                         & (F.col("label") != F.col("other")) & (2 * (1 + follow) >= F.col("size") + F.col("size_b") - allowed)
                         & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
-    own = near.filter("home <> node").select(F.greatest("node", "home").alias("a"), F.least("node", "home").alias("b"))
+    # a label is a node of its component: who has the home's is joined to it
+    own = near.filter("home <> node AND home <> label").select(F.greatest("node", "home").alias("a"), F.least("node", "home").alias("b"))
     return pairs.select(F.col("node").alias("a"), "b").union(own).distinct()
 
 
