@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermart.llm.common import col, text_of
+from ledgermart.llm.common import col, map_in_arrow, text_of
 
 #: Words kept per generation of a task's table of seen words.
 SEEN_WORDS = 200_000
@@ -368,7 +368,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()),
                                                   pa.array(said, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return d.mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return map_in_arrow(d, run, f"doc_id {kind}, ids binary, decoded string")
 
 
 def bpe_digests(docs: DataFrame, path: str, **columns) -> DataFrame:

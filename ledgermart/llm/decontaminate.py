@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermart.llm import words as W
-from ledgermart.llm.common import col, text_of
+from ledgermart.llm.common import col, map_in_arrow, text_of
 from ledgermart.session import materialize
 
 WINDOW = 10
@@ -149,11 +149,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     kind = d.schema["doc_id"].dataType.simpleString()
     b = items.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item_id"),
                      text_of(item_text_col).alias("body"))
-    tests = materialize(b.mapInArrow(_item_windows(window, gram), "item_id string, size int, print long, said string"),
+    tests = materialize(map_in_arrow(b, _item_windows(window, gram), "item_id string, size int, print long, said string"),
                         "test-windows")
     lengths = sorted(r["size"] for r in tests.select("size").distinct().collect())  # at most ``window`` numbers
 
-    prints = d.mapInArrow(_document_prints(lengths, gram), f"doc_id {kind}, text_key long, pos int, size int, print long")
+    prints = map_in_arrow(d, _document_prints(lengths, gram), f"doc_id {kind}, text_key long, pos int, size int, print long")
     wanted = tests.select(F.col("print").alias("t_print"), F.col("size").alias("t_size")).distinct()
     found = prints.join(wanted, (prints["print"] == wanted["t_print"]) & (prints["size"] == wanted["t_size"])
                         & (prints["pos"] >= 0), "left")
@@ -164,7 +164,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     hits = (found.filter("pos >= 0").groupBy("doc_id", "text_key")
             .agg(F.collect_set(F.struct("pos", "size")).alias("hits")))
     suspects = d.join(hits, _same(d, hits)).select(d["doc_id"], d["text_key"], "body", "hits")
-    wide = suspects.mapInArrow(_extend(lengths, gram), f"doc_id {kind}, text_key long, start int, size int, said string")
+    wide = map_in_arrow(suspects, _extend(lengths, gram), f"doc_id {kind}, text_key long, start int, size int, said string")
     windows = tests.groupBy("said").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     true = materialize(wide.distinct().join(windows, "said").select("doc_id", "text_key", "start", "size", "item_ids"), "hits")
 

@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermart.llm import words as W
-from ledgermart.llm.common import col, text_of
+from ledgermart.llm.common import col, map_in_arrow, text_of
 from ledgermart.session import materialize, scratch
 
 SHINGLE, PERCENT = 5, 80
@@ -327,10 +327,10 @@ def live_signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     Texts are signed twice: minima and maxima per signature combine in each
     task, so no signature is gathered anywhere however many documents share
     it, and the semi-join with what is left can be split by Spark."""
-    signed = docs.mapInArrow(_signed(shingle, percent), "signature long, node long, own boolean")
+    signed = map_in_arrow(docs, _signed(shingle, percent), "signature long, node long, own boolean")
     ends = signed.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("own").alias("own"))
     shared = materialize(ends.filter("lo < hi AND own").select("signature"), "shared")
-    again = docs.mapInArrow(_signed(shingle, percent), "signature long, node long, own boolean")
+    again = map_in_arrow(docs, _signed(shingle, percent), "signature long, node long, own boolean")
     live = materialize(again.join(shared, "signature", "left_semi").select("signature", "node"), "signatures")
     live = live.distinct().withColumn("tag", _tag())
     enough = live.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _slack(percent))
@@ -360,7 +360,7 @@ def similar_pairs(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFr
     left = pairs.join(e.select(F.col("node").alias("b"), F.col("elements").alias("y"), F.col("n").alias("ny")), "b")
     wide = left.join(e.select(F.col("node").alias("a"), F.col("elements").alias("x"), F.col("n").alias("nx")), "a")
     near = wide.filter((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))).select("a", "b", "x", "y")
-    return near.mapInArrow(_similar(percent), "a long, b long")
+    return map_in_arrow(near, _similar(percent), "a long, b long")
 
 
 def rest_pairs(left: DataFrame, homes: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
@@ -398,14 +398,14 @@ def rest_pairs(left: DataFrame, homes: DataFrame, elements: DataFrame, percent:
 
     size = near.groupBy("home").agg(F.count(F.lit(1)).alias("nodes"))
     drawn = near.join(size, "home").filter(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("nodes") / SAMPLED))) == 0)
-    told = drawn.join(y, "node").join(x, "home").select("home", "x", "y").mapInArrow(_all_differences, "home long, element long")
+    told = map_in_arrow(drawn.join(y, "node").join(x, "home").select("home", "x", "y"), _all_differences, "home long, element long")
     counts = told.groupBy("home", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     last = Window.partitionBy("home").orderBy(F.col("n").desc(), "element")
     often = counts.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= FREQUENT).groupBy("home").agg(
         F.sort_array(F.collect_list(F.struct("n", "element")))["element"].alias("often"))   # rarest first
-    prefix = materialize(near.join(y, "node").join(x, "home").join(often, "home", "left").select(
-        "home", "node", "label", "n", "x", "y", "often").mapInArrow(
-        _differences(percent), "home long, node long, label long, n long, size long, rank long, element long"), "differences")
+    prefix = materialize(map_in_arrow(near.join(y, "node").join(x, "home").join(often, "home", "left").select(
+        "home", "node", "label", "n", "x", "y", "often"), _differences(percent),
+        "home long, node long, label long, n long, size long, rank long, element long"), "differences")
     other = prefix.select(F.col("home").alias("home_b"), F.col("element").alias("element_b"), F.col("node").alias("b"),
                           F.col("label").alias("other"), F.col("n").alias("n_b"), F.col("size").alias("size_b"),
                           F.col("rank").alias("rank_b"))
@@ -472,7 +472,7 @@ def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text_of(text_col).alias("body"))
     keyed = d.withColumn("text_key", F.xxhash64("body"))
     with scratch() as keep:   # of all intermediate tables only the result stays
-        rows = materialize(keyed.mapInArrow(_nodes(shingle), "doc long, text_key long, n_shingles long, node long"), "nodes")
+        rows = materialize(map_in_arrow(keyed, _nodes(shingle), "doc long, text_key long, n_shingles long, node long"), "nodes")
         live = live_signatures(d.select("body"), shingle, percent)
         if live.isEmpty():
             return keep(rows.withColumn("label", F.col("node")), "labelled")
@@ -483,7 +483,7 @@ def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         firsts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
         wanted = materialize(firsts.join(shared.select("node").distinct(), "node").select("doc").distinct(), "wanted")
         texts = d.join(wanted, "doc", "left_semi").withColumn("text_key", F.xxhash64("body")).dropDuplicates(["doc", "text_key"])
-        elements = materialize(texts.select("body").mapInArrow(_whole_sets(shingle), "node long, elements binary"), "sets")
+        elements = materialize(map_in_arrow(texts.select("body"), _whole_sets(shingle), "node long, elements binary"), "sets")
         labels = link_nodes(shared, vectors, elements, percent)
         return keep(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
 

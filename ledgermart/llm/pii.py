@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermart.llm.common import col, text_of
+from ledgermart.llm.common import col, map_in_arrow, text_of
 from ledgermart.session import materialize
 
 #: Kinds in the order in which spans are listed; the method adds the last one.
@@ -363,7 +363,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, samp
     sends no more than the sample of each stratum, so nothing is thinned."""
     lines = docs.select(F.explode(F.split(text_of(text_col), "\n")).alias("line")).filter(
         F.col("line").rlike("[0-9@]") & (F.length("line") <= 2000)).select(F.xxhash64("line").alias("h"), "line")
-    least = materialize(lines.mapInArrow(_least_lines(sample), "kind string, h long, line string"), "pii-lines")
+    least = materialize(map_in_arrow(lines, _least_lines(sample), "kind string, h long, line string"), "pii-lines")
     by_kind = {k: [(r["h"], r["line"]) for r in least.filter(F.col("kind") == k).select("h", "line").distinct()
                    .orderBy("h", "line").limit(sample).collect()] for k in [*KINDS, "none"]}
     share = max(1, sample // (2 * len(by_kind)))
@@ -387,7 +387,7 @@ def pii_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
                      for x in batch.column("body")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
+    return map_in_arrow(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
 
 
 def masked(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
@@ -414,7 +414,7 @@ def mask(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array(said, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_in_arrow(docs, run, docs.schema)
 
 
 def listed(spans) -> str:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermart.llm.common import col, text_of
+from ledgermart.llm.common import col, map_in_arrow, text_of
 
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 65_536, 512, 3
@@ -157,4 +157,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "qu
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(scores, pa.float64())],
                                                  [*kept, name])
 
-    return d.mapInArrow(run, schema)
+    return map_in_arrow(d, run, schema)

@@ -5,12 +5,14 @@ import re
 from array import array
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from ledgermart.llm import pii
 from ledgermart.llm import quality_classifier as quality
+from ledgermart.llm.common import BATCH_BYTES, BATCH_KEY, map_in_arrow
 from tests.llm.test_corpus_operators import LOWER, brute_components
 from pyspark.sql import functions as F
 
@@ -115,3 +117,19 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
 def test_stage_functions_take_a_frame_of_their_own(spark, name):
     docs = spark.createDataFrame([(5, "just one text", "en", "s", 13)], "doc_id long, text string, lang string, source string, n_chars long")
     assert dict(P.STAGES)[name](spark, docs, SF).count() in (0, 1)
+
+
+def test_texts_reach_python_in_batches_bounded_in_bytes(spark, tmp_path):
+    """Rows alone do not bound a batch: 200 texts of 100,000 characters were one of 20 MB."""
+    path = str(tmp_path / "long")
+    spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("long text "), 10_000).alias("text")).coalesce(1).write.parquet(path)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+    docs = spark.read.parquet(path)
+    got = [tuple(r) for r in map_in_arrow(docs, sizes, "n long, size long").collect()]
+    assert sum(n for n, _ in got) == 200 and max(size for _, size in got) <= BATCH_BYTES + 200_000
+    # and so the stages' own batches
+    P.near_duplicate_stage(spark, docs, SF)
+    assert spark.conf.get(BATCH_KEY) == str(BATCH_BYTES)
